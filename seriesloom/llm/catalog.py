@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, pii, sharding
+from . import decontamination, flac, packing, pii, sharding
 from .common import read_table
 
 
@@ -29,6 +29,11 @@ def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digest(flac.encode_column(read_table(spark, sf_dir, "documents")))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -36,6 +41,6 @@ def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op7_byte_balanced_shards)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op7_byte_balanced_shards)}
 
 SQL: dict[str, str] = {}
