@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, packing, pii, sharding
-from .common import read_table
+from . import decontamination, flac, language, packing, pii, sharding, warc
+from .common import id_crc, read_table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_crc(F.col("doc_id")) % 4 == 2
+    model = language.train(docs, ~held_out)
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -41,6 +49,12 @@ def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op7_byte_balanced_shards)}
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives)}
 
 SQL: dict[str, str] = {}
