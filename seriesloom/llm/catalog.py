@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, jaccard_join, language, packing, pii, sharding, warc
+from . import decontamination, flac, jaccard_join, language, packing, pii, scoring, sharding, warc
 from .common import id_crc, read_table
 
 
@@ -55,10 +55,17 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score(read_table(spark, sf_dir, "documents"), id_crc(F.col("doc_id")) % 5 != 1)
+    return scored.select(
+        "doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op9_lattice_scoring, op10_jaccard_join)}
 
 SQL: dict[str, str] = {}

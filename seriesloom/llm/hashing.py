@@ -15,22 +15,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_table(separators: list[int]) -> np.ndarray:
-    """For each byte: 0 if it separates words, else the byte made small."""
-    out = np.arange(256, dtype=np.uint8)
+    """For each byte: 0 if it separates words, else one more than the byte made small."""
+    out = np.arange(1, 257, dtype=np.uint16)
     out[65:91] += 32
     out[separators] = 0
     return out
 
 
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes, each followed by a zero byte, and where each begins; a last number tells the end."""
+    """The texts' bytes, each followed by a line end, and where each begins; a last number tells the end."""
     own = [(t or "").encode() for t in texts]
     start = np.cumsum([0] + [len(x) + 1 for x in own])
-    return np.frombuffer(b"\0".join([*own, b""]), dtype=np.uint8), start
+    return np.frombuffer(b"\n".join([*own, b""]), dtype=np.uint8), start
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the words in joined texts: 64-bit hashes, the text each is in, first byte and length."""
+    """Of the words in joined texts: 64-bit hashes, the text each is in, first byte and length. The table makes line ends separators."""
     small = table[data]
     inside = small != 0
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
@@ -43,5 +43,5 @@ def word_hashes(data: np.ndarray, start: np.ndarray, table: np.ndarray) -> tuple
     powers[1:] = np.multiply.accumulate(np.full(len(powers) - 1, _P))
     at = np.nonzero(inside)[0]
     within = at - np.repeat(first, length)
-    total = np.add.reduceat((small[at].astype(np.uint64) + np.uint64(1)) * powers[within], np.cumsum(length) - length)
+    total = np.add.reduceat(small[at].astype(np.uint64) * powers[within], np.cumsum(length) - length)
     return mix(total + length.astype(np.uint64)), np.searchsorted(start, first, side="right") - 1, first, length
