@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, jaccard_join, language, packing, pii, scoring, sharding, warc
+from . import decontamination, flac, jaccard_join, language, packing, pii, repeats, scoring, sharding, warc
 from .common import id_crc, read_table
 
 
@@ -17,6 +17,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -66,6 +72,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op9_lattice_scoring, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op9_lattice_scoring, op10_jaccard_join)}
 
 SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -365,7 +366,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = pa.compute.binary_length(b.column("text")).fill_null(0)
+            size = pc.binary_length(b.column("text")).fill_null(0)
             for s in _chunks(size.to_pylist()):
                 own = b.slice(s.start, s.stop - s.start)
                 media = encode([payload(t) for t in own.column("text").to_pylist()])

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, times: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, times + 1, dtype=np.uint64))
         for b in batches:
-            sizes = pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy()
+            sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
             for a, z in _slices(sizes + 1, 4 << 20):
                 tokens, n = shingle_sets(b.column("text")[a:z].to_pylist())
                 first, wide = np.cumsum(n) - n, tokens.astype(np.uint64)
@@ -144,7 +145,7 @@ def _tokens(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy()
+            sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
             for a, z in _slices(sizes + 1, 4 << 20):
                 tokens, n = shingle_sets(b.column("text")[a:z].to_pylist())
                 data, ends = tokens.tobytes(), np.concatenate([[0], np.cumsum(n)]) * 4
@@ -319,12 +320,12 @@ def _deeper(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.binary_length(b.column("tokens")).to_numpy()
+            sizes = pc.binary_length(b.column("tokens")).to_numpy()
             for a, z in _slices(sizes, 4 << 20):
                 tokens = np.frombuffer(b"".join(b.column("tokens")[a:z].to_pylist()), dtype=np.uint32)
                 n = b.column("n")[a:z].to_numpy()
                 nodes = b.column("nodes")[a:z]
-                count = pa.compute.list_value_length(nodes).to_numpy()
+                count = pc.list_value_length(nodes).to_numpy()
                 node = nodes.flatten().to_numpy().view(np.uint64)
                 owner, child = extend(tokens, np.cumsum(n) - n, n, np.repeat(np.arange(len(n)), count), node)
                 yield pa.RecordBatch.from_arrays([b.column("rep")[a:z].take(pa.array(owner)), pa.array(child.view(np.int64))], ["rep", "node"])

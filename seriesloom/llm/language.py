@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, letter = b.column(names.index(text_col)), b.column(len(names)).to_numpy(zero_copy_only=False)
-            size = pa.compute.binary_length(texts).fill_null(0).to_numpy()
+            size = pc.binary_length(texts).fill_null(0).to_numpy()
             best, score, a = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows), 0
             while a < b.num_rows:
                 z = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), 1 << 20)) + a)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def word_counts(docs: DataFrame, learns: Column, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy()
+            sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
             for a, z in _split(sizes, 8 << 20):
                 data, start = joined(b.column("text")[a:z].to_pylist())
                 h, of, first, length = word_hashes(data, start, WORDS)
@@ -237,7 +238,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy()
+            sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
             for a, z in _split(sizes, 4 << 20):
                 data, start = joined(b.column("text")[a:z].to_pylist())
                 h, of, first, length = word_hashes(data, start, WORDS)
