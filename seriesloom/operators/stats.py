@@ -22,16 +22,16 @@ def otsu3(df: DataFrame, value: Column, bins: int = 256) -> DataFrame:
     h = spine.join(F.broadcast(counts), "i", "left").join(F.broadcast(ends)).withColumn("c", F.coalesce("count", F.lit(0)))
     w = Window.orderBy("i")  # `bins` rows
     total = F.sum("c").over(Window.partitionBy())
-    h = h.withColumn("p", F.col("c") / total).withColumn("ctr", F.col("lo") + (F.col("i") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
+    h = h.withColumn("p", F.try_divide(F.col("c"), total)).withColumn("ctr", F.col("lo") + (F.col("i") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
     h = h.withColumn("wt", F.sum("p").over(w)).withColumn("m", F.sum(F.col("p") * F.col("ctr")).over(w))
     h = h.withColumn("mt", F.sum(F.col("p") * F.col("ctr")).over(Window.partitionBy())).withColumn("used", F.sum((F.col("c") > 0).cast("int")).over(Window.partitionBy()))
     a = h.select("i", "ctr", "wt", "m", "mt", "used", "top")
     b = h.select(F.col("i").alias("j"), F.col("wt").alias("wz"), F.col("m").alias("mz"))
     w2, w3 = F.col("wz") - F.col("wt"), 1 - F.col("wz")
     between = (
-        F.col("wt") * F.pow(F.col("m") / F.col("wt") - F.col("mt"), F.lit(2))
-        + w2 * F.pow((F.col("mz") - F.col("m")) / w2 - F.col("mt"), F.lit(2))
-        + w3 * F.pow((F.col("mt") - F.col("mz")) / w3 - F.col("mt"), F.lit(2))
+        F.col("wt") * F.pow(F.try_divide("m", "wt") - F.col("mt"), F.lit(2))
+        + w2 * F.pow(F.try_divide(F.col("mz") - F.col("m"), w2) - F.col("mt"), F.lit(2))
+        + w3 * F.pow(F.try_divide(F.col("mt") - F.col("mz"), w3) - F.col("mt"), F.lit(2))
     )
     pairs = a.join(F.broadcast(b), (F.col("j") > F.col("i")) & (F.col("j") <= bins - 2) & (F.col("wt") > 0) & (w2 > 0) & (w3 > 0))
     best = pairs.agg(F.max_by("ctr", F.struct(between.alias("v"), (-F.col("i")).alias("a"), (-F.col("j")).alias("b"))).alias("ctr"), F.max("used").alias("used"))

@@ -11,7 +11,10 @@ from ..operators import bands
 from .registry import FRAMES, frames, query, r4
 from .run_queries import LOW_RUNS, low_runs
 
-W = Window.partitionBy("seg").orderBy("frame")
+
+def by_frame():
+    return Window.partitionBy("seg").orderBy("frame")
+
 
 
 @query(
@@ -167,7 +170,7 @@ t as (select *, case when a * b >= 0 then abs(a - b) else abs(a) + abs(b) end t
 select seg, frame, round(sqrt(ix * ix + iy * iy), 4) speed_in, round(sqrt(ox * ox + oy * oy), 4) speed_out, case when t > 180 then 360 - t else t end turn from t""",
 )
 def f11(spark, sf):
-    d = {"ix": F.col("x") - F.lag("x", 3).over(W), "iy": F.col("y") - F.lag("y", 3).over(W), "ox": F.lead("x", 3).over(W) - F.col("x"), "oy": F.lead("y", 3).over(W) - F.col("y")}
+    d = {"ix": F.col("x") - F.lag("x", 3).over(by_frame()), "iy": F.col("y") - F.lag("y", 3).over(by_frame()), "ox": F.lead("x", 3).over(by_frame()) - F.col("x"), "oy": F.lead("y", 3).over(by_frame()) - F.col("y")}
     rows = frames(spark, sf).withColumns(d).where("ix is not null and ox is not null")
     c = [F.col(k) for k in d]
     return rows.select("seg", "frame", r4(F.hypot(c[0], c[1])).alias("speed_in"), r4(F.hypot(c[2], c[3])).alias("speed_out"), geo.angle_between(*c).alias("turn"))
@@ -180,8 +183,8 @@ select seg, frame, round(avg(step) over (partition by seg order by frame rows be
 round(avg(step) over (partition by seg order by frame rows between 1 following and 3 following), 4) step_after from s""",
 )
 def f12(spark, sf):
-    rows = frames(spark, sf).withColumn("step", F.hypot(F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)))
-    return rows.select("seg", "frame", r4(F.avg("step").over(W.rowsBetween(-2, 0))).alias("step_before"), r4(F.avg("step").over(W.rowsBetween(1, 3))).alias("step_after"))
+    rows = frames(spark, sf).withColumn("step", F.hypot(F.col("x") - F.lag("x").over(by_frame()), F.col("y") - F.lag("y").over(by_frame())))
+    return rows.select("seg", "frame", r4(F.avg("step").over(by_frame().rowsBetween(-2, 0))).alias("step_before"), r4(F.avg("step").over(by_frame().rowsBetween(1, 3))).alias("step_after"))
 
 
 @query(
@@ -189,7 +192,7 @@ def f12(spark, sf):
     f"""with {FRAMES}, d as (select *, (y - lead(y) over w) / (lead(frame) over w - frame) v from fr window w as (partition by seg order by frame)) select seg, min(frame) first_drop from d where v >= 50 group by seg""",
 )
 def f13(spark, sf):
-    v = (F.col("y") - F.lead("y").over(W)) / (F.lead("frame").over(W) - F.col("frame"))
+    v = (F.col("y") - F.lead("y").over(by_frame())) / (F.lead("frame").over(by_frame()) - F.col("frame"))
     return frames(spark, sf).withColumn("v", v).where("v >= 50").groupBy("seg").agg(F.min("frame").alias("first_drop"))
 
 
@@ -213,8 +216,8 @@ select seg, frame, greatest(1, greatest(coalesce(p, frame - 5), frame - 15)) win
 def f17(spark, sf):
     f = F.col("frame")
     rows = frames(spark, sf).where("label = 'click'").withColumn("last", F.max("frame").over(Window.partitionBy("seg")))
-    start = geo.clamp(F.coalesce(F.lag("frame").over(W), f - 5), f - 15, f)
-    end = F.least(F.col("last") + 1, F.least(F.coalesce(F.lead("frame").over(W) + 2, f + 5), f + 15))
+    start = geo.clamp(F.coalesce(F.lag("frame").over(by_frame()), f - 5), f - 15, f)
+    end = F.least(F.col("last") + 1, F.least(F.coalesce(F.lead("frame").over(by_frame()) + 2, f + 5), f + 15))
     return rows.select("seg", "frame", F.greatest(F.lit(1), start).alias("win_start"), end.alias("win_end"))
 
 
@@ -308,7 +311,7 @@ m as (select seg, median(d) med, max(d) top from d group by seg), s as (select s
 select m.seg, s.frame cut from m join s using (seg) where top >= 25 and top >= 3 * greatest(med, 1)""",
 )
 def f27(spark, sf):
-    d = frames(spark, sf).withColumn("d", F.abs(F.col("y") - F.lag("y").over(W))).where("d is not null")
+    d = frames(spark, sf).withColumn("d", F.abs(F.col("y") - F.lag("y").over(by_frame()))).where("d is not null")
     m = d.groupBy("seg").agg(F.median("d").alias("med"), F.max("d").alias("top"), F.max_by("frame", F.struct(F.col("d"), -F.col("frame"))).alias("cut"))
     return m.where((F.col("top") >= 25) & (F.col("top") >= 3 * F.greatest("med", F.lit(1.0)))).select("seg", "cut")
 
@@ -353,5 +356,5 @@ last_value(v ignore nulls) over (partition by seg order by frame rows between un
 )
 def a15(spark, sf):
     v = F.when(F.col("frame") % 4 == 1, F.col("y"))
-    ahead, behind = F.first(v, True).over(W.rowsBetween(0, Window.unboundedFollowing)), F.last(v, True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    ahead, behind = F.first(v, True).over(by_frame().rowsBetween(0, Window.unboundedFollowing)), F.last(v, True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0))
     return frames(spark, sf).select("seg", "frame", F.coalesce(ahead, behind).alias("score"))

@@ -170,11 +170,11 @@ def e01(spark, sf):
 @query(
     "E03_static_cells",
     f"""with {FRAMES}, t as (select count(distinct seg) n from fr)
-select cast(floor(y / 25) as bigint) cx, cast(floor(x / 25) as bigint) cy, count(distinct seg) frames, round(avg(y), 4) mx, round(avg(x), 4) my
+select cast(floor(y / 25) as bigint) cx, cast(floor(x / 25) as bigint) cy, count(distinct seg) frames, round(avg(y), 7) mx, round(avg(x), 7) my
 from fr group by 1, 2 having count(distinct seg) / (select n from t)::double >= 0.25 and stddev_pop(y) <= 8 and stddev_pop(x) <= 8""",
 )
 def e03(spark, sf):
-    return stats.static_cells(frames(spark, sf), "y", "x", "seg", 25, 0.25, 8).withColumns({c: r4(c) for c in ("mx", "my")})
+    return stats.static_cells(frames(spark, sf), "y", "x", "seg", 25, 0.25, 8).withColumns({c: F.round(c, 7) for c in ("mx", "my")})
 
 
 @query(
