@@ -208,10 +208,10 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     The base is that of whole words, with counts increased by 0.5. Words are grouped and joined by themselves; only the
     HEAD most frequent ones, and the vocabulary, are sent to tasks, and no frequent word is left for the join.
 
-    Null text: like the empty one, whose only token is the end. Repeated rows are learned from and scored each.
+    Null text: like the empty one, whose only token is the end. Rows whose `learns` is null are not learned from. Repeated rows are learned from and scored each.
     An empty table gives no rows. Other columns are ignored.
     """
-    text = F.col(text_col)
+    text, learns = F.col(text_col), F.coalesce(learns, F.lit(False))
     words = cut(word_counts(docs, learns, text_col))
     sums = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     texts = docs.where(learns).count()

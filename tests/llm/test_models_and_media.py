@@ -114,7 +114,8 @@ def test_packing(spark):
             at += r.length
         assert at == len(ids)
     assert [r.length for r in by[60]] == [1] and len(by[61]) == 2 and len(by[None]) == 1
-    assert len(sequences) <= math.ceil(sum(r.length for r in got) / 1024) + 2
+    sizes = np.bincount([r.length for r in got], minlength=1025)
+    assert len(sequences) <= sum(n for _, n in packing.best_fit(sizes))
     assert packing.pack(df.limit(0)).count() == 0
 
 
