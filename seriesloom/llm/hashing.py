@@ -41,7 +41,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, table: np.ndarray) -> tuple
     length = end - first
     powers = np.ones(int(length.max()) + 1, dtype=np.uint64)
     powers[1:] = np.multiply.accumulate(np.full(len(powers) - 1, _P))
-    at = np.nonzero(inside)[0]
-    within = at - np.repeat(first, length)
-    total = np.add.reduceat(small[at].astype(np.uint64) * powers[within], np.cumsum(length) - length)
+    at = np.flatnonzero(inside).astype(np.int32)  # of a slice of a few MB
+    within = at - np.repeat(first.astype(np.int32), length)
+    value = powers[within]
+    del within
+    value *= small[at]
+    total = np.add.reduceat(value, np.cumsum(length) - length)
     return mix(total + length.astype(np.uint64)), np.searchsorted(start, first, side="right") - 1, first, length

@@ -28,7 +28,8 @@ SIMILAR = (4, 5)
 MISS, LEVELS, BUCKET, DEEPEST = 1e-4, 2, 256, 6
 #: Least tokens of a sketch; estimated similarity under which a pair can't be one, four standard errors below the threshold.
 SKETCH, LIKELY = 64, 0.6
-BLOCK = 512
+#: Members of a block, and bytes of text or tokens that a worker holds in arrays at a time.
+BLOCK, SLICE = 512, 1 << 20
 # Bytes that separate words, all ASCII but digits and letters.
 WORDS = word_table([*range(48), *range(58, 65), *range(91, 97), *range(123, 128)])
 
@@ -78,7 +79,7 @@ def extend(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, owner: np.ndarr
     ends = np.cumsum(n[owner])
     a = 0
     while a < len(owner):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), side="right")))
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), side="right")))
         own, size = owner[a:z], n[owner[a:z]]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first[own], size)
         h = mix(np.repeat(mix(node[a:z]), size) ^ (tokens[at].astype(np.uint64) << np.uint64(17)))
@@ -109,7 +110,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, times: int) -> DataF
         seeds = mix(np.arange(1, times + 1, dtype=np.uint64))
         for b in batches:
             sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
-            for a, z in _slices(sizes + 1, 4 << 20):
+            for a, z in _slices(sizes + 1, SLICE):
                 tokens, n = shingle_sets(b.column("text")[a:z].to_pylist())
                 first, wide = np.cumsum(n) - n, tokens.astype(np.uint64)
                 owner = np.tile(np.nonzero(n)[0], times)
@@ -146,7 +147,7 @@ def _tokens(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
-            for a, z in _slices(sizes + 1, 4 << 20):
+            for a, z in _slices(sizes + 1, SLICE):
                 tokens, n = shingle_sets(b.column("text")[a:z].to_pylist())
                 data, ends = tokens.tobytes(), np.concatenate([[0], np.cumsum(n)]) * 4
                 yield pa.RecordBatch.from_arrays([b.column("rep")[a:z], pa.array(n.astype(np.int64)), pa.array([data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["rep", "n", "tokens"])
@@ -159,11 +160,17 @@ def _by_key(keys: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            if (out := work(own)) is not None:
-                yield out
+        ready: list[pa.RecordBatch] = []
+
+        def done(parts: list[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+            """The results of many keys leave together."""
+            if parts:
+                own = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                if (out := work(own)) is not None:
+                    ready.append(out)
+            if ready and (last or len(ready) >= 1024):
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready.clear()
 
         last = None
         for b in batches:
@@ -181,8 +188,7 @@ def _by_key(keys: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     held = []
                 held.append(b.slice(a, z - a))
                 last = key
-        if held:
-            yield from done(held)
+        yield from done(held, True)
 
     return run
 
@@ -321,7 +327,7 @@ def _deeper(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pc.binary_length(b.column("tokens")).to_numpy()
-            for a, z in _slices(sizes, 4 << 20):
+            for a, z in _slices(sizes, SLICE):
                 tokens = np.frombuffer(b"".join(b.column("tokens")[a:z].to_pylist()), dtype=np.uint32)
                 n = b.column("n")[a:z].to_numpy()
                 nodes = b.column("nodes")[a:z]
