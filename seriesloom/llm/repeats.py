@@ -78,17 +78,13 @@ def anchors(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     return of[lo], mix(h64[p]), p, lo, hi, h128
 
 
-def stretch_names(h128: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two names of each stretch, of its bytes and where its anchor is: three overlapping strings of 128 bytes cover it."""
+def stretch_names(h128: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The name of each stretch, of its bytes and where its anchor is: three overlapping strings of 128 bytes cover it."""
     last = hi + LENGTH - 2 * ANCHOR
-    shape = ((p - lo) << 16 | (hi - lo)).astype(np.uint64)
-    out = []
-    for salt in (1, 2):
-        x = mix(h128[lo] + np.uint64(salt))
-        x = mix(x + h128[np.minimum(lo + 104, last)])
-        x = mix(x + h128[last])
-        out.append(mix(x + shape))
-    return out[0], out[1]
+    x = mix(h128[lo] + np.uint64(1))
+    x = mix(x + h128[np.minimum(lo + 104, last)])
+    x = mix(x + h128[last])
+    return mix(x + ((p - lo) << 16 | (hi - lo)).astype(np.uint64))
 
 
 def window_names(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +128,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for a, z, data, start, length in _texts(b.column("text")):
             of, h, p, lo, hi, h128 = anchors(data, start, length)
-            x1, x2 = stretch_names(h128, p, lo, hi) if len(p) else (h, h)
+            x = stretch_names(h128, p, lo, hi) if len(p) else h
             where = pa.array(of + a)
             yield pa.RecordBatch.from_arrays(
-                [_long(h), _long(x1), _long(x2), b.column("k1").take(where), b.column("k2").take(where), _long(lo - start[of]), _long(hi - lo + 1)],
-                ["h", "x1", "x2", "k1", "k2", "lo", "strings"],
+                [_long(h), _long(x), b.column("k").take(where), b.column("size").take(where), pa.array((lo - start[of]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32))],
+                ["h", "x", "k", "size", "lo", "strings"],
             )
 
 
@@ -144,9 +140,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
             data, rows = (text.as_py() or "").encode(), wanted.as_py()
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in ("h", "x1", "x2", "strings", "kinds")]
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in ("h", "x", "strings", "kinds")]
             bytes_ = pa.array([data[r["lo"] : r["lo"] + r["strings"] + LENGTH - 1] for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*cols, bytes_], ["h", "x1", "x2", "strings", "kinds", "data"])
+            yield pa.RecordBatch.from_arrays([*cols, bytes_], ["h", "x", "strings", "kinds", "data"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa.Table]:
@@ -171,12 +167,12 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa
 
 
 def _repeated_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated strings of stretches, all of an anchor's in one table: h, x1, x2 and runs [first, last] of strings."""
+    """The repeated strings of stretches, all of an anchor's in one table: h, x and runs [first, last] of strings."""
     for t in _merged(batches):
-        cols = [t.column(k).to_numpy() for k in ("h", "x1", "x2")]
+        cols = [t.column(k).to_numpy() for k in ("h", "x")]
         once = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
         t = t.filter(pa.array(once))
-        cols = [t.column(k).to_numpy() for k in ("h", "x1", "x2")]
+        cols = [t.column(k).to_numpy() for k in ("h", "x")]
         parts = t.column("data").to_pylist()
         strings = t.column("strings").to_numpy()
         sizes = np.array([len(x) for x in parts], dtype=np.int64)
@@ -192,11 +188,11 @@ def _repeated_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])])
         a, z = hit[new], hit[np.append(np.nonzero(new)[0][1:] - 1, len(hit) - 1)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[of[a]]) for c in cols), _long(within[a]), _long(within[z])], ["h", "x1", "x2", "a", "z"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[of[a]]) for c in cols), _long(within[a]), _long(within[z])], ["h", "x", "a", "z"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each stretch's strings, one by one: h, x1, x2, at, w1, w2."""
+    """Each stretch's strings, one by one: h, x, at, w1, w2."""
     for b in batches:
         parts, strings = b.column("data").to_pylist(), b.column("strings").to_numpy()
         for a in range(0, len(parts), 4096):
@@ -205,7 +201,22 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w1, w2 = window_names(np.frombuffer(b"".join(own), dtype=np.uint8), np.cumsum(sizes) - sizes, n)
             of = pa.array(np.repeat(np.arange(len(own)), n) + a)
             within = np.arange(len(w1)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in ("h", "x1", "x2")), _long(within), _long(w1), _long(w2)], ["h", "x1", "x2", "at", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in ("h", "x")), _long(within), _long(w1), _long(w2)], ["h", "x", "at", "w1", "w2"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs, those that touch or overlap made one."""
+    for b in batches:
+        out = []
+        for runs in b.column("runs").to_pylist():
+            own: list[dict] = []
+            for r in runs:
+                if own and r["a"] <= own[-1]["z"]:
+                    own[-1]["z"] = max(own[-1]["z"], r["z"])
+                else:
+                    own.append(r)
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("size"), pa.array(out, b.column("runs").type)], ["k", "size", "runs"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +226,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, runs in zip(b.column("text"), b.column("runs"), strict=True):
             data = (text.as_py() or "").encode()
             sizes.append(len(data))
-            out, at, n, m, end = [], 0, 0, 0, -1
-            for a, z in sorted((r["a"], r["z"]) for r in runs.as_py() or ()):
-                if a > end:  # a new run; touching ones are one
-                    out.append(data[at:a])
-                    m += 1
-                    n += z - a
-                    end = at = z
-                elif z > end:
-                    n += z - end
-                    end = at = z
+            out, at, n, m = [], 0, 0, 0
+            for r in runs.as_py() or ():
+                out.append(data[at : r["a"]])
+                at = r["z"]
+                m += 1
+                n += at - r["a"]
             out.append(data[at:])
             removed.append(n)
             spans.append(m)
@@ -241,51 +248,46 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """k1, k2, a, z: the byte ranges of docs (k1, k2, text) that repeated strings cover, a row for each stretch at most a few."""
+    """k, size, runs: the disjoint byte ranges (a, z), in order, of docs (k, size, text) that repeated strings cover."""
     again = docs.select("text").mapInArrow(_ranked, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    again = cut(again)
-    near = _near(again, again.count())
-    found = docs.select("k1", "k2", "text").mapInArrow(_stretches, "h long, x1 long, x2 long, k1 long, k2 long, lo long, strings long")
-    found = cut(found.join(near, "h", "left_semi"))
-    key = ["h", "x1", "x2"]
-    kinds = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "strings")).alias("one"))
-    kinds = cut(kinds)
+    found = docs.mapInArrow(_stretches, "h long, x long, k long, size int, lo int, strings int")
+    found = cut(found.join(again, "h", "left_semi"))
+    key = ["h", "x"]
+    kinds = cut(found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k", "size", "lo", "strings")).alias("one")))
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(mixed, "h").select(*key, "one.*", "kinds")
-    wanted = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*key, "lo", "strings", "kinds")).alias("wanted"), F.count("*").alias("n")))
+    wanted = cut(wanted.groupBy("k", "size").agg(F.collect_list(F.struct(*key, "lo", "strings", "kinds")).alias("wanted"), F.count("*").alias("n")))
     rows = wanted.agg(F.sum("n")).first()[0] or 0
-    told = docs.join(_near(wanted.drop("n"), rows), ["k1", "k2"]).select("text", "wanted")
-    told = told.mapInArrow(_contexts, "h long, x1 long, x2 long, strings long, kinds long, data binary")
-    told = cut(told)
+    told = docs.join(_near(wanted.drop("n"), rows), ["k", "size"]).select("text", "wanted")
+    told = cut(told.mapInArrow(_contexts, "h long, x long, strings long, kinds long, data binary"))
     few = told.where(F.col("kinds") <= LOCAL).repartition("h").sortWithinPartitions(*key)
-    some = few.mapInArrow(_repeated_here, "h long, x1 long, x2 long, a long, z long")
+    some = few.mapInArrow(_repeated_here, "h long, x long, a long, z long")
     # anchors with very many stretches: their strings are counted by name, so no task has them all
     many = told.where(F.col("kinds") > LOCAL).dropDuplicates(key)
-    strings = many.mapInArrow(_strings, "h long, x1 long, x2 long, at long, w1 long, w2 long")
+    strings = many.mapInArrow(_strings, "h long, x long, at long, w1 long, w2 long")
     counts = strings.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     single = strings.join(counts, ["w1", "w2"], "left_semi").select(*key, F.col("at").alias("a"), F.col("at").alias("z"))
     whole = kinds.where("n > 1").select(*key, F.lit(0).cast("long").alias("a"), F.lit(1 << 20).cast("long").alias("z"))
     runs = found.join(some.union(single).union(whole), key)
     last = F.least("z", F.col("strings") - 1)
-    return runs.select("k1", "k2", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + last + LENGTH).alias("z"))
+    runs = runs.select("k", "size", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + last + LENGTH).alias("z"))
+    return runs.groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("runs")).mapInArrow(_joined, "k long, size int, runs array<struct<a:long,z:long>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes.
 
     A byte is removed if a 200-byte string that covers it begins anywhere else too, in any document or in the same one.
-    Copies of a document lose all strings but keep what is shorter. Equal names of 128 bits count as equal
-    strings. The anchors that occur again, and the ranges, are broadcast if they are few by count and joined by a
-    shuffle otherwise.
+    Copies of a document lose all strings but keep what is shorter. Equal names count as equal
+    strings. Where few strings, or ranges, are wanted of the texts, by count, they are broadcast; else texts are joined by a shuffle.
 
     Null text: empty. Texts under 200 bytes lose nothing. Repeated rows are copies of each other. An empty table
     gives none. Other columns are ignored.
     """
     id_, text = F.col(id_col), F.col(text_col)
-    base = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, id_, F.lit(1)).alias("k2"))
-    runs = cut(repeated_runs(base).distinct())
-    rows = runs.count()
-    by_doc = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias("runs"))
+    base = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_, text).alias("k"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("size"))
+    runs = cut(repeated_runs(base.select("k", "size", "text")))
+    rows = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     kind = dict(base.dtypes)["doc_id"]
-    told = base.join(_near(by_doc, rows), ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    told = base.join(_near(runs, rows), ["k", "size"], "left").select("doc_id", "text", "runs")
     return told.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -118,3 +118,14 @@ def blobs(pixels: DataFrame, key: list[str], x: str = "x", y: str = "y", v: str
         return out.assign(cx=(g["wx"] / g["w"]).to_numpy(), cy=(g["wy"] / g["w"]).to_numpy(), peak=g["peak"].astype(float).to_numpy(), area=g["area"].to_numpy())
 
     return rows.groupBy(*key).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "cx double, cy double, peak double, area long"]))
+
+
+def first_rises(df: DataFrame, key: str, order: str, value: str, **knobs: float) -> DataFrame:
+    """Each key's first sustained rise (of a value that grows downwards); keys without one have no row."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, ignore_index=True)
+        f = kernels.first_rise(rows[order].to_numpy(), rows[value].to_numpy(), **knobs)
+        return pd.DataFrame([] if f is None else [(rows[key].iloc[0], f)], columns=[key, "rise"])
+
+    rows = df.where(F.col(value).isNotNull()).select(key, order, value)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, rise long")

@@ -102,3 +102,27 @@ def classify_hits(hits: DataFrame, series: DataFrame, key: str, frame: str, valu
     scored = rows.mapInPandas(predict, f"{key} {kinds[key]}, {frame} {kinds[frame]}, p array<double>")
     label, conf = scalars.probability_label(F.col("p"), ["unknown", *CLASSES], 0)
     return scored.select(key, frame, label.alias("label"), conf.alias("confidence"))
+
+
+def track(candidates: DataFrame, key: str, frame: str, x: str, y: str, conf: str, frames: DataFrame, confident: float = 0.8, window: int = 8, longest: int = 10) -> DataFrame:
+    """Candidates to a track: the best path, only near confident points, over every frame, short gaps filled on a line.
+
+    Filled points have confidence 0; longer gaps, and those at an edge, stay null.
+    """
+    path = folds.viterbi_path(candidates, key, frame, x, y, conf)
+    path = bands.band_aggregate(path, key, frame, -window, window, best=F.max(conf)).where(F.col("best") >= confident).drop("best")
+    dense = frames.select(key, frame).join(path, [key, frame], "left")
+    gaps = bands.null_gaps(dense, key, frame, x).where((F.col("n") <= longest) & F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
+    gaps = gaps.select(key, "start", "end").withColumn("i", F.col("start"))
+    filled = bands.fill_linear(bands.fill_linear(dense, key, frame, x, "fx"), key, frame, y, "fy")
+    inside = bands.locate(filled, gaps, key, frame, "start", "end", "i")
+    seen = F.col(x).isNotNull()
+    keep = seen | F.col("i").isNotNull()
+    return inside.select(key, frame, F.when(keep, F.col("fx")).alias(x), F.when(keep, F.col("fy")).alias(y), F.when(seen, F.col(conf)).when(keep, 0.0).alias(conf), keep.alias("visible"))
+
+
+def decide_sides(hits: DataFrame, dense: DataFrame, key: str, frame: str, side: str, far: str, near: str, snap: int = 4, clear: float = 1.5) -> DataFrame:
+    """A side for each hit: that of the nearest known frame within snap, or else of the player whose wrist is clearly nearer (far: distance of top, near: of bottom)."""
+    known = bands.nearest_in_ring(dense, key, frame, F.col(side), snap, "_known").select(key, frame, "_known", far, near)
+    by_wrist = F.when(F.col(far) * clear <= F.col(near), "top").when(F.col(near) * clear <= F.col(far), "bottom")
+    return hits.select(key, frame).join(known, [key, frame]).select(key, frame, F.coalesce("_known", by_wrist).alias(side))
