@@ -123,6 +123,22 @@ def segment_length(a: tuple[Column, Column, Column], b: tuple[Column, Column, Co
     return F.when((a[2] > least) & (b[2] > least), F.hypot(a[0] - b[0], a[1] - b[1]))
 
 
+Joint = tuple[Column, Column, Column]
+
+
+def arm_length(shoulder: Joint, elbow: Joint, wrist: Joint) -> Column:
+    """Upper and lower arm, as far as they are known, or else shoulder to wrist; null if neither is."""
+    parts = [F.coalesce(segment_length(a, b), F.lit(0.0)) for a, b in ((shoulder, elbow), (elbow, wrist))]
+    total = parts[0] + parts[1]
+    return F.when(total > 0, total).otherwise(segment_length(shoulder, wrist))
+
+
+def player_scale(left: tuple[Joint, Joint, Joint], right: tuple[Joint, Joint, Joint]) -> Column:
+    """The longer arm, or else one and a half shoulder widths; null if nothing can be measured."""
+    arms = [F.nullif(arm_length(*side), F.lit(0.0)) for side in (left, right)]
+    return F.coalesce(F.greatest(*arms), F.nullif(1.5 * segment_length(left[0], right[0]), F.lit(0.0)))
+
+
 def nearest_distance(points: list[tuple[Column, Column]], x: Column, y: Column) -> Column:
     """Distance to the nearest of the points that are known."""
     return F.least(*(F.hypot(px - x, py - y) for px, py in points))

@@ -120,6 +120,34 @@ def blobs(pixels: DataFrame, key: list[str], x: str = "x", y: str = "y", v: str
     return rows.groupBy(*key).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "cx double, cy double, peak double, area long"]))
 
 
+def contact_candidates(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", **knobs: float) -> DataFrame:
+    """Each key's frames with a signal of contact, and the names of the signals about them; rows whose x is null are frames without a point."""
+    rows = df.select(key, frame, x, y)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(frame, ignore_index=True)
+        first, last = int(part[frame].iloc[0]), int(part[frame].iloc[-1])
+        seen = part[part[x].notna() & part[y].notna()]
+        found = kernels.contact_candidates(*(seen[c].to_numpy() for c in (frame, x, y)), first, last - first + 1, **knobs)
+        return pd.DataFrame([(part[key].iloc[0], f, "+".join(names)) for f, names in found], columns=[key, frame, "reasons"])
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, reasons string")
+
+
+def fill_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", conf: str = "conf", **knobs: object) -> DataFrame:
+    """Each key's points on every frame from its first to its last: key, frame, x, y. See kernels.fill_path."""
+    rows = df.where(F.col(x).isNotNull()).select(key, frame, x, y, conf)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(frame, ignore_index=True)
+        span, px, py = kernels.fill_path(*(part[c].to_numpy() for c in (frame, x, y, conf)), **knobs)
+        return pd.DataFrame({key: part[key].iloc[0], frame: span, x: px, y: py})
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {x} double, {y} double")
+
+
 def first_rises(df: DataFrame, key: str, order: str, value: str, **knobs: float) -> DataFrame:
     """Each key's first sustained rise (of a value that grows downwards); keys without one have no row."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -162,11 +162,153 @@ def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def first_rise(frame: np.ndarray, y: np.ndarray, steps: int = 6, gap: int = 3, wobble: float = 2.0, total: float = 60.0) -> int | None:
-    """Frame where y (downwards) first falls for `steps` steps, but for a wobble and gaps of up to `gap` frames, by `total` at least."""
-    for i in range(len(frame)):
-        j = i
-        while j + 1 < len(frame) and frame[j + 1] - frame[j] <= gap and y[j + 1] - y[j] <= wobble:
-            j += 1
-        if j - i >= steps and y[i] - y[j] >= total:
-            return int(frame[i])
-    return None
+    """Frame where y (downwards) first falls for `steps` steps, but for a wobble and gaps of up to `gap` frames; the falls alone sum to `total` at least."""
+    frame, y = np.asarray(frame), np.asarray(y, dtype=float)
+    if len(frame) < 2:
+        return None
+    step = np.diff(y)
+    broken = np.append((np.diff(frame) > gap) | (step > wobble), True)
+    breaks = np.nonzero(broken)[0]
+    end = breaks[np.searchsorted(breaks, np.arange(len(frame)))]  # the last place that each place's run reaches
+    fallen = np.concatenate([[0.0], np.cumsum(np.maximum(0.0, -step))])
+    found = np.nonzero((end - np.arange(len(frame)) >= steps) & (fallen[end] - fallen >= total))[0]
+    return int(frame[found[0]]) if len(found) else None
+
+
+def trim_shallow_ends(peaks: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Of five peaks or more, the first and the last go if they rise less than `least` out of the valley beside them."""
+    if len(peaks) < 5:
+        return peaks
+    first, last = (y[peaks[i]] - y[peaks[a] : peaks[z]].min() for i, a, z in ((0, 0, 1), (-1, -2, -1)))
+    return peaks[int(first < least) : len(peaks) - int(last < least)]
+
+
+def turn_degrees(dx1: np.ndarray, dy1: np.ndarray, dx2: np.ndarray, dy2: np.ndarray) -> np.ndarray:
+    """Degrees between directions; each angle is cut to a whole number first."""
+    a, b = (np.trunc(np.degrees(np.arctan2(dy, dx))) for dx, dy in ((dx1, dy1), (dx2, dy2)))
+    out = np.where(a * b >= 0, np.abs(a - b), np.abs(a) + np.abs(b))
+    return np.where(out > 180, 360 - out, out)
+
+
+def contact_candidates(
+    frame: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, n: int, drop: float = 5.0, prominence: float = 5.0, edge: float = 5.0,
+    lag: int = 3, clear: int = 5, angle: float = 30.0, speed_ratio: float = 1.5, spacing: int = 10,
+    ramp: int = 3, slow: float = 12.0, ramp_ratio: float = 1.8, sideways: float = 2.0, apart: int = 10, near: int = 5, rise_steps: int = 6, rise_total: float = 60.0,
+) -> list[tuple[int, list[str]]]:
+    """Frames at which an object seen at (frame, x, y), within frames first..first + n - 1, may have been hit, and the signals about each.
+
+    serve: the first steep fall. ypeak: prominent peaks of y after it. accel: a turn with a change of speed between two
+    peaks' valley and the second. ramp: slow, then fast, with the sideways speed changed. Signals nearer than `apart`
+    are one; the first sustained rise (serve_rise) is added last if no other is near.
+    """
+    frame, x, y = np.asarray(frame), np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    m, at = len(frame), np.asarray(frame) - first
+    if not m:
+        return []
+    fired: dict[str, np.ndarray] = {}
+    falls = np.nonzero(-np.diff(y) >= drop * np.diff(frame))[0]
+    fired["serve"] = at[falls[:1]]
+    start = int(at[falls[0]]) if len(falls) else 0
+    peaks = trim_shallow_ends(find_peaks(y, prominence=prominence), y, edge)
+    fired["ypeak"] = at[peaks][at[peaks] >= start]
+    turning = np.zeros(n)
+    for a, z in zip(peaks[:-1], peaks[1:] + 1, strict=True):
+        valley = a + int(y[a:z].argmin())
+        j = np.arange(max(valley + clear + 1, lag), min(z - clear, m - lag))
+        if len(j):
+            into, out = (x[j] - x[j - lag], y[j] - y[j - lag]), (x[j + lag] - x[j], y[j + lag] - y[j])
+            speeds = np.sort([np.hypot(*into), np.hypot(*out)], axis=0)
+            turning[at[j[(turn_degrees(*into, *out) > angle) & (speeds[1] >= speed_ratio * speeds[0])]]] = 1
+    fired["accel"] = find_peaks(turning, distance=spacing)
+    j = np.arange(ramp, m - ramp)
+    if len(j):
+        gone = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
+        before, after = (gone[j] - gone[j - ramp]) / ramp, (gone[j + ramp] - gone[j]) / ramp
+        bend = np.abs(x[j + ramp] - 2 * x[j] + x[j - ramp]) / ramp
+        fired["ramp"] = at[j[(before > 0) & (before < slow) & (after >= ramp_ratio * before) & (bend >= sideways)]]
+    signal = np.zeros(n)
+    for rows in fired.values():
+        signal[rows] = 1
+    kept = find_peaks(signal, distance=max(1, apart)).tolist()
+    rise = first_rise(frame, y, rise_steps, total=rise_total)
+    if rise is not None and all(abs(rise - first - k) >= apart for k in kept):
+        kept = sorted([*kept, rise - first])
+        fired["serve_rise"] = np.array([rise - first])
+    return [(first + k, sorted(s for s, rows in fired.items() if (np.abs(rows - k) <= near).any()) or ["ypeak"]) for k in kept]
+
+
+def _pentadiagonal(d: np.ndarray, e: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solves a symmetric system of diagonals d, e (next) and f (next but one)."""
+    n = len(d)
+    pivot, one, two, z = (np.zeros(n + 2) for _ in range(4))
+    for i in range(n):
+        two[i] = f[i - 2] / pivot[i - 2] if i > 1 else 0.0
+        one[i] = (e[i - 1] - two[i] * pivot[i - 2] * one[i - 1]) / pivot[i - 1] if i else 0.0
+        pivot[i] = d[i] - one[i] ** 2 * pivot[i - 1] - two[i] ** 2 * pivot[i - 2]
+        z[i] = b[i] - one[i] * z[i - 1] - two[i] * z[i - 2]
+    out = np.zeros(n + 2)
+    for i in range(n - 1, -1, -1):
+        out[i] = z[i] / pivot[i] - one[i + 1] * out[i + 1] - two[i + 2] * out[i + 2]
+    return out[:n]
+
+
+def smooth(at: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, bound: float) -> np.ndarray:
+    """n values, as smooth (by second differences) as they can be with a weighted sum of squared residuals of at most `bound` at the places `at`."""
+    d, e, f = np.zeros(n), np.zeros(n), np.zeros(n)
+    for shift, w in enumerate((1, 4, 1)):
+        d[shift : n - 2 + shift] += w
+    e[: n - 2] -= 2
+    e[1 : n - 1] -= 2
+    f[: n - 2] = 1
+    w, b = np.zeros(n), np.zeros(n)
+    w[at], b[at] = weight**2, weight**2 * value
+    low, high, best = -6.0, 8.0, None
+    for _ in range(24):
+        mid = (low + high) / 2
+        s = 10.0**mid
+        out = _pentadiagonal(w + s * d, s * e, s * f, b)
+        if float((weight**2 * (out[at] - value) ** 2).sum()) <= bound:
+            low, best = mid, out
+        else:
+            high = mid
+    return np.interp(np.arange(n), at, value) if best is None else best
+
+
+def robust_quadratic(t: np.ndarray, value: np.ndarray, weight: np.ndarray, where: np.ndarray, rounds: int = 4, floor: float = 2.0) -> np.ndarray:
+    """A quadratic in t at the places `where`; what it misses weighs less round after round, by Huber's rule."""
+    centre, w = t.mean(), weight
+    for _ in range(rounds):
+        fit = np.polyfit(t - centre, value, 2, w=w)
+        miss = np.abs(np.polyval(fit, t - centre) - value)
+        w = weight / np.maximum(1.0, miss / (2 * max(1.4826 * float(np.median(miss)), floor)))
+    return np.polyval(fit, where - centre)
+
+
+def fill_path(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, how: str = "spline", slack: float = 4.0, prominence: float = 20.0, least: int = 8, piece: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every frame from the first to the last one seen, with x and y. Observations that the filter accepts stay as they are.
+
+    spline: a smoothing of all of them. pieces: a robust quadratic between turning points of y. Under `least`
+    observations, and for pieces under `piece`, straight lines.
+    """
+    span = np.arange(int(frame[0]), int(frame[-1]) + 1)
+    at, weight = np.asarray(frame) - span[0], np.maximum(np.asarray(conf, dtype=float), 0.15)
+    ok = kalman_gate(frame, x, y)
+    paths = [np.interp(span, frame[ok], v[ok]) for v in (x, y)]
+    if len(frame) < least:
+        return span, *(np.interp(span, frame, v) for v in (x, y))
+    if how == "spline":
+        paths = [smooth(at, np.asarray(v, dtype=float), weight, len(span), slack * len(frame)) for v in (x, y)]
+    else:
+        level = paths[1]
+        breaks = sorted({0, len(span) - 1, *find_peaks(level, prominence=prominence).tolist(), *find_peaks(-level, prominence=prominence).tolist()})
+        missing = np.ones(len(span), dtype=bool)
+        missing[at] = False
+        for a, z in zip(breaks[:-1], breaks[1:], strict=True):
+            own = (at >= a) & (at <= z)
+            gap = a + np.nonzero(missing[a : z + 1])[0]
+            if z - a >= piece <= own.sum() and len(gap):
+                for path, v in zip(paths, (x, y), strict=True):
+                    path[gap] = robust_quadratic(at[own].astype(float), v[own], weight[own], gap.astype(float))
+    for path, v in zip(paths, (x, y), strict=True):
+        path[at[ok]] = v[ok]
+    return span, *paths

@@ -121,6 +121,18 @@ def track(candidates: DataFrame, key: str, frame: str, x: str, y: str, conf: str
     return inside.select(key, frame, F.when(keep, F.col("fx")).alias(x), F.when(keep, F.col("fy")).alias(y), F.when(seen, F.col(conf)).when(keep, 0.0).alias(conf), keep.alias("visible"))
 
 
+def repair(dense: DataFrame, key: str, frame: str, value: str, margin: float) -> DataFrame:
+    """Fills the gaps of a value that was in view (above margin) on both sides: key, frame, value, repaired.
+
+    A gap at the start is judged by, and takes, the value after it; one at the end stays. This is the stand-in for a model.
+    """
+    gaps = bands.null_gaps(dense, key, frame, value).where((F.col("right_value") > margin) & (F.col("left_value").isNull() | (F.col("left_value") > margin)))
+    filled = bands.fill_linear(dense.select(key, frame, value), key, frame, value, "_line")
+    inside = bands.locate(filled, gaps.withColumn("_end", F.col("end")), key, frame, "start", "_end", "right_value")
+    ok = F.col(value).isNull() & F.col("right_value").isNotNull()
+    return inside.select(key, frame, F.when(ok, F.coalesce("_line", "right_value")).otherwise(F.col(value)).alias(value), ok.alias("repaired"))
+
+
 def decide_sides(hits: DataFrame, dense: DataFrame, key: str, frame: str, side: str, far: str, near: str, snap: int = 4, clear: float = 1.5) -> DataFrame:
     """A side for each hit: that of the nearest known frame within snap, or else of the player whose wrist is clearly nearer (far: distance of top, near: of bottom)."""
     known = bands.nearest_in_ring(dense, key, frame, F.col(side), snap, "_known").select(key, frame, "_known", far, near)

@@ -81,3 +81,43 @@ def test_first_rise():
     y = np.concatenate([np.arange(600, 700, 10), 690 - 12 * np.arange(1, 30), np.full(21, 350)])
     assert k.first_rise(np.arange(len(y)), y) == 9
     assert k.first_rise(np.arange(5), np.zeros(5)) is None
+
+
+def test_rise_counts_falls_only_and_ends_at_gaps():
+    y = np.array([100.0, 60, 62, 40, 41, 20, 21, 0])
+    assert k.first_rise(np.arange(8), y, steps=6, total=99) == 0
+    assert k.first_rise(np.array([0, 1, 2, 3, 9, 10, 11, 12]), y, steps=6, total=10) is None
+
+
+def test_shallow_ends_go_only_with_five_peaks():
+    y = np.array([302, 300, 400, 300, 400, 300, 400, 300, 400.0])
+    assert k.trim_shallow_ends(np.array([0, 2, 4, 6, 8]), y, 5).tolist() == [2, 4, 6, 8]
+    assert k.trim_shallow_ends(np.array([0, 2, 4, 6]), y, 5).tolist() == [0, 2, 4, 6]
+
+
+def test_contacts_of_an_arc_are_its_peaks():
+    t = np.arange(240)
+    phase = (t % 40) / 40
+    found = k.contact_candidates(1000 + t, 960 + np.where(t // 40 % 2, -1, 1) * (phase - 0.5) * 700, 640 - 300 * np.sin(np.pi * phase), 1000, 240, prominence=100)
+    assert {1040, 1080, 1120, 1160, 1200} <= {f + d for f, _ in found for d in range(-5, 6)}
+    assert all(names for _, names in found)
+    assert k.contact_candidates(*(np.zeros(0),) * 3, 0, 0) == []
+
+
+@pytest.mark.parametrize("how", ["spline", "pieces"])
+def test_fill_follows_a_parabola(how):
+    t = np.array([i for i in range(60) if i % 7 and not 20 <= i < 26])
+    x, y = 5.0 * t, 400 - 0.5 * (t - 30.0) ** 2
+    span, px, py = k.fill_path(t, x, y, np.ones(len(t)), how)
+    assert span.tolist() == list(range(1, 60))
+    assert np.abs(px - 5 * span).max() < 6 and np.abs(py - (400 - 0.5 * (span - 30.0) ** 2)).max() < 12
+    few = k.fill_path(np.array([0, 4]), np.array([0.0, 4.0]), np.zeros(2), np.ones(2), how)
+    assert few[1].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_smoothing_meets_its_bound():
+    rng = np.random.default_rng(3)
+    y = np.sin(np.arange(80) / 9) + rng.normal(0, 0.1, 80)
+    out = k.smooth(np.arange(80), y, np.ones(80), 80, 0.8)
+    assert ((out - y) ** 2).sum() <= 0.8
+    assert np.abs(np.diff(out, 2)).sum() < np.abs(np.diff(y, 2)).sum() / 5
