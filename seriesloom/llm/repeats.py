@@ -249,7 +249,8 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """k, size, runs: the disjoint byte ranges (a, z), in order, of docs (k, size, text) that repeated strings cover."""
-    again = docs.select("text").mapInArrow(_ranked, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # written first: joined as an aggregate, its side could not be dealt anew, and a frequent anchor would stay in one task
+    again = cut(docs.select("text").mapInArrow(_ranked, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     found = docs.mapInArrow(_stretches, "h long, x long, k long, size int, lo int, strings int")
     found = cut(found.join(again, "h", "left_semi"))
     key = ["h", "x"]
