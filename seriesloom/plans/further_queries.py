@@ -48,9 +48,9 @@ def b07(spark, sf):
     return frames(spark, sf).select("event_id", gx.alias("gx"), r4(gy).alias("gy"))
 
 
-@query("B11_court_sizes", f"with {FRAMES} select event_id, round(y / greatest(x, 1e-6), 4) size from fr")
+@query("B11_court_sizes", f"with {FRAMES} select event_id, y / greatest(x, 1e-6) size from fr")
 def b11(spark, sf):
-    return frames(spark, sf).select("event_id", r4(geo.court_size(F.col("y"), F.col("x"))).alias("size"))
+    return frames(spark, sf).select("event_id", geo.court_size(F.col("y"), F.col("x")).alias("size"))
 
 
 @query("B13_normalised_points", f"with {FRAMES} select event_id, round(cast(cast(x / 1280 as float) as double), 6) nx, round(cast(cast(y / 720 as float) as double), 6) ny from fr")
