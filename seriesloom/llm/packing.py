@@ -6,7 +6,7 @@ import base64
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,33 +106,47 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return told.mapInArrow(run, schema)
 
 
-def price(worth: np.ndarray, size: int = SEQUENCE) -> tuple[float, Counter]:
-    """The most valuable configuration: a knapsack by dynamic programming over filled length; worth[l] is a piece's of length l."""
+def _values(worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each filled length, the most worth that fits in it, and a piece of such a configuration (0: the next shorter one's)."""
     lengths = np.nonzero(worth > 0)[0]
+    upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
     value, taken = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
     for c in range(1, size + 1):
         value[c] = value[c - 1]
-        own = lengths[: np.searchsorted(lengths, c, side="right")]
+        own = lengths[: upto[c]]
         if len(own):
             got = value[c - own] + worth[own]
             j = int(got.argmax())
             if got[j] > value[c] + 1e-15:
                 value[c], taken[c] = got[j], own[j]
-    held, c = Counter(), size
+    return value, taken
+
+
+def _held(taken: np.ndarray, c: int) -> Counter:
+    held = Counter()
     while c > 0:
         if taken[c]:
             held[int(taken[c])] += 1
             c -= int(taken[c])
         else:
             c -= 1
-    return float(value[size]), held
+    return held
+
+
+def price(worth: np.ndarray, size: int = SEQUENCE) -> tuple[float, Counter]:
+    """The most valuable configuration: a knapsack by dynamic programming over filled length; worth[l] is a piece's of length l."""
+    value, taken = _values(worth, size)
+    return float(value[size]), _held(taken, size)
 
 
-def solve(histogram: np.ndarray, size: int = SEQUENCE, rounds: int = 300, step: float = 0.15) -> list[tuple[Counter, float]]:
-    """The covering configuration program, nearly: configurations and how often each is used.
+def solve(histogram: np.ndarray, size: int = SEQUENCE, gap: float = 0.02, step: float = 0.3, slack: float = 0.1) -> list[tuple[Counter, float]]:
+    """The covering configuration program, nearly: configurations and how often each is used, which covers every length.
 
-    Multiplicative weights: every length has a weight, which falls as configurations cover it; each round prices the
-    best configuration at the weights. It is used as often as it can be without covering a length twice over its share.
+    Multiplicative weights: every length has a weight, which falls as configurations cover it. One knapsack a round
+    prices, for every length, the best configuration that holds it; from the least covered length on, those that share no
+    length and are within `slack` of the best of all are used as often as they can be without covering a length twice over
+    its share. A length without cover is always served, so each has some after as many rounds as there are lengths. Rounds
+    end when the sequences are within `gap` of the bound that the weights give (the dual's), or at one a length, 100 at least.
     """
     need = histogram.astype(float)
     lengths = np.nonzero(need)[0]
@@ -140,25 +154,39 @@ def solve(histogram: np.ndarray, size: int = SEQUENCE, rounds: int = 300, step:
     cover, weight = np.zeros(size + 1), np.zeros(size + 1)
     # begins with a piece's length as its worth
     weight[lengths] = need[lengths] * lengths / size
-    for _ in range(rounds if len(lengths) else 0):
+    low = bound = 0.0
+    for _ in range(max(100, len(lengths)) if len(lengths) else 0):
         worth = np.zeros(size + 1)
         worth[lengths] = weight[lengths] / need[lengths]
-        _, held = price(worth, size)
-        times = min(need[n] / k for n, k in held.items())
-        key = tuple(sorted(held.items()))
-        used[key] = used.get(key, 0.0) + times
-        for n, k in held.items():
-            cover[n] += times * k
-            weight[n] *= np.exp(-step * times * k / need[n])
+        value, taken = _values(worth, size)
+        bound = max(bound, weight.sum() / value[size])
+        share, good = cover[lengths] / need[lengths], worth[lengths] + value[size - lengths] >= (1 - slack) * value[size]
+        added, seen = np.zeros(size + 1), np.zeros(size + 1, dtype=bool)
+        for i in np.argsort(share, kind="stable"):
+            m = int(lengths[i])
+            if seen[m] or (share[i] and not good[i]):
+                continue
+            held = _held(taken, size - m) + Counter([m])
+            if any(seen[n] for n in held):
+                continue
+            times = min(need[n] / k for n, k in held.items())
+            key = tuple(sorted(held.items()))
+            used[key] = used.get(key, 0.0) + times
+            for n, k in held.items():
+                seen[n], added[n] = True, times * k
+        cover += added
+        weight[lengths] *= np.exp(-step * added[lengths] / need[lengths])
         weight /= weight.max()
         weight[lengths] = np.maximum(weight[lengths], 1e-12)
-    low = min((cover[n] / need[n] for n in lengths), default=0)
-    scale = 1 / low if low else 0.0
-    return [(Counter(dict(k)), t * scale) for k, t in used.items()]
+        low = float((cover[lengths] / need[lengths]).min())
+        if low and sum(used.values()) <= (1 + gap) * bound * low:
+            break
+    assert low > 0 or not len(lengths), "a length is without cover"
+    return [(Counter(dict(k)), t / low) for k, t in used.items()]
 
 
-def best_fit(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest lengths first, a length at a time: bins of equal content are kept as one, with their number."""
+def best_fit(histogram: np.ndarray, size: int = SEQUENCE, begun: Iterable[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest lengths first, a length at a time: bins of equal content are kept as one, with their number; begun: bins that hold pieces already."""
     left = histogram.astype(np.int64)
     bins: dict[tuple[int, ...], int] = {}
     room: dict[int, list[tuple[int, ...]]] = {}
@@ -168,6 +196,8 @@ def best_fit(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[in
             room.setdefault(size - sum(content), []).append(content)
         bins[content] = bins.get(content, 0) + n
 
+    for content, n in begun:
+        add(content, n)
     for m in range(size, 0, -1):
         n = int(left[m])
         while n:
@@ -195,11 +225,11 @@ def best_fit(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[in
     return [(tuple(sorted(c, reverse=True)), n) for c, n in bins.items()]
 
 
-def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (the lengths in a sequence, longest first) and whole numbers of sequences, for exactly the pieces of the histogram.
+def rounded(histogram: np.ndarray, size: int = SEQUENCE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole numbers of the program's configurations, and the histogram of the pieces that they leave.
 
-    The program's numbers are rounded down, by most use first and never beyond what is left, and what they leave is
-    packed best-fit, or all is where that takes fewer sequences; the work and the plan grow with the number of lengths, not of pieces.
+    The program's numbers are rounded down, by most use first and never beyond what is left; what they leave is a
+    program again while that places half of it or more.
     """
     left = histogram.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
@@ -218,7 +248,17 @@ def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, .
                     left[m] -= n * k
         if int(left.sum()) > before // 2:
             break
-    out += best_fit(left, size)
+    return out, left
+
+
+def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (the lengths in a sequence, longest first) and whole numbers of sequences, for exactly the pieces of the histogram.
+
+    What rounding leaves of the program is packed best-fit, into the program's sequences first, or all is where that takes
+    fewer sequences; the work and the plan grow with the number of lengths, not of pieces.
+    """
+    out, left = rounded(histogram, size)
+    out = best_fit(left, size, out)
     alone = best_fit(histogram, size)
     return alone if sum(n for _, n in alone) < sum(n for _, n in out) else out
 

@@ -135,6 +135,21 @@ def test_plans_hold_every_piece(case):
     assert case != "small" or used <= math.ceil(n.sum() / 1024) + 1
 
 
+def test_the_program_covers_every_length():
+    h = np.random.default_rng(3).integers(500, 1500, 1025)
+    h[0] = 0
+    cover = np.zeros(1025)
+    for held, times in packing.solve(h):
+        for m, k in held.items():
+            cover[m] += times * k
+    assert (cover[1:] >= h[1:] * (1 - 1e-9)).all()
+    placed, left = packing.rounded(h)
+    got = left.copy()
+    for content, times in placed:
+        np.add.at(got, list(content), times)
+    assert (got == h).all() and left.sum() < h.sum() // 20
+
+
 def test_pricing_is_the_best_knapsack():
     worth = np.zeros(21)
     worth[[3, 5, 7]] = [2.0, 4.0, 6.5]
