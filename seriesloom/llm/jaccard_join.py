@@ -24,22 +24,41 @@ from .hashing import joined, mix, word_hashes, word_table
 SHINGLE = 5
 #: Similarity as a fraction, so that pairs are judged in whole numbers.
 SIMILAR = (4, 5)
-#: Chance that a pair at the threshold shares no node; levels before nodes are counted; members that a node may compare; last level.
+#: Chance that a pair at the threshold is lost; levels before nodes are counted; members that a node may compare; last level.
 MISS, LEVELS, BUCKET, DEEPEST = 1e-4, 2, 256, 6
-#: Least tokens of a sketch; estimated similarity under which a pair can't be one, four standard errors below the threshold.
-SKETCH, LIKELY = 64, 0.6
+#: Shares of that chance: of sharing no node at LEVELS, of parting in nodes that are split, and of sketches that seem unlike.
+SHARES = (0.8, 0.15, 0.05)
+#: Least tokens of a sketch; estimated similarity under which a pair can't be one, five standard errors below the threshold.
+SKETCH, LIKELY = 64, 0.55
 #: Members of a block, and bytes of text or tokens that a worker holds in arrays at a time.
 BLOCK, SLICE = 512, 1 << 20
 # Bytes that separate words, all ASCII but digits and letters.
 WORDS = word_table([*range(48), *range(58, 65), *range(91, 97), *range(123, 128)])
 
 
-def runs(miss: float = MISS, levels: int = LEVELS) -> int:
-    """How many runs leave a pair at the threshold apart with that chance: a branching process of mean 1."""
+def apart(levels: int) -> float:
+    """The chance that a pair at the threshold shares no node of one run at that level: a branching process of mean 1."""
     alive = 1.0
     for _ in range(levels):
         alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(miss) / math.log(1 - alive))
+    return 1 - alive
+
+
+def runs(miss: float = MISS, levels: int = LEVELS) -> int:
+    """How many runs leave a pair at the threshold apart with that chance."""
+    return math.ceil(math.log(miss) / math.log(apart(levels)))
+
+
+def unlike() -> float:
+    """The chance that the sketches of a pair at the threshold seem unlike."""
+    p, least = SIMILAR[0] / SIMILAR[1], math.ceil(LIKELY * SKETCH)
+    return sum(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(least))
+
+
+def all_runs(miss: float = MISS) -> tuple[int, int]:
+    """The runs of all sets, and those, with them, of sets that had a node split, whose pairs must stay together to the last level."""
+    every = runs(miss * SHARES[0])
+    return every, max(every, runs(miss * SHARES[1], DEEPEST))
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,33 +289,37 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set_id is the least id of the documents with the same set of shingles; n_links how many other sets are similar to
     it (Jaccard at least 0.8, verified on whole sets); class_id the least id of all that hang together by links.
     Copies are joined once, by their set. Sets that may be linked are found by chosen paths and sketches, with at most
-    `miss` chance to lose a pair at the threshold; groups of them are then compared exactly, in pairs of blocks, so
+    `miss` chance to lose a pair at the threshold (its sketch part does not fall under unlike()): sets in a node that is
+    split get further runs, as their pairs may part on the way down; groups of them are then compared exactly, in pairs of blocks, so
     that counts miss nothing within a group. Only counts and a forest leave a block, never all pairs.
 
     Texts without words are alike only if equal; null text counts as empty. Rows with the same id are one document;
     rows with a null id keep null classes and no links. An empty table gives no rows. Other columns are ignored.
     """
-    all_docs = cut(_described(docs, id_col, text_col, runs(miss)))
+    every, deep = all_runs(miss)
+    all_docs = cut(_described(docs, id_col, text_col, every))
     kind = dict(all_docs.dtypes)["doc_id"]
     sets = all_docs.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("nodes").alias("nodes"), F.any_value("sketch").alias("sketch"))
     sets = cut(sets)
     members = sets.where("n > 0").select("rep", F.explode(F.array_distinct("nodes")).alias("node"))
     edges, tokens, level = [], None, LEVELS
     while True:
-        counts = members.groupBy("node").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-        held = cut(members.join(counts, "node"))
+        held = _shared(members)
         if level == LEVELS:
             ids = cut(held.select("rep").distinct())
             tokens = cut(_tokens(docs, small(ids), id_col, text_col).dropDuplicates(["rep"]))
-        few = held.where(F.col("m") <= BUCKET).select("node", "rep").join(sets.select("rep", "n", "sketch"), "rep")
-        few = few.repartition("node").sortWithinPartitions("node", "rep")
-        edges.append(few.mapInArrow(_by_key(["node"], _likely), f"a {kind}, b {kind}"))
+        edges.append(_few(held, sets, kind))
         many = held.where(F.col("m") > BUCKET)
         if many.isEmpty():
             break
         if level == DEEPEST:
             edges.append(many.select(F.col("rep").alias("a"), F.col("first").alias("b")))
             break
+        if level == LEVELS and deep > every:
+            split = cut(many.select("rep").distinct())
+            more = _shared(_further(tokens.join(small(split), "rep", "left_semi"), kind, every, deep))
+            edges.append(_few(more, sets, kind))
+            many = many.unionByName(more.where(F.col("m") > BUCKET))
         level += 1
         members = _deeper(many.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(tokens, "rep"), kind)
     found = edges[0]
@@ -321,6 +344,37 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """members of nodes that several sets share, with their number, m, and the first of them."""
+    counts = members.groupBy("node").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
+    return cut(members.join(counts, "node"))
+
+
+def _few(held: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """Links by sketches within the nodes of BUCKET sets at most: a, b."""
+    few = held.where(F.col("m") <= BUCKET).select("node", "rep").join(sets.select("rep", "n", "sketch"), "rep")
+    few = few.repartition("node").sortWithinPartitions("node", "rep")
+    return few.mapInArrow(_by_key(["node"], _likely), f"a {kind}, b {kind}")
+
+
+def _further(rows: DataFrame, kind: str, start: int, end: int) -> DataFrame:
+    """The nodes after LEVELS levels of the runs from start to before end: rep, node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(start + 1, end + 1, dtype=np.uint64))
+        for b in batches:
+            sizes = pc.binary_length(b.column("tokens")).to_numpy()
+            for a, z in _slices(sizes, SLICE):
+                tokens = np.frombuffer(b"".join(b.column("tokens")[a:z].to_pylist()), dtype=np.uint32)
+                n = b.column("n")[a:z].to_numpy()
+                owner, node = np.tile(np.arange(len(n)), len(seeds)), np.repeat(seeds, len(n))
+                for _ in range(LEVELS):
+                    owner, node = extend(tokens, np.cumsum(n) - n, n, owner, node)
+                yield pa.RecordBatch.from_arrays([b.column("rep")[a:z].take(pa.array(owner)), pa.array(node.view(np.int64))], ["rep", "node"])
+
+    return rows.select("rep", "n", "tokens").mapInArrow(run, f"rep {kind}, node long").distinct()
+
+
 def _deeper(rows: DataFrame, kind: str) -> DataFrame:
     """The children of rows' nodes: rep, node."""
 

@@ -172,6 +172,26 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs(1e-4) == 15 and jaccard_join.runs(1e-2) < jaccard_join.runs(1e-4)
 
 
+def test_split_nodes_and_sketches_are_in_the_bound():
+    every, deep = jaccard_join.all_runs(1e-4)
+    chance = jaccard_join.apart(jaccard_join.LEVELS) ** every + jaccard_join.apart(jaccard_join.DEEPEST) ** deep + jaccard_join.unlike()
+    assert chance <= 1e-4
+
+
+def test_near_copies_of_one_template(spark, monkeypatch):
+    rng = random.Random(9)
+    common, rows = [f"t{i}" for i in range(90)], []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(50)]
+        other = own[:-10] + [f"p{i}x{j}" for j in range(rng.choice([8, 9, 10, 40]))]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + other))]
+    further = []
+    made = jaccard_join._further
+    monkeypatch.setattr(jaccard_join, "_further", lambda *a: further.append(1) or made(*a))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similar_classes(docs(spark, rows)).collect()}
+    assert further and got == plain.classes(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
