@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +17,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """The folder that all executors share. Where none is set, a local master gets a folder of its own; on a cluster this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        found = "/tmp/seriesloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="seriesloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that cut() wrote below spark.checkpoint.dir; results that were not read or written yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/seriesloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and rereads it, so that what follows survives lost executors
     and is not computed twice."""
