@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample a model is fitted on: documents in all, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 3000
+#: Bounds of the labelled sample a model is fitted on, nearly: documents and bytes in all; most bytes of one.
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 4000, 8 << 20, 1 << 18
+#: Groups of languages left out in turn; the share of texts taken to be in no learned language; the share of right predictions that may be rejected.
+FOLDS, UNSEEN, FALSE_REJECTS = 4, 0.05, 0.002
 BUCKET_BITS, DIM, ORDERS = 16, 12, (2, 3, 4)
 NO_LANGUAGE = "und"
 
@@ -58,23 +60,32 @@ def _ranges(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """langs; scores[bucket, lang], the embedding times the softmax weights; bias; temperature; bar, the least probability kept."""
+    """langs; scores[bucket, lang], the embedding times the softmax weights; bias; trust, the calibration; bar, the least score kept.
+
+    trust: weights of 1, of the margin between the two best logits and of the log of the number of subwords, which give
+    the chance that a prediction is right; None where nothing could be left out to learn it from.
+    """
 
     langs: list[str]
     scores: np.ndarray
     bias: np.ndarray
-    temperature: float = 1.0
+    trust: np.ndarray | None = None
     bar: float = 0.0
 
-    def logits(self, texts: list[str]) -> np.ndarray:
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of each text and its number of subwords."""
         data, start, length = _ranges(texts)
         bucket, owner = subwords(data, start, length)
-        n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        sums = [np.bincount(owner, self.scores[bucket, j], len(texts)) / n for j in range(len(self.langs))]
-        return np.stack(sums, axis=1) + self.bias
+        n = np.bincount(owner, minlength=len(texts))
+        sums = [np.bincount(owner, self.scores[bucket, j], len(texts)) / np.maximum(n, 1) for j in range(len(self.langs))]
+        return np.stack(sums, axis=1) + self.bias, n
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
-        return _softmax(self.logits(texts) / self.temperature)
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The place in langs of each text's language, and the calibrated chance that it is right."""
+        z, n = self.logits(texts)
+        if self.trust is None:
+            return z.argmax(axis=1), _softmax(z).max(axis=1)
+        return z.argmax(axis=1), _sigmoid(_signs(z, n) @ self.trust)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -82,28 +93,35 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
-    """Stochastic gradient descent on three quarters of the sample; the rest calibrates.
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    The temperature is the one of a grid with the least loss there. The bar is the least probability that a right
-    prediction has there, halved, and below it a prediction is rejected.
-    """
-    langs = sorted(set(labels)) or [NO_LANGUAGE]
-    y = np.array([langs.index(x) for x in labels], dtype=np.int64)
+
+def _signs(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What a prediction is trusted by: 1, the margin between the two best logits, the log of the number of subwords."""
+    best = np.sort(z, axis=1)
+    return np.stack([np.ones(len(z)), best[:, -1] - best[:, -2], np.log1p(n)], axis=1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Logistic weights by Newton's method, with a small ridge."""
+    w, ridge = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1]) * weight.sum()
+    for _ in range(rounds):
+        p = _sigmoid(x @ w)
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
+    return w
+
+
+def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rows: np.ndarray, langs: list[str], epochs: int, rate: float, batch: int, seed: int) -> Model:
+    """Stochastic gradient descent on the given rows: embeddings averaged over a text's subwords, then a linear softmax."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held, train = order[: len(order) // 4], order[len(order) // 4 :]
     embedding = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM))
     weight, bias = rng.normal(0, 0.3, (DIM, len(langs))), np.zeros(len(langs))
-    bags = []
-    for t in texts:
-        bucket, _ = subwords(*_ranges([t]))
-        found, count = np.unique(bucket, return_counts=True)
-        bags.append((found, count / max(1, count.sum())))
-    steps, at = max(1, epochs * (len(train) // batch + 1)), 0
-    for _ in range(epochs if len(train) else 0):
-        for a in range(0, len(train), batch):
-            own = rng.permutation(train)[:batch] if a == 0 else train[a : a + batch]
+    steps, at = max(1, epochs * -(-len(rows) // batch)), 0
+    for _ in range(epochs):
+        mixed = rng.permutation(rows)
+        for a in range(0, len(rows), batch):
+            own = mixed[a : a + batch]
             pace, at = rate * (1 - at / steps), at + 1
             mean = np.stack([w @ embedding[b] if len(b) else np.zeros(DIM) for b, w in (bags[i] for i in own)])
             g = _softmax(mean @ weight + bias)
@@ -114,14 +132,50 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0,
             for i, gi in zip(own, back, strict=True):
                 b, w = bags[i]
                 embedding[b] -= (pace * w)[:, None] * gi
-    model = Model(langs, embedding @ weight, bias)
-    if len(held):
-        z, rows = model.logits([texts[i] for i in held]), np.arange(len(held))
-        grid = [0.05 * 1.25**k for k in range(24)]
-        model.temperature = min(grid, key=lambda t: -np.log(_softmax(z / t)[rows, y[held]] + 1e-12).mean())
-        p = _softmax(z / model.temperature)
-        right = p.argmax(axis=1) == y[held]
-        model.bar = float(p[right].max(axis=1).min()) / 2 if right.any() else 0.0
+    return Model(langs, embedding @ weight, bias)
+
+
+def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
+    """A model fitted to three quarters of the sample; the other quarter calibrates it.
+
+    For calibration the languages are left out in turn, in FOLDS groups, and a model of the others is asked for them:
+    so it is known how predictions look that can't be right. With these, as a share UNSEEN of all, and the model's own
+    predictions of the held quarter, a logistic regression on _signs gives the chance that a prediction is right. The bar
+    rejects a share FALSE_REJECTS of the right predictions there at most, and is no higher than needed to reject 99 in 100
+    of the left-out ones. Of fewer than three languages none can be left out: scores are the softmax's and none is rejected.
+    """
+    langs = sorted(set(labels)) or [NO_LANGUAGE]
+    place = {x: i for i, x in enumerate(langs)}
+    y = np.array([place[x] for x in labels], dtype=np.int64)
+    order = np.random.default_rng(seed).permutation(len(texts))
+    held, train = order[: len(order) // 4], order[len(order) // 4 :]
+    bags = []
+    for t in texts:
+        bucket, _ = subwords(*_ranges([t]))
+        found, count = np.unique(bucket, return_counts=True)
+        bags.append((found, (count / max(1, count.sum())).astype(np.float32)))
+    model = _descend(bags, y, train, langs, epochs, rate, batch, seed)
+    if len(langs) < 3 or not len(held):
+        return model
+    z, n = model.logits([texts[i] for i in held])
+    signs, right = [_signs(z, n)], [z.argmax(axis=1) == y[held]]
+    for f in range(min(FOLDS, len(langs) - 1)):
+        out = np.arange(len(langs)) % min(FOLDS, len(langs) - 1) == f
+        known = np.nonzero(~out)[0]
+        asked = held[out[y[held]]]
+        if len(known) < 2 or not len(asked):
+            continue
+        other = _descend(bags, np.searchsorted(known, y), train[~out[y[train]]], [langs[i] for i in known], epochs, rate, batch, seed + 1 + f)
+        signs.append(_signs(*other.logits([texts[i] for i in asked])))
+        right.append(np.zeros(len(asked), dtype=bool))
+    x, good, unseen = np.concatenate(signs), np.concatenate(right), np.repeat([False, True], [len(held), sum(map(len, right[1:]))])
+    weight = np.where(unseen, UNSEEN / max(1, unseen.sum()), (1 - UNSEEN) / len(held))
+    model.trust = _logistic(x, good.astype(float), weight * len(x))
+    score = _sigmoid(x @ model.trust)
+    if good.any():
+        model.bar = float(np.quantile(score[good], FALSE_REJECTS, method="lower"))
+    if unseen.any():
+        model.bar = min(model.bar, float(np.quantile(score[unseen], 0.99)))
     return model
 
 
@@ -129,23 +183,35 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def sample(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """t and l, whole texts and languages, of about SAMPLE_DOCS labelled rows with a letter and about SAMPLE_BYTES, each language having an equal share.
+
+    Rows are taken by a hash of id and text, below a bound that the language's totals give, so nothing is sorted and what
+    is taken is as much on any number of rows. Texts of more than LONGEST bytes are not learned from; rows repeated count once.
+    """
+    t, l = F.col(text_col), F.col(lang_col)
+    rows = docs.where(may_learn & l.isNotNull() & has_letter(t) & (F.octet_length(t) <= LONGEST)).select(
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), t, F.lit(7)).alias("k"), t.alias("t"), l.alias("l")
+    )
+    totals = rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()  # a row for each language
+    share = [(r["l"], min(1.0, SAMPLE_DOCS / len(totals) / r["n"], SAMPLE_BYTES / len(totals) / r["b"])) for r in totals]
+    limits = docs.sparkSession.createDataFrame(share, "l string, share double")
+    # the hash as a fraction
+    taken = rows.join(F.broadcast(limits), "l").where(F.col("k") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    return taken.select("k", "l", "t").dropDuplicates(["k", "l", "t"])
+
+
 def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """A model of a bounded sample: the SAMPLE_DOCS labelled rows with a letter whose ids hash lowest, SAMPLE_CHARS of each."""
-    rows = (
-        docs.where(may_learn & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-        .select(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("k"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).alias("l"))
-        .orderBy("k", "l", "t")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    """A model of a bounded sample of the labelled rows; see sample()."""
+    rows = sorted((r["k"], r["l"], r["t"]) for r in sample(docs, may_learn, text_col, lang_col, id_col).collect())
+    return fit([t for _, _, t in rows], [l for _, l, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """docs with the predicted language of each whole text, its calibrated probability and whether it is rejected.
+    """docs with the predicted language of each whole text, the calibrated chance that it is right and whether it is rejected.
 
     Null texts and texts without a letter: `und`, 0, rejected. A text with letters always has a learned language, and is
-    rejected if its probability is under the model's bar. Equal texts get equal results. An empty table gives none; if
+    rejected if its score is under the model's bar. Equal texts get equal results. An empty table gives none; if
     docs has columns of the names in `into`, these are replaced. The text is the only input.
     """
     kept = [c for c in docs.columns if c not in into]
@@ -158,9 +224,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
             size = pc.binary_length(texts).fill_null(0).to_numpy()
             best, score, a = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows), 0
             while a < b.num_rows:
-                z = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), 1 << 20)) + a)
-                p = model.probabilities([t or "" for t in texts[a:z].to_pylist()])
-                best[a:z], score[a:z] = p.argmax(axis=1), p.max(axis=1)
+                z = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), 1 << 19)) + a)
+                best[a:z], score[a:z] = model.predict([t or "" for t in texts[a:z].to_pylist()])
                 a = z
             lang = np.where(letter, np.array(model.langs, dtype=object)[best], NO_LANGUAGE)
             score = np.where(letter, score, 0.0)
