@@ -33,6 +33,7 @@ select doc_id, size, text_crc32, 'bytes' law, shard, cast(i - min(i) over (parti
 
 OP8 = """
 with p as (select page_id, encode(coalesce(html, '')) b, sha256(coalesce(html, '')) h from pages),
-f as (select h, min(page_id) first, count(*) n from p where octet_length(b) >= 100 group by h)
-select page_id, octet_length(b) payload_bytes, p.h payload_digest, case when page_id <> first and n > 1 then 'revisit' else 'response' end record_type,
-case when page_id <> first and n > 1 then first end refers_to from p left join f on p.h = f.h"""
+f as (select h, min(page_id) first from p where octet_length(b) >= 100 group by h)
+select page_id, octet_length(b) payload_bytes, p.h payload_digest,
+case when first is not null and page_id is distinct from first then 'revisit' else 'response' end record_type,
+case when page_id is distinct from first then first end refers_to from p left join f on p.h = f.h"""

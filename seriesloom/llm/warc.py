@@ -23,7 +23,7 @@ from .common import shared_dir
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 #: Bounds of the sample that a dictionary is trained on, of the dictionary and of an archive before compression.
-SAMPLE_PAGES, DICTIONARY_BYTES, ARCHIVE_BYTES = 256, 32 << 10, 16 << 20
+SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 256, 4096, 32 << 10, 16 << 20
 #: Payloads below this are always responses.
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -113,7 +113,8 @@ def records(data: bytes) -> Iterator[bytes]:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest and first, the smallest id with that payload where others share it.
 
-    Only ids and digests are grouped, with partial minima first; only payloads that occur again are joined back.
+    Only ids and digests are grouped, with partial minima first. A null id is never the smallest: such a row revisits the
+    others' smallest id, and where all ids of a payload are null, none is a revisit.
     """
     told = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
@@ -123,7 +124,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         told.where(F.octet_length("payload") >= REVISIT_BYTES)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
+        .where("n > 1 and first is not null")
         .drop("n")
     )
     return told.join(again, "digest", "left")
@@ -132,13 +133,19 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
     """Writes Parquet rows (records, archive) of about ARCHIVE_BYTES of records each; one dictionary, trained on a bounded sample, serves all.
 
-    Null html: an empty payload. Null urls: an unknown URI. Null page ids are kept as such. Repeated rows each
-    get a record, all of them responses if theirs is the smallest id. An empty table gives no archive. Other columns
-    are ignored.
+    The sample is what a hash of payloads takes, in proportion to the number of rows, of equal payloads one: it is not sorted
+    and is as large for any table.
+
+    Null html: an empty payload. Null urls: an unknown URI. Null page ids are kept as such; their rows revisit the smallest
+    id with their payload if there is one. Repeated rows each get a record, all of them responses if theirs is the smallest
+    id. An empty table gives no archive. Other columns are ignored.
     """
     told = with_revisits(pages, **columns)
-    sample = told.select("page_id", F.substring("payload", 1, 4096).alias("p")).orderBy("page_id", "p").limit(SAMPLE_PAGES)
-    words = dictionary([bytes(r["p"]) for r in sample.collect() if r["p"]])
+    html = F.coalesce(F.col(columns.get("html_col", "html")), F.lit(""))
+    share = min(1.0, SAMPLE_PAGES / max(1, pages.count()))
+    taken = pages.select(html.alias("p")).where("p <> ''").where(F.xxhash64("p") / F.lit(2.0**64) + 0.5 <= share)
+    sample = taken.select(F.substring(F.col("p").cast("binary"), 1, SAMPLE_BYTES).alias("p")).distinct().collect()
+    words = dictionary(sorted(bytes(r["p"]) for r in sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -149,7 +156,7 @@ def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
         for b in batches:
             for i, url, payload, digest, first in zip(*(b.column(c) for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 i, first = i.as_py(), first.as_py()
-                held.append(record(i, url.as_py(), payload.as_py(), digest.as_py(), first, first is not None and i != first))
+                held.append(record(i, url.as_py(), payload.as_py(), digest.as_py(), first, first is not None and i != first))  # a null id too
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
