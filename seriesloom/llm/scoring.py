@@ -1,7 +1,7 @@
 """Document probability under a unigram model of subwords, summed over all segmentations.
 
-The vocabulary is an existing one. Its order gives first scores; the corpus re-estimates them by one step of
-expectation-maximisation over its distinct words and counts. A word's pieces form a lattice, whose forward recursion
+The vocabulary is an existing one, with its own scores. The corpus re-estimates them by expectation-maximisation over
+its distinct words and counts. A word's pieces form a lattice, whose forward recursion
 in log space sums over all paths; as no piece spans words, a document's probability is the product of its words' and the
 end's, and each distinct word is computed once.
 """
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .hashing import joined, word_hashes, word_table
 
-#: The most frequent words, which tasks look up by hash; all others are joined by a shuffle.
+#: At most so many words, the most frequent ones, are looked up by hash in tasks; all others are joined by a shuffle.
 HEAD = 1 << 17
+#: Expectation-maximisation ends when a round would gain less than this (nats a word, judged by the round before), after so many rounds at most.
+GAIN, ROUNDS = 0.05, 3
 # The bytes between words, and where words begin.
 WORDS = word_table([32, *range(9, 14)])
 _SMALL = bytes(i + 32 if 65 <= i < 91 else i for i in range(256))
@@ -59,7 +61,11 @@ def _hash(piece: bytes) -> int:
 
 
 def vocabulary(path: str | None = None) -> Pieces:
-    """The pieces of a sentencepiece model. First scores: probabilities fall with a piece's place by Zipf's law; bytes come last."""
+    """The pieces of a sentencepiece model with the model's own scores.
+
+    A unigram model's are log probabilities. A merge model's are whole numbers, the negated places of its merges, and
+    stand for probabilities that fall with the place by Zipf's law. Bytes come last.
+    """
     import sentencepiece
 
     if path is None:
@@ -68,14 +74,18 @@ def vocabulary(path: str | None = None) -> Pieces:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found: dict[bytes, int] = {}
+    scores: list[float] = []
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if piece and b" " not in piece[1:]:
-                found.setdefault(piece, 256 + len(found))
+            if piece and b" " not in piece[1:] and piece not in found:
+                found[piece] = 256 + len(found)
+                scores.append(model.get_score(i))
     keys = np.array([_hash(p) for p in found], dtype=np.uint64)
     order = np.argsort(keys)
-    weight = np.concatenate([np.full(256, 1 / (len(found) + 10)), 1 / (10 + np.arange(len(found))), [0.01]])
+    own = np.array(scores)
+    own = 1 / (10 - own) if (own == np.round(own)).all() else np.exp(own)
+    weight = np.concatenate([np.full(256, own.min(initial=1)), own, [0.01]])
     return Pieces(keys[order], np.array(list(found.values()))[order], max(map(len, found), default=1), np.log(weight / weight.sum()))
 
 
@@ -164,7 +174,7 @@ def _split(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def word_counts(docs: DataFrame, learns: Column, text_col: str = "text") -> DataFrame:
-    """word and c, its count in the texts to learn from (0 for words of other texts only), over all texts."""
+    """word, c, its count in the texts to learn from (0 for words of other texts only), and t, its count in all texts."""
     told = docs.select(F.col(text_col).alias("text"), learns.alias("learns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,40 +183,55 @@ def word_counts(docs: DataFrame, learns: Column, text_col: str = "text") -> Data
             for a, z in _split(sizes, 8 << 20):
                 data, start = joined(b.column("text")[a:z].to_pylist())
                 h, of, first, length = word_hashes(data, start, WORDS)
-                _, one, number = np.unique(h, return_index=True, return_inverse=True)
+                _, one, number, t = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 c = np.bincount(number, b.column("learns")[a:z].to_numpy(zero_copy_only=False)[of].astype(float), len(one)).astype(np.int64)
                 text = data.tobytes().translate(_SMALL)
                 words = [text[x:y] for x, y in zip(first[one].tolist(), (first[one] + length[one]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c)], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c), pa.array(t)], ["word", "c", "t"])
 
-    return told.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return told.mapInArrow(run, "word string, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-def learn(words: DataFrame, pieces: Pieces, texts: int) -> Pieces:
-    """Pieces with probabilities by their expected counts in all words; a partition tells one sum for each piece."""
+def learn(words: DataFrame, pieces: Pieces, texts: int) -> tuple[Pieces, float]:
+    """Pieces with probabilities by their expected counts in all words, and the words' log probability before; a partition tells one sum for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pieces.logp))
         for b in batches:
             words, counts = b.column("word").cast(pa.binary()).to_pylist(), b.column("c").to_numpy().astype(float)
             for s in _groups(words):
-                total += word_logp(words[s], pieces, counts[s])[1]
+                logp, found = word_logp(words[s], pieces, counts[s])
+                total[:-1] += found[:-1]
+                total[-1] += logp @ counts[s]  # at the end's place, which no word holds
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["piece", "n"])
 
     sums = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     expected = np.zeros(len(pieces.logp))
     for r in sums.collect():  # a row for each piece of the vocabulary
         expected[r["piece"]] = r["n"]
-    expected[-1] = texts
+    logp, expected[-1] = float(expected[-1]), texts
     expected += 0.01
-    return Pieces(pieces.keys, pieces.numbers, pieces.longest, np.log(expected / expected.sum()))
+    return Pieces(pieces.keys, pieces.numbers, pieces.longest, np.log(expected / expected.sum())), logp
+
+
+def frequent(words: DataFrame, most: int) -> int:
+    """The least count t of which there are at most so many words, from a histogram of counts, eight bars to a doubling."""
+    bars = words.groupBy(F.floor(8 * F.log2("t")).alias("bar")).agg(F.count("*").alias("n"), F.min("t").alias("least")).collect()
+    least, n = 1 << 62, 0
+    for r in sorted(bars, key=lambda r: -r["bar"]):
+        n += r["n"]
+        if n > most:
+            break
+        least = r["least"]
+    return least
 
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, learns, n_tokens, n_known, train_tokens, base_score and score, log10 probabilities.
 
     The base is that of whole words, with counts increased by 0.5. Words are grouped and joined by themselves; only the
-    HEAD most frequent ones, and the vocabulary, are sent to tasks, and no frequent word is left for the join.
+    most frequent ones, HEAD at most, and the vocabulary are sent to tasks. A word left for the join is not in more than
+    a HEAD-th of all tokens, or nearly.
 
     Null text: like the empty one, whose only token is the end. Rows whose `learns` is null are not learned from. Repeated rows are learned from and scored each.
     An empty table gives no rows. Other columns are ignored.
@@ -217,21 +242,26 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     texts = docs.where(learns).count()
     total, distinct = (sums[0] or 0) + texts, sums[1] + (texts > 0)
     scale = total + 0.5 * (distinct + 1)
-    pieces = learn(words, vocabulary(path), texts)
+    pieces, told = vocabulary(path), []
+    for _ in range(ROUNDS):
+        pieces, logp = learn(words, pieces, texts)
+        told.append(logp / max(1, total))
+        if len(told) > 1 and told[-1] - told[-2] < GAIN:
+            break
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, c = b.column("word").cast(pa.binary()).to_pylist(), b.column("c").to_numpy()
             logp = np.concatenate([word_logp(own[s], pieces)[0] for s in _groups(own)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(np.log10((c + 0.5) / scale)), pa.array(logp / math.log(10))], ["word", "c", "base", "lattice"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("t"), pa.array(np.log10((c + 0.5) / scale)), pa.array(logp / math.log(10))], ["word", "c", "t", "base", "lattice"])
 
-    weighed = cut(words.mapInArrow(weigh, "word string, c long, base double, lattice double"))
-    top = weighed.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    weighed = cut(words.mapInArrow(weigh, "word string, c long, t long, base double, lattice double"))
+    least = frequent(weighed, HEAD)
+    top = weighed.where(F.col("t") >= least).toArrow()
     data, start = joined(top.column("word").to_pylist())
     h = word_hashes(data, start, WORDS)[0]
     order = np.argsort(h)
     head = [h[order]] + [top.column(k).to_numpy()[order] for k in ("c", "base", "lattice")]
-    least = int(top.column("c").to_numpy().min()) if len(h) == HEAD else None
     end = (math.log10((texts + 0.5) / scale), pieces.end / math.log(10))
 
     told = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), learns.alias("learns"), text.alias("text"))
@@ -259,7 +289,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
 
     kind = dict(told.dtypes)["doc_id"]
     partly = cut(told.mapInArrow(run, f"rid long, doc_id {kind}, learns boolean, n long, known long, base double, lattice double, tail array<string>"))
-    rare = weighed if least is None else weighed.where(F.col("c") <= least)
+    rare = weighed.where(F.col("t") < least)
     rest = partly.select("rid", F.explode("tail").alias("word")).join(rare, "word").groupBy("rid").agg(
         F.count_if(F.col("c") > 0).alias("k2"), F.sum("base").alias("b2"), F.sum("lattice").alias("l2")
     )
