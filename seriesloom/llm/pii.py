@@ -3,7 +3,7 @@
 Base spans are exact patterns. Beyond them, looser candidates are voted on by three labelers (regex,
 gazetteer, context); expectation-maximisation over the counts of vote patterns of all documents estimates
 each labeler's reliability, and a logistic classifier of span features, fitted to the posteriors, decides.
-The counts have one row for each combination of a few flags, so the driver sees a bounded table.
+The counts have one row for each combination of ten flags, so the driver sees a bounded table.
 """
 
 from __future__ import annotations
@@ -29,16 +29,22 @@ GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10}", "phone
 
 # Looser candidates, the gazetteer and the words of a context.
 LOOSE = (
-    r"(?<![A-Za-z0-9@._+-])(?:@[A-Za-z0-9_]{3,}|[A-Za-z0-9_]{20,}+"
-    r"|\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{9,19}+(?![0-9]))"
+    r"(?<![A-Za-z0-9@._+/-])(?:@[A-Za-z0-9_]{3,}"  # handles
+    r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"  # account numbers
+    r"|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp]|AKIA|ASIA|AIza|eyJ)[A-Za-z0-9_.=/+-]{12,}+"  # keys by their first letters
+    r"|[A-Za-z0-9_]{20,}+"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
+    r"|\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{9,19}+(?![0-9])"
+    r"|(?<=[=:] ?[\"']?)(?=[^\s\"']*[0-9])[^\s\"',;]{6,64}+"  # what is assigned and has a digit
+    r"|(?<=\b(?:Mr|Mrs|Ms|Dr|Prof)\.? )[A-Z][a-z]+(?: [A-Z][a-z]+)?)"  # names by title
 )
-LOOSE_GATE = r"@[A-Za-z0-9_]|[A-Za-z0-9_]{20}|[0-9]{3}[ .-][0-9]{4}|[0-9]{9}"
-GAZETTEER = ["sk_", "pk_", "ghp_", "AKIA", "eyJ", "555", "800", "900"]
-CONTEXT = "phone|tel|call|mobile|fax|contact|card|account|iban|token|key|secret|password|passwd|pwd|login|user|ssn|passport"
+LOOSE_GATE = r"@[A-Za-z0-9_]|[A-Za-z0-9_]{20}|[0-9]{3}[ .-][0-9]{4}|[0-9]{9}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9]{3}-[0-9]{2}-|[=:] ?[\"']?[^\s\"']*[0-9]|(?:sk|pk|rk|gh[pos]|glpat|xox[abp]|A[KS]IA|AIza|eyJ)[A-Za-z0-9_.=/+-]{12}|\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]"
+GAZETTEER = r"^(?:sk|pk|rk)[_-]|^gh[pos]_|^glpat-|^xox[abp]-|^A[KS]IA[0-9A-Z]|^AIza|^eyJ|^\(?(?:555|800|900)\b|^(?:4[0-9]|5[1-5]|34|37|6011)[0-9]{11,17}$|^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PL|PT|IE|SE|DK|FI|NO)[0-9]{2}"
+CONTEXT = "phone|tel|call|mobile|fax|contact|card|account|iban|bank|token|key|secret|password|passwd|pwd|pass|login|user|username|ssn|social security|passport|license|api|auth|bearer|credential|born|name|mr|mrs|ms|dr|prof|from"
 #: Characters before a candidate in which a word of CONTEXT counts.
 NEAR = 24
 LABELERS = ["regex", "gazetteer", "context"]
-FEATURES = ["regex", "gazetteer", "context", "long", "digits_only", "mixed", "assigned", "quoted"]
+FEATURES = [*LABELERS, "long", "digits_only", "mixed", "assigned", "quoted", "checked", "varied"]
 
 
 def _digits(s: Column) -> Column:
@@ -58,6 +64,18 @@ def _luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _mod97(account: Column) -> Column:
+    """Whether an international account number leaves 1 by 97: its first four signs go last, letters count from 10."""
+    flat = F.regexp_replace(account, " ", "")
+    moved = F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))
+
+    def step(rest: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(moved, i, F.lit(1)))
+        return F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(flat)), F.lit(0), step) == 1
+
+
 def _valid(kind: str, m: Column) -> Column:
     d = _digits(m)
     if kind == "ip":
@@ -103,15 +121,20 @@ def _flags(x: Column) -> Column:
     """A candidate's votes and features, all 0 or 1."""
     m, left = x["m"], x["left"]
     n, mixed = F.length(_digits(m)), m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    account = m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,32}$")
     flag = {
-        "regex": m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9a-f]{32,}$|^[0-9]{13,16}$"),
-        "gazetteer": reduce(lambda a, b: a | b, [m.contains(g) for g in GAZETTEER]),
+        "regex": m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$|^[0-9]{13,16}$|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|^A[KS]IA[0-9A-Z]{16}$") | account,
+        "gazetteer": m.rlike(GAZETTEER),
         "context": left.rlike(rf"(?i)\b(?:{CONTEXT})\b"),
         "long": F.length(m) >= 20,
         "digits_only": n == F.length(m),
         "mixed": mixed,
         "assigned": left.rlike("[=:][ \"']*$"),
         "quoted": left.rlike("[\"']$"),
+        # its own check holds: an account's modulo 97, a card's Luhn
+        "checked": F.when(account, _mod97(m)).otherwise(F.when(m.rlike("^[0-9]{12,19}$"), _luhn(m)).otherwise(False)),
+        # of random letters and digits few repeat; words and counts repeat more
+        "varied": mixed & (F.size(F.array_distinct(F.split(F.substring(m, 1, 32), ""))) >= 0.34 * F.least(F.length(m), F.lit(32))),
     }
     return F.struct(*(v.cast("int").alias(k) for k, v in flag.items()))
 
