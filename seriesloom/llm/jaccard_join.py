@@ -31,7 +31,7 @@ SHARES = (0.8, 0.15, 0.05)
 #: Least tokens of a sketch; estimated similarity under which a pair can't be one, five standard errors below the threshold.
 SKETCH, LIKELY = 64, 0.55
 #: Members of a block, and bytes of text or tokens that a worker holds in arrays at a time.
-BLOCK, SLICE = 512, 1 << 20
+BLOCK, SLICE = 512, 1 << 19
 # Bytes that separate words, all ASCII but digits and letters.
 WORDS = word_table([*range(48), *range(58, 65), *range(91, 97), *range(123, 128)])
 

@@ -10,14 +10,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SEQUENCE, END = 1024, 2
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, and bytes of text whose pieces it holds at a time.
+REMEMBERED, SLICE = 100_000, 1 << 19
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -76,6 +77,15 @@ def tokenizer(path: str | None = None) -> ByteBpe:
     return _LOADED[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of text, a row at least."""
+    ends, a = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64) + 1), 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32, ids, part and rank.
 
@@ -86,7 +96,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen, end = tokenizer(path), np.zeros(size + 1, dtype=np.int64), np.array([END], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             rows: list[tuple] = []
             for i, text in enumerate(b.column("text").to_pylist()):
                 ids = bpe.encode(text or "") + end
@@ -106,47 +116,44 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return told.mapInArrow(run, schema)
 
 
-def _values(worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each filled length, the most worth that fits in it, and a piece of such a configuration (0: the next shorter one's)."""
+def _values(worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each filled length, the most worth that fits in it; a piece of such a configuration, or 0; and the longest length up to it that has a piece."""
     lengths = np.nonzero(worth > 0)[0]
+    own = worth[lengths]
     upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
     value, taken = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
     for c in range(1, size + 1):
-        value[c] = value[c - 1]
-        own = lengths[: upto[c]]
-        if len(own):
-            got = value[c - own] + worth[own]
+        value[c], k = value[c - 1], upto[c]
+        if k:
+            got = value[c - lengths[:k]] + own[:k]
             j = int(got.argmax())
             if got[j] > value[c] + 1e-15:
-                value[c], taken[c] = got[j], own[j]
-    return value, taken
+                value[c], taken[c] = got[j], lengths[j]
+    return value, taken, np.maximum.accumulate(np.where(taken > 0, np.arange(size + 1), 0))
 
 
-def _held(taken: np.ndarray, c: int) -> Counter:
+def _held(taken: list[int], last: list[int], c: int) -> Counter:
     held = Counter()
+    c = last[c]
     while c > 0:
-        if taken[c]:
-            held[int(taken[c])] += 1
-            c -= int(taken[c])
-        else:
-            c -= 1
+        held[taken[c]] += 1
+        c = last[c - taken[c]]
     return held
 
 
 def price(worth: np.ndarray, size: int = SEQUENCE) -> tuple[float, Counter]:
     """The most valuable configuration: a knapsack by dynamic programming over filled length; worth[l] is a piece's of length l."""
-    value, taken = _values(worth, size)
-    return float(value[size]), _held(taken, size)
+    value, taken, last = _values(worth, size)
+    return float(value[size]), _held(taken.tolist(), last.tolist(), size)
 
 
-def solve(histogram: np.ndarray, size: int = SEQUENCE, gap: float = 0.02, step: float = 0.3, slack: float = 0.1) -> list[tuple[Counter, float]]:
+def solve(histogram: np.ndarray, size: int = SEQUENCE, rounds: int = 100, step: float = 0.3) -> list[tuple[Counter, float]]:
     """The covering configuration program, nearly: configurations and how often each is used, which covers every length.
 
     Multiplicative weights: every length has a weight, which falls as configurations cover it. One knapsack a round
     prices, for every length, the best configuration that holds it; from the least covered length on, those that share no
-    length and are within `slack` of the best of all are used as often as they can be without covering a length twice over
-    its share. A length without cover is always served, so each has some after as many rounds as there are lengths. Rounds
-    end when the sequences are within `gap` of the bound that the weights give (the dual's), or at one a length, 100 at least.
+    length are used as often as they can be without covering a length twice over its share. A length without cover is served
+    first, so each has some after as many rounds as there are lengths at most, and rounds go on until then.
     """
     need = histogram.astype(float)
     lengths = np.nonzero(need)[0]
@@ -154,19 +161,19 @@ def solve(histogram: np.ndarray, size: int = SEQUENCE, gap: float = 0.02, step:
     cover, weight = np.zeros(size + 1), np.zeros(size + 1)
     # begins with a piece's length as its worth
     weight[lengths] = need[lengths] * lengths / size
-    low = bound = 0.0
-    for _ in range(max(100, len(lengths)) if len(lengths) else 0):
+    low = 0.0
+    for i in range(max(rounds, len(lengths)) if len(lengths) else 0):
+        if i >= rounds and low:
+            break
         worth = np.zeros(size + 1)
         worth[lengths] = weight[lengths] / need[lengths]
-        value, taken = _values(worth, size)
-        bound = max(bound, weight.sum() / value[size])
-        share, good = cover[lengths] / need[lengths], worth[lengths] + value[size - lengths] >= (1 - slack) * value[size]
+        _, *found = _values(worth, size)
+        taken, last = (x.tolist() for x in found)
         added, seen = np.zeros(size + 1), np.zeros(size + 1, dtype=bool)
-        for i in np.argsort(share, kind="stable"):
-            m = int(lengths[i])
-            if seen[m] or (share[i] and not good[i]):
+        for m in lengths[np.argsort(cover[lengths] / need[lengths], kind="stable")].tolist():
+            if seen[m]:
                 continue
-            held = _held(taken, size - m) + Counter([m])
+            held = _held(taken, last, size - m) + Counter([m])
             if any(seen[n] for n in held):
                 continue
             times = min(need[n] / k for n, k in held.items())
@@ -179,8 +186,6 @@ def solve(histogram: np.ndarray, size: int = SEQUENCE, gap: float = 0.02, step:
         weight /= weight.max()
         weight[lengths] = np.maximum(weight[lengths], 1e-12)
         low = float((cover[lengths] / need[lengths]).min())
-        if low and sum(used.values()) <= (1 + gap) * bound * low:
-            break
     assert low > 0 or not len(lengths), "a length is without cover"
     return [(Counter(dict(k)), t / low) for k, t in used.items()]
 
@@ -225,28 +230,29 @@ def best_fit(histogram: np.ndarray, size: int = SEQUENCE, begun: Iterable[tuple[
     return [(tuple(sorted(c, reverse=True)), n) for c, n in bins.items()]
 
 
-def rounded(histogram: np.ndarray, size: int = SEQUENCE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+def rounded(histogram: np.ndarray, size: int = SEQUENCE, times: int = 2) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
     """Whole numbers of the program's configurations, and the histogram of the pieces that they leave.
 
-    The program's numbers are rounded down, by most use first and never beyond what is left; what they leave is a
-    program again while that places half of it or more.
+    The program's numbers are rounded down, the fullest configurations first and never beyond what is left, so that
+    where lengths are covered more than once over it is the emptier ones that go. What they leave is a program again, as often
+    as `times` in all, while the last one placed a tenth or more.
     """
     left = histogram.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
     left[size], full = 0, int(left[size])
     if full:
         out.append(((size,), full))
-    for _ in range(8):
-        if not left.any():
-            break
+    for _ in range(times):
         before = int(left.sum())
-        for held, times in sorted(solve(left, size), key=lambda x: -x[1]):
-            n = min(int(times), *(int(left[m]) // k for m, k in held.items()))
+        if not before:
+            break
+        for held, share in sorted(solve(left, size), key=lambda x: (-sum(m * k for m, k in x[0].items()), -x[1])):
+            n = min(int(share), *(int(left[m]) // k for m, k in held.items()))
             if n > 0:
                 out.append((tuple(sorted(held.elements(), reverse=True)), n))
                 for m, k in held.items():
                     left[m] -= n * k
-        if int(left.sum()) > before // 2:
+        if int(left.sum()) > 0.9 * before:
             break
     return out, left
 
@@ -254,13 +260,11 @@ def rounded(histogram: np.ndarray, size: int = SEQUENCE) -> tuple[list[tuple[tup
 def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (the lengths in a sequence, longest first) and whole numbers of sequences, for exactly the pieces of the histogram.
 
-    What rounding leaves of the program is packed best-fit, into the program's sequences first, or all is where that takes
-    fewer sequences; the work and the plan grow with the number of lengths, not of pieces.
+    What rounding leaves of the program is packed best-fit, into the program's sequences first. The work and the plan grow
+    with the number of lengths, not of pieces.
     """
     out, left = rounded(histogram, size)
-    out = best_fit(left, size, out)
-    alone = best_fit(histogram, size)
-    return alone if sum(n for _, n in alone) < sum(n for _, n in out) else out
+    return best_fit(left, size, out)
 
 
 def _slots(planned: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:
