@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.llm import catalog, decontamination, graph, jaccard_join, pii, repeats, sharding
+from seriesloom.llm import catalog, decontamination, graph, jaccard_join, pii, repeats, sharding, stages
 
 from . import plain
 
@@ -24,7 +24,9 @@ def corpus(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
 
 
-def test_decontamination(spark, corpus):
+@pytest.mark.parametrize("windows", [200_000, 0])
+def test_decontamination(spark, monkeypatch, corpus, windows):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", windows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {r.doc_id: r for r in catalog.op1_benchmark_decontamination(spark, SF).collect()}
     for d, t in corpus:
@@ -32,7 +34,9 @@ def test_decontamination(spark, corpus):
         assert (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].contaminated) == (n, hit, len(found), bad)
 
 
-def test_decontamination_of_odd_rows(spark):
+@pytest.mark.parametrize("windows", [200_000, 0])
+def test_decontamination_of_odd_rows(spark, monkeypatch, windows):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", windows)
     long_item = " ".join(f"w{i}" for i in range(15))
     items = [(1, long_item), (10, long_item), (2, "Short one"), (3, None), (4, ""), (5, "!!"), (None, "null id item words"), (2, "Short one")]
     texts = [None, "", "!!", "a short ONE here", long_item.upper(), "x " + long_item + " y", long_item + " " + long_item, "w1 w2", "null id item words", "short one short one short", "é" * 5000 + " short one", long_item.replace(" ", "\n--")]
@@ -109,6 +113,48 @@ def test_personal_data(spark, corpus):
     assert seen == len(rows)
 
 
+def account(country, rest):
+    """An account number whose check digits are right."""
+    digits = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{rest}"
+
+
+def test_added_spans_are_the_planted_ones(spark):
+    rng = random.Random(4)
+    hex_ = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 9)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = {
+        "token": lambda: ('token = "', hex_(40), '"'),
+        "key": lambda: ("api key: ", f"sk_live_{hex_(24)}", "."),
+        "access": lambda: ("secret ", "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQ234567") for _ in range(16)), " in"),
+        "account": lambda: ("iban ", account("DE", digits(18)), " of"),
+        "number": lambda: ("ssn ", f"{digits(3)}-{digits(2)}-{digits(4)}", ","),
+        "phone": lambda: ("call ", f"(555) {digits(3)}-{digits(4)}", " now"),
+    }
+    clean = ["internationalisierungsstrategien", "at 12:34:56 on 2024-01-02", "pages 12-34", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "version 3.11.4", "x=1", "in 1999 and 2000", "Chapter 7: the end"]
+    rows, planted = [], {}
+    for i in range(600):
+        before = " ".join(word() for _ in range(12)) + " "
+        if i % 3 == 0:
+            a, m, z = kinds[list(kinds)[i // 3 % len(kinds)]]()
+            planted[i] = (len(before) + len(a), len(before) + len(a) + len(m))
+            rows.append((i, f"{before}{a}{m}{z} {word()}"))
+        else:
+            rows.append((i, f"{before}{rng.choice(clean)} {word()}"))
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans if x.rank == 4] for r in pii.detect(docs(spark, rows)).collect()}
+    caught = sum(any(a < z and x < b for x, z in got[i]) for i, (a, b) in planted.items()) / len(planted)
+    alone = sum(not got[i] for i, _ in rows if i not in planted) / (len(rows) - len(planted))
+    exact = sum((a, b) in got[i] for i, (a, b) in planted.items()) / len(planted)
+    assert caught >= 0.8 and alone >= 0.98 and exact >= 0.75, (caught, alone, exact)
+
+
+def test_account_numbers_are_checked(spark):
+    rows = [("GB82 WEST 1234 5698 7654 32", True), ("GB83 WEST 1234 5698 7654 32", False), ("DE89370400440532013000", True), (account("FR", "20041010050500013M02606"), True)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert df.where(pii._mod97(F.col("t")) == F.col("want")).count() == len(rows)
+
+
 def test_redaction(spark):
     df = pii.detect(docs(spark, [(1, "é a@b.cd, 1.2.3.4 end")])).join(docs(spark, [(1, "é a@b.cd, 1.2.3.4 end")]).select("doc_id", "text"), "doc_id")
     assert df.select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "é [EMAIL], [IP] end"
@@ -192,6 +238,55 @@ def test_near_copies_of_one_template(spark, monkeypatch):
     assert further and got == plain.classes(rows)
 
 
+def test_recall_over_a_table(spark):
+    """Classes and links of a whole table against all pairs of sets."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in catalog.op10_jaccard_join(spark, sf).collect()}
+    want = plain.classes(rows)
+    links = sum(n for _, n in want.values())
+    assert links > 0 and sum(min(got[d][1], n) for d, (_, n) in want.items()) >= 0.999 * links
+    assert sum(got[d] == x for d, x in want.items()) >= 0.999 * len(want)
+
+
+STAGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, _spans string, n long, key string"
+
+
+def stage_rows(spark):
+    """Odd rows with columns whose names the stages or their operators use."""
+    long_text = " ".join(f"word{i % 977} and" for i in range(30_000))
+    texts = [
+        (1, None), (2, ""), (3, "12 34 !!"), (4, "the cat and the dog went over there to see it"), (4, "the cat and the dog went over there to see it"), (5, "the cat and the dog went over there to see it"),
+        (6, "mail a@b.cd now"), (6, "another text with this id, which is not alike"), (None, "the end of the text"), (None, "the end of the text"), (7, long_text), (8, "call +49 30 1234567 é😀"), (9, long_text + " x"),
+    ]
+    return spark.createDataFrame([(d, t, None if d == 8 else "en", None, len(t or ""), 1, "s", 1, "k") for d, t in texts], STAGE_DOCS).repartition(3)
+
+
+@pytest.mark.parametrize("stage", ["identify_language", "drop_near_copies", "decontaminate", "redact_personal_data", "pack_sequences"])
+def test_stages_on_odd_rows(spark, stage):
+    df, work = stage_rows(spark), getattr(stages, stage)
+    out = work(spark, df, SF)
+    rows = out.collect()
+    assert work(spark, df.limit(0), SF).count() == 0
+    if stage == "pack_sequences":
+        assert sum(r.piece == 0 for r in rows) == df.count() and sum(r.length for r in rows if r.doc_id in (1, 2)) == 2
+        return
+    assert out.columns == df.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    given = sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    if stage == "identify_language":
+        assert ids == [x for x in given if x[1] not in (1, 2, 3)]
+    elif stage == "drop_near_copies":  # 2 copies 1, 5 and the second 4 copy 4, 9 copies 7; both texts of 6 stay
+        assert ids == [(False, i) for i in (1, 3, 4, 6, 6, 7, 8)] + [(True, 0)] * 2
+    elif stage == "decontaminate":
+        assert ids == given
+    else:
+        assert ids == given
+        by = {(r.doc_id, r.text) for r in rows}
+        assert {(1, None), (2, ""), (6, "mail [EMAIL] now"), (8, "call [PHONE] é😀")} <= by
+        assert all(r.n_chars == len(r.text or "") for r in rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
