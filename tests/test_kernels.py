@@ -32,10 +32,10 @@ def test_prominence():
     assert k.find_peaks(x, prominence=2).tolist() == [1, 5]
 
 
-def test_arc_has_its_peaks():
-    t = np.arange(240)
-    y = 640 - 300 * np.sin(np.pi * (t % 40) / 40)
-    assert k.find_peaks(y, prominence=100).tolist() == [40, 80, 120, 160, 200]
+def test_saw_has_its_peaks():
+    up, down = np.arange(0, 90, 6), np.arange(90, 0, -9)
+    y = np.tile(np.concatenate([up, down]), 4) + np.arange(4 * 25)
+    assert k.find_peaks(y, prominence=60).tolist() == [15, 40, 65, 90]
 
 
 def test_viterbi_prefers_the_steady_path():
@@ -95,11 +95,13 @@ def test_shallow_ends_go_only_with_five_peaks():
     assert k.trim_shallow_ends(np.array([0, 2, 4, 6]), y, 5).tolist() == [0, 2, 4, 6]
 
 
-def test_contacts_of_an_arc_are_its_peaks():
-    t = np.arange(240)
-    phase = (t % 40) / 40
-    found = k.contact_candidates(1000 + t, 960 + np.where(t // 40 % 2, -1, 1) * (phase - 0.5) * 700, 640 - 300 * np.sin(np.pi * phase), 1000, 240, prominence=100)
-    assert {1040, 1080, 1120, 1160, 1200} <= {f + d for f, _ in found for d in range(-5, 6)}
+def test_contacts_are_where_the_path_turns():
+    """A point that flies from side to side in parabolas of 50 frames: it is lowest, and turns, at each multiple of 50."""
+    t = np.arange(300)
+    u = t % 50 - 25.0
+    x = np.where(t // 50 % 2, 25 - u, 25 + u) * 12 + 300
+    found = k.contact_candidates(500 + t, x, 0.4 * u**2 + 200, 500, 300, prominence=80)
+    assert {550, 600, 650, 700, 750} <= {f + d for f, _ in found for d in range(-5, 6)}
     assert all(names for _, names in found)
     assert k.contact_candidates(*(np.zeros(0),) * 3, 0, 0) == []
 
