@@ -1,7 +1,12 @@
-"""Order-dependent operators: folds over a key's sorted rows, and kernels by group."""
+"""Order-dependent operators: folds over a key's sorted rows, and kernels by key.
+
+All of them need a key's rows in order in one task, so keys are to be segments of a recording, which are bounded.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +14,30 @@ from pyspark.sql import functions as F
 from . import kernels
 
 
+def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str | object) -> DataFrame:
+    """run() on each key's rows, sorted by `order`. Partitions are sorted and read in batches, and a batch is split where the
+    key changes, so many small keys cost no more than their rows."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for p in parts:
+            if not len(p):
+                continue
+            if held:
+                p = pd.concat([*held, p], ignore_index=True)
+            own = p[keys]
+            before = own.shift()
+            new = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()
+            cuts = [0, *(i for i in new.nonzero()[0].tolist() if i)]
+            if out := [run(p.iloc[a:z].reset_index(drop=True)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]:
+                yield pd.concat(out, ignore_index=True)
+            held = [p.iloc[cuts[-1] :]]
+        if held:
+            yield run(held[0].reset_index(drop=True))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
+
+
 def greedy_dedup(df: DataFrame, key: str, order: str, side: str, strength: str, apart: int = 18) -> DataFrame:
     """Keeps hits in order: one nearer than `apart` to the last kept, on the same side, replaces it if it is stronger, else goes.
 
@@ -60,21 +89,19 @@ def prune_tail(df: DataFrame, key: str, order: str, keep: Column, near: int) ->
 def peaks(df: DataFrame, key: str, order: str, value: str, distance: int = 1, prominence: float | None = None) -> DataFrame:
     """Local maxima of each key's series: key, order, value."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
         return rows.iloc[kernels.find_peaks(rows[value].to_numpy(), distance, prominence)]
 
     rows = df.select(key, order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+    return by_key(rows, [key], [order], run, rows.schema)
 
 
 def viterbi_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", conf: str = "conf", **knobs: float) -> DataFrame:
     """The candidates on each key's best path."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([frame, conf, x, y], ascending=[True, False, True, True], ignore_index=True)
         return rows.iloc[kernels.viterbi(*(rows[c].to_numpy() for c in (frame, x, y, conf)), **knobs)]
 
     rows = df.select(key, frame, x, y, conf)
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+    return by_key(rows, [key], [frame, F.desc(conf), x, y], run, rows.schema)
 
 
 def kalman_accepted(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", **knobs: float) -> DataFrame:
@@ -82,10 +109,9 @@ def kalman_accepted(df: DataFrame, key: str, frame: str = "frame", x: str = "x",
     rows = df.select(key, frame, x, y)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(frame, ignore_index=True)
         return part.assign(accepted=kernels.kalman_gate(*(part[c].to_numpy() for c in (frame, x, y)), **knobs))
 
-    return rows.groupBy(key).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in [*rows.dtypes, ("accepted", "boolean")]))
+    return by_key(rows, [key], [frame], run, ", ".join(f"{n} {t}" for n, t in [*rows.dtypes, ("accepted", "boolean")]))
 
 
 def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", size: str = "size") -> DataFrame:
@@ -93,31 +119,45 @@ def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x
     rows = df.select(key, frame, x, y, size)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([frame, x, y], ignore_index=True)
         groups = [(int(f), g) for f, g in part.groupby(frame)]
         chosen = kernels.track_two([(f, list(g[[x, y, size]].itertuples(index=False, name=None))) for f, g in groups])
         out = [(part[key].iloc[0], f, side, *g.iloc[i][[x, y]]) for (f, g), (_, *own) in zip(groups, chosen, strict=True) for side, i in zip(("top", "bottom"), own, strict=True) if i is not None]
         return pd.DataFrame(out, columns=[key, frame, "player", x, y])
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, player string, {x} {kinds[x]}, {y} {kinds[y]}")
+    return by_key(rows, [key], [frame, x, y], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, player string, {x} {kinds[x]}, {y} {kinds[y]}")
 
 
 def blobs(pixels: DataFrame, key: list[str], x: str = "x", y: str = "y", v: str = "v", least: int = 1) -> DataFrame:
-    """4-connected components of each key's pixels: weighted centroid, peak and area."""
+    """4-connected components of each key's pixels: weighted centroid, peak, area in pixels and bounding box."""
     rows = pixels.select(*key, x, y, v)
     kinds = dict(rows.dtypes)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([x, y], ignore_index=True)
         part["c"] = kernels.label_cells(part[x].to_numpy(), part[y].to_numpy())
         part["wx"], part["wy"] = part[x] * part[v], part[y] * part[v]
-        g = part.groupby("c").agg(wx=("wx", "sum"), wy=("wy", "sum"), w=(v, "sum"), peak=(v, "max"), area=(v, "size"))
+        g = part.groupby("c").agg(wx=("wx", "sum"), wy=("wy", "sum"), w=(v, "sum"), peak=(v, "max"), area=(v, "size"), left=(x, "min"), right=(x, "max"), top=(y, "min"), bottom=(y, "max"))
         g = g[g["area"] >= least]
         out = pd.DataFrame({k: [part[k].iloc[0]] * len(g) for k in key})
-        return out.assign(cx=(g["wx"] / g["w"]).to_numpy(), cy=(g["wy"] / g["w"]).to_numpy(), peak=g["peak"].astype(float).to_numpy(), area=g["area"].to_numpy())
+        box = {c: g[c].astype(float).to_numpy() for c in ("peak", "left", "right", "top", "bottom")}
+        return out.assign(cx=(g["wx"] / g["w"]).to_numpy(), cy=(g["wy"] / g["w"]).to_numpy(), area=g["area"].to_numpy(), **box)
+
+    return by_key(rows, key, [x, y], run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "cx double, cy double, area long, peak double, left double, right double, top double, bottom double"]))
+
+
+def largest_blobs(found: DataFrame, key: list[str]) -> DataFrame:
+    """Each key's blob of the largest bounding box; of equal ones that furthest to the left, then up. blobs() gives what it takes."""
+    box = (F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1)
+    rest = [c for c in found.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(box, -F.col("left"), -F.col("top")))
+    return found.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
+
 
-    return rows.groupBy(*key).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "cx double, cy double, peak double, area long"]))
+def baseline_track(pixels: DataFrame, key: list[str], scale_x: float, scale_y: float, threshold: float, white: float = 255.0) -> DataFrame:
+    """Each key's point by its largest blob of pixels brighter than the threshold: the box's centre, scaled, and the peak as a share of white."""
+    best = largest_blobs(blobs(pixels.where(F.col("v") > threshold), key), key)
+    x, y = (F.col("left") + F.col("right") + 1) / 2 * scale_x, (F.col("top") + F.col("bottom") + 1) / 2 * scale_y
+    return best.select(*key, x.alias("x"), y.alias("y"), (F.col("peak") / white).alias("conf"))
 
 
 def contact_candidates(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", **knobs: float) -> DataFrame:
@@ -125,14 +165,13 @@ def contact_candidates(df: DataFrame, key: str, frame: str = "frame", x: str = "
     rows = df.select(key, frame, x, y)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(frame, ignore_index=True)
         first, last = int(part[frame].iloc[0]), int(part[frame].iloc[-1])
         seen = part[part[x].notna() & part[y].notna()]
         found = kernels.contact_candidates(*(seen[c].to_numpy() for c in (frame, x, y)), first, last - first + 1, **knobs)
         return pd.DataFrame([(part[key].iloc[0], f, "+".join(names)) for f, names in found], columns=[key, frame, "reasons"])
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, reasons string")
+    return by_key(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, reasons string")
 
 
 def fill_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", conf: str = "conf", **knobs: object) -> DataFrame:
@@ -140,20 +179,18 @@ def fill_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: st
     rows = df.where(F.col(x).isNotNull()).select(key, frame, x, y, conf)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(frame, ignore_index=True)
         span, px, py = kernels.fill_path(*(part[c].to_numpy() for c in (frame, x, y, conf)), **knobs)
         return pd.DataFrame({key: part[key].iloc[0], frame: span, x: px, y: py})
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {x} double, {y} double")
+    return by_key(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {x} double, {y} double")
 
 
 def first_rises(df: DataFrame, key: str, order: str, value: str, **knobs: float) -> DataFrame:
     """Each key's first sustained rise (of a value that grows downwards); keys without one have no row."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
         f = kernels.first_rise(rows[order].to_numpy(), rows[value].to_numpy(), **knobs)
         return pd.DataFrame([] if f is None else [(rows[key].iloc[0], f)], columns=[key, "rise"])
 
     rows = df.where(F.col(value).isNotNull()).select(key, order, value)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, rise long")
+    return by_key(rows, [key], [order], run, f"{key} {dict(rows.dtypes)[key]}, rise long")

@@ -94,3 +94,9 @@ def dead_rows(df: DataFrame, key: str, order: str, score: Column, serve: Column,
     rows = rows.withColumn("_n", F.count("*").over(run)).withColumn("_last", F.max(F.when(F.col("_serve"), F.col(order))).over(run))
     keep = (F.col("_n") >= least) & F.col("_break") & (F.col(order) < F.col("_last"))
     return rows.where(keep).drop("_s", "_serve", "_break", "_new", "_run", "_n", "_last")
+
+
+def changes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, order and d, how far the value is from that of the row before; null for a key's first."""
+    w = Window.partitionBy(key).orderBy(order)
+    return df.select(key, order, F.abs(F.col(value) - F.lag(value).over(w)).alias("d"))

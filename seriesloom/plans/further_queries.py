@@ -95,15 +95,15 @@ def c14(spark, sf):
 
 @query(
     "D13_line_grid",
-    f"""with {FRAMES}, k as (select seg, label, x, y, row_number() over (partition by seg, label order by frame) i from fr),
-v as (select seg, x from k where label = 'click' and i <= 4), h as (select seg, y from k where label = 'view' and i <= 4),
+    f"""with {FRAMES}, v as (select seg, min(x) x from fr where label = 'click' group by seg, floor(x / 14)),
+h as (select seg, min(y) y from fr where label = 'view' group by seg, floor(y / 14)),
 g as (select a.seg, a.x l, b.x r, c.y t, d.y b, row_number() over (partition by a.seg order by round(abs(b.x - a.x - d.y + c.y), 6), a.x, b.x, c.y, d.y) i
 from v a join v b on a.seg = b.seg and a.x < b.x join h c on a.seg = c.seg join h d on a.seg = d.seg and c.y < d.y) select seg, l, r, t, b from g where i = 1""",
 )
 def d13(spark, sf):
-    first = Window.partitionBy("seg", "label").orderBy("frame")
-    rows = frames(spark, sf).where("label in ('click', 'view')").withColumn("i", F.row_number().over(first)).where("i <= 4")  # four lines of a family
-    lines = lambda label, c, name: rows.where(F.col("label") == label).select("seg", F.col(c).alias(name))
+    # lines are clustered by position first, so a picture's width and height bound their number
+    rows = frames(spark, sf)
+    lines = lambda label, c, name: rows.where(F.col("label") == label).groupBy("seg", F.floor(F.col(c) / 14).alias("at")).agg(F.min(c).alias(name)).drop("at")
     across = lines("click", "x", "l").join(lines("click", "x", "r"), "seg").where("l < r")
     down = lines("view", "y", "t").join(lines("view", "y", "b"), "seg").where("t < b")
     misfit = F.round(F.abs(F.col("r") - F.col("l") - F.col("b") + F.col("t")), 6)

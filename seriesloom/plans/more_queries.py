@@ -60,8 +60,12 @@ select event_id from fr where not exists (select 1 from a where sqrt(power(fr.y
 def c06(spark, sf):
     rows = frames(spark, sf)
     anchors = rows.groupBy(F.floor(F.col("y") / 25), F.floor(F.col("x") / 25)).agg(F.avg("y").alias("ax"), F.avg("x").alias("ay"), F.count("*").alias("n"))
-    anchors = anchors.where("n >= 40").select("ax", "ay")  # cells of a grid: bounded by the image
-    return rows.join(F.broadcast(anchors), F.hypot(rows["y"] - F.col("ax"), rows["x"] - F.col("ay")) < 6, "left_anti").select("event_id")
+    # anchors go to all bins of side 6 around theirs, so that points meet them by equality
+    bin_ = lambda c: F.floor(c / 6)
+    near = F.expr("sequence(-1, 1)")
+    anchors = anchors.where("n >= 40").select("ax", "ay", F.explode(F.transform(near, lambda i: bin_(F.col("ax")) + i)).alias("bx"), "n").select("ax", "ay", "bx", F.explode(F.transform(near, lambda i: bin_(F.col("ay")) + i)).alias("by"))
+    same = (bin_(rows["y"]) == F.col("bx")) & (bin_(rows["x"]) == F.col("by"))
+    return rows.join(anchors, same & (F.hypot(rows["y"] - F.col("ax"), rows["x"] - F.col("ay")) < 6), "left_anti").select("event_id")
 
 
 @query(
@@ -149,9 +153,9 @@ def g07(spark, sf):
     return table(spark, sf, "part").where("p_size >= 20 and p_size < 45").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("part"))
 
 
-@query("H06_mask_without_excluded", f"with {FRAMES}, e as (select distinct o_orderkey % 60 frame from orders where o_orderkey % 7 = 0) select seg, frame, y < 40 and frame not in (select frame from e) low from fr")
+@query("H06_mask_without_excluded", f"with {FRAMES}, e as (select distinct floor(o_totalprice / 5000) * 2 frame from orders) select seg, frame, y < 40 and frame not in (select frame from e) low from fr")
 def h06(spark, sf):
-    excluded = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 60).alias("frame")).distinct().withColumn("out", F.lit(True))
+    excluded = table(spark, sf, "orders").select((F.floor(F.col("o_totalprice") / 5000) * 2).alias("frame")).distinct().withColumn("out", F.lit(True))
     return frames(spark, sf).join(excluded, "frame", "left").select("seg", "frame", ((F.col("y") < 40) & F.col("out").isNull()).alias("low"))
 
 

@@ -133,29 +133,66 @@ def d06(spark, sf):
     return rows.select("k", "i", "prev")
 
 
-@query("F16_greedy_dedup")
+@query(
+    "F16_greedy_dedup",
+    f"""with recursive {FRAMES}, q as (select seg, frame f, side, coalesce(y, 'infinity') s, row_number() over (partition by seg order by frame) i from fr where side is not null),
+r as (select seg, i, f, side, s, cast(null as bigint) df, cast(null as varchar) dside from q where i = 1
+union all select q.seg, q.i, case when q.f - r.f < 4 and q.side = r.side and q.s <= r.s then r.f else q.f end, q.side, case when q.f - r.f < 4 and q.side = r.side then greatest(q.s, r.s) else q.s end,
+case when q.f - r.f < 4 and q.side = r.side then null else r.f end, case when q.f - r.f < 4 and q.side = r.side then null else r.side end from r join q on q.seg = r.seg and q.i = r.i + 1)
+select seg, df frame, dside side from r where df is not null union all select seg, arg_max(f, i), arg_max(side, i) from r group by seg""",
+)
 def f16(spark, sf):
     rows = frames(spark, sf).where("side is not null")
     return folds.greedy_dedup(rows, "seg", "frame", "side", "y", 4)
 
 
-@query("F28_snap_boundaries")
+@query(
+    "F28_snap_boundaries",
+    f"""with recursive {LOW_RUNS}, q as (select seg, start_frame a, end_frame z, case when start_frame % 3 = 0 then start_frame - 2 else start_frame end c,
+row_number() over (partition by seg order by start_frame) i from runs where n_frames >= 2),
+r as (select seg, i, greatest(c, 0) a, greatest(z, c, 0) z from q where i = 1
+union all select q.seg, q.i, greatest(q.c, r.z + 1), greatest(q.z, q.c, r.z + 1) from r join q on q.seg = r.seg and q.i = r.i + 1) select seg, a start_frame, z end_frame from r""",
+)
 def f28(spark, sf):
     rows = low_runs(spark, sf, 2).withColumn("cut", F.when(F.col("start_frame") % 3 == 0, F.col("start_frame") - 2))
     return folds.snap_boundaries(rows, "seg", "start_frame", "end_frame", "cut", 5)
 
 
-@query("J12_prune_tail")
+@query(
+    "J12_prune_tail",
+    f"""with {FRAMES}, q as (select seg, frame, coalesce(y >= 30, true) k, frame - lag(frame) over (partition by seg order by frame) gap, row_number() over (partition by seg order by frame) i from fr where side is not null),
+n as (select seg, max(i) n from q where k or i = 1 or gap > 3 group by seg) select q.seg, frame from q join n on q.seg = n.seg and i <= n""",
+)
 def j12(spark, sf):
     return folds.prune_tail(frames(spark, sf).where("side is not null"), "seg", "frame", F.col("y") >= 30, 3)
 
 
-@query("F08_prominent_peaks")
+PEAKS = f"""{FRAMES}, u as (select *, lag(y) over (partition by seg order by frame) py from fr),
+v as (select *, sum(case when py is null or y <> py then 1 else 0 end) over (partition by seg order by frame) g from u),
+level as (select seg, g, min(frame) a, max(frame) e, any_value(y) y from v group by seg, g),
+beside as (select *, lag(y) over (partition by seg order by g) before, lead(y) over (partition by seg order by g) after from level),
+pk as (select seg, (a - 1 + e - 1) // 2 + 1 frame, y from beside where y > before and y > after)"""
+
+
+@query(
+    "F08_prominent_peaks",
+    f"""with {PEAKS}, h as (select pk.seg, pk.frame, pk.y, max(fr.frame) filter (fr.frame < pk.frame and fr.y > pk.y) l, min(fr.frame) filter (fr.frame > pk.frame and fr.y > pk.y) r
+from pk join fr on pk.seg = fr.seg group by all),
+m as (select h.seg, h.frame, h.y, min(fr.y) filter (fr.frame <= h.frame and fr.frame > coalesce(l, 0)) lm, min(fr.y) filter (fr.frame >= h.frame and (r is null or fr.frame < r)) rm
+from h join fr on h.seg = fr.seg group by h.seg, h.frame, h.y) select seg, frame, y from m where y - greatest(lm, rm) >= 30""",
+)
 def f08(spark, sf):
     return folds.peaks(frames(spark, sf), "seg", "frame", "y", 1, 30.0)
 
 
-@query("F09_spaced_peaks")
+@query(
+    "F09_spaced_peaks",
+    f"""with recursive {PEAKS}, k as (select *, row_number() over (partition by seg order by y desc, frame desc) i from pk),
+r as (select seg, i, frame, y, true ok, [frame] kept from k where i = 1
+union all select k.seg, k.i, k.frame, k.y, len(list_filter(kept, lambda f: abs(f - k.frame) < 5)) = 0,
+case when len(list_filter(kept, lambda f: abs(f - k.frame) < 5)) = 0 then list_append(kept, k.frame) else kept end from r join k on k.seg = r.seg and k.i = r.i + 1)
+select seg, frame, y from r where ok""",
+)
 def f09(spark, sf):
     return folds.peaks(frames(spark, sf), "seg", "frame", "y", 5)
 

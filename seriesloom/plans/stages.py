@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import scalars
 from ..operators import bands, folds, runs, stats
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -26,17 +27,19 @@ class SegmentRules:
 def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules = SegmentRules()) -> DataFrame:
     """Motion scores to segments: a threshold from the histogram, runs below it, merged over short gaps, the short and the odd ones dropped, in seconds.
 
-    The threshold is a one-row table and never leaves the executors.
+    The threshold is a one-row table and never leaves the executors. The scores and the runs are used again and again, and
+    are written once each.
     """
-    bar = stats.otsu3(scores, F.col(score))
+    scores = written(scores.select(key, frame, score))
+    bar = written(stats.otsu3(scores, F.col(score)))
     rows = scores.join(F.broadcast(bar)).withColumn("_low", F.col(score) < F.col("threshold"))
     found = runs.mask_runs(rows, key, frame, F.col("_low"))
     found = runs.merge_intervals(found, key, "start_frame", "end_frame", rules.merge_gap)
     n = F.col("end_frame") - F.col("start_frame") + 1
-    found = found.where(n >= F.ceil(F.lit(rules.min_seconds * rules.fps)))
+    found = written(found.where(n >= F.ceil(F.lit(rules.min_seconds * rules.fps))))
     inside = bands.locate(rows.select(key, frame, score), found.withColumn("i", F.col("start_frame")), key, frame, "start_frame", "end_frame", "i")
     level = inside.where("i is not null").groupBy(key, F.col("i").alias("start_frame")).agg(F.avg(score).alias("level"))
-    found = stats.reject_outliers(found.join(level, [key, "start_frame"]), "level", rules.outlier)
+    found = stats.reject_outliers(written(found.join(level, [key, "start_frame"])), "level", rules.outlier)
     return found.select(key, "start_frame", "end_frame").withColumns(geo.segment_seconds(F.col("start_frame"), F.col("end_frame"), rules.fps))
 
 
@@ -51,6 +54,7 @@ class HitRules:
 
 def detect_hits(series: DataFrame, key: str, frame: str, value: str, side: str, rules: HitRules = HitRules()) -> DataFrame:
     """Series to hits: prominent peaks, gated by the swing around them, with a side, thinned in order, and with company on the other side."""
+    series = written(series.select(key, frame, value, side))
     found = folds.peaks(series.where(F.col(value).isNotNull()), key, frame, value, rules.apart, rules.amplitude / 2)
     swing = bands.band_aggregate(series, key, frame, -rules.around, rules.around, least=F.min(value), most=F.max(value), n=F.count(value))
     swing = swing.select(key, frame, side, F.when(F.col("n") >= 5, F.col("most") - F.col("least")).alias("amp"))

@@ -284,10 +284,11 @@ def d14(spark, sf):
     return spine.join(known, ["seg", "frame", "player"], "left")
 
 
-@query("A07_excluded_frames", "with i as (select least(o_orderkey % 500, o_custkey % 500) s, greatest(o_orderkey % 500, o_custkey % 500) e from orders where o_orderkey % 50 = 0) select distinct unnest(generate_series(s, e)) frame from i")
+@query("A07_excluded_frames", "with i as (select least(100 * o_orderkey, 100 * o_orderkey + o_custkey % 60 - 30) s, greatest(100 * o_orderkey, 100 * o_orderkey + o_custkey % 60 - 30) e from orders) select distinct unnest(generate_series(s, e)) frame from i")
 def a07(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey % 50 = 0")
-    a, z = F.col("o_orderkey") % 500, F.col("o_custkey") % 500
+    rows = table(spark, sf, "orders")
+    a = 100 * F.col("o_orderkey")
+    z = a + F.col("o_custkey") % 60 - 30  # before the start, for some
     return rows.select(F.explode(F.sequence(F.least(a, z), F.greatest(a, z))).alias("frame")).distinct()
 
 

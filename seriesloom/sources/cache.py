@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,14 @@ class Cache:
         writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
 
+def two_phases(cache: Cache, rows: DataFrame, scan: Callable[[DataFrame], DataFrame], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """decide() on the cache, after scan() of those partitions' rows that are not cached yet. Other decisions need no new scan."""
+    missing = cache.missing(rows.select(cache.partition).distinct())
+    if not missing.isEmpty():
+        cache.add(scan(rows.join(missing, cache.partition, "left_semi")))
+    return decide(cache.read())
+
+
 def sparse_pixels(df: DataFrame, value: str = "v", least: int = 10) -> DataFrame:
     """Drops pixels too dark to count."""
     return df.where(F.col(value) >= least)

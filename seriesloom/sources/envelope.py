@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry as geo
+
 
 def read_records(spark: SparkSession, path: str, key: str, schema: T.StructType, index: str | None = None, meta: dict[str, T.DataType] | None = None) -> DataFrame:
     """Records of envelopes (a file, folder or glob), with their place in the list as column `index` and metadata columns.
@@ -34,12 +33,28 @@ def read_segments(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def write_records(df: DataFrame, path: str, key: str, order: list[str], most: int = 1_000_000, **meta: object) -> None:
-    """Writes a small table as one envelope; raises ValueError beyond `most` rows, which belong in Parquet."""
-    rows = df.orderBy(*order).limit(most + 1).collect()
-    if len(rows) > most:
+    """Writes a small table as one envelope, in a folder of one file; raises ValueError beyond `most` rows, which belong in Parquet.
+
+    A task writes it, so any store that Spark knows can hold it.
+    """
+    if df.limit(most + 1).count() > most:
         raise ValueError(f"over {most} records")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({key: [r.asDict(True) for r in rows], **meta}, ensure_ascii=False), encoding="utf-8")
+    rest = [c for c in df.columns if c not in order]
+    rows = df.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.lit(0).alias("_"), *rest).alias("_r")))).alias("_a"))
+    fields = [F.col(f"_a.{c}") for c in order], [F.col(f"_a._r.{c}") for c in rest]
+    records = F.arrays_zip(*(f.alias(c) for f, c in zip([*fields[0], *fields[1]], [*order, *rest], strict=True)))
+    rows.select(records.alias(key), *(F.lit(v).alias(k) for k, v in meta.items())).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_court(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the first court's homography (court to image) and its inverse, image_to_court; raises ValueError if there is no court or it is singular."""
+    rows = read_records(spark, path, "courts", T.StructType.fromDDL("homography array<array<double>>"), "_i").where("_i = 0")
+    back = geo.inverse(geo.matrix(F.col("homography")))
+    rows = rows.select("homography", F.array(*(F.array(*r) for r in back)).alias("image_to_court"))
+    one = rows.first()
+    if one is None or any(v is None for r in one["image_to_court"] for v in r):
+        raise ValueError(f"{path}: no court, or one without an inverse")
+    return rows
 
 
 def parsed_segments(df: DataFrame) -> DataFrame:

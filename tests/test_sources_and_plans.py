@@ -13,7 +13,7 @@ def test_envelope_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 19, 0.033, 0.633, 0.6), (40, 88, 1.333, 2.933, 1.6)], schemas.SEGMENTS)
     path = str(tmp_path / "a" / "segments.json")
     envelope.write_records(df, path, "segments", ["start_frame"], fps=30.0, note="é")
-    assert "é" in open(path, encoding="utf-8").read()
+    assert "é" in "".join(r.value for r in spark.read.text(path).collect())
     back = envelope.read_segments(spark, path, schemas.SEGMENTS)
     assert [(r.segment_index, r.start_frame, r.fps) for r in back.orderBy("segment_index").collect()] == [(0, 1, 30.0), (1, 40, 30.0)]
 
