@@ -267,18 +267,18 @@ def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, .
     return best_fit(left, size, out)
 
 
-def _slots(planned: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length: first rank of each run of slots, its sequences' first number, slots in a sequence and first offset."""
-    by: dict[int, list[tuple[int, int, int, int]]] = {}
-    taken, sequence = np.zeros(size + 1, dtype=np.int64), 0
+def _slots(planned: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[int, ...]]:
+    """Runs of slots for pieces of a length: m, the length; ranks from first to before stop; the sequence of the first, slots in a sequence, first offset."""
+    out: list[tuple[int, ...]] = []
+    taken, sequence = [0] * (size + 1), 0
     for content, n in planned:
         at = 0
         for m, k in sorted(Counter(content).items(), reverse=True):
-            by.setdefault(m, []).append((int(taken[m]), sequence, k, at))
+            out.append((m, taken[m], taken[m] + k * n, sequence, k, at))
             taken[m] += k * n
             at += k * m
         sequence += n
-    return {m: tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) for m, rows in by.items()}
+    return out
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = SEQUENCE, keep_ids: bool = True) -> DataFrame:
@@ -299,23 +299,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     histogram = np.zeros(size + 1, dtype=np.int64)
     for r in rows.groupBy("length").count().collect():  # size rows at most
         histogram[r["length"]] = r["count"]
-    slots = _slots(plan(histogram, size), size)
+    # a few rows for each configuration, whose number the lengths bound
+    slots = rows.sparkSession.createDataFrame(_slots(plan(histogram, size), size), "m long, first_rank long, stop long, number long, k long, at long")
     bound = 250_000  # rows of (part, length)
     counts = F.broadcast(counts) if counts.count() <= bound else counts
     ranked = rows.join(counts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("first")).drop("part", "first")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
-            for m in np.unique(length):
-                own = length == m
-                first, number, k, at = slots[int(m)]
-                i = np.searchsorted(first, rank[own], side="right") - 1
-                r = rank[own] - first[i]
-                sequence[own], offset[own] = number[i] + r // k[i], at[i] + r % k[i] * m
-            kept = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
-
-    kept = [f"{n} {t}" for n, t in ranked.dtypes if n != "rank"]
-    return ranked.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("m")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("stop")))
+    within = F.col("rank") - F.col("first_rank")
+    kept = [c for c in ranked.columns if c != "rank"]
+    ordered = ["doc_id", "piece", "start", "length"]
+    return placed.select(
+        *ordered, *(c for c in kept if c not in ordered),
+        (F.col("number") + (within - within % F.col("k")) / F.col("k")).cast("long").alias("sequence_id"), (F.col("at") + within % F.col("k") * F.col("length")).alias("offset"),
+    )
