@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings by distributed, sparse prefix doubling.
+"""Removal of repeated byte strings: names by prefix doubling within tasks, anchors and stretches grouped by Spark.
 
-A position's rank at length k is the 64-bit name of its next k bytes. Names double locally (1, 2, 4, ... bytes, each
-from the pair at p and p + k); Spark groups positions by them at growing lengths and drops what is unique:
+This is not the distributed prefix doubling of all positions, which would shuffle many times the input (see README). A
+position's name at length k is a 64-bit hash of its next k bytes, doubled locally (1, 2, 4, ... bytes, each from the
+pair at p and p + k); equal names count as equal bytes. Spark groups by them what is left of the positions at three lengths:
 
 1. Every 200-byte string has one anchor, the position in it whose 64-byte rank is least, so equal strings have theirs at
    the same place. Only anchors, about one position in 70, are ranked; an anchor unique at 64 bytes is done with.
