@@ -1,7 +1,8 @@
 """Windows and joins over a band of the order: ± N positions, nearest, as-of, containment.
 
 A band needs no more than its neighbourhood, so a key is cut into chunks of the order and every row is also
-given to the chunks that its band reaches; no task holds a whole key.
+given to the chunks that its band reaches; no task holds a whole key there. `locate`, `as_of_both`,
+`previous_known`, `fill_linear`, `null_gaps` and `nearest_in_ring` have windows over a key, whose rows one task orders.
 """
 
 from __future__ import annotations
