@@ -2,7 +2,7 @@
 
 A band needs no more than its neighbourhood, so a key is cut into chunks of the order and every row is also
 given to the chunks that its band reaches; no task holds a whole key there. `locate`, `as_of_both`,
-`previous_known`, `fill_linear`, `null_gaps` and `nearest_in_ring` have windows over a key, whose rows one task orders.
+`previous_known`, `beside`, `fill_linear`, `null_gaps` and `nearest_in_ring` have windows over a key, whose rows one task orders.
 """
 
 from __future__ import annotations
@@ -88,6 +88,15 @@ def nearest_in_ring(df: DataFrame, key: str, order: str, value: Column, snap: in
     return df.withColumn(name, F.coalesce(*ring))
 
 
+def beside(left: DataFrame, right: DataFrame, key: str, at: str, order: str) -> DataFrame:
+    """left with the greatest order of the key's right rows at or below `at`, and the least at or above it: below, above."""
+    points = right.select(key, F.col(order).cast("double").alias("_at"), F.col(order).alias("_v"))
+    both = left.withColumn("_at", F.col(at).cast("double")).withColumn("_left", F.lit(True)).unionByName(points, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("_at")
+    both = both.withColumn("below", F.max("_v").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("above", F.min("_v").over(w.rangeBetween(0, Window.unboundedFollowing)))
+    return both.where("_left").drop("_at", "_v", "_left")
+
+
 def contained(points: DataFrame, hits: DataFrame, key: str, order: str) -> DataFrame:
     """Points between consecutive hits of a key, ends included: lo, hi (the hits) and the point's columns."""
     w = Window.partitionBy(key).orderBy(order)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -72,18 +72,29 @@ def snap_boundaries(df: DataFrame, key: str, start: str, end: str, cut: str, wit
 
 
 def prune_tail(df: DataFrame, key: str, order: str, keep: Column, near: int) -> DataFrame:
-    """Drops hits from the back for as long as the last one is not to be kept and lies within `near` of the one before."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("f"), F.coalesce(keep, F.lit(True)).alias("k")))).alias("x"))
-    n = F.aggregate(
-        F.sequence(F.size("x"), F.lit(1), F.lit(-1)),
-        F.struct(F.size("x").alias("n"), F.lit(True).alias("on")),
-        lambda a, i: F.when(
-            a["on"] & (i > 1) & ~F.get(F.col("x"), i - 1)["k"] & (F.get(F.col("x"), i - 1)["f"] - F.get(F.col("x"), i - 2)["f"] <= near),
-            F.struct((i - 1).alias("n"), F.lit(True).alias("on")),
-        ).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on"))),
-        lambda a: a["n"],
-    )
-    return rows.select(key, F.explode(F.slice("x", F.lit(1), n)).alias("r")).select(key, F.col("r.f").alias(order))
+    """Drops, from the back on, each row that is not to be kept and has no row left within `near` after it; a null keep counts as true.
+
+    A row stays if, over steps of at most `near`, a row to be kept follows it: so each stretch of such steps ends with its
+    last one to be kept, and no fold is needed.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    new = F.coalesce(F.col(order) - F.lag(order).over(w) > near, F.lit(True)).cast("int")
+    rows = df.withColumn("_keep", F.coalesce(keep, F.lit(True))).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    last = F.max(F.when(F.col("_keep"), F.col(order))).over(Window.partitionBy(key, "_run"))
+    return rows.withColumn("_last", last).where(F.col(order) <= F.col("_last")).drop("_keep", "_new", "_run", "_last")
+
+
+def first_come(df: DataFrame, key: str, low: str, pick: str) -> DataFrame:
+    """Intervals by rising low, each with its pick: those stay that hold no pick of one that stayed before."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keep, last = [], float("-inf")
+        for i, (a, p) in enumerate(zip(rows[low], rows[pick], strict=True)):
+            if a > last:
+                keep.append(i)
+                last = max(last, p)
+        return rows.iloc[keep]
+
+    return by_key(df, [key], [low, pick], run, df.schema)
 
 
 def peaks(df: DataFrame, key: str, order: str, value: str, distance: int = 1, prominence: float | None = None) -> DataFrame:
@@ -95,6 +106,22 @@ def peaks(df: DataFrame, key: str, order: str, value: str, distance: int = 1, pr
     return by_key(rows, [key], [order], run, rows.schema)
 
 
+def weak_points(df: DataFrame, key: str, frame: str, x: str, y: str, least_y: float, least_x: float) -> DataFrame:
+    """Each key's peaks of y and turns of x, either way: key, frame, strength (the greatest prominence there) and is_peak (of y). Rows without a point are left out."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, frame, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v, least, is_peak in ((part[y].to_numpy(), least_y, True), (part[x].to_numpy(), least_x, False), (-part[x].to_numpy(), least_x, False)):
+            at = kernels.find_peaks(v, prominence=least)
+            out.append(part.iloc[at][[key, frame]].assign(strength=kernels.prominences(v, at), is_peak=is_peak))
+        return pd.concat(out)
+
+    kinds = dict(rows.dtypes)
+    found = by_key(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, strength double, is_peak boolean")
+    return found.groupBy(key, frame).agg(F.max("strength").alias("strength"), F.bool_or("is_peak").alias("is_peak"))
+
+
 def viterbi_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", conf: str = "conf", **knobs: float) -> DataFrame:
     """The candidates on each key's best path."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -160,11 +160,11 @@ def f28(spark, sf):
 
 @query(
     "J12_prune_tail",
-    f"""with {FRAMES}, q as (select seg, frame, coalesce(y >= 30, true) k, frame - lag(frame) over (partition by seg order by frame) gap, row_number() over (partition by seg order by frame) i from fr where side is not null),
-n as (select seg, max(i) n from q where k or i = 1 or gap > 3 group by seg) select q.seg, frame from q join n on q.seg = n.seg and i <= n""",
+    f"""with {FRAMES}, q as (select seg, frame, coalesce(y >= 30, true) k, case when frame - lag(frame) over (partition by seg order by frame) <= 3 then 0 else 1 end n from fr where side is not null),
+r as (select *, sum(n) over (partition by seg order by frame) r from q), m as (select *, max(frame) filter (k) over (partition by seg, r) z from r) select seg, frame from m where frame <= z""",
 )
 def j12(spark, sf):
-    return folds.prune_tail(frames(spark, sf).where("side is not null"), "seg", "frame", F.col("y") >= 30, 3)
+    return folds.prune_tail(frames(spark, sf).where("side is not null"), "seg", "frame", F.col("y") >= 30, 3).select("seg", "frame")
 
 
 PEAKS = f"""{FRAMES}, u as (select *, lag(y) over (partition by seg order by frame) py from fr),

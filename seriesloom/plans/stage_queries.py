@@ -4,29 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import stages
+from ..operators import folds
+from . import hits, stages
 from .registry import frames, query, r4
 
+#: Rules at the scale of users' events, of which a key has some dozens.
+SELECT = hits.HitRules(around=6, y_swing=60, x_swing=70, apart=4, company=1, context=12, weak_y=3, weak_x=20)
+COMPLETE = hits.CompletionRules(
+    fuse=1, min_sep=2, alt_gap=5, alt_margin=2, alt_run=1, alt_conf=0.3, lock_run=2, lock_conf=0.5, lock_guard=1, onset_run=1, onset_conf=0.4,
+    rescue_onset=1, rescue_conf=0.4, rescue_near=2, rescue_tail=20, serve_near=3, serve_conf=0.2, serve_side="bottom", serve_snap=2,
+)
+PRUNE = hits.PruneRules(
+    span_run=1, span_conf=0.5, span_lead=2, span_tail=10, tail_run=2, tail_conf=0.5, tail_margin=2, tail_y=95, tail_x=95,
+    gate_tail=4, gate_onset=2, gate_y=98, gate_x=98, onset_run=2, onset_conf=0.3, serve_run=1, serve_conf=0.2,
+)
+SERVE = "label = 'signup'"
+
 
 @query("J15_segment_scores")
 def j15(spark, sf):
     return stages.segment_scores(frames(spark, sf), "seg", "frame", "y")
 
 
+def tracks(spark, sf):
+    """A track of each user's events, one that runs against it, and labels with confidence."""
+    rows = frames(spark, sf).select("seg", "frame", "x", "y", "side", F.when(F.col("label") != "error", F.col("label")).alias("label"))
+    seen = rows.withColumn("x", F.when(F.col("frame") % 9 != 0, F.col("x")))
+    return seen, seen.withColumn("y", 100 - F.col("y")), rows.withColumn("conf", F.col("x") / 100)
+
+
 @query("J14_detect_hits")
 def j14(spark, sf):
-    return stages.detect_hits(frames(spark, sf), "seg", "frame", "y", "side")
+    seen, aux, dense = tracks(spark, sf)
+    scores = seen.groupBy("seg").agg(F.count("*").alias("n")).select(F.lit(0).alias("match"), "seg", F.when(F.col("seg") % 5 < 2, 0).otherwise(F.col("seg") % 11).alias("a"), F.when(F.col("seg") % 5 < 2, 0).otherwise(3).alias("b"))
+    dead = hits.dead_keys(scores, dense, "match", "seg", "frame", "a", "b", SERVE, PRUNE)
+    return hits.detect_hits(seen, aux, dense, "seg", "frame", "x", "y", "side", SERVE, dead, SELECT, COMPLETE, PRUNE, apart=3, spacing=3, clear=0)
+
+
+def evidence(spark, sf):
+    """Made base and aux hits, none where a series begins, and weak points, rises and rejected candidates of the track."""
+    seen, _, dense = tracks(spark, sf)
+    base = seen.where("frame % 7 = 3 and frame > 20").select("seg", "frame", "side")
+    aux = seen.where("frame % 4 = 1 and frame > 16").select("seg", "frame", "side")
+    weak = folds.weak_points(seen, "seg", "frame", "x", "y", 40, 60).join(seen.select("seg", "frame", "side", "y"), ["seg", "frame"])
+    weak = weak.select("seg", "frame", "side", "strength", "is_peak", (F.col("y") > 80).alias("swings"))
+    rises = folds.first_rises(seen, "seg", "frame", "y", steps=2, total=20.0)
+    return base, aux, weak, dense, rises, seen.where("frame % 10 = 0").select("seg", "frame")
 
 
 @query("J11_complete_hits")
 def j11(spark, sf):
-    rows = frames(spark, sf)
-    hits = stages.detect_hits(rows, "seg", "frame", "y", "side").where("side is not null")
-    return stages.complete_hits(hits, rows.where("side is not null and y > 20"), "seg", "frame", "side")
+    return hits.complete_hits(*evidence(spark, sf), "seg", "frame", "side", COMPLETE)
+
+
+@query("J12_prune_hits")
+def j12(spark, sf):
+    seen, _, dense = tracks(spark, sf)
+    swing = hits.swings(seen, "seg", "frame", "x", "y", "side", SELECT.around)
+    return hits.prune_hits(seen.where("frame % 3 = 1").select("seg", "frame", "side"), swing, dense, "seg", "frame", SERVE, PRUNE)
 
 
 @query("K07_classify_hits")
 def k07(spark, sf):
     rows = frames(spark, sf)
-    hits = rows.where("label = 'click'").select("seg", "frame")
-    return stages.classify_hits(hits, rows, "seg", "frame", "y").withColumn("confidence", r4(F.col("confidence")))
+    found = rows.where("label = 'click'").select("seg", "frame")
+    return stages.classify_hits(found, rows, "seg", "frame", "y").withColumn("confidence", r4(F.col("confidence")))

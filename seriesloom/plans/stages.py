@@ -1,4 +1,4 @@
-"""Composed stages: scores to segments, and series to hits and their labels."""
+"""Composed stages: scores to segments, hits to their labels, and tracks. `hits` has those from series to hits."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -43,41 +43,6 @@ def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: S
     return found.select(key, "start_frame", "end_frame").withColumns(geo.segment_seconds(F.col("start_frame"), F.col("end_frame"), rules.fps))
 
 
-@dataclass(frozen=True)
-class HitRules:
-    amplitude: float = 30.0
-    around: int = 6
-    apart: int = 3
-    context: int = 14
-    fuse: int = 2
-
-
-def detect_hits(series: DataFrame, key: str, frame: str, value: str, side: str, rules: HitRules = HitRules()) -> DataFrame:
-    """Series to hits: prominent peaks, gated by the swing around them, with a side, thinned in order, and with company on the other side."""
-    series = written(series.select(key, frame, value, side))
-    found = folds.peaks(series.where(F.col(value).isNotNull()), key, frame, value, rules.apart, rules.amplitude / 2)
-    swing = bands.band_aggregate(series, key, frame, -rules.around, rules.around, least=F.min(value), most=F.max(value), n=F.count(value))
-    swing = swing.select(key, frame, side, F.when(F.col("n") >= 5, F.col("most") - F.col("least")).alias("amp"))
-    hits = found.join(swing, [key, frame]).where(F.coalesce(F.col("amp") >= rules.amplitude, F.lit(True)))
-    hits = folds.greedy_dedup(hits, key, frame, side, "amp", rules.apart)
-    counts = {f"n_{s}": F.count_if(F.col(side) == s) for s in ("top", "bottom")}
-    hits = bands.band_aggregate(hits, key, frame, -rules.context, rules.context, **counts)
-    other = F.when(F.col(side) == "top", F.col("n_bottom")).when(F.col(side) == "bottom", F.col("n_top"))
-    return hits.where(other.isNull() | (other > 0)).select(key, frame, side)
-
-
-def complete_hits(hits: DataFrame, pool: DataFrame, key: str, frame: str, side: str, apart: int = 3) -> DataFrame:
-    """Adds, between two hits of one side, the pool's point of the other side nearest to their middle: key, frame, side, rule."""
-    w = Window.partitionBy(key).orderBy(frame)
-    gaps = hits.select(key, F.col(frame).alias("lo"), F.col(side).alias("s"), F.lead(frame).over(w).alias("hi"), F.lead(side).over(w).alias("t"))
-    gaps = gaps.where("hi is not null and s = t")
-    p = pool.select(key, frame, side)
-    inner = gaps.join(p, key).where((F.col(frame) >= F.col("lo") + apart) & (F.col(frame) <= F.col("hi") - apart) & (F.col(side) != F.col("s")))
-    best = inner.groupBy(key, "lo").agg(F.min_by(F.struct(frame, side), F.struct(F.abs(2 * F.col(frame) - F.col("lo") - F.col("hi")), frame)).alias("b"))
-    added = best.select(key, f"b.{frame}", f"b.{side}").withColumn("rule", F.lit("alternation"))
-    return hits.select(key, frame, side).withColumn("rule", F.lit("signal")).unionByName(added)
-
-
 CLASSES = [f"{side}_{kind}" for side in ("top", "bottom") for kind in ("clear", "drop", "smash", "net")]
 
 
