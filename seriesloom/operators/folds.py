@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from . import kernels
 
 def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str | object) -> DataFrame:
     """run() on each key's rows, sorted by `order`. Partitions are sorted and read in batches, and a batch is split where the
-    key changes, so many small keys cost no more than their rows."""
+    key changes, so many small keys cost no more than their rows. The number of partitions is given, as by their bytes few would be made of
+    rows that take Python long."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -35,7 +37,9 @@ def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Cal
         if held:
             yield run(held[0].reset_index(drop=True))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
 
 
 def greedy_dedup(df: DataFrame, key: str, order: str, side: str, strength: str, apart: int = 18) -> DataFrame:
@@ -111,11 +115,12 @@ def weak_points(df: DataFrame, key: str, frame: str, x: str, y: str, least_y: fl
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, frame, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for v, least, is_peak in ((part[y].to_numpy(), least_y, True), (part[x].to_numpy(), least_x, False), (-part[x].to_numpy(), least_x, False)):
-            at = kernels.find_peaks(v, prominence=least)
-            out.append(part.iloc[at][[key, frame]].assign(strength=kernels.prominences(v, at), is_peak=is_peak))
-        return pd.concat(out)
+        px, py, f = part[x].to_numpy(), part[y].to_numpy(), part[frame].to_numpy()
+        series = ((py, least_y), (px, least_x), (-px, least_x))
+        at = [kernels.find_peaks(v, prominence=least) for v, least in series]
+        strength = [kernels.prominences(v, i) for (v, _), i in zip(series, at, strict=True)]
+        n = sum(map(len, at))
+        return pd.DataFrame({key: part[key].iloc[:1].repeat(n).to_numpy(), frame: f[np.concatenate(at)], "strength": np.concatenate(strength), "is_peak": np.arange(n) < len(at[0])})
 
     kinds = dict(rows.dtypes)
     found = by_key(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, strength double, is_peak boolean")

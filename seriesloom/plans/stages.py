@@ -24,15 +24,23 @@ class SegmentRules:
     outlier: float = 3.0
 
 
-def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules = SegmentRules()) -> DataFrame:
+def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules = SegmentRules(), excluded: DataFrame | None = None) -> DataFrame:
     """Motion scores to segments: a threshold from the histogram, runs below it, merged over short gaps, the short and the odd ones dropped, in seconds.
 
-    The threshold is a one-row table and never leaves the executors. The scores and the runs are used again and again, and
+    Frames that are excluded (key, frame) don't count for the threshold and lie in no run, though a short gap may be merged over
+    them. Where the scores are those of a single scene, all the others are low. The threshold is a one-row table and never leaves the executors. The scores and the runs are used again and again, and
     are written once each.
     """
-    scores = written(scores.select(key, frame, score))
-    bar = written(stats.otsu3(scores, F.col(score)))
-    rows = scores.join(F.broadcast(bar)).withColumn("_low", F.col(score) < F.col("threshold"))
+    out = F.lit(False)
+    scores = scores.select(key, frame, score)
+    if excluded is not None:
+        scores = scores.join(excluded.select(key, frame).distinct().withColumn("_out", F.lit(True)), [key, frame], "left")
+        out = F.col("_out").isNotNull()
+    scores = written(scores.withColumn("_out", out))
+    counted = scores.where(~F.col("_out"))
+    alone = counted.agg((F.max(score) + 1).alias("_top")).join(stats.single_scene(counted, score))  # a row each
+    bar = written(stats.otsu3(counted, F.col(score)).join(alone).select(F.when(F.col("single_scene"), F.col("_top")).otherwise(F.col("threshold")).alias("threshold")))
+    rows = scores.join(F.broadcast(bar)).withColumn("_low", (F.col(score) < F.col("threshold")) & ~F.col("_out"))
     found = runs.mask_runs(rows, key, frame, F.col("_low"))
     found = runs.merge_intervals(found, key, "start_frame", "end_frame", rules.merge_gap)
     n = F.col("end_frame") - F.col("start_frame") + 1
