@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -302,29 +303,29 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = all_docs.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("nodes").alias("nodes"), F.any_value("sketch").alias("sketch"))
     sets = cut(sets)
     members = sets.where("n > 0").select("rep", F.explode(F.array_distinct("nodes")).alias("node"))
-    edges, tokens, level = [], None, LEVELS
+    few, deepest, tokens, level = [], None, None, LEVELS
     while True:
         held = _shared(members)
         if level == LEVELS:
             ids = cut(held.select("rep").distinct())
             tokens = cut(_tokens(docs, small(ids), id_col, text_col).dropDuplicates(["rep"]))
-        edges.append(_few(held, sets, kind))
+        few.append(held.where(F.col("m") <= BUCKET))
         many = held.where(F.col("m") > BUCKET)
         if many.isEmpty():
             break
         if level == DEEPEST:
-            edges.append(many.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+            deepest = many.select(F.col("rep").alias("a"), F.col("first").alias("b"))
             break
         if level == LEVELS and deep > every:
             split = cut(many.select("rep").distinct())
             more = _shared(_further(tokens.join(small(split), "rep", "left_semi"), kind, every, deep))
-            edges.append(_few(more, sets, kind))
+            few.append(more.where(F.col("m") <= BUCKET))
             many = many.unionByName(more.where(F.col("m") > BUCKET))
         level += 1
         members = _deeper(many.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(tokens, "rep"), kind)
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
+    found = _likely_links(few, sets, kind)
+    if deepest is not None:
+        found = found.union(deepest)
     groups = cut(components(found))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = groups.withColumnRenamed("id", "rep").join(blocks, "component").join(tokens, "rep")
@@ -350,11 +351,11 @@ def _shared(members: DataFrame) -> DataFrame:
     return cut(members.join(counts, "node"))
 
 
-def _few(held: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
-    """Links by sketches within the nodes of BUCKET sets at most: a, b."""
-    few = held.where(F.col("m") <= BUCKET).select("node", "rep").join(sets.select("rep", "n", "sketch"), "rep")
-    few = few.repartition("node").sortWithinPartitions("node", "rep")
-    return few.mapInArrow(_by_key(["node"], _likely), f"a {kind}, b {kind}")
+def _likely_links(few: list[DataFrame], sets: DataFrame, kind: str) -> DataFrame:
+    """Links by sketches within the nodes of all levels, each of BUCKET sets at most: a, b. A node is of one level, so all are dealt at once."""
+    held = reduce(DataFrame.union, [f.select("node", "rep") for f in few]).join(sets.select("rep", "n", "sketch"), "rep")
+    held = held.repartition("node").sortWithinPartitions("node", "rep")
+    return held.mapInArrow(_by_key(["node"], _likely), f"a {kind}, b {kind}")
 
 
 def _further(rows: DataFrame, kind: str, start: int, end: int) -> DataFrame:
