@@ -112,6 +112,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30
     return w
 
 
+def _low(score: np.ndarray, share: float, tail: float = 0.1, least: int = 10) -> float:
+    """A score that a share of new ones will fall under: the quantile, of n scores where n * share is 1 or more.
+
+    Of fewer the least says nothing of rarer ones, so the lowest tenth's log odds are taken to fall off exponentially,
+    and are carried on to the share. Where even that tenth is under `least` scores there is no bar: 0.
+    """
+    if len(score) * share >= 1:
+        return float(np.quantile(score, share, method="lower"))
+    odds = np.sort(np.log(score) - np.log1p(-score))
+    k = int(len(odds) * tail)
+    if k < least:
+        return 0.0
+    at = odds[k] - (odds[k] - odds[:k]).mean() * np.log(tail / share)
+    return float(_sigmoid(np.minimum(at, odds[0])))
+
+
 def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rows: np.ndarray, langs: list[str], epochs: int, rate: float, batch: int, seed: int) -> Model:
     """Stochastic gradient descent on the given rows: embeddings averaged over a text's subwords, then a linear softmax."""
     rng = np.random.default_rng(seed)
@@ -141,14 +157,17 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0,
     For calibration the languages are left out in turn, in FOLDS groups, and a model of the others is asked for them:
     so it is known how predictions look that can't be right. With these, as a share UNSEEN of all, and the model's own
     predictions of the held quarter, a logistic regression on _signs gives the chance that a prediction is right. The bar
-    rejects a share FALSE_REJECTS of the right predictions there at most, and is no higher than needed to reject 99 in 100
-    of the left-out ones. Of fewer than three languages none can be left out: scores are the softmax's and none is rejected.
+    rejects a share FALSE_REJECTS of the right predictions there at most (see _low), and is no higher than needed to reject
+    99 in 100 of the left-out ones. Where the quarter has fewer right predictions than 1 / FALSE_REJECTS, the other quarters
+    are held out in turn too. Of fewer than three languages none can be left out: scores are the softmax's and none is
+    rejected.
     """
     langs = sorted(set(labels)) or [NO_LANGUAGE]
     place = {x: i for i, x in enumerate(langs)}
     y = np.array([place[x] for x in labels], dtype=np.int64)
     order = np.random.default_rng(seed).permutation(len(texts))
-    held, train = order[: len(order) // 4], order[len(order) // 4 :]
+    quarters = [order[k * len(order) // 4 : (k + 1) * len(order) // 4] for k in range(4)]
+    held, train = quarters[0], np.concatenate(quarters[1:])
     bags = []
     for t in texts:
         bucket, _ = subwords(*_ranges([t]))
@@ -157,8 +176,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0,
     model = _descend(bags, y, train, langs, epochs, rate, batch, seed)
     if len(langs) < 3 or not len(held):
         return model
-    z, n = model.logits([texts[i] for i in held])
-    signs, right = [_signs(z, n)], [z.argmax(axis=1) == y[held]]
+    signs, right = [], []
+    for k, own in enumerate(quarters):
+        if k and sum(r.sum() for r in right) * FALSE_REJECTS >= 1:
+            break
+        other = _descend(bags, y, np.concatenate(quarters[:k] + quarters[k + 1 :]), langs, epochs, rate, batch, seed) if k else model
+        z, n = other.logits([texts[i] for i in own])
+        signs.append(_signs(z, n))
+        right.append(z.argmax(axis=1) == y[own])
+    asked_known = sum(map(len, right))
     for f in range(min(FOLDS, len(langs) - 1)):
         out = np.arange(len(langs)) % min(FOLDS, len(langs) - 1) == f
         known = np.nonzero(~out)[0]
@@ -168,12 +194,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 4.0,
         other = _descend(bags, np.searchsorted(known, y), train[~out[y[train]]], [langs[i] for i in known], epochs, rate, batch, seed + 1 + f)
         signs.append(_signs(*other.logits([texts[i] for i in asked])))
         right.append(np.zeros(len(asked), dtype=bool))
-    x, good, unseen = np.concatenate(signs), np.concatenate(right), np.repeat([False, True], [len(held), sum(map(len, right[1:]))])
-    weight = np.where(unseen, UNSEEN / max(1, unseen.sum()), (1 - UNSEEN) / len(held))
+    x, good = np.concatenate(signs), np.concatenate(right)
+    unseen = np.arange(len(x)) >= asked_known
+    weight = np.where(unseen, UNSEEN / max(1, unseen.sum()), (1 - UNSEEN) / asked_known)
     model.trust = _logistic(x, good.astype(float), weight * len(x))
     score = _sigmoid(x @ model.trust)
-    if good.any():
-        model.bar = float(np.quantile(score[good], FALSE_REJECTS, method="lower"))
+    model.bar = _low(score[good], FALSE_REJECTS)
     if unseen.any():
         model.bar = min(model.bar, float(np.quantile(score[unseen], 0.99)))
     return model
