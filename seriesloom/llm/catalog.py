@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, jaccard_join, language, oracle, packing, pii, repeats, scoring, sharding, warc
+from . import centroids, decontamination, flac, jaccard_join, language, lexical, mixing, oracle, packing, pii, repeats, scoring, sharding, warc
 from .common import id_crc, read_table
 
 
@@ -73,11 +73,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op9_lattice_scoring, op10_jaccard_join)}
+def op11_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_simplex_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_pii_weak_supervision, op4_flac_media, op5_best_fit_packing, op6_language_id, op7_byte_balanced_shards, op8_warc_archives, op9_lattice_scoring, op10_jaccard_join, op11_subset_sum_mixing, op12_max_sketch_search, op13_simplex_clustering)}
 
 #: The other queries' rows are models', tokenizers' or media formats', or too slow in SQL over whole tables; tests hold them against plain versions.
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": oracle.OP1,
     "op7_byte_balanced_shards": oracle.OP7,
     "op8_warc_archives": oracle.OP8,
+    "op12_max_sketch_search": oracle.OP12,
+    "op13_simplex_clustering": oracle.OP13,
 }

@@ -37,3 +37,41 @@ f as (select h, min(page_id) first from p where octet_length(b) >= 100 group by
 select page_id, octet_length(b) payload_bytes, p.h payload_digest,
 case when first is not null and page_id is distinct from first then 'revisit' else 'response' end record_type,
 case when page_id is distinct from first then first end refers_to from p left join f on p.h = f.h"""
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+with d as (select row_number() over () r, doc_id, {_TERMS.format(_LOWER.format("text"))} w from documents),
+q as (select distinct item_id, unnest({_TERMS.format(_LOWER.format("text"))}) t from benchmark where item_id is not null),
+c as (select count(*) n_docs, cast(sum(len(w)) as bigint) n_terms from d where len(w) > 0),
+tf as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from q) group by r, t),
+k as (select t, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) weight from tf, c group by t, n_docs),
+s as (select item_id, r, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * n_docs) // n_terms)))) as bigint) score
+  from q join tf using (t) join k using (t) join d using (r), c group by item_id, r),
+o as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank, doc_id, score
+  from s join d using (r) where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 50"""
+
+
+def _rounds(n: int) -> str:
+    """Common table expressions for so many rounds: a{i}, the nearest centroid of each vector; c{i}, the centroids after it."""
+    told = []
+    for i in range(n + 1):
+        told.append(f"""a{i} as materialized (select r, arg_min(j, (d, j)) as j, min(d) d from (
+  select r, j, cast(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) d from v, c{i} c) group by r)""")
+        if i < n:
+            told.append(f"""m{i} as (select j, k, cast(sum(x) as bigint) s, count(*) n from (select j, unnest(v.x) x, unnest(range(64)) k from a{i} join v using (r)) group by j, k),
+c{i + 1} as materialized (select c.j, coalesce(any_value(f.x), any_value(c.x)) x from c{i} c
+  left join (select j, list((s - ((s % n) + n) % n) // n order by k) x from m{i} group by j) f using (j) group by c.j)""")
+    return ",\n".join(told)
+
+
+OP13 = f"""
+with v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e as double)) as bigint)) x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as materialized (select row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), x) - 1 as j, x from v
+  qualify row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), x) <= 8),
+{_rounds(10)},
+i as (select j, sum(d) s from a10 group by j)
+select vec_id, cast(a10.j as int) as cluster, a10.d as distance, cast(i.s as bigint) cluster_inertia, cast((select sum(s) from i) as bigint) inertia,
+sha256(array_to_string(c10.x, ',')) centroid_sha256 from a10 join v using (r) join c10 on c10.j = a10.j join i on i.j = a10.j"""
