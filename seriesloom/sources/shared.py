@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,9 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def few(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """df, a table that was written, marked for broadcast if a row's width times its rows is at most so many bytes; else it is joined by a shuffle."""
+    width = sum(8 if t in ("bigint", "double", "int", "boolean") else 128 for _, t in df.dtypes)
+    return F.broadcast(df) if df.limit(most // width + 1).count() <= most // width else df
