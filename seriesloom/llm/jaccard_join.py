@@ -309,8 +309,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if level == LEVELS:
             ids = cut(held.select("rep").distinct())
             tokens = cut(_tokens(docs, small(ids), id_col, text_col).dropDuplicates(["rep"]))
-        few.append(held.where(F.col("m") <= BUCKET))
-        many = held.where(F.col("m") > BUCKET)
+        few.append(held.where("not split"))
+        many = held.where("split")
         if many.isEmpty():
             break
         if level == DEEPEST:
@@ -319,8 +319,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if level == LEVELS and deep > every:
             split = cut(many.select("rep").distinct())
             more = _shared(_further(tokens.join(small(split), "rep", "left_semi"), kind, every, deep))
-            few.append(more.where(F.col("m") <= BUCKET))
-            many = many.unionByName(more.where(F.col("m") > BUCKET))
+            few.append(more.where("not split"))
+            many = many.unionByName(more.where("split"))
         level += 1
         members = _deeper(many.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(tokens, "rep"), kind)
     found = _likely_links(few, sets, kind)
@@ -346,14 +346,63 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """members of nodes that several sets share, with their number, m, and the first of them."""
-    counts = members.groupBy("node").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    return cut(members.join(counts, "node"))
+    """members of nodes that several sets share, with the first of them and split: whether they are more than BUCKET.
+
+    A node's members pass by in order, and no more than BUCKET of them are held: when it is known that there are more, they
+    are handed on as they come. So nothing is joined, and a node of any size needs no memory.
+    """
+    kind = dict(members.dtypes)["rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        large: tuple[int, pa.Array] | None = None  # the node that is being handed on, and its first member
+
+        def told(b: pa.RecordBatch, last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch | None]:
+            nonlocal large
+            node = b.column("node").to_numpy()
+            cuts = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1, [len(node)]])
+            size = np.diff(cuts)
+            going_on = large is not None and node[0] == large[0]
+            full = size > BUCKET
+            full[0] |= going_on
+            rest = None if last or full[-1] else b.slice(int(cuts[-2]))
+            keep = np.repeat((size > 1) | full, size)
+            if rest is not None:
+                keep[cuts[-2] :] = False
+            rows = pa.array(np.nonzero(keep)[0])
+            first = b.column("rep").take(pa.array(np.repeat(cuts[:-1], size)[keep]))
+            if going_on:
+                n = int(size[0])
+                first = pa.concat_arrays([large[1].take(pa.array(np.zeros(n, dtype=np.int64))), first.slice(n)])
+            if full[-1]:
+                if not (going_on and len(size) == 1):
+                    large = (node[-1], b.column("rep").slice(int(cuts[-2]), 1))
+            else:
+                large = None
+            out = pa.RecordBatch.from_arrays([b.column("rep").take(rows), b.column("node").take(rows), first, pa.array(np.repeat(full, size)[keep])], ["rep", "node", "first", "split"])
+            return ([out] if out.num_rows else []), rest
+
+        for b in batches:
+            if b.num_rows:
+                own = b.select(["rep", "node"])
+                if held is not None:
+                    own = pa.Table.from_batches([held, own]).combine_chunks().to_batches()[0]
+                out, held = told(own, False)
+                yield from out
+        if held is not None:
+            yield from told(held, True)[0]
+
+    rows = members.select("rep", "node").repartition("node").sortWithinPartitions("node", "rep")
+    return cut(rows.mapInArrow(run, f"rep {kind}, node long, first {kind}, split boolean"))
 
 
 def _likely_links(few: list[DataFrame], sets: DataFrame, kind: str) -> DataFrame:
-    """Links by sketches within the nodes of all levels, each of BUCKET sets at most: a, b. A node is of one level, so all are dealt at once."""
-    held = reduce(DataFrame.union, [f.select("node", "rep") for f in few]).join(sets.select("rep", "n", "sketch"), "rep")
+    """Links by sketches within the nodes of all levels, each of BUCKET sets at most: a, b. A node is of one level, so all are dealt at once.
+
+    A set's nodes are gathered before it meets its sketch, so that the join has a row for each set.
+    """
+    held = reduce(DataFrame.union, [f.select("rep", "node") for f in few]).groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+    held = held.join(sets.select("rep", "n", "sketch"), "rep").select("rep", "n", "sketch", F.explode("nodes").alias("node"))
     held = held.repartition("node").sortWithinPartitions("node", "rep")
     return held.mapInArrow(_by_key(["node"], _likely), f"a {kind}, b {kind}")
 

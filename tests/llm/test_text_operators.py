@@ -292,3 +292,19 @@ def test_components(spark):
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_nodes_pass_in_any_batches(spark, batch):
+    """Nodes of one set, of a few and of more than a bucket, cut anywhere by batches."""
+    rng = random.Random(6)
+    sizes = [1, 2, 3, 256, 257, 700, 1, 5, 1, 1, 300, 256]
+    rows = [(i, node) for node, n in enumerate(sizes) for i in rng.sample(range(2000), n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = jaccard_join._shared(spark.createDataFrame(rows, "rep long, node long").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    of = {node: sorted(i for i, k in rows if k == node) for node in range(len(sizes))}
+    want = [(i, node, of[node][0], n > jaccard_join.BUCKET) for node, n in enumerate(sizes) if n > 1 for i in of[node]]
+    assert sorted((r.rep, r.node, r.first, r.split) for r in found) == sorted(want)
