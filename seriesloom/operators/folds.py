@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, stats
+from .smoothing import Motion, filtered
 
 
 def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str | object) -> DataFrame:
@@ -136,23 +137,28 @@ def viterbi_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y:
     return by_key(rows, [key], [frame, F.desc(conf), x, y], run, rows.schema)
 
 
-def kalman_accepted(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", **knobs: float) -> DataFrame:
-    """Each key's observations with whether the filter accepts them."""
-    rows = df.select(key, frame, x, y)
+def kalman_accepted(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", conf: str = "conf", motion: Motion = Motion()) -> DataFrame:
+    """Each key's observations with whether the filter believes them. Rows without a place are left out; a null confidence is the least."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, frame, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), F.coalesce(F.col(conf), F.lit(0.0)).alias(conf))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(accepted=kernels.kalman_gate(*(part[c].to_numpy() for c in (frame, x, y)), **knobs))
+        return part[[key, frame, x, y]].assign(accepted=filtered(*(part[c].to_numpy() for c in (frame, x, y, conf)), motion)[0])
+
+    return by_key(rows, [key], [frame], run, ", ".join(f"{n} {t}" for n, t in [*rows.drop(conf).dtypes, ("accepted", "boolean")]))
 
-    return by_key(rows, [key], [frame], run, ", ".join(f"{n} {t}" for n, t in [*rows.dtypes, ("accepted", "boolean")]))
 
+def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", court: str = "court", size: str = "size", anchors: DataFrame | None = None, radius: float = 20.0, **knobs: float) -> DataFrame:
+    """For each key and frame the chosen candidates of the far (top) and near (bottom) half, told apart by their place down the court.
 
-def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", size: str = "size") -> DataFrame:
-    """For each key and frame the chosen candidates of the far (top) and near (bottom) half."""
-    rows = df.select(key, frame, x, y, size)
+    Candidates within `radius` pixels of an anchor (mx, my, of all keys; see stats.static_cells) stand still all along and are no players: they go first.
+    """
+    rows = df.select(key, frame, x, y, court, size)
+    if anchors is not None:
+        rows = stats.away_from(rows, x, y, anchors, radius)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         groups = [(int(f), g) for f, g in part.groupby(frame)]
-        chosen = kernels.track_two([(f, list(g[[x, y, size]].itertuples(index=False, name=None))) for f, g in groups])
+        chosen = kernels.track_two([(f, list(g[[x, y, court, size]].itertuples(index=False, name=None))) for f, g in groups], **knobs)
         out = [(part[key].iloc[0], f, side, *g.iloc[i][[x, y]]) for (f, g), (_, *own) in zip(groups, chosen, strict=True) for side, i in zip(("top", "bottom"), own, strict=True) if i is not None]
         return pd.DataFrame(out, columns=[key, frame, "player", x, y])
 

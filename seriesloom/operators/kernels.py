@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .smoothing import Motion, filtered, knotted, spline_at
+
 
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None) -> np.ndarray:
     """Places of local maxima. A plateau counts once, at its middle (the lower one of two); the ends are never peaks.
@@ -42,11 +44,15 @@ def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, max_skip: int = 15, speed: float = 80.0, gain: float = 6.0, per_conf: float = 8.0, skip_cost: float = 0.8, move_cost: float = 0.05) -> np.ndarray:
+def viterbi(
+    frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, max_skip: int = 15, speed: float = 120.0, slack: float = 40.0,
+    gain: float = 6.0, per_conf: float = 8.0, skip_cost: float = 0.8, move_cost: float = 1.0, usual: float = 25.0,
+) -> np.ndarray:
     """The most rewarding path through candidates sorted by frame: their places.
 
-    A node earns gain + per_conf * conf; a step costs move_cost a pixel and skip_cost a skipped frame, and may not be
-    faster than `speed` pixels a frame. The path may begin anywhere and ends at the first best node.
+    A node earns gain + per_conf * conf. A step costs skip_cost a skipped frame and the square of its speed, in units of
+    `usual` pixels a frame, times move_cost; it may not be longer than `speed` a frame and `slack`. The path may begin
+    anywhere and ends at the first best node.
     """
     n = len(frame)
     best, back = gain + per_conf * np.asarray(conf, dtype=float), np.full(n, -1)
@@ -61,7 +67,7 @@ def viterbi(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, m
             continue
         dt = frame[j] - frame[i]
         d = np.hypot(x[j] - x[i], y[j] - y[i])
-        total = np.where(d <= speed * dt, best[i] - move_cost * d - skip_cost * (dt - 1), -np.inf)
+        total = np.where(d <= speed * dt + slack, best[i] - move_cost * (d / dt / usual) ** 2 - skip_cost * (dt - 1), -np.inf)
         k = int(total.argmax())
         if total[k] > 0:
             best[j], back[j] = own[j] + total[k], i[k]
@@ -73,37 +79,8 @@ def viterbi(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, m
     return np.array(path[::-1], dtype=int)
 
 
-def kalman_gate(frame: np.ndarray, x: np.ndarray, y: np.ndarray, noise: float = 4.0, jerk: float = 8.0, gate: float = 30.0, misses: int = 5) -> np.ndarray:
-    """Which observations a constant-velocity filter accepts: those whose squared Mahalanobis distance is under the gate. After
-    `misses` rejected ones in a row it begins anew."""
-    ok = np.zeros(len(frame), dtype=bool)
-    state = cov = None
-    last = missed = 0
-    h = np.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0]])
-    for j in range(len(frame)):
-        z = np.array([x[j], y[j]])
-        if state is None or missed >= misses:
-            state, cov, last, missed = np.array([x[j], y[j], 0.0, 0.0]), np.diag([noise, noise, 400.0, 400.0]), frame[j], 0
-            ok[j] = True
-            continue
-        dt = float(frame[j] - last)
-        f = np.eye(4)
-        f[0, 2] = f[1, 3] = dt
-        q = np.diag([dt**3 / 3, dt**3 / 3, dt, dt]) * jerk
-        ahead, wide = f @ state, f @ cov @ f.T + q
-        s = h @ wide @ h.T + noise * np.eye(2)
-        e = z - h @ ahead
-        if e @ np.linalg.solve(s, e) < gate:
-            k = wide @ h.T @ np.linalg.inv(s)
-            state, cov, last, missed = ahead + k @ e, (np.eye(4) - k @ h) @ wide, frame[j], 0
-            ok[j] = True
-        else:
-            missed += 1
-    return ok
-
-
-def track_two(frames: list[tuple[int, list[tuple[float, float, float]]]], reach: float = 120.0, forget: int = 5, size: float = 4.0) -> list[tuple[int, int | None, int | None]]:
-    """For each frame the candidates (x, court y, size) chosen for the far and the near half.
+def track_two(frames: list[tuple[int, list[tuple[float, float, float, float]]]], reach: float = 120.0, forget: int = 5, size: float = 4.0) -> list[tuple[int, int | None, int | None]]:
+    """For each frame the candidates (x, y, court y, size) chosen for the far and the near half; distances are in pixels.
 
     A half's candidate is the nearest to its last place within `reach` times the frames since, or, without a last
     place or after `forget` frames, the largest of at least `size`.
@@ -113,7 +90,7 @@ def track_two(frames: list[tuple[int, list[tuple[float, float, float]]]], reach:
     for f, found in frames:
         chosen: list[int | None] = [None, None]
         for half in (0, 1):
-            own = [i for i, c in enumerate(found) if (c[1] >= 0.5) == bool(half)]
+            own = [i for i, c in enumerate(found) if (c[2] >= 0.5) == bool(half)]
             if half in prior and f - prior[half][2] > forget:
                 del prior[half]
             if half in prior:
@@ -123,7 +100,7 @@ def track_two(frames: list[tuple[int, list[tuple[float, float, float]]]], reach:
                 if near:
                     chosen[half] = min(near)[1]
             else:
-                big = [(-found[i][2], i) for i in own if found[i][2] >= size]
+                big = [(-found[i][3], i) for i in own if found[i][3] >= size]
                 if big:
                     chosen[half] = min(big)[1]
             if chosen[half] is not None:
@@ -237,45 +214,11 @@ def contact_candidates(
     return [(first + k, sorted(s for s, rows in fired.items() if (np.abs(rows - k) <= near).any()) or ["ypeak"]) for k in kept]
 
 
-def _pentadiagonal(d: np.ndarray, e: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Solves a symmetric system of diagonals d, e (next) and f (next but one)."""
-    n = len(d)
-    pivot, one, two, z = (np.zeros(n + 2) for _ in range(4))
-    for i in range(n):
-        two[i] = f[i - 2] / pivot[i - 2] if i > 1 else 0.0
-        one[i] = (e[i - 1] - two[i] * pivot[i - 2] * one[i - 1]) / pivot[i - 1] if i else 0.0
-        pivot[i] = d[i] - one[i] ** 2 * pivot[i - 1] - two[i] ** 2 * pivot[i - 2]
-        z[i] = b[i] - one[i] * z[i - 1] - two[i] * z[i - 2]
-    out = np.zeros(n + 2)
-    for i in range(n - 1, -1, -1):
-        out[i] = z[i] / pivot[i] - one[i + 1] * out[i + 1] - two[i + 2] * out[i + 2]
-    return out[:n]
-
-
-def smooth(at: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, bound: float) -> np.ndarray:
-    """n values, as smooth (by second differences) as they can be with a weighted sum of squared residuals of at most `bound` at the places `at`."""
-    d, e, f = np.zeros(n), np.zeros(n), np.zeros(n)
-    for shift, w in enumerate((1, 4, 1)):
-        d[shift : n - 2 + shift] += w
-    e[: n - 2] -= 2
-    e[1 : n - 1] -= 2
-    f[: n - 2] = 1
-    w, b = np.zeros(n), np.zeros(n)
-    w[at], b[at] = weight**2, weight**2 * value
-    low, high, best = -6.0, 8.0, None
-    for _ in range(24):
-        mid = (low + high) / 2
-        s = 10.0**mid
-        out = _pentadiagonal(w + s * d, s * e, s * f, b)
-        if float((weight**2 * (out[at] - value) ** 2).sum()) <= bound:
-            low, best = mid, out
-        else:
-            high = mid
-    return np.interp(np.arange(n), at, value) if best is None else best
-
-
 def robust_quadratic(t: np.ndarray, value: np.ndarray, weight: np.ndarray, where: np.ndarray, rounds: int = 4, floor: float = 2.0) -> np.ndarray:
-    """A quadratic in t at the places `where`; what it misses weighs less round after round, by Huber's rule."""
+    """A quadratic in t at the places `where`; what it misses weighs less round after round, by Huber's rule.
+
+    Fixed values: four rounds, and a scale of no less than 2 pixels, as residuals under that are the pixels' own rounding.
+    """
     centre, w = t.mean(), weight
     for _ in range(rounds):
         fit = np.polyfit(t - centre, value, 2, w=w)
@@ -284,21 +227,24 @@ def robust_quadratic(t: np.ndarray, value: np.ndarray, weight: np.ndarray, where
     return np.polyval(fit, where - centre)
 
 
-def fill_path(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, how: str = "spline", slack: float = 4.0, prominence: float = 20.0, least: int = 8, piece: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every frame from the first to the last one seen, with x and y. Observations that the filter accepts stay as they are.
+def fill_path(
+    frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, how: str = "spline", slack: float = 9.0, prominence: float = 20.0, least: int = 8, piece: int = 6, motion: Motion = Motion(),
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every frame from the first to the last one seen, with x and y. Observations that the filter believes stay as they are.
 
-    spline: a smoothing of all of them. pieces: a robust quadratic between turning points of y. Under `least`
-    observations, and for pieces under `piece`, straight lines.
+    kalman: the smoothed filter. spline: one with knots, of a squared residual of `slack` an observation. pieces: the filter's
+    path with a robust quadratic in the gaps between turning points of y. Under `least` observations spline and pieces,
+    and under two the filter, are straight lines.
     """
+    frame, x, y = np.asarray(frame), np.asarray(x, dtype=float), np.asarray(y, dtype=float)
     span = np.arange(int(frame[0]), int(frame[-1]) + 1)
-    at, weight = np.asarray(frame) - span[0], np.maximum(np.asarray(conf, dtype=float), 0.15)
-    ok = kalman_gate(frame, x, y)
-    paths = [np.interp(span, frame[ok], v[ok]) for v in (x, y)]
-    if len(frame) < least:
+    at, weight = frame - span[0], np.maximum(np.asarray(conf, dtype=float), motion.unsure)
+    if len(frame) < (2 if how == "kalman" else least):
         return span, *(np.interp(span, frame, v) for v in (x, y))
+    ok, *paths = filtered(frame, x, y, conf, motion)
     if how == "spline":
-        paths = [smooth(at, np.asarray(v, dtype=float), weight, len(span), slack * len(frame)) for v in (x, y)]
-    else:
+        paths = [spline_at(*knotted(frame, v, weight, slack * len(frame)), span) for v in (x, y)]
+    elif how == "pieces":
         level = paths[1]
         breaks = sorted({0, len(span) - 1, *find_peaks(level, prominence=prominence).tolist(), *find_peaks(-level, prominence=prominence).tolist()})
         missing = np.ones(len(span), dtype=bool)

@@ -118,6 +118,15 @@ def static_cells(df: DataFrame, x: str, y: str, frame: str, size: float, share:
     return cells.join(F.broadcast(total)).where(keep).select("cx", "cy", "frames", "mx", "my")
 
 
+def away_from(df: DataFrame, x: str, y: str, anchors: DataFrame, radius: float) -> DataFrame:
+    """The rows that are not nearer than `radius` to an anchor (mx, my). Anchors go to all bins about theirs, so that points meet them by equality."""
+    near = F.expr("sequence(-1, 1)")
+    bins = lambda c, name: F.explode(F.transform(near, lambda i: F.floor(F.col(c) / radius) + i)).alias(name)
+    spread = anchors.select("mx", "my", bins("mx", "_bx")).select("mx", "my", "_bx", bins("my", "_by"))
+    same = (F.floor(df[x] / radius) == F.col("_bx")) & (F.floor(df[y] / radius) == F.col("_by"))
+    return df.join(spread, same & (F.hypot(df[x] - F.col("mx"), df[y] - F.col("my")) < radius), "left_anti")
+
+
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import bands, folds, runs, stats
+from ..operators.smoothing import Motion
 from .registry import FRAMES, frames, query, r4, table
 
 LOW_RUNS = f"""{FRAMES}, m as (select *, y < 40 low from fr), g as (select *, frame - row_number() over (partition by seg order by frame) g from m where low),
@@ -197,21 +198,35 @@ def f09(spark, sf):
     return folds.peaks(frames(spark, sf), "seg", "frame", "y", 5)
 
 
+#: A place of 0 to 100 and 0 to 490: the published speeds are for 1,920 by 1,080 pixels.
+STEPS = {"speed": 30.0, "slack": 10.0, "usual": 25.0}
+
+
 @query("J01_viterbi_path")
 def j01(spark, sf):
-    rows = frames(spark, sf).withColumn("conf", F.least(F.col("y") / 100, F.lit(1.0)))
-    return folds.viterbi_path(rows, "seg", "frame", "x", "y", "conf")
+    return folds.viterbi_path(confident(spark, sf), "seg", "frame", "x", "y", "conf", **STEPS)
+
+
+def confident(spark, sf):
+    return frames(spark, sf).withColumn("conf", F.least(F.col("y") / 100, F.lit(1.0)))
 
 
 @query("J05_kalman_gate")
 def j05(spark, sf):
-    return folds.kalman_accepted(frames(spark, sf), "seg")
+    return folds.kalman_accepted(confident(spark, sf), "seg", motion=Motion(gate=2.0))
+
+
+@query("J05_kalman_fill")
+def j05_fill(spark, sf):
+    rows = confident(spark, sf).where("label <> 'error'")
+    return folds.fill_path(rows, "seg", how="kalman", motion=Motion(gate=2.0)).withColumns({c: r4(c) for c in ("x", "y")})
 
 
 @query("J08_two_player_tracks")
 def j08(spark, sf):
-    rows = frames(spark, sf).select("seg", F.floor(F.col("frame") / 3).alias("frame"), F.col("y").alias("x"), (F.col("x") / 100).alias("y"), (F.col("x") % 10).alias("size"))
-    return folds.two_player_tracks(rows, "seg")
+    rows = frames(spark, sf).select("seg", F.floor(F.col("frame") / 3).alias("frame"), "y", F.col("x").cast("double").alias("x"), (F.col("x") / 100).alias("court"), (F.col("x") % 10).alias("size"))
+    anchors = stats.static_cells(rows, "x", "y", "seg", 10, 0.7, 2.9)
+    return folds.two_player_tracks(rows, "seg", anchors=anchors, radius=2.0, reach=25.0)
 
 
 @query("J03_blobs")

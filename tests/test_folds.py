@@ -1,4 +1,4 @@
-"""Folds over a table's keys against plain Python, and their splitting of batches by key."""
+"""Folds over a table's keys against plain Python, and their splitting of batches by key. Paths are in test_tracks."""
 
 import math
 from collections import defaultdict
@@ -36,35 +36,6 @@ def test_keys_are_whole_in_every_batch(spark, batch):
     assert folds.by_key(df.limit(0), ["k"], ["i"], lambda p: p, "k long, i long").count() == 0
 
 
-def plain_path(nodes):
-    """The best path by trying every step: places."""
-    best, back = [], []
-    for j, b in enumerate(nodes):
-        own = 6 + 8 * b[3]
-        options = [(0.0, -1)]
-        for i, a in enumerate(nodes[:j]):
-            dt, d = b[0] - a[0], math.hypot(b[1] - a[1], b[2] - a[2])
-            if 0 < dt <= 15 and d <= 80 * dt:
-                options.append((best[i] - 0.05 * d - 0.8 * (dt - 1), i))
-        top = max(v for v, _ in options)
-        best.append(own + top)
-        back.append(next(i for v, i in options if v == top))
-    path, j = [], best.index(max(best))
-    while j >= 0:
-        path.append(j)
-        j = back[j]
-    return path[::-1]
-
-
-def test_viterbi_over_the_table(spark, series):
-    got = defaultdict(list)
-    for r in run_queries.j01(spark, SF).collect():
-        got[r.seg].append(r.frame)
-    for seg, rows in series.items():
-        nodes = [(r.frame, r.x, r.y, min(r.y / 100, 1.0)) for r in rows]
-        assert sorted(got[seg]) == [nodes[i][0] for i in plain_path(nodes)]
-
-
 def flooded(cells):
     """4-connected components of {(x, y): v}."""
     left, out = dict(cells), []
@@ -105,61 +76,6 @@ def test_blobs_over_the_table(spark):
     assert {r.g: (r.x, r.y, r.conf) for r in closing_queries.j04(spark, SF).collect()} == track
 
 
-def plain_gate(points, noise=4.0, jerk=8.0, gate=30.0, misses=5):
-    """A constant-velocity filter for x and y apart: as noise is the same in both, so is the covariance."""
-    out, state = [], None
-    for f, *z in points:
-        if state is None or state["missed"] >= misses:
-            state = {"at": list(z), "v": [0.0, 0.0], "p": (noise, 0.0, 400.0), "f": f, "missed": 0}
-            out.append(True)
-            continue
-        dt = f - state["f"]
-        a, b, c = state["p"]
-        a, b, c = a + 2 * dt * b + dt * dt * c + jerk * dt**3 / 3, b + dt * c, c + jerk * dt
-        ahead = [p + dt * v for p, v in zip(state["at"], state["v"], strict=True)]
-        e = [p - q for p, q in zip(z, ahead, strict=True)]
-        s = a + noise
-        if sum(d * d for d in e) / s < gate:
-            k, m = a / s, b / s
-            state = {"at": [p + k * d for p, d in zip(ahead, e, strict=True)], "v": [v + m * d for v, d in zip(state["v"], e, strict=True)], "p": ((1 - k) * a, (1 - k) * b, c - m * b), "f": f, "missed": 0}
-            out.append(True)
-        else:
-            state["missed"] += 1
-            out.append(False)
-    return out
-
-
-def test_kalman_over_the_table(spark, series):
-    got = {(r.seg, r.frame): r.accepted for r in run_queries.j05(spark, SF).collect()}
-    for seg, rows in series.items():
-        assert [got[seg, r.frame] for r in rows] == plain_gate([(r.frame, r.x, r.y) for r in rows])
-
-
-def test_two_players_over_the_table(spark, series):
-    got = {(r.seg, r.frame, r.player): (r.x, r.y) for r in run_queries.j08(spark, SF).collect()}
-    want = {}
-    for seg, rows in series.items():
-        by = defaultdict(list)
-        for r in rows:
-            by[r.frame // 3].append((r.y, r.x / 100, r.x % 10))
-        last = {}
-        for f in sorted(by):
-            for player, mine in (("top", lambda c: c[1] < 0.5), ("bottom", lambda c: c[1] >= 0.5)):
-                own = sorted(c for c in by[f] if mine(c))
-                if player in last and f - last[player][2] > 5:
-                    del last[player]
-                if player in last:
-                    x, y, at = last[player]
-                    own = [c for c in own if math.hypot(c[0] - x, c[1] - y) <= 120 * (f - at)]
-                    pick = min(own, key=lambda c: math.hypot(c[0] - x, c[1] - y), default=None)
-                else:
-                    pick = max((c for c in own if c[2] >= 4), key=lambda c: c[2], default=None)
-                if pick:
-                    last[player] = (*pick[:2], f)
-                    want[seg, f, player] = pick[:2]
-    assert got == want
-
-
 def test_segments_over_the_table(spark, series):
     """J15: low runs under the threshold, merged, without the short and the odd ones."""
     from seriesloom.operators import stats
