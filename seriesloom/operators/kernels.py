@@ -79,13 +79,14 @@ def viterbi(
     return np.array(path[::-1], dtype=int)
 
 
-def track_two(frames: list[tuple[int, list[tuple[float, float, float, float]]]], reach: float = 120.0, forget: int = 5, size: float = 4.0) -> list[tuple[int, int | None, int | None]]:
+def track_two(frames: list[tuple[int, list[tuple[float, float, float, float]]]], reach: float = 120.0, forget: int = 5, size: float = 4.0, prior: dict[int, tuple[float, float, int]] | None = None) -> list[tuple[int, int | None, int | None]]:
     """For each frame the candidates (x, y, court y, size) chosen for the far and the near half; distances are in pixels.
 
     A half's candidate is the nearest to its last place within `reach` times the frames since, or, without a last
-    place or after `forget` frames, the largest of at least `size`.
+    place or after `forget` frames, the largest of at least `size`. prior holds the last place and frame of each half
+    (0 and 1) and is brought up to date.
     """
-    prior: dict[int, tuple[float, float, int]] = {}
+    prior = {} if prior is None else prior
     out = []
     for f, found in frames:
         chosen: list[int | None] = [None, None]
