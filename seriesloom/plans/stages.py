@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import scalars
@@ -54,29 +55,31 @@ def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: S
 CLASSES = [f"{side}_{kind}" for side in ("top", "bottom") for kind in ("clear", "drop", "smash", "net")]
 
 
-def stub_probabilities(features: np.ndarray) -> np.ndarray:
-    """A model's stand-in: softmax of fixed projections, so results can be repeated."""
-    w = np.cos(np.arange(features.shape[1])[:, None] * np.arange(1, 2 + len(CLASSES)))
-    z = features @ w / max(1, features.shape[1])
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def stub_model() -> Callable[[np.ndarray], np.ndarray]:
+    """Loads a model's stand-in: softmax of fixed projections, so results can be repeated. A row's result doesn't depend on the rows beside it."""
+    weights: dict[int, np.ndarray] = {}
 
+    def predict(windows: np.ndarray) -> np.ndarray:
+        n = windows.shape[1]
+        w = weights.setdefault(n, np.cos(np.arange(n)[:, None] * np.arange(1, 2 + len(CLASSES))))
+        z = np.einsum("ij,jk->ik", windows, w) / max(1, n)  # not a matrix product, whose sums depend on the number of rows
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
-def classify_hits(hits: DataFrame, series: DataFrame, key: str, frame: str, value: str, half: int = 5, model=stub_probabilities) -> DataFrame:
-    """Labels each hit by a model over its window of 2 * half + 1 values, 0 where one is missing; the model sees whole batches."""
+    return predict
+
+
+def classify_hits(hits: DataFrame, series: DataFrame, key: str, frame: str, value: str, half: int = 5, load: Callable[[], Callable[[np.ndarray], np.ndarray]] = stub_model, batch: int = 1000) -> DataFrame:
+    """Labels each hit by a model over its window of 2 * half + 1 values, 0 where one is missing.
+
+    A worker loads the model once (load) and asks it for batches of at most `batch` windows, as an array (rows, 2 * half + 1) of doubles.
+    """
     near = bands.band_join(hits.select(key, frame), series.select(key, frame, value), key, frame, half)
     at = (F.col(f"r_{frame}") - F.col(frame) + half).cast("int")
-    rows = near.groupBy(key, frame).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col(f"r_{value}").alias("v")))).alias("m"))
+    rows = near.groupBy(key, frame).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col(f"r_{value}").cast("double").alias("v")))).alias("m"))
     window = F.transform(F.sequence(F.lit(0), F.lit(2 * half)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    rows = rows.select(key, frame, window.alias("window"))
-
-    def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
-                yield p[[key, frame]].assign(p=list(model(np.stack(p["window"].to_numpy()))))
-
-    kinds = dict(rows.dtypes)
-    scored = rows.mapInPandas(predict, f"{key} {kinds[key]}, {frame} {kinds[frame]}, p array<double>")
+    ask = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[[2 * half + 1]])
+    scored = rows.select(key, frame, ask(window).alias("p"))
     label, conf = scalars.probability_label(F.col("p"), ["unknown", *CLASSES], 0)
     return scored.select(key, frame, label.alias("label"), conf.alias("confidence"))
 
