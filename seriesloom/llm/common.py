@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +36,33 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Tables written in the scratch() that is open, if one is.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and rereads it, so that what follows survives lost executors
-    and is not computed twice."""
+    and is not computed twice. Within scratch() the table goes at its end, unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/seriesloom/{uuid.uuid4().hex}"
+    if not keep and (open_ := _scratch.get()) is not None:
+        open_.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that cut() wrote meanwhile. What is used later must be written with keep before that."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get()
+        _scratch.reset(token)
+        for p in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most that many rows; df is best a table that was cut."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

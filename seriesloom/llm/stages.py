@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, language, packing, pii
-from .common import cut, id_crc, read_table, small
+from .common import cut, id_crc, read_table, scratch, small
 
 #: Names that documents' own columns don't have.
 KEY, SPANS = "_seriesloom_key", "_seriesloom_spans"
@@ -44,8 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         docs = cut(rows.select(*docs.columns, F.coalesce(KEY, F.lit(False)).alias(KEY)))
     else:
         docs = docs.withColumn(KEY, F.lit(False))
-    classes = jaccard_join.similar_classes(docs.where(~F.col(KEY)))
-    dropped = cut(classes.where("class_id <> doc_id").select("doc_id", F.lit(False).alias(KEY)))
+    with scratch(spark):
+        classes = jaccard_join.similar_classes(docs.where(~F.col(KEY)))
+        dropped = cut(classes.where("class_id <> doc_id").select("doc_id", F.lit(False).alias(KEY)), keep=True)
     return docs.join(small(dropped), ["doc_id", KEY], "left_anti").select([c for c in docs.columns if c != KEY])
 
 
@@ -56,8 +57,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     or go together. An empty table stays empty. docs may have columns of any name.
     """
     keyed = _keyed(docs)
-    found = decontamination.contamination(keyed, read_table(spark, sf_dir, "benchmark"), id_col=KEY)
-    bad = cut(decontamination.verdicts(found).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct())
+    with scratch(spark):
+        found = decontamination.contamination(keyed, read_table(spark, sf_dir, "benchmark"), id_col=KEY)
+        bad = cut(decontamination.verdicts(found).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct(), keep=True)
     return keyed.join(small(bad), KEY, "left_anti").select(docs.columns)
 
 
@@ -68,8 +70,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     each. An empty table stays empty. docs may have columns of any name, and n_chars may be missing.
     """
     keyed = _keyed(docs)
-    found = pii.detect(keyed, id_col=KEY).where(F.size("spans") > 0)
-    found = cut(found.select(F.col("doc_id").alias(KEY), F.col("spans").alias(SPANS)).dropDuplicates([KEY]))
+    with scratch(spark):
+        found = pii.detect(keyed, id_col=KEY).where(F.size("spans") > 0)
+        found = cut(found.select(F.col("doc_id").alias(KEY), F.col("spans").alias(SPANS)).dropDuplicates([KEY]), keep=True)
     told = keyed.join(small(found), KEY, "left")
     text = F.when(F.col(SPANS).isNotNull(), pii.redact(F.col("text"), F.col(SPANS))).otherwise(F.col("text"))
     told = told.withColumn("text", text)
