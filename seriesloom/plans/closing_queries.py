@@ -86,23 +86,40 @@ def a23(spark, sf):
     return made.select("seg", *records.HIT_COLUMNS[:7], "Kept")
 
 
-@query("A24_stroke_table", f"with {FRAMES} select event_id \"Event\", frame \"Frame\", '0.7500' \"Confidence\", 'top_b' \"RawClass\", '0.1000' p_unknown, '0.9000' p_top, '0.0000' p_bottom, 'top_b(75%)' \"Top1\", 'top_a(15%)' \"Top2\", frame + 2 - greatest(frame - 2, 1) \"WinLen\", coalesce(side, '') \"Player\" from fr")
+@query(
+    "A24_stroke_table",
+    f"""with {FRAMES}, q as (select *, [x / 400.0, floor(y) / 1000.0, (frame % 7) / 20.0] q from fr), p as (select *, list_append(q, 1 - list_sum(q)) p from q),
+k as (select *, ['unknown', 'top_a', 'top_b', 'bottom_a'] names, list_reverse_sort(list_transform([1, 2, 3, 4], lambda i: {{'v': p[i], 'i': i}})) o from p)
+select event_id "Event", frame "Frame", printf('%.4f', x / 100.0) "Confidence", names[list_position(p, list_max(p))] "RawClass", printf('%.4f', p[1]) p_unknown, printf('%.4f', p[2] + p[3]) p_top, printf('%.4f', p[4]) p_bottom,
+names[o[1].i] || '(' || printf('%.0f', round_even(o[1].v * 100, 0)) || '%)' "Top1", names[o[2].i] || '(' || printf('%.0f', round_even(o[2].v * 100, 0)) || '%)' "Top2", frame + 2 - greatest(frame - 2, 1) "WinLen", coalesce(side, '') "Player" from k""",
+)
 def a24(spark, sf):
     path = shared_path(spark, "strokes")
-    p = F.array(*map(F.lit, (0.1, 0.15, 0.75, 0.0)))
-    rows = frames(spark, sf).select(F.col("event_id").alias("event"), "frame", F.col("seg").alias("segment"), F.col("frame").alias("local_frame"), F.greatest(F.col("frame") - 2, F.lit(1)).alias("win_start"), (F.col("frame") + 2).alias("win_end"), F.col("side").alias("player"), F.lit("b").alias("stroke"), F.lit(0.75).alias("confidence"), p.alias("p"))
+    own = [F.col("x") / 400.0, F.floor("y") / 1000.0, F.col("frame") % 7 / 20.0]
+    p = F.array(*own, 1 - (own[0] + own[1] + own[2]))
+    rows = frames(spark, sf).select(F.col("event_id").alias("event"), "frame", F.col("seg").alias("segment"), F.col("frame").alias("local_frame"), F.greatest(F.col("frame") - 2, F.lit(1)).alias("win_start"), (F.col("frame") + 2).alias("win_end"), F.col("side").alias("player"), F.lit("b").alias("stroke"), (F.col("x") / 100.0).alias("confidence"), p.alias("p"))
     made = records.stroke_table(rows, ["unknown", "top_a", "top_b", "bottom_a"], 0, [1, 2], [3], 2)
     records.write_csv_with_mark(made, path)
     kinds = ", ".join(f"`{c}` {'long' if t in ('bigint', 'int') else t}" for c, t in made.dtypes)
     return spark.read.schema(kinds).option("header", True).option("enforceSchema", True).option("emptyValue", "").csv(path).select("Event", "Frame", "Confidence", "RawClass", "p_unknown", "p_top", "p_bottom", "Top1", "Top2", "WinLen", F.coalesce("Player", F.lit("")).alias("Player"))
 
 
-@query("B08_inverse", f"with {FRAMES} select event_id, case when abs(x * y) > 1e-12 then round(1 / x, 6) end a, case when abs(x * y) > 1e-12 then round(-x / (x * y), 6) end b from fr")
+@query(
+    "B08_inverse",
+    f"""with {FRAMES}, m as (select event_id, x + 1.0 a, y / 10 b, 3.0 c, frame % 5 - 2.0 d, x - y / 7 e, 1.0 f, case when frame % 9 = 0 then 2 * (x + 1.0) else frame % 3 / 4.0 end g, case when frame % 9 = 0 then y / 5 else x / 50 end h, case when frame % 9 = 0 then 6.0 else 1.0 + frame % 4 end i from fr),
+k as (select *, a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g) det from m)
+select event_id, case when ok then round((e * i - f * h) / det, 6) + 0.0 end p, case when ok then round((c * h - b * i) / det, 6) + 0.0 end q, case when ok then round((c * d - a * f) / det, 6) + 0.0 end r, case when ok then round((d * h - e * g) / det, 6) + 0.0 end s, case when ok then round((a * e - b * d) / det, 6) + 0.0 end t
+from (select *, abs(det) > 1e-6 ok from k)""",
+)
 def b08(spark, sf):
-    """The inverse of [[x, x, 0], [0, y, 0], [0, 0, 1]]: null where it is singular."""
-    zero, x, y = F.lit(0.0), F.col("x"), F.col("y")
-    m = geo.inverse([[x, x, zero], [zero, y, zero], [zero, zero, F.lit(1.0)]])
-    return frames(spark, sf).select("event_id", F.round(m[0][0], 6).alias("a"), F.round(m[0][1], 6).alias("b"))
+    """Inverses of full matrices, every ninth of them singular: its last row is twice its first."""
+    x, y, f, bad = F.col("x"), F.col("y"), F.col("frame"), F.col("frame") % 9 == 0
+    rows = [[x + 1.0, y / 10, F.lit(3.0)], [f % 5 - 2.0, x - y / 7, F.lit(1.0)], [F.when(bad, 2 * (x + 1.0)).otherwise(f % 3 / 4.0), F.when(bad, y / 5).otherwise(x / 50), F.when(bad, 6.0).otherwise(1.0 + f % 4)]]
+    m = geo.inverse(rows)
+    # what is singular but for rounding is left out of the comparison
+    det = rows[0][0] * (rows[1][1] * rows[2][2] - rows[1][2] * rows[2][1]) - rows[0][1] * (rows[1][0] * rows[2][2] - rows[1][2] * rows[2][0]) + rows[0][2] * (rows[1][0] * rows[2][1] - rows[1][1] * rows[2][0])
+    told = {"p": m[0][0], "q": m[0][1], "r": m[1][2], "s": m[2][0], "t": m[2][2]}
+    return frames(spark, sf).select("event_id", *(F.when(F.abs(det) > 1e-6, F.round(c, 6) + 0.0).alias(n) for n, c in told.items()))
 
 
 @query("B10_ground_scale", f"with {FRAMES} select event_id, round(sqrt(power(20 * (1 + x / 100), 2)), 6) scale from fr where x is not null")
@@ -220,12 +237,56 @@ def i10(spark, sf):
     return table(spark, sf, "events").select("event_id", records.iso_utc(F.col("ts").cast("timestamp")).alias("iso"))
 
 
-@query("L01_stage_order", "select * from (values (0, 'ingest'), (1, 'court'), (2, 'pose'), (3, 'shuttle'), (4, 'hits'), (5, 'strokes')) t(place, stage)")
+_NEEDS = "(select n_name from nation m where n.n_nationkey > 0 and m.n_nationkey = n.n_nationkey // 2)"
+_AFTER = "(select n_name from nation m where m.n_nationkey = n.n_nationkey - 1 - n.n_regionkey)"
+
+
+@query(
+    "L01_stage_order",
+    f"""with recursive st as materialized (select n_name, list_filter([{_NEEDS}, {_AFTER}], lambda d: d is not null) deps from nation n),
+r as (select 0 i, cast([] as varchar[]) done union all
+select i + 1, list_append(done, (select min(n_name) from st where not list_contains(done, n_name) and len(list_filter(deps, lambda d: not list_contains(done, d))) = 0)) from r where i < (select count(*) from st))
+select generate_subscripts(done, 1) - 1 place, unnest(done) stage from r where i = (select count(*) from st)""",
+)
 def l01(spark, sf):
-    """Needs order and gate, optional ones only order (L02); by name among those ready."""
-    made = lambda name, needs=(), after=(): runner.Stage(name, lambda: "", needs, after)
-    stages = [made("strokes", ("hits", "pose")), made("hits", ("shuttle",), ("pose",)), made("shuttle", ("ingest",), ("court",)), made("pose", ("court",)), made("court", ("ingest",)), made("ingest")]
-    return spark.createDataFrame([(i, s.name) for i, s in enumerate(runner.ordered(stages))], "place int, stage string")
+    """Stages and what they need (L01) or only follow (L02) from a table; by name among those ready."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name").collect()  # a graph of stages
+    name = {r["n_nationkey"]: r["n_name"] for r in rows}
+    own = lambda k: (name[k],) if k in name else ()
+    stages = [runner.Stage(r["n_name"], lambda: "", own(r["n_nationkey"] // 2) if r["n_nationkey"] > 0 else (), own(r["n_nationkey"] - 1 - r["n_regionkey"])) for r in rows]
+    return spark.createDataFrame([(i, s.name) for i, s in enumerate(runner.ordered(stages))], "place long, stage string")
+
+
+@query(
+    "L03_resumed_run",
+    """with n as (select r_name, r_regionkey k, count(c_custkey) n from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by all),
+e as (select k from n where r_name = 'EUROPE')
+select run, r_name stage, case when run = 2 or n.k < e.k then 'completed' when n.k = e.k then 'failed' else 'pending' end status, case when run = 2 or n.k < e.k then n end customers from n, e, (values (1), (2)) t(run)""",
+)
+def l03(spark, sf):
+    """A stage for each region counts its customers (L07) once the region before is done (L03); one fails at first (L04), and a second run goes on from there."""
+    regions = {r["r_regionkey"]: r["r_name"] for r in table(spark, sf, "region").select("r_regionkey", "r_name").collect()}  # a graph of stages
+    people = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    store, told, broken = shared_path(spark, "states").removeprefix("file:"), [], {"EUROPE"}
+
+    def stage(key):
+        def body():
+            if regions[key] in broken:
+                broken.clear()
+                raise RuntimeError("the first time")
+            path = shared_path(spark, "customers")
+            people.where(F.col("n_regionkey") == key).agg(F.count("*").alias("customers")).write.parquet(path)
+            return path
+
+        return runner.Stage(regions[key], body, (regions[key - 1],) if key - 1 in regions else ())
+
+    for attempt in (1, 2):
+        states = runner.States(f"{store}/states.json")
+        runner.run([stage(k) for k in regions], states)
+        for name in regions.values():
+            path = states.known.get(name, {}).get("output_path")
+            told.append((attempt, name, states.of(name), spark.read.parquet(path).first()["customers"] if path else None))
+    return spark.createDataFrame(told, "run int, stage string, status string, customers long")
 
 
 @query("L06_two_phases", f"with {FRAMES}, d as (select seg, frame, abs(y - lag(y) over (partition by seg order by frame)) d from fr) select seg, frame from d where d >= 30")

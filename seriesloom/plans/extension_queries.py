@@ -27,13 +27,15 @@ def m02(spark, sf):
     return found.withColumnRenamed("key", "seg")
 
 
-@query("M03_segment_source", f"with {FRAMES} select seg segment_index, frame, x, y, label from fr where seg between 10 and 13 and y > 20")
+@query("M03_segment_source", f"with {FRAMES} select seg segment_index, frame, x, y, label, case when seg < 75 then 'first' else 'second' end part from fr where y > 20")
 def m03(spark, sf):
     segment_files.register(spark)
     path = shared_path(spark, "segments")
     rows = frames(spark, sf).select(F.col("seg").alias("segment_index"), "frame", "x", "y", "label")
     rows.repartition("segment_index").write.format("segment_envelopes").mode("overwrite").option("fps", "25").save(path)
-    return segment_files.read(spark, path, rows.schema).where("segment_index >= 10 and segment_index <= 13 and y > 20")
+    # each half opens its own segments' files alone
+    half = lambda condition, name: segment_files.read(spark, path, rows.schema).where(f"segment_index {condition} 75 and y > 20").withColumn("part", F.lit(name))
+    return half("<", "first").unionByName(half(">=", "second"))
 
 
 @query(

@@ -165,10 +165,18 @@ def i03(spark, sf):
     return table(spark, sf, "events").select("event_id", scalars.lenient_int(text).alias("n"))
 
 
-@query("I04_lenient_ints", "select event_id, 2 n, cast(event_id as int) first from events")
+@query(
+    "I04_lenient_ints",
+    f"""with {FRAMES} select event_id, case when label <> 'error' then (label = 'click')::int + 1 + (frame % 3 = 0)::int end n,
+case when label = 'click' then cast(event_id as int) when label <> 'error' then cast(x as int) end first, case when label <> 'error' then case when frame % 3 = 0 then cast(-frame as int) else cast(x as int) end end last from fr""",
+)
 def i04(spark, sf):
-    found = scalars.lenient_ints(F.array(F.col("event_id").cast("string"), F.lit("x"), F.lit("7"), F.lit("3.7"), F.lit(None).cast("string")))
-    return table(spark, sf, "events").select("event_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+    """Lists of texts of which one, two or three can be read; for some labels there is no list."""
+    whole = F.when(F.col("label") == "click", F.col("event_id").cast("string")).otherwise(F.concat(F.col("label"), F.lit("7")))
+    own = F.array(whole, F.col("y").cast("string"), F.concat(F.lit(" "), F.col("x").cast("int").cast("string")), F.lit(None).cast("string"), F.when(F.col("frame") % 3 == 0, F.concat(F.lit("-"), F.col("frame").cast("string"))).otherwise("n/a"))
+    rows = frames(spark, sf).select("event_id", "label", scalars.lenient_ints(own).alias("found"))
+    told = lambda c: F.when(F.col("label") != "error", c)
+    return rows.select("event_id", told(F.size("found")).alias("n"), told(F.get("found", F.lit(0))).alias("first"), told(F.element_at("found", -1)).alias("last"))
 
 
 @query("I07_label_tests", "select event_id, event_type like 'p%' begins, event_type like '%ic%' has from events")
@@ -211,22 +219,31 @@ def j07(spark, sf):
     return filled(spark, sf, "pieces")
 
 
-@query("J20_homography", f"with {FRAMES} select seg, round((avg(x) - min(x)) / (max(x) - min(x)), 6) u, round((avg(y) - min(y)) / (max(y) - min(y)), 6) v from fr group by seg having max(x) > min(x) and max(y) > min(y)")
+@query(
+    "J20_homography",
+    f"""with {FRAMES}, q as (select seg, min(x) * 1.0 x0, min(y) y0, max(x) + 20.0 x1, min(y) + avg(x) / 9 y1, min(x) - avg(y) / 7 x3, max(y) + 50 y3, max(x) + 35 + avg(x) / 5 x2, max(y) + 20 - avg(x) / 11 y2, avg(x) / 100 u, least(avg(y) / 100, 1) v from fr group by seg),
+d as (select *, x1 - x2 a, x3 - x2 b, x0 - x1 + x2 - x3 s, y1 - y2 c, y3 - y2 e, y0 - y1 + y2 - y3 t from q),
+g as (select *, (s * e - b * t) / (a * e - b * c) g, (a * t - s * c) / (a * e - b * c) h from d),
+p as (select *, g * u + h * v + 1 w from g)
+select seg, round(((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / w, 4) px, round(((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / w, 4) py, 0.0 bu, 0.0 bv from p""",
+)
 def j20(spark, sf):
-    rows = frames(spark, sf).groupBy("seg").agg(*(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max, F.avg))))
-    rows = rows.where("x1 > x0 and y1 > y0")
+    """A point of the unit square in a quad of each user's own, and how far off it comes back."""
+    rows = frames(spark, sf).groupBy("seg").agg(*(f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("a", F.min), ("z", F.max), ("m", F.avg))))
     unit = np.array([[0, 0], [1, 0], [0, 1], [1, 1]], dtype=float)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for r in p.itertuples():
-                u, v, w = kernels.homography(np.array([[r.x0, r.y0], [r.x1, r.y0], [r.x0, r.y1], [r.x1, r.y1]]), unit) @ [r.x2, r.y2, 1]
-                out.append((r.seg, u / w, v / w))
-            yield pd.DataFrame(out, columns=["seg", "u", "v"])
-
-    found = rows.mapInPandas(run, "seg long, u double, v double")
-    return found.select("seg", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+                quad = np.array([[r.xa, r.ya], [r.xz + 20, r.ya + r.xm / 9], [r.xa - r.ym / 7, r.yz + 50], [r.xz + 35 + r.xm / 5, r.yz + 20 - r.xm / 11]], dtype=float)
+                at = kernels.homography(unit, quad) @ [r.xm / 100, min(r.ym / 100, 1), 1]
+                back = kernels.homography(quad, unit) @ (at / at[2])
+                out.append((r.seg, *(at[:2] / at[2]), back[0] / back[2] - r.xm / 100, back[1] / back[2] - min(r.ym / 100, 1)))
+            yield pd.DataFrame(out, columns=["seg", "px", "py", "bu", "bv"])
+
+    found = rows.mapInPandas(run, "seg long, px double, py double, bu double, bv double")
+    return found.select("seg", *((r4(c) + 0.0).alias(c) for c in ("px", "py", "bu", "bv")))
 
 
 @query(

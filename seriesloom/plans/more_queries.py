@@ -31,10 +31,17 @@ def b14(spark, sf):
     return frames(spark, sf).select("event_id", F.get(bone, F.lit(0)).alias("bx"), F.round(F.get(bone, F.lit(1)), 6).alias("by_"))
 
 
-@query("B16_nearest_wrist", f"with {FRAMES} select event_id, round(least(sqrt(power(10 - x, 2) + power(10 - y, 2)), sqrt(power(60 - x, 2) + power(40 - y, 2))), 6) distance from fr")
+@query(
+    "B16_nearest_wrist",
+    f"""with {FRAMES}, w as (select *, lag(x) over (partition by seg order by frame) px, lag(y) over (partition by seg order by frame) py from fr)
+select event_id, round(case when px is null then sqrt(power(x + frame % 13 - 50, 2) + power(y - 3 - y / 2, 2)) else least(sqrt(power(x + frame % 13 - 50, 2) + power(y - 3 - y / 2, 2)), sqrt(power(px - 50, 2) + power(py - y / 2, 2))) end, 6) distance from w""",
+)
 def b16(spark, sf):
-    points = [(F.lit(10.0), F.lit(10.0)), (F.lit(60.0), F.lit(40.0)), (F.lit(None).cast("double"), F.lit(0.0))]
-    return frames(spark, sf).select("event_id", F.round(geo.nearest_distance(points, F.col("x"), F.col("y")), 6).alias("distance"))
+    """One wrist moves with the event; the other is where the event before was, and unknown at the start."""
+    w = Window.partitionBy("seg").orderBy("frame")
+    rows = frames(spark, sf).withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)})
+    wrists = [(F.col("x") + F.col("frame") % 13, F.col("y") - 3), (F.col("px"), F.col("py"))]
+    return rows.select("event_id", F.round(geo.nearest_distance(wrists, F.lit(50.0), F.col("y") / 2), 6).alias("distance"))
 
 
 @query("B19_clamped_offsets", f"with {FRAMES}, m as (select seg, max(frame) z from fr group by seg) select seg, frame, greatest(1, least(frame + case label when 'click' then 2 when 'view' then -3 else 0 end, z)) shifted from fr join m using (seg)")
@@ -44,12 +51,21 @@ def b19(spark, sf):
     return frames(spark, sf).select("seg", "frame", geo.clamp(F.col("frame") + offset, 1, last).alias("shifted"))
 
 
-@query("B22_line_intersections", f"with {FRAMES} select event_id, round(x, 6) ix, round(y, 6) iy from fr where x > 0 and y > 0")
+@query(
+    "B22_line_intersections",
+    f"""with {FRAMES}, p as (select event_id, x x1, y x2, x + frame % 7 - 3 x3, y / 3 x4, y y1, x + 5.0 y2, y - frame % 5 y3, x * 2.0 y4 from fr),
+d as (select *, (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4) d, x1 * y2 - y1 * x2 e, x3 * y4 - y3 * x4 f, sqrt(power(x1 - x2, 2) + power(y1 - y2, 2)) * sqrt(power(x3 - x4, 2) + power(y3 - y4, 2)) n from p)
+select event_id, case when abs(d / n) >= 1e-3 then round((e * (x3 - x4) - (x1 - x2) * f) / d, 4) + 0.0 end ix, case when abs(d / n) >= 1e-3 then round((e * (y3 - y4) - (y1 - y2) * f) / d, 4) + 0.0 end iy from d where n > 0""",
+)
 def b22(spark, sf):
-    x, y, zero = F.col("x"), F.col("y"), F.lit(0.0)
-    upright, level = geo.line(x, zero, x, y + 1), geo.line(zero, y, x + 1, y)
-    ix, iy = geo.intersection(upright, level)
-    return frames(spark, sf).where("x > 0 and y > 0").select("event_id", F.round(ix, 6).alias("ix"), F.round(iy, 6).alias("iy"))
+    """Lines in any direction; those that are parallel but for a thousandth are left out of the comparison."""
+    x, y, f = F.col("x").cast("double"), F.col("y"), F.col("frame")
+    p, q = geo.line(x, y, y, x + 5), geo.line(x + f % 7 - 3, y - f % 5, y / 3, x * 2)
+    rows = frames(spark, sf).withColumns({"p": F.struct(*(c.alias(n) for c, n in zip(p, "abc", strict=True))), "q": F.struct(*(c.alias(n) for c, n in zip(q, "abc", strict=True)))})
+    rows = rows.where("p.a is not null and q.a is not null")
+    ix, iy = geo.intersection(*(tuple(F.col(f"{n}.{c}") for c in "abc") for n in "pq"))
+    apart = F.abs(F.col("p.a") * F.col("q.b") - F.col("q.a") * F.col("p.b")) >= 1e-3
+    return rows.select("event_id", *(F.when(apart, F.round(c, 4) + 0.0).alias(n) for c, n in ((ix, "ix"), (iy, "iy"))))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -23,7 +24,7 @@ class Stage:
 
 @dataclass
 class States:
-    """States of stages, in a JSON file beside the tables."""
+    """States of stages, in a JSON file of a mounted folder; on a cluster the shared one, so that another driver can go on."""
 
     path: Path
     known: dict[str, dict] = field(default_factory=dict)
@@ -43,7 +44,10 @@ class States:
         own |= {"status": status, "updated_at": now, "error": None} | more
         own[{"running": "started_at"}.get(status, "finished_at")] = now
         self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text(json.dumps(self.known, ensure_ascii=False, indent=1), encoding="utf-8")
+        # a reader, or a driver that comes back, sees the old states or the new ones
+        new = self.path.with_name(f".{self.path.name}.{uuid.uuid4().hex}")
+        new.write_text(json.dumps(self.known, ensure_ascii=False, indent=1), encoding="utf-8")
+        new.replace(self.path)
 
 
 def ordered(stages: Iterable[Stage]) -> list[Stage]:

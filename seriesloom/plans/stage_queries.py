@@ -39,18 +39,33 @@ def j14(spark, sf):
     seen, aux, dense = tracks(spark, sf)
     scores = seen.groupBy("seg").agg(F.count("*").alias("n")).select(F.lit(0).alias("match"), "seg", F.when(F.col("seg") % 5 < 2, 0).otherwise(F.col("seg") % 11).alias("a"), F.when(F.col("seg") % 5 < 2, 0).otherwise(3).alias("b"))
     dead = hits.dead_keys(scores, dense, "match", "seg", "frame", "a", "b", SERVE, PRUNE)
-    return hits.detect_hits(seen, aux, dense, "seg", "frame", "x", "y", "side", SERVE, dead, SELECT, COMPLETE, PRUNE, apart=3, spacing=3, clear=0)
+    return hits.detect_hits(seen, aux, dense, "seg", "frame", "x", "y", "side", SERVE, dead, SELECT, COMPLETE, PRUNE, **SIGNALS)
+
+
+#: Signals of a contact at that scale.
+SIGNALS = {"apart": 3, "spacing": 3, "clear": 0}
+
+
+def chosen(spark, sf):
+    """Each track's candidates, and the hits among them."""
+    found = []
+    for track in tracks(spark, sf)[:2]:
+        swing = hits.swings(track, "seg", "frame", "x", "y", "side", SELECT.around)
+        candidates = folds.contact_candidates(track, "seg", "frame", "x", "y", **SIGNALS).select("seg", "frame")
+        found.append((candidates, hits.select_hits(candidates, swing, "seg", "frame", "side", SELECT)))
+    return found
 
 
 def evidence(spark, sf):
-    """Made base and aux hits, none where a series begins, and weak points, rises and rejected candidates of the track."""
+    """The hits of the track, those of the one that runs against it, and weak points, rises and rejected candidates."""
     seen, _, dense = tracks(spark, sf)
-    base = seen.where("frame % 7 = 3 and frame > 20").select("seg", "frame", "side")
-    aux = seen.where("frame % 4 = 1 and frame > 16").select("seg", "frame", "side")
+    found = [(c, k.select("seg", "frame")) for c, k in chosen(spark, sf)]
+    base, aux = (k.join(seen.select("seg", "frame", "side"), ["seg", "frame"]) for _, k in found)
     weak = folds.weak_points(seen, "seg", "frame", "x", "y", 40, 60).join(seen.select("seg", "frame", "side", "y"), ["seg", "frame"])
     weak = weak.select("seg", "frame", "side", "strength", "is_peak", (F.col("y") > 80).alias("swings"))
     rises = folds.first_rises(seen, "seg", "frame", "y", steps=2, total=20.0)
-    return base, aux, weak, dense, rises, seen.where("frame % 10 = 0").select("seg", "frame")
+    rejected = [c.join(k, ["seg", "frame"], "left_anti") for c, k in found]
+    return base, aux, weak, dense, rises, rejected[0].union(rejected[1]).distinct()
 
 
 @query("J11_complete_hits")
@@ -62,7 +77,7 @@ def j11(spark, sf):
 def j12(spark, sf):
     seen, _, dense = tracks(spark, sf)
     swing = hits.swings(seen, "seg", "frame", "x", "y", "side", SELECT.around)
-    return hits.prune_hits(seen.where("frame % 3 = 1").select("seg", "frame", "side"), swing, dense, "seg", "frame", SERVE, PRUNE)
+    return hits.prune_hits(chosen(spark, sf)[1][0].join(seen.select("seg", "frame", "side"), ["seg", "frame"]), swing, dense, "seg", "frame", SERVE, PRUNE)
 
 
 @query("K07_classify_hits")

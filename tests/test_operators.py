@@ -14,7 +14,7 @@ def mask(spark, text):
     return spark.createDataFrame([("k", i, c == "1") for i, c in enumerate(text)], "k string, f long, m boolean")
 
 
-@pytest.mark.parametrize("text, want", [("0110011", [(1, 2), (5, 6)]), ("00111", [(2, 4)]), ("000", [])])
+@pytest.mark.parametrize("text, want", [("1011101000011", [(0, 0), (2, 4), (6, 6), (11, 12)]), ("1111111", [(0, 6)]), ("", [])])
 @pytest.mark.parametrize("chunk", [2, 3, 100])
 def test_runs_cross_chunks(spark, text, want, chunk):
     out = runs.mask_runs(mask(spark, text), "k", "f", F.col("m"), chunk=chunk)
