@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds
-from . import hits, stages
+from . import hits, hits_by_key, stages
 from .registry import frames, query, r4
 
 #: Rules at the scale of users' events, of which a key has some dozens.
@@ -36,10 +36,14 @@ def tracks(spark, sf):
 
 @query("J14_detect_hits")
 def j14(spark, sf):
+    return detected(spark, sf, hits_by_key.detect_hits)
+
+
+def detected(spark, sf, way):
     seen, aux, dense = tracks(spark, sf)
     scores = seen.groupBy("seg").agg(F.count("*").alias("n")).select(F.lit(0).alias("match"), "seg", F.when(F.col("seg") % 5 < 2, 0).otherwise(F.col("seg") % 11).alias("a"), F.when(F.col("seg") % 5 < 2, 0).otherwise(3).alias("b"))
     dead = hits.dead_keys(scores, dense, "match", "seg", "frame", "a", "b", SERVE, PRUNE)
-    return hits.detect_hits(seen, aux, dense, "seg", "frame", "x", "y", "side", SERVE, dead, SELECT, COMPLETE, PRUNE, **SIGNALS)
+    return way(seen, aux, dense, "seg", "frame", "x", "y", "side", SERVE, dead, SELECT, COMPLETE, PRUNE, **SIGNALS)
 
 
 #: Signals of a contact at that scale.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 
 from seriesloom.operators import folds
-from seriesloom.plans import hits, stage_queries
+from seriesloom.plans import hits, hits_by_key, stage_queries
 
 SF = "/root/testdata/sf0.001"
 C, P, S = stage_queries.COMPLETE, stage_queries.PRUNE, stage_queries.SELECT
@@ -233,11 +233,22 @@ def test_dead_segments_come_before_the_serve(spark):
     assert [r.seg for r in dead.collect()] == [0]
 
 
-def test_whole_detection_is_its_phases(spark):
-    """Every hit is a frame of its key, once; keys that are dead have none."""
-    rows = stage_queries.j14(spark, SF).collect()
-    assert rows and len({(r.seg, r.frame) for r in rows}) == len(rows)
-    assert {"ball", "sens", "refine"} <= {r.source for r in rows}
+def test_both_ways_find_the_same_hits(spark):
+    """Joins over tables and the co-grouped pass are written apart; of the joins' phases each is held against plain versions above."""
+    got = sorted(map(tuple, stage_queries.j14(spark, SF).collect()), key=str)
+    assert got == sorted(map(tuple, stage_queries.detected(spark, SF, hits.detect_hits).collect()), key=str)
+    assert len({x[:2] for x in got}) == len(got) and {"ball", "sens", "refine"} <= {x[3] for x in got}
+    plan = stage_queries.j14(spark, SF)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_keys_without_labels_or_tracks(spark):
+    series = spark.createDataFrame([(1, f, 50.0 + f, 100.0 + 80 * (f % 8 < 4), "top") for f in range(1, 60)], "k int, frame long, x double, y double, side string")
+    dense = spark.createDataFrame([(2, 1, "click", "top", 0.9)], "k int, frame long, label string, side string, conf double")
+    got = hits_by_key.detect_hits(series, series.limit(0), dense, "k", "frame", "x", "y", "side", "false", None, S, C, P, **stage_queries.SIGNALS)
+    want = hits.detect_hits(series, series.limit(0), dense, "k", "frame", "x", "y", "side", "false", None, S, C, P, **stage_queries.SIGNALS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert hits_by_key.detect_hits(series.limit(0), series.limit(0), dense.limit(0), "k", "frame", "x", "y", "side", "false").count() == 0
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 2, 5), (1, 4, 6), (1, 6, 8), (1, 9, 9)]])
