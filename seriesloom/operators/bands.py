@@ -98,10 +98,17 @@ def beside(left: DataFrame, right: DataFrame, key: str, at: str, order: str) ->
 
 
 def contained(points: DataFrame, hits: DataFrame, key: str, order: str) -> DataFrame:
-    """Points between consecutive hits of a key, ends included: lo, hi (the hits) and the point's columns."""
+    """Points between consecutive hits of a key, ends included: lo, hi (the hits) and the point's columns.
+
+    A point is located in the gap that begins at or before it; one on a hit also ends the gap before, which it meets by equality.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    gaps = hits.select(F.col(key).alias("_k"), F.col(order).alias("lo"), F.lead(order).over(w).alias("hi")).where("hi is not null")
-    return points.join(gaps, (F.col(key) == F.col("_k")) & F.col(order).between(F.col("lo"), F.col("hi"))).drop("_k")
+    gaps = hits.select(key, F.col(order).alias("lo"), F.lead(order).over(w).alias("hi"), F.lead(order, 2).over(w).alias("_more")).where("hi is not null")
+    inside = locate(points, gaps.withColumn("_gap", F.struct("lo", "hi")), key, order, "lo", "hi", "_gap").where("_gap is not null")
+    names = points.columns
+    inside = inside.select(*names, "_gap.lo", "_gap.hi")
+    ends = gaps.where("_more is not null").select(F.col(key).alias("_k"), "lo", "hi")
+    return inside.unionByName(points.join(ends, (F.col(key) == F.col("_k")) & (F.col(order) == F.col("hi"))).select(*names, "lo", "hi"))
 
 
 def fill_linear(df: DataFrame, key: str, order: str, value: str, name: str = "filled") -> DataFrame:

@@ -46,34 +46,39 @@ def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Cal
 def greedy_dedup(df: DataFrame, key: str, order: str, side: str, strength: str, apart: int = 18) -> DataFrame:
     """Keeps hits in order: one nearer than `apart` to the last kept, on the same side, replaces it if it is stronger, else goes.
 
-    A null strength counts as the greatest. The fold carries what was kept, so a key's result is as long as its hits.
+    A null strength counts as the greatest. A null side is no one's.
     """
-    strong = F.coalesce(F.col(strength), F.lit(float("inf"))).alias("s")
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("f"), F.col(side).alias("side"), strong))).alias("hits"))
+    rows = df.select(key, order, side, F.coalesce(F.col(strength).cast("double"), F.lit(float("inf"))).alias("_strong"))
 
-    def step(kept: Column, hit: Column) -> Column:
-        last = F.element_at(kept, -1)
-        clash = (F.size(kept) > 0) & F.coalesce((hit["f"] - last["f"] < apart) & (hit["side"] == last["side"]), F.lit(False))
-        one = F.array(hit)
-        return F.when(~clash, F.concat(kept, one)).when(hit["s"] > last["s"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), one)).otherwise(kept)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        at, strong = part[order].to_numpy(), part["_strong"].to_numpy()
+        sides = [None if pd.isna(s) else s for s in part[side]]
+        for i in range(len(part)):
+            if kept and sides[i] is not None and sides[i] == sides[kept[-1]] and at[i] - at[kept[-1]] < apart:
+                if strong[i] > strong[kept[-1]]:
+                    kept[-1] = i
+            else:
+                kept.append(i)
+        return part.iloc[kept][[key, order, side]]
 
-    start = F.filter("hits", lambda x: F.lit(False))
-    last = F.when(F.size("hits") > 0, F.aggregate("hits", start, lambda k, h: F.when(F.size(k) == 0, F.array(h)).otherwise(step(k, h))))
-    return rows.select(key, F.explode(last).alias("h")).select(key, F.col("h.f").alias(order), F.col("h.side").alias(side))
+    return by_key(rows, [key], [order, side, "_strong"], run, rows.drop("_strong").schema)
 
 
 def snap_boundaries(df: DataFrame, key: str, start: str, end: str, cut: str, within: int) -> DataFrame:
     """Moves each interval's start to its cut if that is within reach and after the end, as refined, of the one before."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("z"), F.col(cut).alias("c")))).alias("x"))
-
-    def step(done: Column, one: Column) -> Column:
-        floor = F.when(F.size(done) > 0, F.element_at(done, -1)["z"]).otherwise(F.lit(-1))
-        near = F.coalesce(F.abs(one["c"] - one["a"]) <= within, F.lit(False))
-        a = F.when(near, F.greatest(one["c"], floor + 1)).otherwise(F.greatest(one["a"], floor + 1))
-        return F.concat(done, F.array(F.struct(a.alias("a"), F.greatest(one["z"], a).alias("z"), one["c"].alias("c"))))
+    rows = df.select(key, start, end, cut)
 
-    out = F.aggregate("x", F.filter("x", lambda x: F.lit(False)), step)
-    return rows.select(key, F.explode(out).alias("r")).select(key, F.col("r.a").alias(start), F.col("r.z").alias(end))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        starts, ends, floor = [], [], -1
+        for a, z, c in zip(part[start], part[end], part[cut], strict=True):
+            near = not pd.isna(c) and abs(c - a) <= within
+            starts.append(max(int(c) if near else a, floor + 1))
+            ends.append(max(z, starts[-1]))
+            floor = ends[-1]
+        return part[[key]].assign(**{start: starts, end: ends})
+
+    return by_key(rows, [key], [start, end], run, rows.drop(cut).schema)
 
 
 def prune_tail(df: DataFrame, key: str, order: str, keep: Column, near: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +40,67 @@ def otsu3(df: DataFrame, value: Column, bins: int = 256) -> DataFrame:
     return ends.join(best).select(F.when((F.col("used") >= 3) & F.col("ctr").isNotNull(), F.pow(F.lit(10.0), "ctr")).otherwise(F.col("top") + 1).alias("threshold"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 1024, most: int = 10_000) -> list[float]:
+    """The values at shares of the order, on a line between two neighbours; empty if there are no values. Nulls are left out.
+
+    No sort: counts in bins tell in which bin a rank lies, whose range is cut into bins again until it holds at most `most`
+    values or only one that is repeated. The counts of `bins` bins, and at the end those few values, come to the driver.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return []
+    places = [q * (n - 1) for q in shares]
+    found: dict[int, float] = {}
+
+    def look(ranks: list[int], lo: float, hi: float, before: int) -> None:
+        """ranks, of values from lo to hi, with `before` values under lo."""
+        width = (hi - lo) / bins
+        if lo == hi or lo + width == lo:
+            found.update(dict.fromkeys(ranks, lo))
+            return
+        own = rows.where((F.col("v") >= lo) & (F.col("v") <= hi))
+        bin_ = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1))
+        counted = sorted(map(tuple, own.groupBy(bin_.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect()))
+        small, at = {}, before
+        for b, m, a, z in counted:
+            inside = [r for r in ranks if at <= r < at + m]
+            if inside and a == z:
+                found.update(dict.fromkeys(inside, a))
+            elif inside and m <= most:
+                small[b] = (inside, at)
+            elif inside:
+                look(inside, a, z, at)
+            at += m
+        if small:
+            held: dict[int, list[float]] = {}
+            for b, x in own.select(bin_.alias("b"), "v").where(F.col("b").isin(list(small))).collect():
+                held.setdefault(b, []).append(x)
+            for b, (inside, first) in small.items():
+                values = sorted(held[b])
+                found.update({r: values[r - first] for r in inside})
+
+    look(sorted({f(p) for p in places for f in (math.floor, math.ceil)}), lo, hi, 0)
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def reject_outliers(df: DataFrame, value: str, k: float = 3.0, least: int = 8, most: float = 0.3) -> DataFrame:
     """Drops rows above k times the median; all stay if there are under `least`, the median is not positive or over `most` of them would go."""
-    one = df.agg(F.median(value).alias("_med"), F.count("*").alias("_n"))
-    share = df.join(F.broadcast(one)).agg(F.avg((F.col(value) > k * F.col("_med")).cast("double")).alias("_share"))
-    rows = df.join(F.broadcast(one)).join(F.broadcast(share))
-    off = (F.col("_n") < least) | (F.col("_med") <= 0) | (F.col("_share") > most)
-    return rows.where(off | (F.col(value) <= k * F.col("_med"))).select(df.columns)
+    middle = quantiles(df, value, [0.5])
+    if not middle or middle[0] <= 0:
+        return df
+    bar = k * middle[0]
+    n, share = df.agg(F.count("*"), F.avg((F.col(value) > bar).cast("double"))).first()
+    return df if n < least or share > most else df.where(F.col(value) <= bar)
 
 
 def single_scene(df: DataFrame, value: str) -> DataFrame:
     """One row, single_scene: the 99th percentile is under 3 and the maximum under 6 times the median, which counts as 1 at least; false if empty."""
-    base = F.greatest(F.median(value), F.lit(1.0))
-    rule = (F.percentile(value, F.lit(0.99)) < 3 * base) & (F.max(value) < 6 * base)
-    return df.agg(F.coalesce(rule, F.lit(False)).alias("single_scene"))
+    found = quantiles(df, value, [0.5, 0.99, 1.0])
+    base = max(found[0], 1.0) if found else 0.0
+    rule = bool(found) and found[1] < 3 * base and found[2] < 6 * base
+    return df.sparkSession.range(1).select(F.lit(rule).alias("single_scene"))
 
 
 def absolute_differences(df: DataFrame, key: str, values: str, buckets: int = 256) -> DataFrame:

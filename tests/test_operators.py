@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,20 @@ def test_gaps_and_lines(spark):
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate([1.0, None, None, 4.0, None])], "k string, f long, v double")
     assert [r[3] for r in rows(bands.fill_linear(df, "k", "f", "v"))] == [1, 2, 3, 4, None]
     assert rows(bands.null_gaps(df, "k", "f", "v")) == [("k", 1, 2, 2, 1.0, 4.0), ("k", 4, 4, 1, 4.0, None)]
+
+
+@pytest.mark.parametrize("bins, most", [(1024, 10_000), (3, 2), (2, 1)])
+def test_quantiles_are_those_of_a_sort(spark, bins, most):
+    rng = np.random.default_rng(bins)
+    values = [float(v) for v in [*rng.exponential(5, 300), *np.repeat(2.5, 200), -7, 1e9, 1e-300, 0]]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0]
+    assert stats.quantiles(df, "v", shares, bins, most) == pytest.approx(np.quantile(values, shares).tolist())
+    assert stats.quantiles(df.limit(0), "v", shares) == [] and stats.quantiles(df.where("v = 2.5"), "v", [0.3]) == [2.5]
+
+
+def test_points_on_hits_are_in_both_gaps(spark):
+    points = spark.createDataFrame([("k", f, f * 1.0) for f in range(0, 13)] + [("j", 4, 0.0)], "k string, f long, v double")
+    hits = spark.createDataFrame([("k", 2), ("k", 5), ("k", 9), ("j", 4)], "k string, f long")
+    got = rows(bands.contained(points, hits, "k", "f").select("k", "lo", "hi", "f"))
+    assert got == sorted(("k", lo, hi, f) for lo, hi in ((2, 5), (5, 9)) for f in range(lo, hi + 1))

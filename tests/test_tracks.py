@@ -316,3 +316,103 @@ def test_unknown_confidence_is_the_least(spark):
     got = folds.kalman_accepted(df, "seg").orderBy("frame").collect()
     assert [r.accepted for r in got] == [True] * 6 and list(kernels.viterbi(*(np.zeros(0),) * 4)) == []
     assert folds.kalman_accepted(df.limit(0), "seg").count() == 0 and folds.fill_path(df.where("seg = 2"), "seg", how="kalman").where(F.col("x").isNotNull()).count() == 0
+
+
+def test_first_rises_over_the_table(spark, series):
+    """By trying every start: steps onwards that hardly go down, without a pause, of which the falls (y grows downwards) are enough."""
+    got = {r.seg: r.rise for r in more_queries.f10(spark, SF).collect()}
+    want = {}
+    for seg, rows in series.items():
+        for i in range(len(rows)):
+            run = [rows[i]]
+            while i + len(run) < len(rows):
+                b = rows[i + len(run)]
+                if b.frame - run[-1].frame > 1 or b.y - run[-1].y > 2:
+                    break
+                run.append(b)
+            falls = sum(max(0.0, a.y - b.y) for a, b in zip(run, run[1:], strict=False))
+            if len(run) > 3 and falls >= 40:
+                want[seg] = rows[i].frame
+                break
+    assert got == want and want
+
+
+def marked(frames_, last, apart):
+    """Of marked frames (0 to last) the middle of each stretch away from the ends, and of those nearer than `apart` the later one, from the back."""
+    stretches = []
+    for f in sorted(frames_):
+        if stretches and stretches[-1][-1] == f - 1:
+            stretches[-1].append(f)
+        else:
+            stretches.append([f])
+    middles = [(s[0] + s[-1]) // 2 for s in stretches if s[0] > 0 and s[-1] < last]
+    kept = []
+    for f in reversed(middles):
+        if all(abs(f - g) >= apart for g in kept):
+            kept.append(f)
+    return sorted(kept)
+
+
+def high_points(y, least):
+    out = []
+    for i in range(1, len(y) - 1):
+        z = i
+        while z + 1 < len(y) and y[z + 1] == y[i]:
+            z += 1
+        if y[i - 1] < y[i] and z + 1 < len(y) and y[z + 1] < y[i]:
+            left = next((s for s in range(i, -1, -1) if y[s] > y[i]), -1)
+            right = next((s for s in range(i, len(y)) if y[s] > y[i]), len(y))
+            if y[i] - max(min(y[left + 1 : i + 1]), min(y[i:right])) >= least:
+                out.append((i + z) // 2)
+    return out
+
+
+def angle(dx, dy):
+    return math.trunc(math.degrees(math.atan2(dy, dx)))
+
+
+def test_signals_over_the_table(spark, series):
+    got = {(r.seg, r.frame): r.reasons for r in further_queries.f15(spark, SF).collect()}
+    want = {}
+    for seg, rows in series.items():
+        first, last = rows[0].frame, rows[-1].frame
+        f, x, y = zip(*[(r.frame - first, r.x, r.y) for r in rows if r.label != "error"], strict=True)
+        m, fired = len(f), {}
+        serve = [f[i] for i in range(m - 1) if y[i] - y[i + 1] >= 5 * (f[i + 1] - f[i])][:1]
+        fired["serve"] = serve
+        peaks = high_points(y, 5)
+        if len(peaks) >= 5:
+            lone = [y[p] - min(y[min(p, q) : max(p, q) + (1 if p > q else 0)]) < 5 for p, q in ((peaks[0], peaks[1]), (peaks[-1], peaks[-2]))]
+            peaks = peaks[lone[0] : len(peaks) - lone[1]]
+        fired["ypeak"] = [f[p] for p in peaks if f[p] >= (serve[0] if serve else 0)]
+        turns = set()
+        for a, z in zip(peaks, peaks[1:], strict=False):
+            valley = a + min(range(z - a + 1), key=lambda k: (y[a + k], k))
+            for j in range(max(valley + 1, 3), min(z, m - 4) + 1):
+                (p, q), (r, s) = (x[j] - x[j - 3], y[j] - y[j - 3]), (x[j + 3] - x[j], y[j + 3] - y[j])
+                one, two = angle(p, q), angle(r, s)
+                turn = abs(one - two) if one * two >= 0 else abs(one) + abs(two)
+                slow, fast = sorted((math.hypot(p, q), math.hypot(r, s)))
+                if min(turn, 360 - turn) > 30 and fast >= 1.5 * slow:
+                    turns.add(f[j])
+        fired["accel"] = marked(turns, last - first, 3)
+        fired["ramp"] = []
+        for j in range(3, m - 3):
+            steps = [math.dist((x[i], y[i]), (x[i + 1], y[i + 1])) for i in range(j - 3, j + 3)]
+            before, after = sum(steps[:3]) / 3, sum(steps[3:]) / 3
+            if 0 < before < 12 and after >= 1.8 * before and abs((x[j + 3] - x[j]) - (x[j] - x[j - 3])) / 3 >= 2:
+                fired["ramp"].append(f[j])
+        kept = marked(set().union(*fired.values()), last - first, 3)
+        for i in range(m):  # the first sustained rise: six steps, pauses of three frames at most, 60 in all
+            run = [i]
+            while run[-1] + 1 < m and f[run[-1] + 1] - f[run[-1]] <= 3 and y[run[-1] + 1] - y[run[-1]] <= 2:
+                run.append(run[-1] + 1)
+            if len(run) > 6 and sum(max(0.0, y[k] - y[k + 1]) for k in run[:-1]) >= 60:
+                if all(abs(f[i] - k) >= 3 for k in kept):
+                    kept.append(f[i])
+                    fired["serve_rise"] = [f[i]]
+                break
+        for k in kept:
+            names = sorted(n for n, at in fired.items() if any(abs(k - g) <= 5 for g in at)) or ["ypeak"]
+            want[seg, first + k] = "+".join(names)
+    assert got == want and len({n for r in want.values() for n in r.split("+")}) >= 4
