@@ -305,12 +305,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sets.where("n > 0").select("rep", F.explode(F.array_distinct("nodes")).alias("node"))
     few, deepest, tokens, level = [], None, None, LEVELS
     while True:
-        held = _shared(members)
+        held, many = _shared(members)
+        few.append(held)
         if level == LEVELS:
-            ids = cut(held.select("rep").distinct())
+            ids = cut(held.select("rep").union(many.select("rep")).distinct())
             tokens = cut(_tokens(docs, small(ids), id_col, text_col).dropDuplicates(["rep"]))
-        few.append(held.where("not split"))
-        many = held.where("split")
         if many.isEmpty():
             break
         if level == DEEPEST:
@@ -318,11 +317,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if level == LEVELS and deep > every:
             split = cut(many.select("rep").distinct())
-            more = _shared(_further(tokens.join(small(split), "rep", "left_semi"), kind, every, deep))
-            few.append(more.where("not split"))
-            many = many.unionByName(more.where("split"))
+            held, more = _shared(cut(_further(tokens.join(small(split), "rep", "left_semi"), kind, every, deep)))
+            few.append(held)
+            many = many.unionByName(more)
         level += 1
-        members = _deeper(many.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(tokens, "rep"), kind)
+        members = cut(_deeper(many.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(tokens, "rep"), kind))
     found = _likely_links(few, sets, kind)
     if deepest is not None:
         found = found.union(deepest)
@@ -345,55 +344,40 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """members of nodes that several sets share, with the first of them and split: whether they are more than BUCKET.
+def _shared(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (rep, node) of nodes that several sets share: those of BUCKET sets at most, and those of more, with the first of them.
 
-    A node's members pass by in order, and no more than BUCKET of them are held: when it is known that there are more, they
-    are handed on as they come. So nothing is joined, and a node of any size needs no memory.
+    The large nodes are found by counts with partial counts first, and are few: a BUCKETth of the members at most. Their members
+    are told by the node, where they lie, so no task gathers a large node. The others are dealt by node to leave out single
+    ones; no more than a node's members are held.
     """
     kind = dict(members.dtypes)["rep"]
+    large = members.groupBy("node").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where(F.col("m") > BUCKET)
+    told = members.join(small(cut(large.select("node", "first"))), "node", "left")
+    many = cut(told.where("first is not null").select("rep", "node", "first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        large: tuple[int, pa.Array] | None = None  # the node that is being handed on, and its first member
 
-        def told(b: pa.RecordBatch, last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch | None]:
-            nonlocal large
+        def shared(b: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+            """The rows of nodes with several, but for the last node, which may go on in the next batch."""
             node = b.column("node").to_numpy()
             cuts = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1, [len(node)]])
-            size = np.diff(cuts)
-            going_on = large is not None and node[0] == large[0]
-            full = size > BUCKET
-            full[0] |= going_on
-            rest = None if last or full[-1] else b.slice(int(cuts[-2]))
-            keep = np.repeat((size > 1) | full, size)
-            if rest is not None:
+            keep = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+            if not last:
                 keep[cuts[-2] :] = False
-            rows = pa.array(np.nonzero(keep)[0])
-            first = b.column("rep").take(pa.array(np.repeat(cuts[:-1], size)[keep]))
-            if going_on:
-                n = int(size[0])
-                first = pa.concat_arrays([large[1].take(pa.array(np.zeros(n, dtype=np.int64))), first.slice(n)])
-            if full[-1]:
-                if not (going_on and len(size) == 1):
-                    large = (node[-1], b.column("rep").slice(int(cuts[-2]), 1))
-            else:
-                large = None
-            out = pa.RecordBatch.from_arrays([b.column("rep").take(rows), b.column("node").take(rows), first, pa.array(np.repeat(full, size)[keep])], ["rep", "node", "first", "split"])
-            return ([out] if out.num_rows else []), rest
+            return b.take(pa.array(np.nonzero(keep)[0])), None if last else b.slice(int(cuts[-2]))
 
         for b in batches:
             if b.num_rows:
-                own = b.select(["rep", "node"])
-                if held is not None:
-                    own = pa.Table.from_batches([held, own]).combine_chunks().to_batches()[0]
-                out, held = told(own, False)
-                yield from out
+                own = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+                out, held = shared(own, False)
+                yield out
         if held is not None:
-            yield from told(held, True)[0]
+            yield shared(held, True)[0]
 
-    rows = members.select("rep", "node").repartition("node").sortWithinPartitions("node", "rep")
-    return cut(rows.mapInArrow(run, f"rep {kind}, node long, first {kind}, split boolean"))
+    rows = told.where("first is null").select("rep", "node").repartition("node").sortWithinPartitions("node", "rep")
+    return cut(rows.mapInArrow(run, f"rep {kind}, node long")), many
 
 
 def _likely_links(few: list[DataFrame], sets: DataFrame, kind: str) -> DataFrame:

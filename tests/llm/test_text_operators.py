@@ -302,9 +302,9 @@ def test_nodes_pass_in_any_batches(spark, batch):
     rows = [(i, node) for node, n in enumerate(sizes) for i in rng.sample(range(2000), n)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        found = jaccard_join._shared(spark.createDataFrame(rows, "rep long, node long").repartition(5)).collect()
+        few, many = (df.collect() for df in jaccard_join._shared(spark.createDataFrame(rows, "rep long, node long").repartition(5)))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     of = {node: sorted(i for i, k in rows if k == node) for node in range(len(sizes))}
-    want = [(i, node, of[node][0], n > jaccard_join.BUCKET) for node, n in enumerate(sizes) if n > 1 for i in of[node]]
-    assert sorted((r.rep, r.node, r.first, r.split) for r in found) == sorted(want)
+    assert sorted(map(tuple, few)) == sorted((i, node) for node, n in enumerate(sizes) if 1 < n <= jaccard_join.BUCKET for i in of[node])
+    assert sorted(map(tuple, many)) == sorted((i, node, of[node][0]) for node, n in enumerate(sizes) if n > jaccard_join.BUCKET for i in of[node])
