@@ -81,6 +81,29 @@ def snap_boundaries(df: DataFrame, key: str, start: str, end: str, cut: str, wit
     return by_key(rows, [key], [start, end], run, rows.drop(cut).schema)
 
 
+def refine_boundaries(df: DataFrame, key: str, start: str, end: str, first: str, after: str) -> DataFrame:
+    """Intervals moved to begin at `first` and end before `after`, each a cut or null, as far as their neighbours let them.
+
+    None begins before the refined end of the one before, or ends after the start of the next one; one that would end before it begins stays.
+    """
+    rows = df.select(key, start, end, first, after)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        starts, ends, floor = [], [], -1
+        ahead = [*part[start].tolist()[1:], None]
+        for a, z, c, d, n in zip(part[start], part[end], part[first], part[after], ahead, strict=True):
+            low = max(a if pd.isna(c) else int(c), floor + 1)
+            high = z if pd.isna(d) else int(d) - 1
+            high = high if n is None else min(high, n - 1)
+            low, high = (low, high) if high >= low else (a, z)
+            starts.append(low)
+            ends.append(high)
+            floor = high
+        return part[[key]].assign(**{start: starts, end: ends})
+
+    return by_key(rows, [key], [start, end], run, rows.drop(first, after).schema)
+
+
 def prune_tail(df: DataFrame, key: str, order: str, keep: Column, near: int) -> DataFrame:
     """Drops, from the back on, each row that is not to be kept and has no row left within `near` after it; a null keep counts as true.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folds
@@ -24,7 +25,11 @@ SERVE = "label = 'signup'"
 @query("J15_segment_scores")
 def j15(spark, sf):
     rows = frames(spark, sf)
-    return stages.segment_scores(rows, "seg", "frame", "y", excluded=rows.where("frame % 40 = 11").select("seg", "frame"))
+    before = F.lag("y").over(Window.partitionBy("seg").orderBy("frame"))
+    jumps = rows.select("seg", "frame", F.abs(F.col("y") - before).alias("jump"))
+    vectors = rows.select("seg", "frame", F.array(F.col("x").cast("double"), F.col("y") / 2).alias("v"))
+    rules = stages.SegmentRules(widest=0.4, bridge=3, spike=70.0, around=3)
+    return stages.segment_scores(rows, "seg", "frame", "y", rules, rows.where("frame % 40 = 11").select("seg", "frame"), vectors, "v", jumps)
 
 
 def tracks(spark, sf):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +23,19 @@ class SegmentRules:
     merge_gap: int = 4
     min_seconds: float = 0.2
     outlier: float = 3.0
+    widest: float = 0.10
+    final_gap: int = 1
+    bridge: int = 12
+    spike: float = 25.0
+    over_median: float = 3.0
+    around: int = 6
 
 
-def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules = SegmentRules(), excluded: DataFrame | None = None) -> DataFrame:
-    """Motion scores to segments: a threshold from the histogram, runs below it, merged over short gaps, the short and the odd ones dropped, in seconds.
+def low_segments(scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules, excluded: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Runs of scores under a threshold from their histogram, merged over short gaps, without the short ones; and the scores, written.
 
     Frames that are excluded (key, frame) don't count for the threshold and lie in no run, though a short gap may be merged over
-    them. Where the scores are those of a single scene, all the others are low. The threshold is a one-row table and never leaves the executors. The scores and the runs are used again and again, and
-    are written once each.
+    them. Where the scores are those of a single scene, all the others are low. The threshold is a one-row table.
     """
     out = F.lit(False)
     scores = scores.select(key, frame, score)
@@ -43,12 +48,83 @@ def segment_scores(scores: DataFrame, key: str, frame: str, score: str, rules: S
     bar = written(stats.otsu3(counted, F.col(score)).join(alone).select(F.when(F.col("single_scene"), F.col("_top")).otherwise(F.col("threshold")).alias("threshold")))
     rows = scores.join(F.broadcast(bar)).withColumn("_low", (F.col(score) < F.col("threshold")) & ~F.col("_out"))
     found = runs.mask_runs(rows, key, frame, F.col("_low"))
-    found = runs.merge_intervals(found, key, "start_frame", "end_frame", rules.merge_gap)
+    found = runs.merge_intervals(found, key, "start_frame", "end_frame", rules.merge_gap).select(key, "start_frame", "end_frame")
     n = F.col("end_frame") - F.col("start_frame") + 1
-    found = written(found.where(n >= F.ceil(F.lit(rules.min_seconds * rules.fps))))
-    inside = bands.locate(rows.select(key, frame, score), found.withColumn("i", F.col("start_frame")), key, frame, "start_frame", "end_frame", "i")
-    level = inside.where("i is not null").groupBy(key, F.col("i").alias("start_frame")).agg(F.avg(score).alias("level"))
-    found = stats.reject_outliers(written(found.join(level, [key, "start_frame"])), "level", rules.outlier)
+    return written(found.where(n >= F.ceil(F.lit(rules.min_seconds * rules.fps)))), scores
+
+
+def cross_averages(found: DataFrame, vectors: DataFrame, key: str, frame: str, values: str) -> DataFrame:
+    """found with level: how far a segment's two middle frames are, on average, from those of all other segments (whole numbers).
+
+    Distances are mean absolute differences of vectors (key, frame, values); no pairs are made. A single segment has 0; a segment
+    without vectors of both frames has null.
+    """
+    halves = geo.middle_frames(F.col("start_frame"), F.col("end_frame"))
+    two = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), f.alias("f")) for i, f in enumerate(halves))))
+    wanted = found.select(key, "start_frame", two.alias("m")).select(key, "start_frame", "m.i", F.col("m.f").alias(frame))
+    held = wanted.join(vectors.select(key, frame, F.col(values).alias("_v")), [key, frame])
+    held = written(held.withColumn("_id", F.concat_ws("/", F.col(key).cast("string"), "start_frame", "i")))
+    totals = stats.absolute_differences(held, "_id", "_v")
+    each = held.join(totals, "_id").groupBy(key, "start_frame").agg(F.sum("total").alias("all"), F.max(F.when(F.col("i") == 0, F.col("_v"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("_v"))).alias("b"))
+    own = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, d: s + d)
+    n = found.agg((F.count("*") - 1).alias("others"))
+    level = F.when(F.col("others") == 0, 0).otherwise(F.rint((F.col("all") - 2 * own) / F.size("a") / (F.col("others") * 4)))
+    return found.join(each.join(F.broadcast(n)).select(key, "start_frame", level.cast("long").alias("level")), [key, "start_frame"], "left")
+
+
+def alike(found: DataFrame, vectors: DataFrame, key: str, frame: str, values: str, rules: SegmentRules) -> DataFrame:
+    """The segments near the one that is nearest to all others, within a share that is wider for fewer segments, without the outliers of these."""
+    told = written(cross_averages(found, vectors, key, frame, values))
+    bar = told.agg(F.min("level").alias("_least"), F.count("*").cast("double").alias("_n"))
+    near = told.join(F.broadcast(bar)).where(F.col("level") <= F.rint(F.col("_least") * (1 + geo.widening(F.col("_n"), most=rules.widest))))
+    near = written(near.select(key, "start_frame", "end_frame"))
+    again = written(cross_averages(near, vectors, key, frame, values))
+    return stats.reject_outliers(again, "level", rules.outlier).select(key, "start_frame", "end_frame")
+
+
+def cut_between(found: DataFrame, jumps: DataFrame, key: str, frame: str, jump: str, rules: SegmentRules) -> DataFrame:
+    """Segments joined over gaps of at most `bridge` frames without a cut, and their ends moved to cuts near by: key, start_frame, end_frame.
+
+    jumps: key, frame, and how much a frame differs from the one before. A cut is a jump of `spike` at least; at an end it must
+    also be the greatest within `around` frames and `over_median` times their median.
+    """
+    w = Window.partitionBy(key).orderBy("start_frame")
+    rows = found.withColumn("_before", F.lag("end_frame").over(w))
+    gaps = rows.where((F.col("_before") < F.col("start_frame")) & (F.col("start_frame") - F.col("_before") - 1 <= rules.bridge))
+    gaps = written(gaps.select(key, (F.col("_before") + 1).alias("_a"), F.col("start_frame").alias("_z"), F.col("start_frame").alias("_i")))
+    inside = bands.locate(jumps.select(key, frame, jump), gaps, key, frame, "_a", "_z", "_i").where("_i is not null")
+    top = inside.groupBy(key, F.col("_i").alias("start_frame")).agg(F.max(jump).alias("_top"))
+    small = gaps.select(key, F.col("_i").alias("start_frame"), F.lit(True).alias("_small"))
+    rows = rows.join(small, [key, "start_frame"], "left").join(top, [key, "start_frame"], "left")
+    joined = F.coalesce(F.col("_small") & (F.col("_top").isNull() | (F.col("_top") < rules.spike)), F.lit(False))
+    rows = rows.withColumn("_run", F.sum((~joined).cast("int")).over(w)).groupBy(key, "_run").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
+    rows = written(rows.drop("_run"))
+    for end, name in (("start_frame", "_first"), ("end_frame", "_after")):
+        about = bands.band_join(rows.select(key, F.col(end).alias(frame)), jumps.where(F.col(jump).isNotNull()).select(key, frame, jump), key, frame, rules.around)
+        told = about.groupBy(key, F.col(frame).alias(end)).agg(F.median(f"r_{jump}").alias("_med"), F.max(f"r_{jump}").alias("_top"), F.max_by(f"r_{frame}", F.struct(F.col(f"r_{jump}"), -F.col(f"r_{frame}"))).alias(name))
+        told = told.where((F.col("_top") >= rules.spike) & (F.col("_top") >= rules.over_median * F.greatest("_med", F.lit(1.0))))
+        rows = rows.join(told.select(key, end, name), [key, end], "left")
+    return folds.refine_boundaries(rows, key, "start_frame", "end_frame", "_first", "_after")
+
+
+def segment_scores(
+    scores: DataFrame, key: str, frame: str, score: str, rules: SegmentRules = SegmentRules(), excluded: DataFrame | None = None,
+    vectors: DataFrame | None = None, values: str = "v", jumps: DataFrame | None = None, jump: str = "jump",
+) -> DataFrame:
+    """Motion scores to segments in seconds: low runs, merged and without the short ones; those that look like the others; joined again and cut.
+
+    See low_segments, alike (with vectors of frames; without them the segments whose mean score is odd are dropped) and cut_between (with jumps).
+    """
+    found, scores = low_segments(scores, key, frame, score, rules, excluded)
+    if vectors is None:
+        inside = bands.locate(scores.select(key, frame, score), found.withColumn("i", F.col("start_frame")), key, frame, "start_frame", "end_frame", "i")
+        level = inside.where("i is not null").groupBy(key, F.col("i").alias("start_frame")).agg(F.avg(score).alias("level"))
+        found = stats.reject_outliers(written(found.join(level, [key, "start_frame"])), "level", rules.outlier).select(key, "start_frame", "end_frame")
+    else:
+        found = alike(found, vectors, key, frame, values, rules)
+    if jumps is not None:
+        found = runs.merge_intervals(found, key, "start_frame", "end_frame", rules.final_gap).select(key, "start_frame", "end_frame")
+        found = cut_between(written(found), jumps, key, frame, jump, rules)
     return found.select(key, "start_frame", "end_frame").withColumns(geo.segment_seconds(F.col("start_frame"), F.col("end_frame"), rules.fps))
 
 

@@ -76,38 +76,108 @@ def test_blobs_over_the_table(spark):
     assert {r.g: (r.x, r.y, r.conf) for r in closing_queries.j04(spark, SF).collect()} == track
 
 
-def test_segments_over_the_table(spark, series):
-    """J15: low runs under the threshold, merged, without the short and the odd ones."""
-    from seriesloom.operators import stats
+def cross_levels(found, vector):
+    """For each segment the mean distance of its two middle frames' vectors from those of every other segment, pair by pair."""
+    def middles(seg, a, z):
+        h = a + (z + 1 - a) // 2
+        return [vector[seg, (a + h) // 2], vector[seg, (h + z + 1) // 2]]
+
+    own = [middles(*f) for f in found]
+    levels = []
+    for i, mine in enumerate(own):
+        total = sum(sum(abs(p - q) for p, q in zip(v, w, strict=True)) / len(v) for j, other in enumerate(own) if j != i for v in mine for w in other)
+        levels.append(round(total / ((len(own) - 1) * 4)) if len(own) > 1 else 0)
+    return levels
+
+
+def middle(values):
+    v = sorted(values)
+    return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
 
-    bar = stats.otsu3(frames(spark, SF).where("frame % 40 <> 11"), F.col("y")).first()[0]
-    rules, want = stages.SegmentRules(), []
+def without_odd(found, levels, k):
+    m = middle(levels)
+    odd = [f for f, v in zip(found, levels, strict=True) if v > k * m]
+    return [f for f in found if f not in odd] if len(levels) >= 8 and m > 0 and len(odd) <= 0.3 * len(levels) else found
+
+
+def low_runs(series, bar, rules):
+    want = []
     for seg, rows in series.items():
         runs = []
         for r in rows:
             if r.y < bar and r.frame % 40 != 11:
-                if runs and r.frame - runs[-1][1] - 1 <= 0:
+                if runs and r.frame - runs[-1][1] <= rules.merge_gap:
                     runs[-1][1] = r.frame
                 else:
                     runs.append([r.frame, r.frame])
-        merged = []
-        for a, z in runs:
-            if merged and a - merged[-1][1] <= rules.merge_gap:
-                merged[-1][1] = max(z, merged[-1][1])
+        want += [(seg, a, z) for a, z in runs if z - a + 1 >= math.ceil(rules.min_seconds * rules.fps)]
+    return want
+
+
+def threshold(spark):
+    from seriesloom.operators import stats
+
+    return stats.otsu3(frames(spark, SF).where("frame % 40 <> 11"), F.col("y")).first()[0]
+
+
+def test_segments_by_their_mean_score(spark, series):
+    rules = stages.SegmentRules()
+    found = low_runs(series, threshold(spark), rules)
+    y = {(seg, r.frame): r.y for seg, rows in series.items() for r in rows}
+    levels = [sum(y[seg, f] for f in range(a, z + 1)) / (z - a + 1) for seg, a, z in found]
+    rows = frames(spark, SF)
+    got = stages.segment_scores(rows, "seg", "frame", "y", excluded=rows.where("frame % 40 = 11").select("seg", "frame")).collect()
+    assert sorted((r.seg, r.start_frame, r.end_frame) for r in got) == sorted(without_odd(found, levels, rules.outlier))
+    assert all(r.start_sec == round(r.start_frame / 25, 3) for r in got)
+
+
+def test_segments_over_the_table(spark, series):
+    """J15, all its steps: low runs; near the nearest by cross-frame averages, without outliers; joined where no cut is between; moved to cuts."""
+    rules = stages.SegmentRules(widest=0.4, bridge=3, spike=70.0, around=3)
+    vector = {(seg, r.frame): (float(r.x), r.y / 2) for seg, rows in series.items() for r in rows}
+    found = low_runs(series, threshold(spark), rules)
+    levels = cross_levels(found, vector)
+    wider = 0.4 if len(found) <= 10 else 0.0 if len(found) >= 40 else 0.4 * (40 - len(found)) / 30
+    near = [f for f, v in zip(found, levels, strict=True) if v <= round(min(levels) * (1 + wider))]
+    kept = without_odd(near, cross_levels(near, vector), rules.outlier)
+    assert 0 < len(kept) <= len(near) < len(found)
+    want, moved, bridged = [], 0, 0
+    for seg, rows in series.items():
+        jump = {b.frame: abs(b.y - a.y) for a, b in zip(rows, rows[1:], strict=False)}
+        own = []
+        for _, a, z in sorted(f for f in kept if f[0] == seg):
+            gap = a - own[-1][1] - 1 if own else None
+            if own and (gap <= 0 or gap <= rules.bridge and max(jump[f] for f in range(own[-1][1] + 1, a + 1)) < rules.spike):
+                own[-1][1], bridged = z, bridged + 1
             else:
-                merged.append([a, z])
-        for a, z in merged:
-            if z - a + 1 >= math.ceil(rules.min_seconds * rules.fps):
-                inside = [r.y for r in rows if a <= r.frame <= z]
-                want.append((seg, a, z, sum(inside) / len(inside)))
-    levels = sorted(w[3] for w in want)
-    middle = (levels[(len(levels) - 1) // 2] + levels[len(levels) // 2]) / 2
-    odd = [w for w in want if w[3] > rules.outlier * middle]
-    if len(levels) >= 8 and len(odd) <= 0.3 * len(levels):
-        want = [w for w in want if w not in odd]
+                own.append([a, z])
+
+        def cut(at, jump=jump):
+            about = {f: jump[f] for f in range(at - rules.around, at + rules.around + 1) if f in jump}
+            best = min(about, key=lambda f: (-about[f], f))
+            return best if about[best] >= rules.spike and about[best] >= 3 * max(middle(about.values()), 1) else None
+
+        last = -1
+        for i, (a, z) in enumerate(own):
+            c, d = cut(a), cut(z)
+            low, high = max(a if c is None else c, last + 1), z if d is None else d - 1
+            high = min(high, own[i + 1][0] - 1) if i + 1 < len(own) else high
+            low, high = (low, high) if low <= high else (a, z)
+            moved += (low, high) != (a, z)
+            want.append((seg, low, high))
+            last = high
     got = stage_queries.j15(spark, SF).collect()
-    assert sorted((r.seg, r.start_frame, r.end_frame) for r in got) == sorted(w[:3] for w in want)
-    assert all(r.start_sec == round(r.start_frame / 25, 3) for r in got)
+    assert sorted((r.seg, r.start_frame, r.end_frame) for r in got) == sorted(want) and moved
+    assert all(r.duration_sec == pytest.approx((r.end_frame - r.start_frame) / 25) for r in got)
+
+
+def test_gaps_are_bridged_unless_there_is_a_cut(spark):
+    found = spark.createDataFrame([(1, 0, 9), (1, 13, 20), (1, 24, 30), (1, 60, 70)], "k int, start_frame int, end_frame int")
+    jumps = spark.createDataFrame([(1, f, 90.0 if f in (22, 58) else 40.0 if f == 11 else 1.0) for f in range(1, 75)], "k int, frame int, jump double")
+    got = stages.cut_between(found, jumps, "k", "frame", "jump", stages.SegmentRules(bridge=5, spike=70.0, around=3)).collect()
+    # 11 is no cut; at 22 one is, where the first ends and, as it may not begin sooner, the second stays; 58 begins the last
+    assert sorted((r.start_frame, r.end_frame) for r in got) == [(0, 21), (22, 30), (58, 70)]
 
 
 def test_a_single_scene_is_one_segment(spark):
