@@ -225,7 +225,7 @@ def j07(spark, sf):
 d as (select *, x1 - x2 a, x3 - x2 b, x0 - x1 + x2 - x3 s, y1 - y2 c, y3 - y2 e, y0 - y1 + y2 - y3 t from q),
 g as (select *, (s * e - b * t) / (a * e - b * c) g, (a * t - s * c) / (a * e - b * c) h from d),
 p as (select *, g * u + h * v + 1 w from g)
-select seg, round(((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / w, 4) px, round(((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / w, 4) py, 0.0 bu, 0.0 bv from p""",
+select seg, round(((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / w, 4) px, round(((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / w, 4) py, cast(0 as double) bu, cast(0 as double) bv from p""",
 )
 def j20(spark, sf):
     """A point of the unit square in a quad of each user's own, and how far off it comes back."""
