@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import COURT_LENGTH, COURT_WIDTH
 
@@ -38,10 +42,17 @@ def widening(lowest: Column, low: float = 10.0, high: float = 40.0, most: float
     return F.when(lowest <= low, most).when(lowest >= high, 0.0).otherwise(most * (high - lowest) / (high - low))
 
 
+def _whole_degrees(dy: pd.Series, dx: pd.Series) -> pd.Series:
+    """The whole degrees of directions, cut towards 0; null where a part is."""
+    turn = (math.degrees(math.atan2(a, b)) for a, b in zip(dy.tolist(), dx.tolist(), strict=True))
+    return pd.Series([None if math.isnan(t) else int(t) for t in turn], dtype="Int32")
+
+
 def angle_between(dx1: Column, dy1: Column, dx2: Column, dy2: Column) -> Column:
     """Degrees between two directions; each angle is cut to a whole number first. Same signs: their difference, else their sum, at most 180."""
-    a = F.degrees(F.atan2(dy1, dx1)).cast("int")
-    b = F.degrees(F.atan2(dy2, dx2)).cast("int")
+    # the C library's atan2: Java's differs from it in the last bit, which tells where an angle is all but a whole number
+    whole = F.pandas_udf(_whole_degrees, T.IntegerType())
+    a, b = whole(dy1, dx1), whole(dy2, dx2)
     out = F.when(a * b >= 0, F.abs(a - b)).otherwise(F.abs(a) + F.abs(b))
     return F.when(out > 180, 360 - out).otherwise(out)
 

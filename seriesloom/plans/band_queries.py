@@ -172,7 +172,7 @@ select seg, frame, round(sqrt(ix * ix + iy * iy), 4) speed_in, round(sqrt(ox * o
 def f11(spark, sf):
     d = {"ix": F.col("x") - F.lag("x", 3).over(by_frame()), "iy": F.col("y") - F.lag("y", 3).over(by_frame()), "ox": F.lead("x", 3).over(by_frame()) - F.col("x"), "oy": F.lead("y", 3).over(by_frame()) - F.col("y")}
     rows = frames(spark, sf).withColumns(d).where("ix is not null and ox is not null")
-    c = [F.col(k) for k in d]
+    c = [F.col(k).cast("double") for k in d]
     return rows.select("seg", "frame", r4(F.hypot(c[0], c[1])).alias("speed_in"), r4(F.hypot(c[2], c[3])).alias("speed_out"), geo.angle_between(*c).alias("turn"))
 
 

@@ -46,7 +46,7 @@ t as (select event_id, case when a * b >= 0 then abs(a - b) else abs(a) + abs(b)
 )
 def b05(spark, sf):
     x, y = F.col("x") - 50, F.col("y") - 30
-    return frames(spark, sf).select("event_id", geo.angle_between(x, y, -y, x).alias("angle"))
+    return frames(spark, sf).select("event_id", geo.angle_between(x, y, 30 - F.col("y"), x).alias("angle"))
 
 
 @query(

@@ -128,6 +128,15 @@ def test_angles_are_cut_first(spark):
     assert one(spark, geo.angle_between(*map(F.lit, (-1.0, 0.1, -1.0, -0.1)))) == 12
 
 
+def test_angles_next_to_a_whole_number_are_as_in_sql(spark):
+    import duckdb
+
+    for dy, dx in ((-5.0000000000000036, -5.0), (-17.769999999999996, 12.0), (0.0, -3.0), (30.000000000000004, 30.0)):
+        want = abs(duckdb.sql(f"select cast(trunc(degrees(atan2({dy}::double, {dx}::double))) as int)").fetchall()[0][0])
+        assert one(spark, geo.angle_between(*map(F.lit, (1.0, 0.0, dx, dy)))) == want
+    assert one(spark, geo.angle_between(F.lit(1.0), F.lit(0.0), F.lit(None).cast("double"), F.lit(1.0))) is None
+
+
 def test_two_ground_points_differ(spark):
     ankles = [(F.lit(0.0), F.lit(5.0), F.lit(0.1)), (F.lit(4.0), F.lit(6.0), F.lit(0.1))]
     box = [F.lit(v) for v in (0.0, 0.0, 10.0, 20.0)]
