@@ -95,21 +95,25 @@ def quad_overlap(quads: DataFrame, mask: DataFrame, keys: list[str], key: str, w
     """
     at = lambda i, k: F.get(F.get("corners", F.lit(i % 4)), F.lit(k)).cast("long").cast("double")
     top, bottom = F.least(*(at(i, 1) for i in range(4))), F.greatest(*(at(i, 1) for i in range(4)))
-    rows = written(quads.select(*keys, "corners")).withColumn("_a", F.greatest(F.lit(0), top).cast("long")).withColumn("_z", F.least(F.lit(height - 1), bottom).cast("long"))
-    rows = rows.withColumn("row", F.explode_outer(F.when(F.col("_a") <= F.col("_z"), F.sequence("_a", "_z"))))
+    edges = F.array(*(F.struct(*(at(i + j, k).alias(f"{n}{j + 1}") for j in range(2) for k, n in enumerate("xy"))) for i in range(4)))
+    rows = quads.select(*keys, edges.alias("_edges"), F.greatest(F.lit(0), top).cast("long").alias("_top"), F.least(F.lit(height - 1), bottom).cast("long").alias("_bottom"))
+    rows = written(rows)
     y = F.col("row").cast("double")
-    cross = []
-    for i in range(4):
-        (x1, y1), (x2, y2) = (at(i, 0), at(i, 1)), (at(i + 1, 0), at(i + 1, 1))
-        within = (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2))
-        level = F.when(within & (y1 == y2), x1)  # the next edge has its other end
-        cross.append(F.coalesce(level, F.when(within, x1 + (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)))))
-    first, last = F.floor(F.least(*cross) + 0.5), F.floor(F.greatest(*cross) + 0.5)
-    spans = rows.select(*keys, "row", F.greatest(F.lit(0), first).alias("_a"), F.least(F.lit(width - 1), last).alias("_z"))
-    area = F.sum(F.greatest(F.lit(0), F.col("_z") - F.col("_a") + 1))
-    held = spans.join(mask.select(F.col(key).alias("_k"), F.col("row").alias("_row"), "first", "last"), (F.col(key) == F.col("_k")) & (F.col("row") == F.col("_row")))
+
+    def cross(e: Column) -> Column:
+        within = (y >= F.least(e.y1, e.y2)) & (y <= F.greatest(e.y1, e.y2))
+        # of a level edge the next one has its other end
+        return F.when(within, F.when(e.y1 == e.y2, e.x1).otherwise(e.x1 + (e.x2 - e.x1) * (y - e.y1) / F.nullif(e.y2 - e.y1, F.lit(0.0))))
+
+    met = F.transform("_edges", cross)
+    ends = [F.greatest(F.lit(0), F.floor(F.array_min(met) + 0.5)).alias("_a"), F.least(F.lit(width - 1), F.floor(F.array_max(met) + 0.5)).alias("_z")]
+    # scanlines are added up where they are made; only the quads themselves meet the mask, by key
+    spans = rows.withColumn("row", F.explode_outer(F.when(F.col("_top") <= F.col("_bottom"), F.sequence("_top", "_bottom")))).select(*keys, *ends)
+    told = spans.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("_z") - F.col("_a") + 1)).alias("_area"))
+    held = rows.join(mask.select(F.col(key).alias("_k"), "row", "first", "last"), (F.col(key) == F.col("_k")) & F.col("row").between(F.col("_top"), F.col("_bottom")))
+    held = held.select(*keys, "first", "last", *ends)
     both = held.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.least("_z", "last") - F.greatest("_a", "first") + 1)).alias("_both"))
-    told = spans.groupBy(*keys).agg(area.alias("_area")).join(both, keys, "left")
+    told = told.join(both, keys, "left")
     share = F.when(F.col("_area") >= least, F.coalesce("_both", F.lit(0)) / F.col("_area")).otherwise(0.0)
     return told.select(*keys, F.coalesce(share, F.lit(0.0)).alias("overlap"))
 

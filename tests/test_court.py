@@ -84,6 +84,22 @@ def test_quads_over_masks(spark):
     assert got == pytest.approx(want, abs=0.004)
 
 
+def multiplied(node, joined=False):
+    """Whether a plan joins rows that were multiplied out and not yet added up."""
+    joined = node.nodeName() == "Join" or joined and node.nodeName() != "Aggregate"
+    if joined and node.nodeName() == "Generate":
+        return True
+    return any(multiplied(node.children().apply(i), joined) for i in range(node.children().size()))
+
+
+def test_scanlines_are_added_up_before_a_join(spark):
+    """Spark takes a table to stay as small as it was when its rows are multiplied, and would broadcast them."""
+    quads = spark.createDataFrame([(1, [[0.0, 0.0], [40.0, 0.0], [40.0, 60.0], [0.0, 60.0]])], "k long, corners array<array<double>>")
+    found = court.quad_overlap(quads, spark.createDataFrame([(1, 5, 0, 19)], "k long, row long, first long, last long"), ["k"], "k", 90, 80)
+    assert not multiplied(found._jdf.queryExecution().optimizedPlan())
+    assert found.collect()[0].overlap == 20 / (41 * 61)
+
+
 def made_points(rng, view, n=900, strays=150):
     out = []
     for _ in range(n):
