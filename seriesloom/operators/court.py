@@ -7,10 +7,12 @@ cut to the longest ones, and what is multiplied out by key is bounded by that.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,21 +64,40 @@ def vanishing_points(df: DataFrame, keys: list[str], name: str, rounds: int = 30
     first. Keys with fewer than two lines, or with parallel ones only, have no row.
     """
     order = Window.partitionBy(*keys).orderBy(F.desc("length"), name)
-    told = lines(df).withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
-    told = written(told.select(*keys, "i", "a", "b", "c", "mx", "my", "length"))
-    n = told.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    drawn = n.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    h = F.md5(F.concat_ws("/", *(F.col(k).cast("string") for k in keys), F.col("round").cast("string")))
-    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
-    drawn = drawn.withColumn("p", part(1) % F.col("n")).withColumn("q", (F.col("p") + 1 + part(9) % (F.col("n") - 1)) % F.col("n"))
-    one = told.select(*keys, (F.col("i") - 1).alias("p"), *(F.col(c).alias(f"p{c}") for c in "abc"))
-    two = told.select(*keys, (F.col("i") - 1).alias("q"), *(F.col(c).alias(f"q{c}") for c in "abc"))
-    vx, vy = _meet(("pa", "pb", "pc"), ("qa", "qb", "qc"))
-    guess = drawn.join(one, [*keys, "p"]).join(two, [*keys, "q"]).select(*keys, "round", "n", vx.alias("vx"), vy.alias("vy")).where("vx is not null")
-    votes = guess.join(told, keys).where(_off("vx", "vy") < tolerance)
-    votes = votes.groupBy(*keys, "round", "n", "vx", "vy").agg(F.round(F.sum("length"), 3).alias("weight"), F.count("*").alias("inliers"))
-    best = F.max_by(F.struct("vx", "vy", "weight", "inliers", "n"), F.struct(F.col("weight"), -F.col("round")))
-    return votes.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    told = lines(df).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= most).dropna(subset=keys)
+    parts = ("a", "b", "c", "mx", "my", "length")
+    packed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *parts))).alias("_lines")).where(F.size("_lines") > 1)
+    packed = packed.withColumn("_name", F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
+    kinds = dict(packed.dtypes)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_lines")
+            cuts, flat = lists.offsets.to_numpy(), [lists.values.field(c).to_numpy(zero_copy_only=False) for c in parts]
+            found = [_best_point(name, rounds, tolerance, *(v[lo:hi] for v in flat)) for name, lo, hi in zip(batch.column("_name").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+            at = [i for i, f in enumerate(found) if f is not None]
+            told = [pa.array([found[i][j] for i in at], pa.float64() if j < 3 else pa.int64()) for j in range(5)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), *told], [*keys, "vx", "vy", "weight", "inliers", "n"])
+
+    return packed.mapInArrow(vote, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "vx double, vy double, weight double, inliers long, n long"]))
+
+
+def _best_point(name: str, rounds: int, tolerance: float, a: np.ndarray, b: np.ndarray, c: np.ndarray, mx: np.ndarray, my: np.ndarray, length: np.ndarray) -> tuple | None:
+    """vx, vy, weight, inliers and n of a key's heaviest hypothesis; see vanishing_points(). At most rounds times lines votes are held."""
+    n = len(a)
+    drawn = np.frombuffer(b"".join(hashlib.md5(f"{name}/{i}".encode()).digest()[:8] for i in range(rounds)), dtype=">u4").reshape(-1, 2).astype(np.int64)
+    p = drawn[:, 0] % n
+    q = (p + 1 + drawn[:, 1] % (n - 1)) % n
+    det = a[p] * b[q] - a[q] * b[p]
+    p, q, det = (v[np.abs(det) >= 1e-9] for v in (p, q, det))
+    vx, vy = ((b[p] * c[q] - b[q] * c[p]) / det)[:, None], ((c[p] * a[q] - c[q] * a[p]) / det)[:, None]
+    gone = np.sqrt((vx - mx) * (vx - mx) + (vy - my) * (vy - my))
+    votes = np.abs(a * vx + b * vy + c) / (gone + 1e-9) < tolerance
+    weight = np.where(votes.any(axis=1), np.floor((votes * length).sum(axis=1) * 1000 + 0.5) / 1000, -1.0)
+    if not (weight >= 0).any():
+        return None
+    best = int(weight.argmax())  # the first of equal ones
+    return float(vx[best, 0]), float(vy[best, 0]), float(weight[best]), int(votes[best].sum()), n
 
 
 def on_points(df: DataFrame, points: DataFrame, keys: list[str], tolerance: float = 0.02, least: int = 3) -> DataFrame:

@@ -36,6 +36,13 @@ def test_a_planted_vanishing_point_is_found(spark):
     assert {(1, i) for i in range(40) if i % 4} <= held and (2, 0) in held and (4, 0) not in held
 
 
+def test_hypotheses_are_not_joined(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 5.0), (1, 1, 9.0, 0.0, 5.0, 6.0), (None, 0, 0.0, 0.0, 5.0, 5.0), (None, 1, 9.0, 0.0, 5.0, 6.0)], "k long, i long, x1 double, y1 double, x2 double, y2 double")
+    found = court.vanishing_points(df, ["k"], "i")
+    assert not multiplied(found._jdf.queryExecution().optimizedPlan())
+    assert [(r.k, r.n) for r in found.collect()] == [(1, 2)]
+
+
 def test_vanishing_points_of_the_table_are_the_views(spark):
     """Steep lines meet where w is 0 in the direction down the court."""
     got = {r.seg: r for r in q.j16(spark, SF).where("family = 'steep'").collect()}
