@@ -188,79 +188,135 @@ def valid_views(df: DataFrame, width: int, height: int) -> DataFrame:
     return df.where(valid("view"))
 
 
-#: The sums of the normal equations: monomials of a court point, each times 1, u, v and u² + v² of its image.
-_SUMS = [f"{m}_{k}" for m in ("xx", "xy", "yy", "x", "y", "one") for k in ("1", "u", "v", "uv")]
-
-
-def _nearest_lines(views: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For points, each with its view: the place on the nearest court line (in metres), and its squared distance in the image."""
-    back = np.linalg.inv(views)
-    cx, cy, cw = np.einsum("nij,jn->in", back, np.stack([x, y, np.ones(len(x))]))
-    cx, cy = cx / cw, cy / cw
-    on = np.stack([np.stack([np.full_like(cx, v), cy]) for v in ACROSS] + [np.stack([cx, np.full_like(cx, v)]) for v in DOWN])  # line, xy, point
-    u, v, w = np.einsum("nij,ljn->iln", views, np.concatenate([on, np.ones_like(on[:, :1])], axis=1))
-    d = (u / w - x) ** 2 + (v / w - y) ** 2
-    best = d.argmin(axis=0)
-    return on[best, :, np.arange(len(x))].T, d[best, np.arange(len(x))]
-
-
-def _solve(r: dict) -> np.ndarray | None:
-    """The view of least squares from a row's sums; null of too few points or of a singular system."""
-    place = {(0, 0): "xx", (0, 1): "xy", (1, 1): "yy", (0, 2): "x", (1, 2): "y", (2, 2): "one"}
-    one, u, v, uv = (np.array([[r[f"{place[min(i, j), max(i, j)]}_{k}"] for j in range(3)] for i in range(3)]) for k in ("1", "u", "v", "uv"))
-    left = np.zeros((8, 8))
-    left[:3, :3] = left[3:6, 3:6] = one
-    left[:3, 6:], left[3:6, 6:], left[6:, 6:] = -u[:, :2], -v[:, :2], uv[:2, :2]
-    left[6:, :6] = left[:6, 6:].T
-    if not r["enough"] or np.linalg.cond(left) > 1e13:
+#: The sums of the normal equations: for each of the court's lines, moments of the image points next to it.
+_SUMS = [f"{m}_{i}" for i in range(len(ACROSS) + len(DOWN)) for m in ("uu", "uv", "vv", "u", "v", "one")]
+#: A line as a share of the three rows of the image's way back to the court.
+_LINES = np.array([(1, 0, -v / METRES) for v in ACROSS] + [(0, 1, -v / METRES) for v in DOWN])
+
+
+def _back(view: np.ndarray) -> np.ndarray:
+    """The way back of a view, in units of METRES and PIXELS, of length 1."""
+    back = np.linalg.inv(view / [[PIXELS], [PIXELS], [1.0]] * [[METRES, METRES, 1.0]])
+    return back / np.linalg.norm(back)
+
+
+def _sums(view: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float) -> tuple[int, np.ndarray]:
+    """How many points are in reach of the view's lines in the image, and their sums (see _SUMS): each point counts to the line it is nearest to."""
+    lines_ = _LINES @ _back(view)
+    lines_ = lines_ / np.hypot(lines_[:, 0], lines_[:, 1])[:, None]
+    p = np.stack([x / PIXELS, y / PIXELS, np.ones(len(x))])
+    d = np.abs(lines_ @ p) * PIXELS
+    best, d = d.argmin(axis=0), d.min(axis=0)
+    near = d < reach
+    (u, v, one), best = p[:, near], best[near]
+    weight = 1 / (1 + (d[near] / reach) ** 2)
+    own = np.where(best == np.arange(len(_LINES))[:, None], weight, 0.0)
+    return len(u), (own @ np.stack([u * u, u * v, v * v, u, v, one]).T).ravel()
+
+
+def _solve(view: np.ndarray, near: int, sums: np.ndarray, least: int) -> np.ndarray | None:
+    """The view moved by the step of least squares of distances from lines; null of too few points or of a singular system.
+
+    A line in the image is a sum of the rows of the way back, so distances are linear in it, but for the line's length, which
+    is taken as it was.
+    """
+    if near < least:
+        return None
+    back = _back(view)
+    lines_ = _LINES @ back
+    moments = sums.reshape(-1, 6)[:, [0, 1, 3, 1, 2, 4, 3, 4, 5]].reshape(-1, 3, 3) / (lines_[:, :1, None] ** 2 + lines_[:, 1:2, None] ** 2)
+    q = np.einsum("li,lj,lab->iajb", _LINES, _LINES, moments).reshape(9, 9)
+    g = back.ravel()
+    # the way back keeps its length
+    full = q + np.trace(q) * np.outer(g, g)
+    if not np.isfinite(full).all() or np.linalg.cond(full) > 1e13:
         return None
-    h = np.append(np.linalg.solve(left, np.concatenate([u[:, 2], v[:, 2], -uv[:2, 2]])), 1.0).reshape(3, 3)
-    return (h * [[PIXELS], [PIXELS], [1.0]] / [[METRES, METRES, 1.0]]).ravel()
+    found = np.zeros((10, 10))
+    found[:9, :9], found[9, :9], found[:9, 9] = q, g, g
+    h = np.linalg.inv((g + np.linalg.solve(found, np.append(-q @ g, 0.0))[:9]).reshape(3, 3))
+    return h / h[2, 2] * [[PIXELS], [PIXELS], [1.0]] / [[METRES, METRES, 1.0]]
+
+
+def _reach(i: int) -> float:
+    return max(5.0, 26.0 - 2.2 * i)
 
 
-def fit_views(points: DataFrame, views: DataFrame, keys: list[str], key: str, rounds: int = 10, least: int = 12) -> DataFrame:
+def _fitted(view: np.ndarray, u: np.ndarray, v: np.ndarray, rounds: int, least: int) -> tuple[int, np.ndarray]:
+    """All rounds over the points of one view: points within the last round's reach, and the view."""
+    near = 0
+    for i in range(rounds):
+        near, sums = _sums(view, u, v, _reach(i))
+        found = _solve(view, near, sums, least)
+        if found is None:
+            return 0, view
+        view = found
+    return near, view
+
+
+def _lists(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """A batch's lists of doubles, row by row; empty where they are null."""
+    held = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in map(batch.column, names)]
+    for i in range(len(batch)):
+        yield tuple(values[cuts[i] : cuts[i + 1]] for cuts, values in held)
+
+
+def fit_views(points: DataFrame, views: DataFrame, keys: list[str], key: str, rounds: int = 10, least: int = 12, most: int = 1 << 16) -> DataFrame:
     """keys, view and near (points within the last round's reach): views moved onto the points of their key.
 
     Each round takes a point to the nearest of the court's lines in the image, leaves out those beyond a reach that shrinks
-    from round to round, and fits the view to the others by least squares, in which a point counts less the further it is off
-    (by half at the reach). Spark adds up the normal equations, 24 sums a view, with partial sums first; each is then
-    solved by itself. A view with fewer than `least` points in reach stays as it is from then on.
+    from round to round, and moves the view by least squares of the others' distances from their lines, in which a point counts less the
+    further it is off (by half at the reach). A view with fewer than `least` points in reach stays as it is from then on, with near 0.
+
+    Points go in pieces of at most `most`. A key of no more is fitted in one go; of a larger one each piece gives the sums of its
+    normal equations, six a line, in each round, and Spark adds them up.
     """
-    seen_at = points.select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-    now = views.select(*keys, "view").withColumn("done", F.lit(False))
-    kinds = dict(now.dtypes)
-    sums = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "near long", *(f"{n} double" for n in _SUMS)])
+    seen_at = points.select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).dropna()
+    piece = F.floor(F.monotonically_increasing_id() / most)
+    packed = written(seen_at.groupBy("_k", piece.alias("_piece")).agg(F.collect_list("_x").alias("_x"), F.collect_list("_y").alias("_y")))
+    sizes = packed.groupBy("_k").agg(F.sum(F.size("_x")).alias("_n"))
+    small, large = sizes.where(F.col("_n") <= most).drop("_n"), written(sizes.where(F.col("_n") > most).drop("_n"))
+    whole = packed.join(small, "_k").groupBy("_k").agg(F.flatten(F.collect_list("_x")).alias("_x"), F.flatten(F.collect_list("_y")).alias("_y"))
+    kinds = dict(views.dtypes)
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    floats = pa.list_(pa.float64())
+
+    def rows_of(batch: pa.RecordBatch, **told: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(batch.column, keys), *told.values()], [*keys, *told])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_fitted(h.reshape(3, 3), x, y, rounds, least) for h, x, y in _lists(batch, "view", "_x", "_y")]
+            yield rows_of(batch, view=pa.array([h.ravel() for _, h in found], floats), near=pa.array([n for n, _ in found], pa.int64()))
+
+    at = F.col(key) == F.col("_k")
+    empty = F.array().cast("array<double>")
+    rows = views.join(large.withColumnRenamed("_k", "_large"), F.col(key) == F.col("_large"), "left_anti").join(whole, at, "left")
+    done = rows.select(*keys, F.col("view").cast("array<double>").alias("view"), F.coalesce("_x", empty).alias("_x"), F.coalesce("_y", empty).alias("_y")).mapInArrow(fit, f"{names}, view array<double>, near long")
+    if large.isEmpty():
+        return written(done)
+    now = views.join(large, at, "left_semi").select(*keys, "view", F.lit(0).cast("long").alias("near"), F.lit(False).alias("done"))
+    pieces = packed.join(large, "_k", "left_semi").drop("_piece")
     for i in range(rounds):
-        reach = max(5.0, 26.0 - 2.2 * i)
         told = written(now)
 
-        def add_up(parts: Iterator[pd.DataFrame], reach: float = reach) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                view = np.array(p["view"].tolist(), dtype=float).reshape(-1, 3, 3)
-                u, v = p["_x"].to_numpy(), p["_y"].to_numpy()
-                (x, y), d = _nearest_lines(view, u, v)
-                depth = view[:, 2, 0] * x + view[:, 2, 1] * y + view[:, 2, 2]
-                weight = (d < reach * reach) / ((1 + d / reach**2) * depth * depth)
-                x, y, u, v = x / METRES, y / METRES, u / PIXELS, v / PIXELS
-                mono = np.stack([x * x, x * y, y * y, x, y, np.ones(len(x))]) * weight
-                each = (mono[:, None] * np.stack([np.ones(len(u)), u, v, u * u + v * v])).reshape(len(_SUMS), -1)
-                own = p[keys].assign(near=(d < reach * reach).astype(int), **dict(zip(_SUMS, each, strict=True)))
-                yield own.groupby(keys, dropna=False, as_index=False).sum()
-
-        rows = few(told.where(~F.col("done"))).join(seen_at, F.col(key) == F.col("_k")).select(*keys, "view", "_x", "_y")
-        parts = rows.mapInPandas(add_up, sums)
-        summed = parts.groupBy(*keys).agg(F.sum("near").alias("near"), *(F.sum(n).alias(n) for n in _SUMS))
-        n = F.coalesce("near", F.lit(0))
-        both = told.drop("near").join(summed, keys, "left").select(*keys, "view", n.alias("near"), (~F.col("done") & (n >= least)).alias("enough"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in _SUMS))
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                found = [_solve(r) for r in p.to_dict("records")]
-                views_ = [list(v) if h is None else h.tolist() for v, h in zip(p["view"], found, strict=True)]
-                yield p[[*keys, "near"]].assign(view=views_, done=[h is None for h in found])
-
-        now = both.mapInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "near long", "view array<double>", "done boolean"]))
-    return written(now).select(*keys, "view", "near")
+        def add_up(batches: Iterator[pa.RecordBatch], reach: float = _reach(i)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_sums(h.reshape(3, 3), x, y, reach) for h, x, y in _lists(batch, "view", "_x", "_y")]
+                each = np.array([s for _, s in found]).reshape(len(found), -1).T
+                yield rows_of(batch, near=pa.array([n for n, _ in found], pa.int64()), **{c: pa.array(v) for c, v in zip(_SUMS, each, strict=True)})
+
+        parts = few(told.where(~F.col("done"))).join(pieces, at).select(*keys, "view", "_x", "_y").mapInArrow(add_up, f"{names}, near long, " + ", ".join(f"{n} double" for n in _SUMS))
+        summed = parts.groupBy(*keys).agg(F.sum("near").alias("near"), F.array(*(F.sum(n) for n in _SUMS)).alias("_sums"))
+        both = told.drop("near").join(summed, keys, "left").select(*keys, "view", F.coalesce("near", F.lit(0).cast("long")).alias("near"), F.coalesce("_sums", empty).alias("_sums"))
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = zip(batch.column("near").to_pylist(), _lists(batch, "view", "_sums"), strict=True)
+                found = [(n, h, _solve(h.reshape(3, 3), n, sums, least) if len(sums) else None) for n, (h, sums) in lists]
+                yield rows_of(batch, view=pa.array([h if new is None else new.ravel() for _, h, new in found], floats), near=pa.array([0 if new is None else n for n, _, new in found], pa.int64()), done=pa.array([new is None for *_, new in found]))
+
+        now = both.mapInArrow(solve, f"{names}, view array<double>, near long, done boolean")
+    return written(done.unionByName(now.drop("done")))
 
 
 def supported(points: DataFrame, key: str, reach: float = 4.0) -> DataFrame:

@@ -135,6 +135,21 @@ def test_a_view_is_recovered_from_noisy_points(spark):
     assert got[2].view == views[1][1] and got[3].view == views[2][1]  # under 12 points a view stays
 
 
+def test_large_keys_are_fitted_as_small_ones(spark):
+    rng = np.random.default_rng(5)
+    shift = VIEW + np.array([[0, 0, 9.0], [0, 0, -7.0], [0, 0, 0]])
+    points = [(1, *p) for p in made_points(rng, VIEW)] + [(2, *p) for p in made_points(rng, VIEW, 200, 20)] + [(2, None, 1.0)]
+    views = spark.createDataFrame([(k, n, shift.ravel().tolist()) for k in (1, 2, 3) for n in "ab"], "k long, n string, view array<double>")
+    df = spark.createDataFrame(points, "k long, x double, y double").repartition(3)
+    a, b = ({(r.k, r.n): r for r in court.fit_views(df, views, ["k", "n"], "k", most=m).collect()} for m in (1 << 16, 300))
+    assert len(a) == len(b) == 6
+    for at, r in a.items():
+        assert b[at].near == r.near and b[at].view == pytest.approx(r.view, rel=1e-6, abs=1e-9)
+    assert a[3, "a"].near == 0
+    found = np.array(a[1, "a"].view).reshape(3, 3)
+    assert max(math.dist(image(found, x, y), image(VIEW, x, y)) for x in (0, 6.1) for y in (0, 13.41)) < 1
+
+
 def test_fitted_views_of_the_table(spark):
     """The scenes' views were made by hand, so their corners are known."""
     off = []
