@@ -319,32 +319,50 @@ def fit_views(points: DataFrame, views: DataFrame, keys: list[str], key: str, ro
     return written(done.unionByName(now.drop("done")))
 
 
-def supported(points: DataFrame, key: str, reach: float = 4.0) -> DataFrame:
-    """key, px, py: the pixels nearer than `reach` to a point of their key, once each."""
+def supported(points: DataFrame, key: str, width: int, height: int, reach: float = 4.0) -> DataFrame:
+    """key and px, py of the pixels that points lie in, once each, in the picture or within `reach` of it; no more than a picture has."""
     n = int(np.ceil(reach)) - 1
-    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j < reach * reach]
-    pixels = points.select(key, F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y")).distinct()
-    return pixels.select(key, "x", "y", F.explode(F.array(*steps)).alias("s")).select(key, (F.col("x") + F.col("s.i")).alias("px"), (F.col("y") + F.col("s.j")).alias("py")).distinct()
+    pixels = points.select(key, F.rint("x").cast("int").alias("px"), F.rint("y").cast("int").alias("py"))
+    return pixels.where(F.col("px").between(-n, width - 1 + n) & F.col("py").between(-n, height - 1 + n)).distinct()
 
 
-def coverage(views: DataFrame, near: DataFrame, keys: list[str], key: str, width: int, height: int, samples: int = 80) -> DataFrame:
-    """keys and coverage: the mean share of each court line that lies on supported pixels, times the share of lines of which over 0.3 does.
+def coverage(views: DataFrame, near: DataFrame, keys: list[str], key: str, width: int, height: int, samples: int = 80, reach: float = 4.0) -> DataFrame:
+    """keys and coverage: the mean share of each court line that lies on pixels nearer than `reach` to a supported one, times the share of lines of which over 0.3 does.
 
-    A line of which under 0.4 of the samples are in the picture counts as 0. near: see supported(). One sample is one row, joined by its pixel.
+    A line of which under 0.4 of the samples are in the picture counts as 0. near: see supported(). The views of a key meet its picture,
+    one byte a pixel, in one task; a key has as many views as proposals() makes.
     """
-    step = [i / (samples - 1) for i in range(samples)]
-    at = [(v, None) for v in ACROSS] + [(None, v) for v in DOWN]
-    lines_ = F.explode(F.array(*(F.struct(F.lit(i).alias("line"), F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for i, (x, y) in enumerate(at))))
-    rows = views.select(*keys, "view", lines_.alias("l")).select(*keys, "view", "l", F.explode(F.array(*map(F.lit, step))).alias("t"))
-    x, y = seen(F.col("view"), F.coalesce("l.x", F.col("t") * ACROSS[-1]), F.coalesce("l.y", F.col("t") * DOWN[-1]))
-    rows = rows.select(*keys, "l.line", F.rint(x).cast("long").alias("px"), F.rint(y).cast("long").alias("py"))
-    inside = rows.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
-    told = inside.join(near.withColumn("_hit", F.lit(1)), [key, "px", "py"], "left").groupBy(*keys, "line").agg(F.count("*").alias("n"), F.count("_hit").alias("hit"))
-    share = F.when(F.col("n") >= 0.4 * samples, F.col("hit") / F.col("n")).otherwise(0.0)
-    # lines wholly outside have no row, and count as 0
-    covered = told.groupBy(*keys).agg(F.sum(share).alias("_sum"), F.count_if(share > 0.3).alias("_wide"))
-    whole = views.select(*keys).join(covered, keys, "left")
-    return whole.select(*keys, F.coalesce(F.col("_sum") * F.col("_wide") / len(at) ** 2, F.lit(0.0)).alias("coverage"))
+    n = int(np.ceil(reach)) - 1
+    steps = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j < reach * reach]
+    t = np.arange(samples) / (samples - 1)
+    ends = [(np.full(samples, v), t * DOWN[-1]) for v in ACROSS] + [(t * ACROSS[-1], np.full(samples, v)) for v in DOWN]
+    court_ = np.stack([np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]), np.ones(len(ends) * samples)])
+
+    def cover(left: pa.Table, right: pa.Table) -> pa.Table:
+        px, py = (right.column(c).to_numpy() for c in ("px", "py"))
+        picture = np.zeros((height + 2 * n, width + 2 * n), dtype=bool)
+        mark = np.zeros_like(picture)
+        mark[py + n, px + n] = True
+        for i, j in steps:  # each pixel's neighbourhood, by shifts of the whole picture
+            picture[max(0, j) : picture.shape[0] + min(0, j), max(0, i) : picture.shape[1] + min(0, i)] |= mark[max(0, -j) : mark.shape[0] - max(0, j), max(0, -i) : mark.shape[1] - max(0, i)]
+        flat = np.append(picture[n : height + n, n : width + n].ravel(), False)
+        lists = left.column("view").combine_chunks()
+        every, out = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3), []
+        for at in range(0, len(every), 64):
+            u, v, w = (every[at : at + 64] @ court_).transpose(1, 0, 2)
+            w = np.where(np.abs(w) < 1e-9, 1e-9, w)
+            u, v = np.rint(u / w), np.rint(v / w)
+            inside = (u >= 0) & (u < width) & (v >= 0) & (v < height)
+            place = np.where(inside, v * width + u, width * height).astype(np.int32)
+            seen_, hit = (c.reshape(len(u), -1, samples).sum(axis=2) for c in (inside, flat[place]))
+            share = np.where(seen_ >= 0.4 * samples, hit / np.maximum(seen_, 1), 0.0)
+            out.append(share.sum(axis=1) * (share > 0.3).sum(axis=1) / len(ends) ** 2)
+        told = np.concatenate(out) if out else np.zeros(0)
+        return left.select(keys).append_column("coverage", pa.array(told, pa.float64()))
+
+    kinds = dict(views.dtypes)
+    rows = views.select(*keys, "view").where(F.col(key).isNotNull() & F.col("view").isNotNull())
+    return rows.groupBy(key).cogroup(near.where(F.col(key).isNotNull()).groupBy(key)).applyInArrow(cover, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "coverage double"]))
 
 
 def inliers(views: DataFrame, points: DataFrame, keys: list[str], key: str, reach: float = 5.0) -> DataFrame:
@@ -418,7 +436,7 @@ def detect_court(segments: DataFrame, points: DataFrame, key: str, name: str, wi
     views = written(proposals(written(physical_lines(written(held), key)), key))
     views = written(views.select(key, "name", view_of(F.col("corners")).alias("view")))
     views = written(valid_views(views, width, height))
-    near, both = written(supported(points, key)), [key, "name"]
+    near, both = written(supported(points, key, width, height)), [key, "name"]
     views = views.join(coverage(views, near, both, key, width, height), both)
     grid = F.row_number().over(Window.partitionBy(key, F.left("name", F.lit(4))).orderBy(F.desc(F.round("coverage", 9)), "name"))
     pool = written(views.withColumn("_i", grid).where("_i = 1").drop("_i"))

@@ -161,6 +161,29 @@ def test_fitted_views_of_the_table(spark):
     assert len(off) == 60 and np.mean(off) < 3 and max(off) < 8  # a fifth of the segments are strays
 
 
+def test_coverage_is_that_of_single_samples(spark):
+    """Against every sample looked up by itself; and samples are not made as rows."""
+    rng = np.random.default_rng(2)
+    points = [(1, *p) for p in made_points(rng, VIEW, 1500, 50)] + [(1, 0.0, 0.0), (1, 5000.0, 3.0), (2, 100.0, 100.0)]
+    shift = VIEW + np.array([[0, 0, 25.0], [0, 0, 0], [0, 0, 0]])
+    views = [(1, "a", VIEW), (1, "b", shift), (1, "c", VIEW + [[0, 0, 5000.0], [0, 0, 0], [0, 0, 0]]), (2, "a", VIEW), (3, "a", VIEW)]
+    df = spark.createDataFrame([(k, n, v.ravel().tolist()) for k, n, v in views], "k long, n string, view array<double>")
+    found = court.coverage(df, court.supported(spark.createDataFrame(points, "k long, x double, y double"), "k", 640, 480), ["k", "n"], "k", 640, 480)
+    assert not multiplied(found._jdf.queryExecution().optimizedPlan()) and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.n): r.coverage for r in found.collect()}
+    for k, n, v in views:
+        near = {(int(np.rint(x)), int(np.rint(y))) for key, x, y in points if key == k}
+        shares = []
+        for i, line in enumerate((*court.ACROSS, *court.DOWN)):
+            at = [image(v, line, 13.41 * s / 79) if i < 5 else image(v, 6.1 * s / 79, line) for s in range(80)]
+            at = [(int(np.rint(x)), int(np.rint(y))) for x, y in at]
+            at = [p for p in at if 0 <= p[0] < 640 and 0 <= p[1] < 480]
+            hit = sum(any((x - a) ** 2 + (y - b) ** 2 < 16 for a, b in near) for x, y in at)
+            shares.append(hit / len(at) if len(at) >= 32 else 0.0)
+        assert got[k, n] == pytest.approx(sum(shares) / 12 * sum(c > 0.3 for c in shares) / 12)
+    assert got[1, "a"] > got[1, "b"] > got[1, "c"] == 0
+
+
 def test_the_court_is_found_among_the_lines(spark):
     got = q.j18(spark, SF).collect()
     assert sorted(r.seg for r in got) == [0, 10]
