@@ -32,7 +32,7 @@ def m03(spark, sf):
     segment_files.register(spark)
     path = shared_path(spark, "segments")
     rows = frames(spark, sf).select(F.col("seg").alias("segment_index"), "frame", "x", "y", "label")
-    rows.repartition("segment_index").write.format("segment_envelopes").mode("overwrite").option("fps", "25").save(path)
+    rows.repartition("segment_index").sortWithinPartitions("segment_index").write.format("segment_envelopes").mode("overwrite").option("fps", "25").save(path)
     # each half opens its own segments' files alone
     half = lambda condition, name: segment_files.read(spark, path, rows.schema).where(f"segment_index {condition} 75 and y > 20").withColumn("part", F.lit(name))
     return half("<", "first").unionByName(half(">=", "second"))

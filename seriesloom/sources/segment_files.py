@@ -4,7 +4,7 @@
     df.write.format("segment_envelopes").mode("overwrite").save(path)
     read(spark, path, schema).where("segment_index = 3")     # opens that segment's files alone
 
-A file is named by its segment, so filters on segment_index are pushed down to names, and a partition is a file. What
+A file is named by its segment, so filters on segment_index are pushed down to names, and a partition is some files. What
 tasks write is put in place by the commit of the job, and thrown away if the job fails. Paths may be of any store that
 pyarrow knows; on a cluster it must be one that all executors share.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,8 +25,12 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 INDEX = "segment_index"
-#: Records that a batch holds, and that a file's records are read in.
+#: Records that a batch holds.
 BATCH = 10_000
+#: Files and bytes that a partition reads at most, beyond one file, and records that a writing task holds before it writes files.
+FILES, BYTES, HELD = 256, 32 << 20, 200_000
+#: Files that a commit moves at a time.
+MOVES = 32
 _ORDERS = {GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, EqualTo: lambda a, b: a == b, In: lambda a, b: a in b}
 
 
@@ -38,16 +43,16 @@ def _segment(path: str) -> int | None:
     return int(name[4:].split("-")[0]) if name.startswith("seg-") and name.endswith(".json") else None
 
 
-def _files(path: str) -> list[tuple[int, str]]:
+def _files(path: str) -> list[tuple[int, str, int]]:
+    """Segment, path and bytes of each file."""
     store, root = _store(path)
     found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted((s, f.path) for f in found if (s := _segment(f.path)) is not None)
+    return sorted((s, f.path, f.size or 0) for f in found if (s := _segment(f.path)) is not None)
 
 
 @dataclass
-class OneFile(InputPartition):
-    segment: int
-    path: str
+class SomeFiles(InputPartition):
+    files: list[tuple[int, str]]
 
 
 class Reader(DataSourceReader):
@@ -62,24 +67,40 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[OneFile]:
+    def partitions(self) -> Sequence[SomeFiles]:
         ok = lambda s: all(_ORDERS[type(f)](s, f.value) for f in self.kept)
-        return [OneFile(s, p) for s, p in _files(self.path) if ok(s)] or [OneFile(-1, "")]
-
-    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+        out, size = [SomeFiles([])], 0
+        for s, path, n in _files(self.path):
+            if not ok(s):
+                continue
+            if out[-1].files and (len(out[-1].files) == FILES or size + n > BYTES):
+                out.append(SomeFiles([]))
+                size = 0
+            out[-1].files.append((s, path))
+            size += n
+        return out
+
+    def read(self, partition: SomeFiles) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
-        with store.open_input_stream(partition.path) as f:
-            whole = json.loads(f.read())
-        if not isinstance(whole, dict) or not isinstance(whole.get("records"), list):
-            raise ValueError(f"{partition.path}: no list of records")
         names, types = self.schema.names, [_arrow(x.dataType) for x in self.schema]
-        records = whole["records"]
-        for a in range(0, len(records), BATCH):
-            part = records[a : a + BATCH]
-            columns = [[partition.segment] * len(part) if n == INDEX else [r.get(n) for r in part] for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        def batch(part: list[tuple[int, dict]]) -> pa.RecordBatch:
+            columns = [[s for s, _ in part] if n == INDEX else [r.get(n) for _, r in part] for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        held: list[tuple[int, dict]] = []
+        for segment, path in partition.files:
+            with store.open_input_stream(path) as f:
+                whole = json.loads(f.read())
+            if not isinstance(whole, dict) or not isinstance(whole.get("records"), list):
+                raise ValueError(f"{path}: no list of records")
+            held += [(segment, r) for r in whole["records"]]
+            if len(held) >= BATCH:
+                for a in range(0, len(held), BATCH):
+                    yield batch(held[a : a + BATCH])
+                held = []
+        if held:
+            yield batch(held)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -103,27 +124,37 @@ class Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         store, root = _store(self.path)
+        store.create_dir(f"{root}/_job-{self.job}", recursive=True)
+        files: list[tuple[str, str]] = []
+
+        def put(held: dict[int, list[dict]]) -> None:
+            task = uuid.uuid4().hex[:12]
+            for s, records in held.items():
+                name = f"seg-{int(s):06d}-{task}.json"
+                with store.open_output_stream(f"{root}/_job-{self.job}/{name}") as f:
+                    f.write(json.dumps({INDEX: s, **self.meta, "records": records}, default=str).encode())
+                files.append((f"{root}/_job-{self.job}/{name}", f"{root}/{name}"))
+
         held: dict[int, list[dict]] = {}
+        n = 0
         for r in rows:
             one = r.asDict(recursive=True)
             held.setdefault(one.pop(INDEX), []).append(one)
-        store.create_dir(f"{root}/_job-{self.job}", recursive=True)
-        files, task = [], uuid.uuid4().hex[:12]
-        for s, records in held.items():
-            name = f"seg-{int(s):06d}-{task}.json"
-            with store.open_output_stream(f"{root}/_job-{self.job}/{name}") as f:
-                f.write(json.dumps({INDEX: s, **self.meta, "records": records}, default=str).encode())
-            files.append((f"{root}/_job-{self.job}/{name}", f"{root}/{name}"))
+            n += 1
+            if n >= HELD:  # a segment may have more than one file
+                put(held)
+                held, n = {}, 0
+        put(held)
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
-        before = [p for _, p in _files(self.path)] if self.overwrite else []
-        for m in messages:
-            for old, new in m.files if m else []:
-                store.move(old, new)
-        for p in before:
-            store.delete_file(p)
+        before = [p for _, p, _ in _files(self.path)] if self.overwrite else []
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda f: store.move(*f), (f for m in messages if m for f in m.files)):
+                pass
+            for _ in pool.map(store.delete_file, before):
+                pass
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -70,6 +70,24 @@ def test_a_filter_opens_only_its_segments(spark, tmp_path):
     assert "LessThan(segment_index,3)" in spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(told, "formatted").split("PushedFilters")[1].split("\n")[0]
 
 
+def test_many_segments_are_few_partitions(spark, tmp_path, monkeypatch):
+    segment_files.register(spark)
+    path = str(tmp_path / "s")
+    df = spark.range(600).selectExpr("id segment_index", "1L frame", "id / 2 x", "cast(null as string) note")
+    df.write.format("segment_envelopes").mode("overwrite").save(path)
+    back = segment_files.read(spark, path, SCHEMA)
+    assert back.count() == 600 and len(os.listdir(path)) == 600
+    reader = segment_files.Reader(path, back.schema)
+    monkeypatch.setattr(segment_files, "BYTES", 1000)
+    by_bytes = reader.partitions()
+    monkeypatch.setattr(segment_files, "BYTES", 1 << 30)
+    assert len(reader.partitions()) == 3 < len(by_bytes) and sum(len(p.files) for p in by_bytes) == 600
+    monkeypatch.setattr(segment_files, "HELD", 3)
+    writer = segment_files.Writer(path, back.schema, True, {})
+    writer.commit([writer.write(iter(df.where("segment_index < 2").unionByName(df.where("segment_index < 3")).collect()))])
+    assert len(os.listdir(path)) == 4 and sorted(r.segment_index for r in back.collect()) == [0, 0, 1, 1, 2]
+
+
 def test_writes_replace_or_leave_all(spark, tmp_path):
     segment_files.register(spark)
     path = str(tmp_path / "s")
