@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK, RATE, PRECISION = 1024, 8000, 12
 #: Bytes of samples that are coded side by side.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 _TABLES: dict[int, np.ndarray] = {}
@@ -399,10 +399,9 @@ def media_digest(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = b.column("media").to_pylist()
-            for s in _chunks([len(f) for f in files]):
-                rows = []
-                for f, x in zip(files[s], decode(files[s]), strict=True):
+            for s in _chunks(b.column("n_bytes").to_pylist()):  # what is decoded, which a file may be far shorter than
+                files, rows = b.column("media")[s].to_pylist(), []
+                for f, x in zip(files, decode(files), strict=True):
                     data = x.tobytes()
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(x)))
                 own = b.slice(s.start, s.stop - s.start)

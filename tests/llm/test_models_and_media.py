@@ -395,3 +395,20 @@ def test_pipeline(spark, corpus):
             assert not [x for x in plain.personal(r.text) if x[1] in (0, 3)]
         assert r.n_chars == len(r.text) or r.text == corpus[d]
     assert {r for r in seen["best_fit_packing"]} == clean and list(pii.BASE)
+
+
+def test_files_are_decoded_by_what_they_hold(monkeypatch):
+    """Files of one repeated letter are far shorter than their texts; no more than CHUNK bytes are decoded side by side."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    got = []
+    decode = flac.decode
+    monkeypatch.setattr(flac, "decode", lambda files: got.append(decode(files)) or got[-1])
+    run = flac.media_digest(SimpleNamespace(dtypes=[("doc_id", "bigint")], mapInArrow=lambda run, schema: run))
+    texts = ["a" * 400_000] * 9
+    files = flac.encode([flac.payload(t) for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([400_000] * 9, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+    assert sum(map(len, files)) < 400_000
+    assert sum(len(b) for b in run(iter([batch]))) == 9 and max(sum(map(len, x)) for x in got) <= 1 << 20
