@@ -13,36 +13,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, stats
-from .smoothing import Motion, filtered
+from .smoothing import Motion, filtered_many
 
 
-def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str | object) -> DataFrame:
-    """run() on each key's rows, sorted by `order`. Partitions are sorted and read in batches, and a batch is split where the
-    key changes, so many small keys cost no more than their rows. The number of partitions is given, as by their bytes few would be made of
-    rows that take Python long."""
+#: Rows that a task takes at a time where work is done on many keys side by side.
+ROWS = 1 << 16
+
+
+def by_keys(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame, list[int]], pd.DataFrame], schema: str | object, least: int = ROWS) -> DataFrame:
+    """run() on the rows of many whole keys, sorted by `order`, with the places where keys begin, and the end.
+
+    Partitions are sorted and read in batches, which are put together until they hold `least` rows and the end of a key, so many small keys cost no
+    more than their rows. The number of partitions is given, as by their bytes few would be made of rows that take Python long."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        n, enough = 0, least
         for p in parts:
             if not len(p):
                 continue
-            if held:
-                p = pd.concat([*held, p], ignore_index=True)
-            own = p[keys]
-            before = own.shift()
-            new = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()
-            cuts = [0, *(i for i in new.nonzero()[0].tolist() if i)]
-            if out := [run(p.iloc[a:z].reset_index(drop=True)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]:
-                yield pd.concat(out, ignore_index=True)
-            held = [p.iloc[cuts[-1] :]]
+            held.append(p)
+            n += len(p)
+            if n < enough:
+                continue
+            p = pd.concat(held, ignore_index=True) if len(held) > 1 else p
+            cuts = _begins(p, keys)
+            if cuts[-1]:
+                yield run(p.iloc[: cuts[-1]], cuts)
+                p = p.iloc[cuts[-1] :].reset_index(drop=True)
+            # a key of many batches is not put together anew with each of them
+            held, n, enough = [p], len(p), max(least, 2 * len(p))
         if held:
-            yield run(held[0].reset_index(drop=True))
+            p = pd.concat(held, ignore_index=True)
+            yield run(p, [*_begins(p, keys), len(p)])
 
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
 
 
+def _begins(rows: pd.DataFrame, keys: list[str]) -> list[int]:
+    own = rows[keys]
+    before = own.shift()
+    new = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()
+    return [0, *(i for i in new.nonzero()[0].tolist() if i)]
+
+
+def by_key(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str | object) -> DataFrame:
+    """run() on each key's rows, sorted by `order`: see by_keys."""
+
+    def each(part: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        return pd.concat([run(part.iloc[a:z].reset_index(drop=True)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], ignore_index=True)
+
+    return by_keys(rows, keys, order, each, schema, 0)
+
+
+def pieces(part: pd.DataFrame, columns: list[str], cuts: list[int]) -> list[tuple[np.ndarray, ...]]:
+    """The columns of each key, as arrays."""
+    values = [part[c].to_numpy() for c in columns]
+    return [tuple(v[a:z] for v in values) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def greedy_dedup(df: DataFrame, key: str, order: str, side: str, strength: str, apart: int = 18) -> DataFrame:
     """Keeps hits in order: one nearer than `apart` to the last kept, on the same side, replaces it if it is stronger, else goes.
 
@@ -169,10 +200,11 @@ def kalman_accepted(df: DataFrame, key: str, frame: str = "frame", x: str = "x",
     """Each key's observations with whether the filter believes them. Rows without a place are left out; a null confidence is the least."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, frame, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), F.coalesce(F.col(conf), F.lit(0.0)).alias(conf))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return part[[key, frame, x, y]].assign(accepted=filtered(*(part[c].to_numpy() for c in (frame, x, y, conf)), motion)[0])
+    def run(part: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        found = filtered_many(pieces(part, [frame, x, y, conf], cuts), motion)
+        return part[[key, frame, x, y]].assign(accepted=np.concatenate([f[0] for f in found]))
 
-    return by_key(rows, [key], [frame], run, ", ".join(f"{n} {t}" for n, t in [*rows.drop(conf).dtypes, ("accepted", "boolean")]))
+    return by_keys(rows, [key], [frame], run, ", ".join(f"{n} {t}" for n, t in [*rows.drop(conf).dtypes, ("accepted", "boolean")]))
 
 
 def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: str = "y", court: str = "court", size: str = "size", anchors: DataFrame | None = None, radius: float = 20.0, **knobs: float) -> DataFrame:
@@ -244,12 +276,13 @@ def fill_path(df: DataFrame, key: str, frame: str = "frame", x: str = "x", y: st
     """Each key's points on every frame from its first to its last: key, frame, x, y. See kernels.fill_path."""
     rows = df.where(F.col(x).isNotNull()).select(key, frame, x, y, conf)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        span, px, py = kernels.fill_path(*(part[c].to_numpy() for c in (frame, x, y, conf)), **knobs)
-        return pd.DataFrame({key: part[key].iloc[0], frame: span, x: px, y: py})
+    def run(part: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        found = kernels.fill_paths(pieces(part, [frame, x, y, conf], cuts), **knobs)
+        span, px, py = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pd.DataFrame({key: part[key].iloc[cuts[:-1]].repeat([len(f[0]) for f in found]).to_numpy(), frame: span, x: px, y: py})
 
     kinds = dict(rows.dtypes)
-    return by_key(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {x} double, {y} double")
+    return by_keys(rows, [key], [frame], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {x} double, {y} double")
 
 
 def first_rises(df: DataFrame, key: str, order: str, value: str, **knobs: float) -> DataFrame:

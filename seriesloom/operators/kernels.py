@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .smoothing import Motion, filtered, knotted, spline_at
+from .smoothing import Motion, filtered_many, knotted_many, spline_at
 
 
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None) -> np.ndarray:
@@ -237,25 +237,38 @@ def fill_path(
     path with a robust quadratic in the gaps between turning points of y. Under `least` observations spline and pieces,
     and under two the filter, are straight lines.
     """
-    frame, x, y = np.asarray(frame), np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-    span = np.arange(int(frame[0]), int(frame[-1]) + 1)
-    at, weight = frame - span[0], np.maximum(np.asarray(conf, dtype=float), motion.unsure)
-    if len(frame) < (2 if how == "kalman" else least):
-        return span, *(np.interp(span, frame, v) for v in (x, y))
-    ok, *paths = filtered(frame, x, y, conf, motion)
+    return fill_paths([(frame, x, y, conf)], how, slack, prominence, least, piece, motion)[0]
+
+
+def fill_paths(
+    paths: list[tuple[np.ndarray, ...]], how: str = "spline", slack: float = 9.0, prominence: float = 20.0, least: int = 8, piece: int = 6, motion: Motion = Motion(),
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """fill_path() of many paths (frame, x, y, conf), which are filtered and fitted side by side."""
+    paths = [(np.asarray(f), np.asarray(x, dtype=float), np.asarray(y, dtype=float), np.asarray(c, dtype=float)) for f, x, y, c in paths]
+    spans = [np.arange(int(p[0][0]), int(p[0][-1]) + 1) for p in paths]
+    long = [i for i, p in enumerate(paths) if len(p[0]) >= (2 if how == "kalman" else least)]
+    filled = [[np.interp(span, p[0], v) for v in p[1:3]] for p, span in zip(paths, spans, strict=True)]
+    believed = filtered_many([paths[i] for i in long], motion)
+    weights = [np.maximum(paths[i][3], motion.unsure) for i in long]
     if how == "spline":
-        paths = [spline_at(*knotted(frame, v, weight, slack * len(frame)), span) for v in (x, y)]
-    elif how == "pieces":
-        level = paths[1]
-        breaks = sorted({0, len(span) - 1, *find_peaks(level, prominence=prominence).tolist(), *find_peaks(-level, prominence=prominence).tolist()})
-        missing = np.ones(len(span), dtype=bool)
-        missing[at] = False
-        for a, z in zip(breaks[:-1], breaks[1:], strict=True):
-            own = (at >= a) & (at <= z)
-            gap = a + np.nonzero(missing[a : z + 1])[0]
-            if z - a >= piece <= own.sum() and len(gap):
-                for path, v in zip(paths, (x, y), strict=True):
-                    path[gap] = robust_quadratic(at[own].astype(float), v[own], weight[own], gap.astype(float))
-    for path, v in zip(paths, (x, y), strict=True):
-        path[at[ok]] = v[ok]
-    return span, *paths
+        found = knotted_many([(paths[i][0], v, w, slack * len(w)) for i, w in zip(long, weights, strict=True) for v in paths[i][1:3]])
+    for n, (i, weight, (ok, *smooth)) in enumerate(zip(long, weights, believed, strict=True)):
+        (frame, x, y, _), span = paths[i], spans[i]
+        at = frame - span[0]
+        if how == "spline":
+            smooth = [spline_at(*found[2 * n + k], span) for k in (0, 1)]
+        elif how == "pieces":
+            level = smooth[1]
+            breaks = sorted({0, len(span) - 1, *find_peaks(level, prominence=prominence).tolist(), *find_peaks(-level, prominence=prominence).tolist()})
+            missing = np.ones(len(span), dtype=bool)
+            missing[at] = False
+            for a, z in zip(breaks[:-1], breaks[1:], strict=True):
+                own = (at >= a) & (at <= z)
+                gap = a + np.nonzero(missing[a : z + 1])[0]
+                if z - a >= piece <= own.sum() and len(gap):
+                    for path, v in zip(smooth, (x, y), strict=True):
+                        path[gap] = robust_quadratic(at[own].astype(float), v[own], weight[own], gap.astype(float))
+        for path, v in zip(smooth, (x, y), strict=True):
+            path[at[ok]] = v[ok]
+        filled[i] = smooth
+    return [(span, *own) for span, own in zip(spans, filled, strict=True)]

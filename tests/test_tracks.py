@@ -416,3 +416,38 @@ def test_signals_over_the_table(spark, series):
             names = sorted(n for n, at in fired.items() if any(abs(k - g) <= 5 for g in at)) or ["ypeak"]
             want[seg, first + k] = "+".join(names)
     assert got == want and len({n for r in want.values() for n in r.split("+")}) >= 4
+
+
+def test_paths_are_fitted_side_by_side(monkeypatch):
+    """Many paths take no more solves than a few rounds, and each comes out as it does alone."""
+    rng = np.random.default_rng(5)
+    paths = []
+    for n in [1, 3, 7, *rng.integers(8, 60, 80)]:
+        f = np.sort(rng.choice(90, n, replace=False))
+        paths.append((f, rng.uniform(0, 100, n), rng.uniform(0, 60, n), rng.uniform(0, 1, n)))
+    solves = []
+    solve = smoothing._bands_solve
+    monkeypatch.setattr(smoothing, "_bands_solve", lambda *a: solves.append(1) or solve(*a))
+    for how in ("kalman", "spline", "pieces"):
+        together = kernels.fill_paths(paths, how)
+        assert len(solves) < 120
+        for path, got in zip(paths[::6], together[::6], strict=True):
+            for a, b in zip(got, kernels.fill_path(*path, how), strict=True):
+                assert np.allclose(a, b, rtol=0, atol=1e-6)
+        solves.clear()
+    alone = [kernels.fill_path(*p) for p in paths]
+    monkeypatch.setattr(smoothing, "CELLS", 500)  # parts of a few paths
+    for got, want in zip(kernels.fill_paths(paths), alone, strict=True):
+        assert all(np.allclose(a, b, rtol=0, atol=1e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_keys_of_many_batches_come_whole(spark):
+    rows = spark.range(4000).selectExpr("case when id < 3000 then 1 else id div 7 end k", "id at").repartition(1)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        run = lambda part, cuts: part.iloc[cuts[:-1]].assign(n=np.diff(cuts), last=[part["at"].iloc[z - 1] for z in cuts[1:]])[["k", "n", "last"]]
+        got = sorted(map(tuple, folds.by_keys(rows, ["k"], ["at"], run, "k long, n long, last long", 5).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got == sorted(map(tuple, rows.groupBy("k").agg(F.count("*"), F.max("at")).collect()))
