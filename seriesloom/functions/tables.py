@@ -52,6 +52,7 @@ class LabelRuns:
             self.run = [name, at, at, 0, 0.0, None, 0.0, 0]  # label, f0, f1, rows, weight, peak, weighted places, weights
         self.run[2], self.run[3] = at, self.run[3] + 1
         if w is not None:
+            w = float(w)
             self.run[4:] = [self.run[4] + w, w if self.run[5] is None else max(self.run[5], w), self.run[6] + at * w, self.run[7] + 1]
 
     def _told(self) -> tuple:
@@ -93,10 +94,12 @@ class HitWindows:
         for before, f, behind in zip([None, *self.hits], self.hits, [*self.hits[1:], None], strict=False):
             start = f - step if before is None else before
             end = f + step if behind is None else behind + after
-            yield self.key, f, max(1, start, f - most), min(self.last + 1, end, f + most)
+            of = type(f)
+            yield self.key, f, of(max(1, start, f - most)), of(min(self.last + 1, end, f + most))
 
 
 def register(spark: SparkSession) -> None:
     """Names the functions in a session's SQL."""
-    spark.udtf.register("label_runs", udtf(LabelRuns, useArrow=True))
-    spark.udtf.register("hit_windows", udtf(HitWindows, useArrow=True))
+    # with Arrow each call's rows would be a table of their own
+    spark.udtf.register("label_runs", udtf(LabelRuns, useArrow=False))
+    spark.udtf.register("hit_windows", udtf(HitWindows, useArrow=False))

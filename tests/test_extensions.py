@@ -43,6 +43,18 @@ def test_functions_take_the_types_they_are_given(spark):
         spark.sql("select * from label_runs(table({df}) partition by (k) order by (at), 'k', 'at', 'nothing', 'w', 1)", df=df).collect()
 
 
+def test_table_functions_take_rows_as_they_come(spark):
+    """Rows are not made into a table for each call, and numbers of other types come out as their columns' types."""
+    tables.register(spark)
+    df = spark.createDataFrame([("a", 1.0, "p", 2), ("a", 2.0, "p", 5), ("a", 9.5, "q", None)], "k string, at double, name string, w int").withColumn("hit", F.col("at") < 3)
+    found = spark.sql("select * from label_runs(table({df}) partition by (k) order by (at), 'k', 'at', 'name', 'w', 1)", df=df)
+    assert sorted(map(tuple, found.collect())) == [("a", "p", 1.0, 2.0, 2, 3.5, 5.0, 12 / 7), ("a", "q", 9.5, 9.5, 1, None, None, None)]
+    windows = spark.sql("select * from hit_windows(table({df}) partition by (k) order by (at), 'k', 'at', 'hit', 5, 15, 2)", df=df)
+    assert sorted(map(tuple, windows.collect())) == [("a", 1.0, 1.0, 4.0), ("a", 2.0, 1.0, 7.0)]
+    for d in (found, windows):
+        assert "ArrowEvalPythonUDTF" not in spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(d._jdf.queryExecution(), "simple")
+
+
 SCHEMA = "segment_index long, frame long, x double, note string"
 
 
