@@ -22,19 +22,25 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None
     up = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:]))[0] + 1
     peaks = (new[up] + end[up]) // 2
     if distance > 1:
-        keep = np.ones(len(peaks), dtype=bool)
-        for j in sorted(range(len(peaks)), key=lambda i: (x[peaks[i]], i), reverse=True):
+        at, keep = peaks.tolist(), [True] * len(peaks)
+        for j in np.lexsort((np.arange(len(peaks)), x[peaks]))[::-1].tolist():
             if keep[j]:
-                near = np.abs(peaks - peaks[j]) < distance
-                near[j] = False
-                keep[near] = False
-        peaks = peaks[keep]
+                for step in (-1, 1):
+                    i = j + step
+                    while 0 <= i < len(at) and abs(at[i] - at[j]) < distance:
+                        keep[i] = False
+                        i += step
+        peaks = peaks[np.array(keep, dtype=bool)]
     if prominence is not None:
         peaks = peaks[prominences(x, peaks) >= prominence]
     return peaks
 
 
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    if not np.isnan(x).any():
+        left, right = _valleys(x.tolist()), _valleys(x[::-1].tolist())
+        n = len(x) - 1
+        return x[peaks] - np.array([max(left[p], right[n - p]) for p in peaks.tolist()], dtype=float)
     out = np.zeros(len(peaks))
     for i, p in enumerate(peaks):
         higher = np.nonzero(x > x[p])[0]
@@ -44,6 +50,18 @@ def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _valleys(x: list[float]) -> list[float]:
+    """For each place the lowest value since higher ground before it."""
+    out, walls = [], []
+    for v in x:
+        low = v
+        while walls and walls[-1][0] <= v:
+            low = min(low, walls.pop()[1])
+        walls.append((v, low))
+        out.append(low)
+    return out
+
+
 def viterbi(
     frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray, max_skip: int = 15, speed: float = 120.0, slack: float = 40.0,
     gain: float = 6.0, per_conf: float = 8.0, skip_cost: float = 0.8, move_cost: float = 1.0, usual: float = 25.0,
@@ -190,13 +208,12 @@ def contact_candidates(
     peaks = trim_shallow_ends(find_peaks(y, prominence=prominence), y, edge)
     fired["ypeak"] = at[peaks][at[peaks] >= start]
     turning = np.zeros(n)
-    for a, z in zip(peaks[:-1], peaks[1:] + 1, strict=True):
-        valley = a + int(y[a:z].argmin())
-        j = np.arange(max(valley + clear + 1, lag), min(z - clear, m - lag))
-        if len(j):
-            into, out = (x[j] - x[j - lag], y[j] - y[j - lag]), (x[j + lag] - x[j], y[j + lag] - y[j])
-            speeds = np.sort([np.hypot(*into), np.hypot(*out)], axis=0)
-            turning[at[j[(turn_degrees(*into, *out) > angle) & (speeds[1] >= speed_ratio * speeds[0])]]] = 1
+    reach = [np.arange(max(a + int(y[a:z].argmin()) + clear + 1, lag), min(z - clear, m - lag)) for a, z in zip(peaks[:-1].tolist(), (peaks[1:] + 1).tolist(), strict=True)]
+    j = np.concatenate(reach) if reach else np.zeros(0, dtype=int)
+    if len(j):
+        into, out = (x[j] - x[j - lag], y[j] - y[j - lag]), (x[j + lag] - x[j], y[j + lag] - y[j])
+        speeds = np.sort([np.hypot(*into), np.hypot(*out)], axis=0)
+        turning[at[j[(turn_degrees(*into, *out) > angle) & (speeds[1] >= speed_ratio * speeds[0])]]] = 1
     fired["accel"] = find_peaks(turning, distance=spacing)
     j = np.arange(ramp, m - ramp)
     if len(j):
@@ -212,7 +229,14 @@ def contact_candidates(
     if rise is not None and all(abs(rise - first - k) >= apart for k in kept):
         kept = sorted([*kept, rise - first])
         fired["serve_rise"] = np.array([rise - first])
-    return [(first + k, sorted(s for s, rows in fired.items() if (np.abs(rows - k) <= near).any()) or ["ypeak"]) for k in kept]
+    about: dict[int, list[str]] = {k: [] for k in kept}
+    places = np.array(kept, dtype=np.int64)
+    for name in sorted(fired):
+        rows = np.sort(fired[name])
+        beside = np.searchsorted(rows, places + near, side="right") > np.searchsorted(rows, places - near)
+        for k in places[beside].tolist():
+            about[k].append(name)
+    return [(first + k, about[k] or ["ypeak"]) for k in kept]
 
 
 def robust_quadratic(t: np.ndarray, value: np.ndarray, weight: np.ndarray, where: np.ndarray, rounds: int = 4, floor: float = 2.0) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ def evidence(spark, sf):
 
 @query("J11_complete_hits")
 def j11(spark, sf):
-    return hits.complete_hits(*evidence(spark, sf), "seg", "frame", "side", COMPLETE)
+    weak = replace(SELECT, weak_y=40, weak_x=60)
+    return hits_by_key.complete_hits(*tracks(spark, sf), "seg", "frame", "x", "y", "side", weak, COMPLETE, 80.0, {"steps": 2, "total": 20.0}, **SIGNALS)
 
 
 @query("J12_prune_hits")

@@ -255,3 +255,9 @@ def test_keys_without_labels_or_tracks(spark):
 def test_first_come_holds_no_earlier_pick(spark, rows):
     got = folds.first_come(spark.createDataFrame(rows, "k int, low int, pick int"), "k", "low", "pick").collect()
     assert sorted(r.low for r in got) == [2, 6, 9][: len(rows)]
+
+
+def test_completion_is_one_pass(spark):
+    """Hits are completed where a key's tracks meet, so no step is computed again for each rule that reads it."""
+    plan = stage_queries.j11(spark, SF)._jdf.queryExecution().toString()
+    assert plan.split("== Optimized Logical Plan ==")[0].count("FlatMapCoGroupsInArrow") == 2  # in the parsed and the analyzed plan
