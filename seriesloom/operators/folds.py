@@ -212,18 +212,31 @@ def two_player_tracks(df: DataFrame, key: str, frame: str = "frame", x: str = "x
 
     Candidates within `radius` pixels of an anchor (mx, my, of all keys; see stats.static_cells) stand still all along and are no players: they go first.
     """
-    rows = df.select(key, frame, x, y, court, size)
+    rows = df.where(F.col(frame).isNotNull()).select(key, frame, x, y, court, size)
     if anchors is not None:
         rows = stats.away_from(rows, x, y, anchors, radius)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        groups = [(int(f), g) for f, g in part.groupby(frame)]
-        chosen = kernels.track_two([(f, list(g[[x, y, court, size]].itertuples(index=False, name=None))) for f, g in groups], **knobs)
-        out = [(part[key].iloc[0], f, side, *g.iloc[i][[x, y]]) for (f, g), (_, *own) in zip(groups, chosen, strict=True) for side, i in zip(("top", "bottom"), own, strict=True) if i is not None]
-        return pd.DataFrame(out, columns=[key, frame, "player", x, y])
+    def run(part: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        at = part[frame].to_numpy()
+        points = list(zip(*(part[c].tolist() for c in (x, y, court, size)), strict=True))
+        # rows are in order, so a frame's candidates lie side by side
+        begins = np.union1d(cuts, np.nonzero(at[1:] != at[:-1])[0] + 1).tolist()
+        rows, sides, n = [], [], 0
+        for z in cuts[1:]:
+            groups = []
+            while begins[n] < z:
+                groups.append((int(at[begins[n]]), begins[n], begins[n + 1]))
+                n += 1
+            chosen = kernels.track_two([(f, points[a:b]) for f, a, b in groups], **knobs)
+            for (_, a, _), (_, *own) in zip(groups, chosen, strict=True):
+                for side, i in zip(("top", "bottom"), own, strict=True):
+                    if i is not None:
+                        rows.append(a + i)
+                        sides.append(side)
+        return part.iloc[rows][[key, frame, x, y]].assign(player=sides)[[key, frame, "player", x, y]]
 
     kinds = dict(rows.dtypes)
-    return by_key(rows, [key], [frame, x, y], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, player string, {x} {kinds[x]}, {y} {kinds[y]}")
+    return by_keys(rows, [key], [frame, x, y], run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, player string, {x} {kinds[x]}, {y} {kinds[y]}")
 
 
 def blobs(pixels: DataFrame, key: list[str], x: str = "x", y: str = "y", v: str = "v", least: int = 1) -> DataFrame:

@@ -109,19 +109,20 @@ def track_two(frames: list[tuple[int, list[tuple[float, float, float, float]]]],
     for f, found in frames:
         chosen: list[int | None] = [None, None]
         for half in (0, 1):
-            own = [i for i, c in enumerate(found) if (c[2] >= 0.5) == bool(half)]
             if half in prior and f - prior[half][2] > forget:
                 del prior[half]
+            best = None
             if half in prior:
                 px, py, at = prior[half]
-                near = [(np.hypot(found[i][0] - px, found[i][1] - py), i) for i in own]
-                near = [d for d in near if d[0] <= reach * (f - at)]
-                if near:
-                    chosen[half] = min(near)[1]
+                for i, c in enumerate(found):
+                    if (c[2] >= 0.5) == bool(half):
+                        d = abs(complex(c[0] - px, c[1] - py))
+                        if d <= reach * (f - at) and (best is None or d < best):
+                            best, chosen[half] = d, i
             else:
-                big = [(-found[i][3], i) for i in own if found[i][3] >= size]
-                if big:
-                    chosen[half] = min(big)[1]
+                for i, c in enumerate(found):
+                    if (c[2] >= 0.5) == bool(half) and c[3] >= size and (best is None or c[3] > best):
+                        best, chosen[half] = c[3], i
             if chosen[half] is not None:
                 c = found[chosen[half]]
                 prior[half] = (c[0], c[1], f)

@@ -451,3 +451,25 @@ def test_keys_of_many_batches_come_whole(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert got == sorted(map(tuple, rows.groupBy("k").agg(F.count("*"), F.max("at")).collect()))
+
+
+def test_candidates_cost_no_array_calls(monkeypatch):
+    """A frame has a few candidates, for each of which a call on arrays costs more than all the rest."""
+    rng = np.random.default_rng(3)
+    frames_ = [(f, [tuple(c) for c in rng.integers(0, 12, (rng.integers(0, 6), 4)) / (1, 1, 12, 2)]) for f in np.cumsum(rng.integers(1, 5, 400)).tolist()]
+    last, want = {}, []
+    for f, found in frames_:
+        chosen = []
+        for half in (False, True):
+            own = [(i, c) for i, c in enumerate(found) if (c[2] >= 0.5) == half]
+            x, y, at = last.get(half, (0, 0, -9))
+            if f - at <= 5:
+                near = [(math.dist(c[:2], (x, y)), i) for i, c in own if math.dist(c[:2], (x, y)) <= 2 * (f - at)]
+            else:
+                near = [(-c[3], i) for i, c in own if c[3] >= 4]
+            chosen.append(min(near)[1] if near else None)
+            if near:
+                last[half] = (*found[chosen[-1]][:2], f)
+        want.append((f, *chosen))
+    monkeypatch.setattr(np, "hypot", None)
+    assert kernels.track_two(frames_, reach=2.0) == want
