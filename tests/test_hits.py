@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from seriesloom.operators import folds
 from seriesloom.plans import hits, hits_by_key, stage_queries
@@ -261,3 +262,19 @@ def test_completion_is_one_pass(spark):
     """Hits are completed where a key's tracks meet, so no step is computed again for each rule that reads it."""
     plan = stage_queries.j11(spark, SF)._jdf.queryExecution().toString()
     assert plan.split("== Optimized Logical Plan ==")[0].count("FlatMapCoGroupsInArrow") == 2  # in the parsed and the analyzed plan
+
+
+@pytest.mark.parametrize("rows", [1, 100, 10**6])
+def test_a_call_takes_many_keys(spark, monkeypatch, rows):
+    """However many keys a call takes, of whatever type, each is on its own."""
+    monkeypatch.setattr(hits_by_key, "ROWS", rows)
+    seen, aux, dense = (d.where("seg < 6").withColumn("seg", F.concat(F.lit("k"), F.col("seg"))) for d in stage_queries.tracks(spark, SF))
+    seen, dense = seen.where("seg <> 'k5'"), dense.where("seg <> 'k4'")
+    calls = (seen, aux, dense, "seg", "frame", "x", "y", "side", stage_queries.SERVE, None, S, C, P)
+    got = hits_by_key.detect_hits(*calls, **stage_queries.SIGNALS)
+    if rows == 1:
+        want = hits.detect_hits(*calls, **stage_queries.SIGNALS)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        return
+    one = stage_queries.detected(spark, SF, lambda *a, **k: hits_by_key.detect_hits(*a[:9], None, *a[10:], **k)).where("seg < 4")
+    assert sorted((r.seg, *r[1:]) for r in got.where("seg < 'k4'").collect()) == sorted((f"k{r.seg}", *r[1:]) for r in one.collect())
