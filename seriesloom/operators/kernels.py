@@ -7,22 +7,25 @@ import numpy as np
 from .smoothing import Motion, filtered_many, knotted_many, spline_at
 
 
-def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None) -> np.ndarray:
+def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None, of: np.ndarray | None = None) -> np.ndarray:
     """Places of local maxima. A plateau counts once, at its middle (the lower one of two); the ends are never peaks.
 
     distance: of two peaks nearer than that the lower goes, the earlier of equal ones. prominence: the height above the
-    higher of the two lowest points between the peak and higher ground (or the end) on either side.
+    higher of the two lowest points between the peak and higher ground (or the end) on either side. of: where many series
+    lie one after the other, the number of each place's series, in order.
     """
     x = np.asarray(x, dtype=float)
     if len(x) < 3:
         return np.zeros(0, dtype=int)
-    new = np.concatenate([[0], np.nonzero(x[1:] != x[:-1])[0] + 1])
+    of = np.zeros(len(x), dtype=np.int64) if of is None else of
+    new = np.concatenate([[0], np.nonzero((x[1:] != x[:-1]) | (of[1:] != of[:-1]))[0] + 1])
     end = np.append(new[1:], len(x)) - 1
-    level = x[new]
-    up = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:]))[0] + 1
+    level, own = x[new], of[new]
+    up = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:]) & (own[2:] == own[:-2]))[0] + 1
     peaks = (new[up] + end[up]) // 2
     if distance > 1:
-        at, keep = peaks.tolist(), [True] * len(peaks)
+        # peaks of two series are never near each other
+        at, keep = (peaks + of[peaks] * (len(x) + distance)).tolist(), [True] * len(peaks)
         for j in np.lexsort((np.arange(len(peaks)), x[peaks]))[::-1].tolist():
             if keep[j]:
                 for step in (-1, 1):
@@ -32,29 +35,42 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None
                         i += step
         peaks = peaks[np.array(keep, dtype=bool)]
     if prominence is not None:
-        peaks = peaks[prominences(x, peaks) >= prominence]
+        peaks = peaks[prominences(x, peaks, of) >= prominence]
     return peaks
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    if not np.isnan(x).any():
-        left, right = _valleys(x.tolist()), _valleys(x[::-1].tolist())
-        n = len(x) - 1
-        return x[peaks] - np.array([max(left[p], right[n - p]) for p in peaks.tolist()], dtype=float)
+def prominences(x: np.ndarray, peaks: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    if not len(peaks):
+        return np.zeros(0)
+    of = np.zeros(len(x), dtype=np.int64) if of is None else of
+    tops = find_peaks(x, of=of)
+    own = of[tops]
+    if not np.isnan(x).any() and np.isin(peaks, tops).all():
+        # higher ground is a higher top, or falls from the end without a valley between: the lowest points by top are all that is needed
+        new = np.append(True, own[1:] != own[:-1])
+        a, z = np.searchsorted(of, own), np.searchsorted(of, own, side="right") - 1
+        a[1:], z[:-1] = np.where(new[1:], a[1:], tops[:-1]), np.where(new[1:], z[:-1], tops[1:])
+        lowest = lambda a, z: np.minimum.reduceat(np.append(x, np.inf), np.stack([a, z], axis=1).ravel())[::2].tolist()
+        level = x[tops].tolist()
+        left = _valleys(level, lowest(a, tops + 1), new.tolist())
+        right = _valleys(level[::-1], lowest(tops, z + 1)[::-1], np.append(new[1:], True)[::-1].tolist())[::-1]
+        return (x[tops] - np.maximum(left, right))[np.searchsorted(tops, peaks)]
     out = np.zeros(len(peaks))
     for i, p in enumerate(peaks):
-        higher = np.nonzero(x > x[p])[0]
+        first, end = np.searchsorted(of, (of[p], of[p] + 1))
+        higher = first + np.nonzero(x[first:end] > x[p])[0]
         left, right = higher[higher < p], higher[higher > p]
-        a, z = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
+        a, z = (left[-1] + 1 if len(left) else first), (right[0] if len(right) else end)
         out[i] = x[p] - max(x[a : p + 1].min(), x[p:z].min())
     return out
 
 
-def _valleys(x: list[float]) -> list[float]:
-    """For each place the lowest value since higher ground before it."""
+def _valleys(tops: list[float], lows: list[float], new: list[bool]) -> list[float]:
+    """For each top the lowest value since higher ground before it. lows: the lowest since the top before; new: a series begins."""
     out, walls = [], []
-    for v in x:
-        low = v
+    for v, low, first in zip(tops, lows, new, strict=True):
+        if first:
+            walls = []
         while walls and walls[-1][0] <= v:
             low = min(low, walls.pop()[1])
         walls.append((v, low))
@@ -158,26 +174,48 @@ def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, dtype=float), np.array(right, dtype=float)), 1.0).reshape(3, 3)
 
 
+def summed(value: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Running sums, each series on its own, so that they are the same whatever lies before it."""
+    out, cuts = np.empty(len(value)), [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(value)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        np.cumsum(value[a:z], out=out[a:z])
+    return out
+
+
 def first_rise(frame: np.ndarray, y: np.ndarray, steps: int = 6, gap: int = 3, wobble: float = 2.0, total: float = 60.0) -> int | None:
     """Frame where y (downwards) first falls for `steps` steps, but for a wobble and gaps of up to `gap` frames; the falls alone sum to `total` at least."""
-    frame, y = np.asarray(frame), np.asarray(y, dtype=float)
+    at = first_rises(np.asarray(frame), np.asarray(y, dtype=float), np.zeros(len(frame), dtype=np.int64), 1, steps, gap, wobble, total)[0]
+    return int(frame[at]) if at >= 0 else None
+
+
+def first_rises(frame: np.ndarray, y: np.ndarray, of: np.ndarray, n: int, steps: int = 6, gap: int = 3, wobble: float = 2.0, total: float = 60.0) -> np.ndarray:
+    """first_rise() of n series that lie one after the other: the place of each, -1 for none. of: the number of each place's series, in order."""
+    out = np.full(n, -1)
     if len(frame) < 2:
-        return None
-    step = np.diff(y)
-    broken = np.append((np.diff(frame) > gap) | (step > wobble), True)
-    breaks = np.nonzero(broken)[0]
-    end = breaks[np.searchsorted(breaks, np.arange(len(frame)))]  # the last place that each place's run reaches
-    fallen = np.concatenate([[0.0], np.cumsum(np.maximum(0.0, -step))])
-    found = np.nonzero((end - np.arange(len(frame)) >= steps) & (fallen[end] - fallen >= total))[0]
-    return int(frame[found[0]]) if len(found) else None
-
-
-def trim_shallow_ends(peaks: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Of five peaks or more, the first and the last go if they rise less than `least` out of the valley beside them."""
-    if len(peaks) < 5:
+        return out
+    step, new = np.diff(y), of[1:] != of[:-1]
+    broken = np.append((np.diff(frame) > gap) | (step > wobble) | new, True)
+    breaks, at = np.nonzero(broken)[0], np.arange(len(frame))
+    end = breaks[np.searchsorted(breaks, at)]  # the last place that each place's run reaches
+    fallen = summed(np.append(0.0, np.where(new, 0.0, np.maximum(0.0, -step))), of)
+    found = np.nonzero((end - at >= steps) & (fallen[end] - fallen >= total))[0]
+    series, first = np.unique(of[found], return_index=True)
+    out[series] = found[first]
+    return out
+
+
+def trim_shallow_ends(peaks: np.ndarray, y: np.ndarray, least: float, of: np.ndarray | None = None) -> np.ndarray:
+    """Of a series' five peaks or more, the first and the last go if they rise less than `least` out of the valley beside them."""
+    own = np.zeros(len(peaks), dtype=np.int64) if of is None else of[peaks]
+    _, first, many = np.unique(own, return_index=True, return_counts=True)
+    first, many = first[many >= 5], many[many >= 5]
+    if not len(first):
         return peaks
-    first, last = (y[peaks[i]] - y[peaks[a] : peaks[z]].min() for i, a, z in ((0, 0, 1), (-1, -2, -1)))
-    return peaks[int(first < least) : len(peaks) - int(last < least)]
+    last, drop = first + many - 1, np.zeros(len(peaks), dtype=bool)
+    for i, a in ((first, first), (last, last - 1)):
+        valley = np.minimum.reduceat(y, np.stack([peaks[a], peaks[a + 1]], axis=1).ravel())[::2]
+        drop[i] = y[peaks[i]] - valley < least
+    return peaks[~drop]
 
 
 def turn_degrees(dx1: np.ndarray, dy1: np.ndarray, dx2: np.ndarray, dy2: np.ndarray) -> np.ndarray:
@@ -187,57 +225,79 @@ def turn_degrees(dx1: np.ndarray, dy1: np.ndarray, dx2: np.ndarray, dy2: np.ndar
     return np.where(out > 180, 360 - out, out)
 
 
-def contact_candidates(
-    frame: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, n: int, drop: float = 5.0, prominence: float = 5.0, edge: float = 5.0,
-    lag: int = 3, clear: int = 5, angle: float = 30.0, speed_ratio: float = 1.5, spacing: int = 10,
-    ramp: int = 3, slow: float = 12.0, ramp_ratio: float = 1.8, sideways: float = 2.0, apart: int = 10, near: int = 5, rise_steps: int = 6, rise_total: float = 60.0,
-) -> list[tuple[int, list[str]]]:
+def contact_candidates(frame: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, n: int, near: int = 5, **knobs: float) -> list[tuple[int, list[str]]]:
     """Frames at which an object seen at (frame, x, y), within frames first..first + n - 1, may have been hit, and the signals about each.
 
+    The signals within `near` frames of each are told; for the others see contact_places.
+    """
+    frame, x, y = np.asarray(frame), np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    if not len(frame):
+        return []
+    places, fired = contact_places(frame - first, x, y, np.zeros(len(frame), dtype=np.int64), np.array([0, n]), **knobs)
+    about: dict[int, list[str]] = {k: [] for k in places.tolist()}
+    for name in sorted(fired):
+        rows = np.sort(fired[name])
+        beside = np.searchsorted(rows, places + near, side="right") > np.searchsorted(rows, places - near)
+        for k in places[beside].tolist():
+            about[k].append(name)
+    return [(first + k, about[k] or ["ypeak"]) for k in about]
+
+
+def contact_places(
+    at: np.ndarray, x: np.ndarray, y: np.ndarray, of: np.ndarray, span: np.ndarray, drop: float = 5.0, prominence: float = 5.0, edge: float = 5.0,
+    lag: int = 3, clear: int = 5, angle: float = 30.0, speed_ratio: float = 1.5, spacing: int = 10,
+    ramp: int = 3, slow: float = 12.0, ramp_ratio: float = 1.8, sideways: float = 2.0, apart: int = 10, rise_steps: int = 6, rise_total: float = 60.0,
+) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where objects seen at (at, x, y) may have been hit, and where each signal fired, of many objects whose frames lie one after the other.
+
+    of: the number of each point's object, in order; the frames of object i are those from span[i] to span[i + 1] - 1.
     serve: the first steep fall. ypeak: prominent peaks of y after it. accel: a turn with a change of speed between two
     peaks' valley and the second. ramp: slow, then fast, with the sideways speed changed. Signals nearer than `apart`
     are one; the first sustained rise (serve_rise) is added last if no other is near.
     """
-    frame, x, y = np.asarray(frame), np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-    m, at = len(frame), np.asarray(frame) - first
-    if not m:
-        return []
+    n, places = len(span) - 1, np.arange(len(at))
+    begin, end = np.searchsorted(of, np.arange(n)), np.searchsorted(of, np.arange(n), side="right")
+    framed = np.repeat(np.arange(n), np.diff(span))
     fired: dict[str, np.ndarray] = {}
-    falls = np.nonzero(-np.diff(y) >= drop * np.diff(frame))[0]
-    fired["serve"] = at[falls[:1]]
-    start = int(at[falls[0]]) if len(falls) else 0
-    peaks = trim_shallow_ends(find_peaks(y, prominence=prominence), y, edge)
-    fired["ypeak"] = at[peaks][at[peaks] >= start]
-    turning = np.zeros(n)
-    reach = [np.arange(max(a + int(y[a:z].argmin()) + clear + 1, lag), min(z - clear, m - lag)) for a, z in zip(peaks[:-1].tolist(), (peaks[1:] + 1).tolist(), strict=True)]
-    j = np.concatenate(reach) if reach else np.zeros(0, dtype=int)
-    if len(j):
+    same = of[1:] == of[:-1]
+    falls = np.nonzero((-np.diff(y) >= drop * np.diff(at)) & same)[0]
+    falling, first = np.unique(of[falls], return_index=True)
+    fired["serve"], start = at[falls[first]], span[:-1].copy()
+    start[falling] = fired["serve"]
+    peaks = trim_shallow_ends(find_peaks(y, prominence=prominence, of=of), y, edge, of)
+    fired["ypeak"] = at[peaks][at[peaks] >= start[of[peaks]]]
+    turning = np.zeros(span[-1])
+    pair = np.nonzero(of[peaks[1:]] == of[peaks[:-1]])[0]
+    if len(pair):
+        a, z = peaks[pair], peaks[pair + 1]
+        valley = np.minimum.reduceat(y, np.stack([a, z], axis=1).ravel())[::2]
+        inside = np.searchsorted(a, places, side="right") - 1
+        lowest = np.nonzero((inside >= 0) & (places < z[inside]) & (y == valley[inside]))[0]
+        lowest = lowest[np.unique(inside[lowest], return_index=True)[1]]
+        lo, hi = np.maximum(lowest + clear + 1, begin[of[a]] + lag), np.minimum(z + 1 - clear, end[of[a]] - lag)
+        many = np.maximum(hi - lo, 0)
+        j = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
         into, out = (x[j] - x[j - lag], y[j] - y[j - lag]), (x[j + lag] - x[j], y[j + lag] - y[j])
         speeds = np.sort([np.hypot(*into), np.hypot(*out)], axis=0)
         turning[at[j[(turn_degrees(*into, *out) > angle) & (speeds[1] >= speed_ratio * speeds[0])]]] = 1
-    fired["accel"] = find_peaks(turning, distance=spacing)
-    j = np.arange(ramp, m - ramp)
+    fired["accel"] = find_peaks(turning, distance=spacing, of=framed)
+    j = np.nonzero((places - begin[of] >= ramp) & (places < end[of] - ramp))[0]
     if len(j):
-        gone = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
+        gone = summed(np.append(0.0, np.where(same, np.hypot(np.diff(x), np.diff(y)), 0.0)), of)
         before, after = (gone[j] - gone[j - ramp]) / ramp, (gone[j + ramp] - gone[j]) / ramp
         bend = np.abs(x[j + ramp] - 2 * x[j] + x[j - ramp]) / ramp
         fired["ramp"] = at[j[(before > 0) & (before < slow) & (after >= ramp_ratio * before) & (bend >= sideways)]]
-    signal = np.zeros(n)
+    signal = np.zeros(span[-1])
     for rows in fired.values():
         signal[rows] = 1
-    kept = find_peaks(signal, distance=max(1, apart)).tolist()
-    rise = first_rise(frame, y, rise_steps, total=rise_total)
-    if rise is not None and all(abs(rise - first - k) >= apart for k in kept):
-        kept = sorted([*kept, rise - first])
-        fired["serve_rise"] = np.array([rise - first])
-    about: dict[int, list[str]] = {k: [] for k in kept}
-    places = np.array(kept, dtype=np.int64)
-    for name in sorted(fired):
-        rows = np.sort(fired[name])
-        beside = np.searchsorted(rows, places + near, side="right") > np.searchsorted(rows, places - near)
-        for k in places[beside].tolist():
-            about[k].append(name)
-    return [(first + k, about[k] or ["ypeak"]) for k in kept]
+    kept = find_peaks(signal, distance=max(1, apart), of=framed)
+    rise = first_rises(at, y, of, n, rise_steps, total=rise_total)
+    risen, rise = np.nonzero(rise >= 0)[0], at[rise[rise >= 0]]
+    lo, hi = np.maximum(rise - apart, span[risen] - 1), np.minimum(rise + apart, span[risen + 1])
+    alone = rise[np.searchsorted(kept, lo, side="right") >= np.searchsorted(kept, hi)]
+    if len(alone):
+        kept, fired["serve_rise"] = np.sort(np.append(kept, alone)), alone
+    return kept, fired
 
 
 def robust_quadratic(t: np.ndarray, value: np.ndarray, weight: np.ndarray, where: np.ndarray, rounds: int = 4, floor: float = 2.0) -> np.ndarray:

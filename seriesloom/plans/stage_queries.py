@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folds
+from ..sources.shared import written
 from . import hits, hits_by_key, stages
 from .registry import frames, query, r4
 
@@ -35,8 +36,8 @@ def j15(spark, sf):
 
 
 def tracks(spark, sf):
-    """A track of each user's events, one that runs against it, and labels with confidence."""
-    rows = frames(spark, sf).select("seg", "frame", "x", "y", "side", F.when(F.col("label") != "error", F.col("label")).alias("label"))
+    """A track of each user's events, one that runs against it, and labels with confidence. Events are numbered once, and the three read that table."""
+    rows = written(frames(spark, sf).select("seg", "frame", "x", "y", "side", F.when(F.col("label") != "error", F.col("label")).alias("label")))
     seen = rows.withColumn("x", F.when(F.col("frame") % 9 != 0, F.col("x")))
     return seen, seen.withColumn("y", 100 - F.col("y")), rows.withColumn("conf", F.col("x") / 100)
 

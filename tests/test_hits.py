@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -278,3 +279,26 @@ def test_a_call_takes_many_keys(spark, monkeypatch, rows):
         return
     one = stage_queries.detected(spark, SF, lambda *a, **k: hits_by_key.detect_hits(*a[:9], None, *a[10:], **k)).where("seg < 4")
     assert sorted((r.seg, *r[1:]) for r in got.where("seg < 'k4'").collect()) == sorted((f"k{r.seg}", *r[1:]) for r in one.collect())
+
+
+def test_signals_are_found_for_all_keys_at_once(monkeypatch):
+    """A call's keys share the passes over arrays: sixty keys take no more of them than two."""
+    calls = []
+    find_peaks = hits_by_key.kernels.find_peaks
+    monkeypatch.setattr(hits_by_key.kernels, "find_peaks", lambda *a, **b: calls.append(1) or find_peaks(*a, **b))
+    took = []
+    for keys in (2, 60):
+        frame, of = np.tile(np.arange(50), 2 * keys), np.repeat(np.arange(2 * keys), 50)
+        x, y = np.random.default_rng(keys).uniform(0, 100, (2, len(of)))
+        t = hits_by_key.Tracks(frame, x, y, np.where(y > 50, "top", "bottom").astype(object), of, 2 * keys, S.around)
+        found = list(hits_by_key.evidence(t, S, C.fuse, y > 80, {}, stage_queries.SIGNALS))
+        assert len(found) == keys and all(weak for _, _, _, weak, *_ in found)
+        took.append(len(calls))
+        calls.clear()
+    assert took[0] == took[1]
+
+
+@pytest.mark.parametrize("query", [stage_queries.j14, stage_queries.j11])
+def test_events_are_numbered_once(spark, query):
+    """The two tracks, the labels and the dead segments read one table; the events' JSON is not taken apart again for each."""
+    assert "get_json_object" not in query(spark, SF)._jdf.queryExecution().toString()

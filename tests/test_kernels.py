@@ -118,3 +118,22 @@ def test_fill_follows_a_parabola(how):
     few = k.fill_path(np.array([0, 4]), np.array([0.0, 4.0]), np.zeros(2), np.ones(2), how)
     assert few[0].tolist() == [0, 1, 2, 3, 4] and (how == "kalman" or few[1].tolist() == [0, 1, 2, 3, 4])
     assert k.fill_path(np.array([3]), np.array([1.0]), np.array([2.0]), np.ones(1), how)[1].tolist() == [1.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_series_side_by_side_are_each_on_its_own(seed):
+    r = np.random.default_rng(seed)
+    many = [int(n) for n in r.integers(0, 60, 30)]
+    ys = [r.uniform(0, 100, n).round(2) if i % 2 else r.integers(0, 4, n) * 30.0 for i, n in enumerate(many)]
+    xs = [r.uniform(0, 100, n).round() for n in many]
+    at = [np.cumsum(r.integers(1, 3, n)) for n in many]
+    cuts, of, y = np.append(0, np.cumsum(many)), np.repeat(np.arange(30), many), np.concatenate(ys)
+    for knobs in ({}, {"distance": 4}, {"prominence": 25.0}, {"distance": 3, "prominence": 25.0}):
+        assert k.find_peaks(y, of=of, **knobs).tolist() == [a + p for a, v in zip(cuts, ys) for p in k.find_peaks(v, **knobs).tolist()]
+    peaks = k.find_peaks(y, of=of)
+    assert k.prominences(y, peaks, of).tolist() == [h for v in ys for h in k.prominences(v, k.find_peaks(v)).tolist()]
+    rises = k.first_rises(np.concatenate(at), y, of, 30, steps=2, total=20.0).tolist()
+    assert [None if i < 0 else int(np.concatenate(at)[i]) for i in rises] == [k.first_rise(f, v, steps=2, total=20.0) for f, v in zip(at, ys)]
+    span = np.append(0, np.cumsum([f[-1] + 2 if len(f) else 1 for f in at]))
+    got, _ = k.contact_places(np.concatenate([f + s for f, s in zip(at, span)]), np.concatenate(xs), y, of, span, apart=3, spacing=3, clear=0)
+    assert got.tolist() == [s + f for s, n, *own in zip(span, np.diff(span), at, xs, ys) for f, _ in k.contact_candidates(*own, 0, n, apart=3, spacing=3, clear=0)]
