@@ -7,6 +7,11 @@ import numpy as np
 from .smoothing import Motion, filtered_many, knotted_many, spline_at
 
 
+def begins(of: np.ndarray) -> np.ndarray:
+    """Where each series begins, of those that lie one after the other."""
+    return np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1]) if len(of) else np.zeros(0, dtype=np.int64)
+
+
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None, of: np.ndarray | None = None) -> np.ndarray:
     """Places of local maxima. A plateau counts once, at its middle (the lower one of two); the ends are never peaks.
 
@@ -18,12 +23,11 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None
     if len(x) < 3:
         return np.zeros(0, dtype=int)
     of = np.zeros(len(x), dtype=np.int64) if of is None else of
-    new = np.concatenate([[0], np.nonzero((x[1:] != x[:-1]) | (of[1:] != of[:-1]))[0] + 1])
-    end = np.append(new[1:], len(x)) - 1
-    level, own = x[new], of[new]
-    up = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:]) & (own[2:] == own[:-2]))[0] + 1
-    peaks = (new[up] + end[up]) // 2
-    if distance > 1:
+    new = np.nonzero((x[1:] != x[:-1]) | (of[1:] != of[:-1]))[0] + 1
+    level, own = x[np.append(0, new)], of[np.append(0, new)]
+    up = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:]) & (own[2:] == own[:-2]))[0]
+    peaks = (new[up] + new[up + 1] - 1) // 2
+    if distance > 1 and len(peaks) > 1:
         # peaks of two series are never near each other
         at, keep = (peaks + of[peaks] * (len(x) + distance)).tolist(), [True] * len(peaks)
         for j in np.lexsort((np.arange(len(peaks)), x[peaks]))[::-1].tolist():
@@ -44,17 +48,24 @@ def prominences(x: np.ndarray, peaks: np.ndarray, of: np.ndarray | None = None)
         return np.zeros(0)
     of = np.zeros(len(x), dtype=np.int64) if of is None else of
     tops = find_peaks(x, of=of)
-    own = of[tops]
-    if not np.isnan(x).any() and np.isin(peaks, tops).all():
+    among = np.searchsorted(tops, peaks)
+    if not np.isnan(x).any() and len(tops) and (tops[np.minimum(among, len(tops) - 1)] == peaks).all():
         # higher ground is a higher top, or falls from the end without a valley between: the lowest points by top are all that is needed
-        new = np.append(True, own[1:] != own[:-1])
-        a, z = np.searchsorted(of, own), np.searchsorted(of, own, side="right") - 1
-        a[1:], z[:-1] = np.where(new[1:], a[1:], tops[:-1]), np.where(new[1:], z[:-1], tops[1:])
-        lowest = lambda a, z: np.minimum.reduceat(np.append(x, np.inf), np.stack([a, z], axis=1).ravel())[::2].tolist()
-        level = x[tops].tolist()
-        left = _valleys(level, lowest(a, tops + 1), new.tolist())
-        right = _valleys(level[::-1], lowest(tops, z + 1)[::-1], np.append(new[1:], True)[::-1].tolist())[::-1]
-        return (x[tops] - np.maximum(left, right))[np.searchsorted(tops, peaks)]
+        own = of[tops]
+        first = begins(own)
+        last = np.append(first[1:], len(tops)) - 1
+        a, z = np.concatenate([[0], tops[:-1]]), np.concatenate([tops[1:], [0]])
+        a[first], z[last] = np.searchsorted(of, own[first]), np.searchsorted(of, own[last], side="right") - 1
+        begin, end = np.zeros((2, len(tops)), dtype=bool)
+        begin[first], end[last] = True, True
+        edges, padded = np.empty((len(tops), 2), dtype=np.int64), np.concatenate([x, [np.inf]])
+        edges[:, 0], edges[:, 1] = a, tops + 1
+        level, low = x[tops].tolist(), np.minimum.reduceat(padded, edges.ravel())[::2].tolist()
+        left = _valleys(level, low, begin.tolist())
+        edges[:, 0], edges[:, 1] = tops, z + 1
+        low = np.minimum.reduceat(padded, edges.ravel())[::2][::-1].tolist()
+        right = _valleys(level[::-1], low, end[::-1].tolist())[::-1]
+        return (x[tops] - np.maximum(left, right))[among]
     out = np.zeros(len(peaks))
     for i, p in enumerate(peaks):
         first, end = np.searchsorted(of, (of[p], of[p] + 1))
@@ -176,7 +187,7 @@ def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def summed(value: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Running sums, each series on its own, so that they are the same whatever lies before it."""
-    out, cuts = np.empty(len(value)), [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(value)]
+    out, cuts = np.empty(len(value)), [*begins(of).tolist(), len(value)]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         np.cumsum(value[a:z], out=out[a:z])
     return out
@@ -199,15 +210,17 @@ def first_rises(frame: np.ndarray, y: np.ndarray, of: np.ndarray, n: int, steps:
     end = breaks[np.searchsorted(breaks, at)]  # the last place that each place's run reaches
     fallen = summed(np.append(0.0, np.where(new, 0.0, np.maximum(0.0, -step))), of)
     found = np.nonzero((end - at >= steps) & (fallen[end] - fallen >= total))[0]
-    series, first = np.unique(of[found], return_index=True)
-    out[series] = found[first]
+    found = found[begins(of[found])]
+    out[of[found]] = found
     return out
 
 
 def trim_shallow_ends(peaks: np.ndarray, y: np.ndarray, least: float, of: np.ndarray | None = None) -> np.ndarray:
     """Of a series' five peaks or more, the first and the last go if they rise less than `least` out of the valley beside them."""
-    own = np.zeros(len(peaks), dtype=np.int64) if of is None else of[peaks]
-    _, first, many = np.unique(own, return_index=True, return_counts=True)
+    if len(peaks) < 5:
+        return peaks
+    first = begins(np.zeros(len(peaks), dtype=np.int64) if of is None else of[peaks])
+    many = np.append(first[1:], len(peaks)) - first
     first, many = first[many >= 5], many[many >= 5]
     if not len(first):
         return peaks
@@ -261,9 +274,9 @@ def contact_places(
     fired: dict[str, np.ndarray] = {}
     same = of[1:] == of[:-1]
     falls = np.nonzero((-np.diff(y) >= drop * np.diff(at)) & same)[0]
-    falling, first = np.unique(of[falls], return_index=True)
-    fired["serve"], start = at[falls[first]], span[:-1].copy()
-    start[falling] = fired["serve"]
+    falls = falls[begins(of[falls])]
+    fired["serve"], start = at[falls], span[:-1].copy()
+    start[of[falls]] = fired["serve"]
     peaks = trim_shallow_ends(find_peaks(y, prominence=prominence, of=of), y, edge, of)
     fired["ypeak"] = at[peaks][at[peaks] >= start[of[peaks]]]
     turning = np.zeros(span[-1])
@@ -273,7 +286,7 @@ def contact_places(
         valley = np.minimum.reduceat(y, np.stack([a, z], axis=1).ravel())[::2]
         inside = np.searchsorted(a, places, side="right") - 1
         lowest = np.nonzero((inside >= 0) & (places < z[inside]) & (y == valley[inside]))[0]
-        lowest = lowest[np.unique(inside[lowest], return_index=True)[1]]
+        lowest = lowest[begins(inside[lowest])]
         lo, hi = np.maximum(lowest + clear + 1, begin[of[a]] + lag), np.minimum(z + 1 - clear, end[of[a]] - lag)
         many = np.maximum(hi - lo, 0)
         j = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
