@@ -1,8 +1,7 @@
 """Court geometry from rows: vanishing points, quads over masks, views fitted to points, and views proposed from lines.
 
 Lines are rows key, x1, y1, x2, y2; points rows key, x, y; a view is a homography from court metres to the image, an array
-of nine numbers. All sums over points and votes are Spark's, so a key may have any number of points; the lines of a key are
-cut to the longest ones, and what is multiplied out by key is bounded by that.
+of nine numbers. All sums over points and votes are Spark's, so a key may have any number of points and of lines.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ ACROSS, DOWN = (0.0, 0.46, 3.05, 5.64, 6.10), (0.0, 0.76, 4.72, 6.705, 8.685, 12
 STEEP, SHALLOW = (40, 140), 40
 #: Units that keep sums of squares near 1: metres and pixels.
 METRES, PIXELS = 10.0, 1000.0
+#: What votes need of a line.
+_PARTS = ("a", "b", "c", "mx", "my", "length")
 
 
 def lines(df: DataFrame) -> DataFrame:
@@ -56,48 +57,110 @@ def _off(x: str, y: str) -> Column:
     return F.abs(F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c")) / (gone + 1e-9)
 
 
-def vanishing_points(df: DataFrame, keys: list[str], name: str, rounds: int = 300, tolerance: float = 0.02, most: int = 180) -> DataFrame:
+def vanishing_points(df: DataFrame, keys: list[str], name: str, rounds: int = 300, tolerance: float = 0.02, piece: int = 1 << 16) -> DataFrame:
     """keys, vx, vy, weight, inliers and n: the point that the most length of a key's lines points to.
 
-    Of the `most` longest lines (of equal ones by name) a hash of keys and round draws two for each round; where they meet is a
-    hypothesis, on which all lines of the key vote with their lengths. The heaviest hypothesis wins, of equal ones the
+    A hash of keys and round draws two of a key's lines (the longest first, of equal ones by name) for each round; where they meet
+    is a hypothesis, on which all lines of the key vote with their lengths. The heaviest hypothesis wins, of equal ones the
     first. Keys with fewer than two lines, or with parallel ones only, have no row.
+
+    A key of at most `piece` lines is looked at in one go. The lines of a larger one are put in order by Spark, so that those
+    drawn are found by their places; pieces of the order vote, and Spark adds the votes up.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("length"), name)
-    told = lines(df).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= most).dropna(subset=keys)
-    parts = ("a", "b", "c", "mx", "my", "length")
-    packed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *parts))).alias("_lines")).where(F.size("_lines") > 1)
-    packed = packed.withColumn("_name", F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
+    told = written(lines(df.select(*keys, name, "x1", "y1", "x2", "y2")).select(*keys, name, *_PARTS).dropna(subset=keys))
+    sizes = told.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > piece))
+    none = large.isEmpty()
+    small = told if none else told.join(large, keys, "left_anti")
+    order = [(-F.col("length")).alias("_order"), F.col(name).alias("_by")]
+    packed = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *_PARTS))).alias("_lines")).where(F.size("_lines") > 1)
+    packed = packed.withColumn("_name", _named(keys))
     kinds = dict(packed.dtypes)
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_lines")
-            cuts, flat = lists.offsets.to_numpy(), [lists.values.field(c).to_numpy(zero_copy_only=False) for c in parts]
-            found = [_best_point(name, rounds, tolerance, *(v[lo:hi] for v in flat)) for name, lo, hi in zip(batch.column("_name").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+            found = [_best_point(name, rounds, tolerance, *parts) for name, parts in zip(batch.column("_name").to_pylist(), _parts(batch), strict=True)]
             at = [i for i, f in enumerate(found) if f is not None]
             told = [pa.array([found[i][j] for i in at], pa.float64() if j < 3 else pa.int64()) for j in range(5)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), *told], [*keys, "vx", "vy", "weight", "inliers", "n"])
 
-    return packed.mapInArrow(vote, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "vx double, vy double, weight double, inliers long, n long"]))
+    found = packed.mapInArrow(vote, f"{names}, vx double, vy double, weight double, inliers long, n long")
+    if none:
+        return found
+    # the number that a row gets in a sorted table tells its task, and its place among the rows of its key there
+    whole = written(told.join(few(large.select(*keys)), keys, "left_semi").orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id()))
+    task = F.shiftright("_id", 33).alias("_task")
+    starts = whole.groupBy(*keys, task).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(starts.select(*keys, "_first", before.alias("_from"), "_rows"))
+    hashed = F.md5(F.concat_ws("/", _named(keys), F.col("round").cast("string")))
+    p, q = (F.conv(F.substring(hashed, at, 8), 16, 10).cast("long") for at in (1, 9))
+    drawn = large.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_p", p % F.col("n"))
+    drawn = drawn.withColumn("_q", (F.col("_p") + 1 + q % (F.col("n") - 1)) % F.col("n"))
+    places = written(drawn.select(*keys, "round", F.explode(F.array(*(F.struct(F.lit(c).alias("_side"), F.col(f"_{c}").alias("_place")) for c in "pq"))).alias("_d")).select(*keys, "round", "_d.*"))
+    ids = few(places).join(starts, keys).where((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_from") + F.col("_rows")))
+    ids = written(ids.select("round", "_side", (F.col("_first") + F.col("_place") - F.col("_from")).alias("_id")))
+    ends = written(few(ids).join(whole.select(*keys, "_id", "a", "b", "c"), "_id"))
+    side = lambda c: ends.where(F.col("_side") == c).select(*keys, "round", *(F.col(v).alias(f"{c}{v}") for v in "abc"))
+    vx, vy = _meet(*(tuple(f"{c}{v}" for v in "abc") for c in "pq"))
+    points = side("p").join(side("q"), [*keys, "round"]).select(*keys, F.struct("round", vx.alias("vx"), vy.alias("vy")).alias("_h")).where("_h.vx is not null")
+    points = written(points.groupBy(*keys).agg(F.collect_list("_h").alias("_points")))
+    pieces = whole.groupBy(*keys, F.floor(F.col("_id") / piece).alias("_piece")).agg(F.collect_list(F.struct(*_PARTS)).alias("_lines"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (parts, (at, vx, vy)) in enumerate(zip(_parts(batch), _parts(batch, "_points", ("round", "vx", "vy")), strict=True)):
+                weight, count = _votes(vx, vy, tolerance, *parts)
+                own = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in keys), *map(pa.array, (at, vx, vy, weight, count))], [*keys, "round", "vx", "vy", "weight", "inliers"])
+
+    votes = pieces.join(points, keys).select(*keys, "_lines", "_points").mapInArrow(add_up, f"{names}, round int, vx double, vy double, weight double, inliers long")
+    weight = F.floor(F.sum("weight") * 1000 + 0.5) / 1000
+    votes = votes.groupBy(*keys, "round", "vx", "vy").agg(weight.alias("weight"), F.sum("inliers").alias("inliers")).where("inliers > 0")
+    best = votes.groupBy(*keys).agg(F.max_by(F.struct("vx", "vy", "weight", "inliers"), F.struct("weight", -F.col("round"))).alias("_b"))
+    return found.unionByName(best.join(large, keys).select(*keys, "_b.*", "n"))
+
+
+def _named(keys: list[str]) -> Column:
+    return F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+
+
+def _parts(batch: pa.RecordBatch, column: str = "_lines", names: tuple[str, ...] = _PARTS) -> Iterator[list[np.ndarray]]:
+    """A batch's lists of structs, row by row: an array for each of the fields."""
+    lists = batch.column(column)
+    cuts, flat = lists.offsets.to_numpy(), [lists.values.field(c).to_numpy(zero_copy_only=False) for c in names]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield [v[lo:hi] for v in flat]
+
+
+def _votes(vx: np.ndarray, vy: np.ndarray, tolerance: float, a: np.ndarray, b: np.ndarray, c: np.ndarray, mx: np.ndarray, my: np.ndarray, length: np.ndarray, held: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+    """The length and the number of lines that point to each hypothesis; `held` lines at a time."""
+    weight, count = np.zeros(len(vx)), np.zeros(len(vx), dtype=np.int64)
+    x, y = vx[:, None], vy[:, None]
+    for at in (slice(i, i + held) for i in range(0, len(a), held)):
+        gone = np.sqrt((x - mx[at]) * (x - mx[at]) + (y - my[at]) * (y - my[at]))
+        votes = np.abs(a[at] * x + b[at] * y + c[at]) / (gone + 1e-9) < tolerance
+        weight += (votes * length[at]).sum(axis=1)
+        count += votes.sum(axis=1)
+    return weight, count
 
 
 def _best_point(name: str, rounds: int, tolerance: float, a: np.ndarray, b: np.ndarray, c: np.ndarray, mx: np.ndarray, my: np.ndarray, length: np.ndarray) -> tuple | None:
-    """vx, vy, weight, inliers and n of a key's heaviest hypothesis; see vanishing_points(). At most rounds times lines votes are held."""
+    """vx, vy, weight, inliers and n of a key's heaviest hypothesis; see vanishing_points()."""
     n = len(a)
     drawn = np.frombuffer(b"".join(hashlib.md5(f"{name}/{i}".encode()).digest()[:8] for i in range(rounds)), dtype=">u4").reshape(-1, 2).astype(np.int64)
     p = drawn[:, 0] % n
     q = (p + 1 + drawn[:, 1] % (n - 1)) % n
     det = a[p] * b[q] - a[q] * b[p]
     p, q, det = (v[np.abs(det) >= 1e-9] for v in (p, q, det))
-    vx, vy = ((b[p] * c[q] - b[q] * c[p]) / det)[:, None], ((c[p] * a[q] - c[q] * a[p]) / det)[:, None]
-    gone = np.sqrt((vx - mx) * (vx - mx) + (vy - my) * (vy - my))
-    votes = np.abs(a * vx + b * vy + c) / (gone + 1e-9) < tolerance
-    weight = np.where(votes.any(axis=1), np.floor((votes * length).sum(axis=1) * 1000 + 0.5) / 1000, -1.0)
+    vx, vy = (b[p] * c[q] - b[q] * c[p]) / det, (c[p] * a[q] - c[q] * a[p]) / det
+    told, votes = _votes(vx, vy, tolerance, a, b, c, mx, my, length)
+    weight = np.where(votes > 0, np.floor(told * 1000 + 0.5) / 1000, -1.0)
     if not (weight >= 0).any():
         return None
     best = int(weight.argmax())  # the first of equal ones
-    return float(vx[best, 0]), float(vy[best, 0]), float(weight[best]), int(votes[best].sum()), n
+    return float(vx[best]), float(vy[best]), float(weight[best]), int(votes[best]), n
 
 
 def on_points(df: DataFrame, points: DataFrame, keys: list[str], tolerance: float = 0.02, least: int = 3) -> DataFrame:

@@ -50,7 +50,7 @@ def along(segments, key, n=24):
     f"""with {SCENE}, fa as (select *, abs(degrees(atan2(y2 - y1, x2 - x1))) an, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) len from sc),
 li as (select *, case when an < 40 then 'shallow' when an > 40 and an < 140 then 'steep' end fam, (y2 - y1) / len a, -(x2 - x1) / len b, (x1 + x2) / 2 mx, (y1 + y2) / 2 my from fa where len > 0),
 lc as (select *, -(a * x1 + b * y1) c, row_number() over (partition by seg, fam order by len desc, event_id) - 1 i from li where fam is not null),
-ln as materialized (select * from lc where i < 180), n as (select seg, fam, count(*) n from ln group by all having count(*) > 1),
+ln as materialized (select * from lc), n as (select seg, fam, count(*) n from ln group by all having count(*) > 1),
 dr as (select *, md5(concat_ws('/', seg, fam, round)) h from (select *, unnest(range(300)) round from n)),
 pq as (select *, cast('0x' || h[1:8] as bigint) % n p, (cast('0x' || h[1:8] as bigint) % n + 1 + cast('0x' || h[9:16] as bigint) % (n - 1)) % n q from dr),
 vp as materialized (select seg, fam, round, n, (pb * qc - qb * pc) / det vx, (pc * qa - qc * pa) / det vy from (

@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import court
 from seriesloom.plans import court_queries as q
+from seriesloom.plans.catalog import SQL
 
 SF = "/root/testdata/sf0.001"
 VIEW = np.array([[118.0, -9.0, 300.0], [4.0, 31.0, 190.0], [0.004, -0.021, 1.0]])
@@ -43,6 +45,48 @@ def test_hypotheses_are_not_joined(spark):
     assert [(r.k, r.n) for r in found.collect()] == [(1, 2)]
 
 
+def made_lines(rng, n, strays, key=1):
+    """So many lines towards (700, -300), and longer ones that go anywhere."""
+    rows = []
+    for i in range(n + strays):
+        (x1, y1), t = rng.uniform(0, 1000, 2), rng.uniform(0.2, 0.5)
+        x2, y2 = (x1 + t * (700 - x1), y1 + t * (-300 - y1)) if i < n else rng.uniform(2000, 4000, 2)
+        rows.append((key, i, *map(float, (x1, y1, x2, y2))))
+    return rows
+
+
+LINES = "k long, i long, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_all_lines_of_a_key_vote(spark):
+    """The lines that meet are shorter than 190 strays."""
+    rows = made_lines(np.random.default_rng(4), 900, 190)
+    (got,) = court.vanishing_points(spark.createDataFrame(rows, LINES), ["k"], "i").collect()
+    assert math.hypot(got.vx - 700, got.vy + 300) < 1e-6 and got.n == 1090 and got.inliers >= 900
+
+
+def test_keys_in_pieces_have_the_points_of_whole_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = made_lines(rng, 700, 100) + made_lines(rng, 300, 300, 2) + made_lines(rng, 40, 10, 3) + [(4, i, 0.0, float(i), 9.0, float(i)) for i in range(80)]
+    rows += [(5, i, *r[2:]) for i, r in enumerate(rows[:60] * 2)]  # equal lengths
+    df = spark.createDataFrame(rows, LINES).withColumn("side", F.when(F.col("i") % 3 == 0, "a").otherwise("b")).repartition(7)
+    for keys in (["k"], ["k", "side"]):
+        a, b = ({(r.k, *r[1 : len(keys)]): r for r in court.vanishing_points(df, keys, "i", piece=p).collect()} for p in (1 << 16, 60))
+        assert a.keys() == b.keys() and {k for k, *_ in a} == {1, 2, 3, 5}
+        for at, r in a.items():
+            assert (b[at].n, b[at].inliers, b[at].vx, b[at].vy, b[at].weight) == pytest.approx((r.n, r.inliers, r.vx, r.vy, r.weight), rel=1e-12)
+
+
+def test_vanishing_points_of_many_lines_are_those_of_the_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (user_id % 2 as user_id) from '{SF}/events.parquet') to '{tmp_path}/events.parquet'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.sql(SQL["J16_vanishing_point"])
+    want = {r[:2]: r[2:] for r in want.select("seg, family, vx, vy, weight, inliers, n").fetchall()}
+    got = {(r.seg, r.family): (r.vx, r.vy, r.weight, r.inliers, r.n) for r in q.j16(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 4 and all(r[4] > 180 for r in got.values())
+
+
 def test_vanishing_points_of_the_table_are_the_views(spark):
     """Steep lines meet where w is 0 in the direction down the court."""
     got = {r.seg: r for r in q.j16(spark, SF).where("family = 'steep'").collect()}
