@@ -389,11 +389,11 @@ def supported(points: DataFrame, key: str, width: int, height: int, reach: float
     return pixels.where(F.col("px").between(-n, width - 1 + n) & F.col("py").between(-n, height - 1 + n)).distinct()
 
 
-def coverage(views: DataFrame, near: DataFrame, keys: list[str], key: str, width: int, height: int, samples: int = 80, reach: float = 4.0) -> DataFrame:
+def coverage(views: DataFrame, near: DataFrame, keys: list[str], key: str, width: int, height: int, samples: int = 80, reach: float = 4.0, piece: int = 1 << 13) -> DataFrame:
     """keys and coverage: the mean share of each court line that lies on pixels nearer than `reach` to a supported one, times the share of lines of which over 0.3 does.
 
     A line of which under 0.4 of the samples are in the picture counts as 0. near: see supported(). The views of a key meet its picture,
-    one byte a pixel, in one task; a key has as many views as proposals() makes.
+    one byte a pixel, in one task; those of a key with more than `piece` views are dealt to several tasks, each with its picture.
     """
     n = int(np.ceil(reach)) - 1
     steps = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j < reach * reach]
@@ -425,7 +425,13 @@ def coverage(views: DataFrame, near: DataFrame, keys: list[str], key: str, width
 
     kinds = dict(views.dtypes)
     rows = views.select(*keys, "view").where(F.col(key).isNotNull() & F.col("view").isNotNull())
-    return rows.groupBy(key).cogroup(near.where(F.col(key).isNotNull()).groupBy(key)).applyInArrow(cover, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "coverage double"]))
+    near, groups = near.where(F.col(key).isNotNull()), [key]
+    many = written(rows.groupBy(key).agg(F.ceil(F.count("*") / piece).alias("_pieces")).where("_pieces > 1"))
+    if not many.isEmpty():
+        rows, near, groups = rows.join(few(many), key, "left"), near.join(few(many), key, "left"), [key, "_piece"]
+        rows = rows.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*keys), F.col("_pieces")), F.lit(0))).drop("_pieces")
+        near = near.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return rows.groupBy(*groups).cogroup(near.groupBy(*groups)).applyInArrow(cover, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "coverage double"]))
 
 
 def inliers(views: DataFrame, points: DataFrame, keys: list[str], key: str, reach: float = 5.0) -> DataFrame:
@@ -447,9 +453,13 @@ def physical_lines(df: DataFrame, key: str, merge: float = 14.0) -> DataFrame:
     middle = df.groupBy(key).agg(F.avg(F.when(F.col("family") == "shallow", F.col("my"))).alias("ry"), F.avg(F.when(F.col("family") == "steep", F.col("mx"))).alias("rx"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     at = F.when(F.col("family") == "steep", F.when(F.abs(a) >= 1e-6, -(b * F.col("ry") + c) / a)).otherwise(F.when(F.abs(b) >= 1e-6, -(a * F.col("rx") + c) / b))
-    rows = df.join(middle, key).withColumn("at", at).where("at is not null")
-    w = Window.partitionBy(key, "family").orderBy("at", "x1", "y1", "x2", "y2")
-    rows = rows.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(w) >= merge, F.lit(True)).cast("int")).withColumn("i", F.sum("_new").over(w))
+    rows = df.join(middle, key).withColumn("at", at).where("at is not null and not isnan(at)")
+    rows = written(rows.select(key, "family", "at", F.floor(F.col("at") / (merge / 2)).alias("_bin"), "x1", "y1", "x2", "y2"))
+    # all lines of a bin are one, so that bins are put in order, which are as many as a picture has room for
+    w = Window.partitionBy(key, "family").orderBy("_bin")
+    bins = rows.groupBy(key, "family", "_bin").agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
+    bins = bins.withColumn("_new", F.coalesce(F.col("_from") - F.lag("_to").over(w) >= merge, F.lit(True)).cast("int")).withColumn("i", F.sum("_new").over(w))
+    rows = rows.join(bins.select(key, "family", "_bin", "i"), [key, "family", "_bin"])
     ends = rows.select(key, "family", "i", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
     sums = ends.groupBy(key, "family", "i").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"), F.var_pop("p.x").alias("xx"), F.var_pop("p.y").alias("yy"), F.covar_pop("p.x", "p.y").alias("xy"))
     turn = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
@@ -457,42 +467,37 @@ def physical_lines(df: DataFrame, key: str, merge: float = 14.0) -> DataFrame:
     return sums.withColumns(fit).select(key, "family", "i", "a", "b", (-(F.col("a") * F.col("x") + F.col("b") * F.col("y"))).alias("c"))
 
 
-def proposals(found: DataFrame, key: str, most: tuple[int, int] = (10, 12)) -> DataFrame:
-    """key, name and corners: a quad for each pair of steep with each pair of shallow lines, of the first `most` of each, and the outermost one.
+def proposals(found: DataFrame, key: str) -> DataFrame:
+    """key, name and corners: a quad for each pair of steep with each pair of shallow lines; that of the outermost ones is named lines.
 
-    So there are 45 times 66 quads of a key at most, whatever its number of lines.
+    Lines of a family lie apart (see physical_lines()), so a picture's size bounds the number of a key's quads, not its number of segments.
     """
-    last = Window.partitionBy(key, "family")
-    bound = F.when(F.col("family") == "steep", most[0]).otherwise(most[1])
-    # the outermost lines and the first ones, so that few are joined
-    held = found.withColumn("last", F.max("i").over(last) == F.col("i")).where(F.col("last") | (F.col("i") <= bound))
-    held = held.withColumn("first", F.col("i") <= bound)
+    held = found.withColumn("last", F.max("i").over(Window.partitionBy(key, "family")) == F.col("i"))
 
     def side(kind: str, name: str) -> DataFrame:
-        return held.where(F.col("family") == kind).select(key, *(F.col(c).alias(f"{name}{c}") for c in ("i", "a", "b", "c", "first", "last")))
+        return held.where(F.col("family") == kind).select(key, *(F.col(c).alias(f"{name}{c}") for c in ("i", "a", "b", "c", "last")))
 
     steep, shallow = ("l", "r"), ("t", "b")
     across = side("steep", "l").join(side("steep", "r"), key).where("li < ri")
     down = side("shallow", "t").join(side("shallow", "b"), key).where("ti < bi")
     outer = (F.col("li") == 1) & F.col("rlast") & (F.col("ti") == 1) & F.col("blast")
-    both = across.join(down, key).where((F.col("rfirst") & F.col("bfirst")) | outer)
+    both = across.join(down, key)
     names = lambda n: tuple(f"{n}{c}" for c in "abc")
     corners = F.array(*(F.array(*_meet(names(h), names(v))) for h in shallow for v in steep))
     name = F.format_string("%s-%02d-%02d-%02d-%02d", F.when(outer, "lines").otherwise("grid"), "li", "ri", "ti", "bi")
     return both.select(key, name.alias("name"), corners.alias("corners"))
 
 
-def detect_court(segments: DataFrame, points: DataFrame, key: str, name: str, width: int, height: int, mask: DataFrame | None = None, longest: int = 200, rounds: int = 3) -> DataFrame:
+def detect_court(segments: DataFrame, points: DataFrame, key: str, name: str, width: int, height: int, mask: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """key, name, score, coverage, inliers, refined and view: the best of the views that a key's lines propose.
 
-    Lines (key, name, x1, y1, x2, y2) are cut to the longest, parted into steep and shallow ones, held to their vanishing points,
+    Lines (key, name, x1, y1, x2, y2) are parted into steep and shallow ones, held to their vanishing points,
     and joined to physical lines, of which quads are made. The best covered quad and the outermost one are moved onto the
     points; the moved view is kept only if it is valid and its coverage is not less. The score is coverage, a fifth of it
     weighed by the share of the quad in the mask, if there is one (key, row, first, last). Keys without a valid view have
     no row.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("length"), name))
-    rows = written(family(lines(segments).withColumn("_i", rank).where(F.col("_i") <= longest)).where("family is not null").select(key, "family", name, "x1", "y1", "x2", "y2"))
+    rows = written(family(lines(segments)).where("family is not null").select(key, "family", name, "x1", "y1", "x2", "y2"))
     keys = [key, "family"]
     held = on_points(rows, vanishing_points(rows, keys, name), keys)
     # written between steps, as Spark would write each step's formulas out within the next one's

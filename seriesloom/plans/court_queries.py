@@ -105,7 +105,7 @@ def j17(spark, sf):
 def j18(spark, sf):
     rows = scene(spark, sf, 10)
     mask = rows.select("seg").distinct().select("seg", F.explode(F.sequence(F.lit(180), F.lit(660))).alias("row")).withColumns({"first": F.lit(200), "last": F.lit(1100)})
-    found = court.detect_court(rows, along(rows, "seg"), "seg", "event_id", WIDTH, HEIGHT, mask, longest=1000)
+    found = court.detect_court(rows, along(rows, "seg"), "seg", "event_id", WIDTH, HEIGHT, mask)
     found = found.withColumn("c", court.corners_of(F.col("view")))
     corners = (F.round(F.get(F.get("c", F.lit(i)), F.lit(k)), 2).alias(f"{n}{'xy'[k]}") for i, n in enumerate(("tl", "tr", "bl", "br")) for k in range(2))
     return found.select("seg", "name", *(r4(c).alias(c) for c in ("score", "coverage", "inliers")), "refined", *corners)

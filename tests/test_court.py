@@ -246,3 +246,54 @@ def test_views_take_the_corners_where_they_belong(spark):
     for (x, y), want in zip([(0, 0), (6.1, 0), (0, 13.41), (6.1, 13.41)], corners, strict=True):
         assert image(np.array(good).reshape(3, 3), x, y) == pytest.approx(want)
     assert court.valid_views(df, 1280, 720).count() == 1 and court.valid_views(df, 500, 720).count() == 0
+
+
+def test_all_pairs_of_lines_are_proposed(spark):
+    steep = [(1, "steep", i, 1.0, 0.0, -40.0 * i) for i in range(1, 14)]
+    shallow = [(1, "shallow", i, 0.0, -1.0, 30.0 * i) for i in range(1, 15)]
+    got = court.proposals(spark.createDataFrame(steep + shallow, "k long, family string, i int, a double, b double, c double"), "k").collect()
+    ends = {(tuple(r.corners[0]), tuple(r.corners[3])) for r in got}
+    assert len(got) == len({r.name for r in got}) == len(ends) == 13 * 12 // 2 * (14 * 13 // 2)
+    assert [r.corners for r in got if r.name == "lines-01-13-01-14"] == [[[40.0, 30.0], [520.0, 30.0], [40.0, 420.0], [520.0, 420.0]]]
+
+
+def test_lines_near_each_other_are_one(spark):
+    """Against places put in order one by one; some are a distance apart exactly, and some on a bin's edge."""
+    rng = np.random.default_rng(8)
+    places = {1: sorted(rng.uniform(-300, 2000, 120)), 2: [0.0, 14.0, 27.5, 28.0, 41.5, 56.0, 69.0, 300.0], 3: [5.0] * 300 + [7.0, 21.0]}
+    rows = [(k, "steep", x, -2.0, x, 2.0) for k, v in places.items() for x in map(float, v)] + [(k, "shallow", -5.0, 0.0, 5.0, 0.0) for k in places] + [(1, "steep", float("inf"), 0.0, 3.0, 9.0)]
+    df = court.lines(spark.createDataFrame(rows, "k long, family string, x1 double, y1 double, x2 double, y2 double"))
+    got = {(r.k, r.i): -r.c / r.a for r in court.physical_lines(df, "k").where("family = 'steep'").collect()}
+    want = {}
+    for k, v in places.items():
+        groups = [[v[0]]]
+        for a, b in zip(v, v[1:]):
+            groups.append([b]) if b - a >= 14 else groups[-1].append(b)
+        want |= {(k, i): sum(g) / len(g) for i, g in enumerate(groups, 1)}
+    assert got == pytest.approx(want)
+
+
+def test_coverage_of_views_in_pieces(spark):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(k, *p) for k in (1, 2) for p in made_points(rng, VIEW, 400, 50)], "k long, x double, y double")
+    views = [(k, n, (VIEW + [[0, 0, 3.0 * n], [0, 0, 0], [0, 0, 0]]).ravel().tolist()) for k, m in ((1, 40), (2, 3), (3, 9)) for n in range(m)]
+    df = spark.createDataFrame(views, "k long, n long, view array<double>")
+    near = court.supported(points, "k", 640, 480)
+    a, b = ({(r.k, r.n): r.coverage for r in court.coverage(df, near, ["k", "n"], "k", 640, 480, piece=p).collect()} for p in (1 << 13, 4))
+    assert a == b and len(a) == 52 and a[1, 0] > 0
+
+
+def test_short_lines_of_the_court_are_not_dropped(spark):
+    """The 240 longest segments are on inner lines; the outer ones have short segments only."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for n in range(960):
+        i = int(rng.choice([1, 2, 3, 7, 8, 9])) if n < 240 else n % 12
+        lo, hi = (0.15, 0.95) if n < 240 else (t := rng.uniform(0, 0.9), t + 0.1)
+        at = [(court.ACROSS[i], t * 13.41) if i < 5 else (t * 6.1, court.DOWN[i - 5]) for t in (lo, hi)]
+        ends = [image(VIEW, *p) for p in at]
+        rows.append((1, n, *(float(v) for p in ends for v in p)))
+    df = spark.createDataFrame(rows, LINES)
+    (got,) = court.detect_court(df, q.along(df, "k"), "k", "i", 1280, 1000).collect()
+    found = np.array(got.view).reshape(3, 3)
+    assert max(math.dist(image(found, x, y), image(VIEW, x, y)) for x in (0, 6.1) for y in (0, 13.41)) < 2 and got.coverage > 0.9
