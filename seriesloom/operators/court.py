@@ -472,7 +472,9 @@ def proposals(found: DataFrame, key: str) -> DataFrame:
 
     Lines of a family lie apart (see physical_lines()), so a picture's size bounds the number of a key's quads, not its number of segments.
     """
-    held = found.withColumn("last", F.max("i").over(Window.partitionBy(key, "family")) == F.col("i"))
+    # by the bytes of the lines one task would make all quads, so the number of partitions is given
+    held = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    held = held.withColumn("last", F.max("i").over(Window.partitionBy(key, "family")) == F.col("i"))
 
     def side(kind: str, name: str) -> DataFrame:
         return held.where(F.col("family") == kind).select(key, *(F.col(c).alias(f"{name}{c}") for c in ("i", "a", "b", "c", "last")))
